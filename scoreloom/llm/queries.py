@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import packing, token_binary, token_counts
+from . import decontaminate, fingerprints, line_dedup, packing, secrets_scan, token_binary, token_counts, toxicity
 from .common import table
 
 PIECES, WORDS, BYTES = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -18,9 +18,29 @@ def op2_token_binary(spark, sf_dir):
     return token_binary.token_binary(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_secrets(spark, sf_dir):
+    return secrets_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_binary, op8_packing)}
-SQL: dict[str, str] = {}
+def op9_decontaminate(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_binary, op3_toxicity, op5_secrets, op6_line_dedup, op8_packing, op9_decontaminate, op10_fingerprints)}
+SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE}
