@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, fingerprints, line_dedup, packing, secrets_scan, token_binary, token_counts, toxicity
+from . import decontaminate, fingerprints, jaccard_join, line_dedup, packing, secrets_scan, token_binary, token_counts, toxicity
 from .common import table
 
 PIECES, WORDS, BYTES = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -30,6 +30,10 @@ def op6_line_dedup(spark, sf_dir):
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), words=4, num=85)
+
+
 def op8_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES))
 
@@ -42,5 +46,5 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_binary, op3_toxicity, op5_secrets, op6_line_dedup, op8_packing, op9_decontaminate, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_binary, op3_toxicity, op5_secrets, op6_line_dedup, op7_jaccard_join, op8_packing, op9_decontaminate, op10_fingerprints)}
 SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE}
