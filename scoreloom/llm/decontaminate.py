@@ -195,10 +195,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     `spans` are the merged word ranges to remove.
     """
     ship(docs.sparkSession)
-    keep = keep or ["doc_id"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep)
-    out = docs.select(*[docs[c] for c in docs.columns if c in keep], docs["text"].alias("__text"))
-    columns = out.columns[:-1]
+    out = docs.select(*[docs[c] for c in keep or ["doc_id"]])
+    columns, source = out.columns, "text" if "text" in out.columns else "__text"
+    if source == "__text":
+        out = docs.select(*[docs[c] for c in columns], docs["text"].alias(source))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields if f.name in columns)
+    carried = "" if source in columns else f"{source} string, "
     blocks = list(_blocks(benchmark, limit))
 
     def step(number: int, windows: Windows, last: bool):
@@ -206,8 +208,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
             held: list = []  # row batch, texts, symbols by text
 
             def flush():
-                found = iter(_shard([s for _, _, own in held for s, _ in own], windows))
-                for part, _, own in held:
+                found = iter(_shard([s for _, own in held for s, _ in own], windows))
+                for part, own in held:
                     old = [("", [])] * len(own) if not number else list(zip(part.column("__spans").to_pylist(), part.column("__items").to_pylist(), strict=True))
                     rows = []
                     for (before, names), (_, n) in zip(old, own, strict=True):
@@ -229,12 +231,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
                             [*columns, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
                         )
                     else:
-                        yield pa.RecordBatch.from_arrays([*head, part.column("__text"), pa.array([spans(p) for p, _, _ in rows]), pa.array([i for _, i, _ in rows], pa.list_(pa.string()))], [*columns, "__text", "__spans", "__items"])
+                        yield pa.RecordBatch.from_arrays([*head, *([] if source in columns else [part.column(source)]), pa.array([spans(p) for p, _, _ in rows]), pa.array([i for _, i, _ in rows], pa.list_(pa.string()))], [*columns, *([] if source in columns else [source]), "__spans", "__items"])
                 held.clear()
 
             symbols = n_docs = 0
             known = windows.symbol.get
-            for part, texts in rows_in(batches, "__text"):
+            for part, texts in rows_in(batches, source):
                 own = []
                 for t in texts:
                     words = alnum_words(t)
@@ -245,7 +247,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
                     else:
                         symbols += seen
                     own.append((s, len(words)))
-                held.append((part, None, own))
+                held.append((part, own))
                 n_docs += len(texts)
                 if symbols >= SHARD_SYMBOLS or n_docs >= SHARD_DOCS:
                     yield from flush()
@@ -258,10 +260,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     more = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
     for k, items in enumerate(blocks):
         last = k == len(blocks) - 1
-        out = out.mapInArrow(step(k, Windows(items, size), last), f"{schema}, {more if last else '__text string, __spans string, __items array<string>'}")
+        out = out.mapInArrow(step(k, Windows(items, size), last), f"{schema}, {more if last else f'{carried}__spans string, __items array<string>'}")
     return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated rows; all columns stay as they are."""
-    return contamination(docs, benchmark, docs.columns).filter("not contaminated").select(*docs.columns)
+    """docs without the contaminated rows; all columns stay as they are, whatever their names."""
+    names = docs.columns
+    plain = docs.select(*[docs[c].alias("text" if c == "text" else f"c{k}") for k, c in enumerate(names)])
+    kept = contamination(plain, benchmark, plain.columns).filter("not contaminated")
+    return kept.select(*[F.col("text" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(names)])

@@ -56,13 +56,13 @@ def _marked(docs: DataFrame, host: str, ratio: float, min_pages: int) -> DataFra
 
 
 def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """docs with boilerplate lines taken out of `text`; the other columns and all rows stay.
+    """docs with boilerplate lines taken out of `text`, and `n_chars` (if there) counted anew; all else stays.
 
     A null host is a host of its own; a null text stays null; lines that repeat within a page count
     once and are dropped together; an empty table stays empty. Extra columns may have any name.
     """
-    text = F.array_join("kept", "\n").alias("text")
-    return _marked(docs, host, ratio, min_pages).select(*[text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    text = F.array_join("kept", "\n")
+    return _marked(docs, host, ratio, min_pages).select(*[(text if c == "text" else F.length(text).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, fingerprints, jaccard_join, line_dedup, packing, secrets_scan, token_binary, token_counts, toxicity
+from . import decontaminate, fingerprints, jaccard_join, line_dedup, packing, pii, secrets_scan, token_binary, token_counts, toxicity
 from .common import table
 
 PIECES, WORDS, BYTES = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -22,6 +22,10 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark, sf_dir):
     return secrets_scan.secrets(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_binary, op3_toxicity, op5_secrets, op6_line_dedup, op7_jaccard_join, op8_packing, op9_decontaminate, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_binary, op3_toxicity, op4_pii, op5_secrets, op6_line_dedup, op7_jaccard_join, op8_packing, op9_decontaminate, op10_fingerprints)}
 SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE}

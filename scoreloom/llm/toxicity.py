@@ -197,16 +197,27 @@ def score(model: Model, texts: list[str], held: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
-    """The columns `keep` of docs and the score of each row's text (null: empty), from 0 to 1."""
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score, from 0 to 1, of each row's text (null: empty)."""
     held = model.prefilter()
-    schema = docs.select(*[docs[c] for c in keep], F.lit(0.0).alias(name)).schema
 
     def run(batches):
-        for part, texts in rows_in(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(score(model, texts, held))], [*keep, name])
+        for part, texts in rows_in(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score(model, texts, held))], ["doc_id", "score"])
 
-    return docs.select(*[docs[c] for c in keep], docs["text"].alias("__text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs whose score is under the threshold, all columns as they are; learns like toxicity()."""
+    model = train(docs, labels.filter(~held_out()), rows)
+    held = model.prefilter()
+
+    def run(batches):
+        for part, texts in rows_in(batches):
+            yield part.filter(pa.array(score(model, texts, held) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(column: str = "doc_id"):
@@ -221,5 +232,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
     """
     rows_ = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     model = train(docs, labels.filter(~held_out()), rows)
-    out = scored(rows_, model, ["doc_id"])
+    out = scored(rows_, model)
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
