@@ -1,4 +1,611 @@
 """Named queries over the driver's tables and their DuckDB twins."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import num
+from ..functions import text as T
+from ..operators import cost, ev, findings, gates, kernel, meta, panel, score, views
+from ..schemas import LATEST_RULES
+from . import mappings as M
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _r6(x: str, digits: int = 6) -> str:
+    return f"round_even(({x}) * 1e{digits}::DOUBLE, 0) / 1e{digits}::DOUBLE"
+
+
+# Expected value --------------------------------------------------------------------------------
+
+
+def _ev(since: str = M.TODAY, tag: str = "") -> str:
+    """CTEs li, tiers, g0, g, day ending in `latest`: one row a game with every derived column."""
+    t = tag
+    return f"""
+li{t} AS (SELECT l_partkey k, count(*) n, count(*) FILTER (WHERE l_shipdate >= TIMESTAMP '{since}') live, sum(l_quantity) q,
+  coalesce(sum(CASE WHEN l_shipdate >= TIMESTAMP '{since}' THEN l_extendedprice::DECIMAL(18,2) END), 0)::DOUBLE tu, count(DISTINCT l_orderkey) o, max(l_linenumber) * 1000 top FROM lineitem GROUP BY 1),
+tiers{t} AS (SELECT l_partkey k, l_linenumber * 1000 AS level, count(*) FILTER (WHERE l_shipdate >= TIMESTAMP '{since}') remaining FROM lineitem GROUP BY 1, 2),
+live{t} AS (SELECT k, arg_max(remaining, level) FILTER (WHERE remaining >= 1) r_top, sum(level * remaining)::DOUBLE listed FROM tiers{t} GROUP BY 1),
+g0{t} AS (SELECT p_partkey::BIGINT game_no, p_name AS name, p_brand AS scope, p_retailprice / 1000::DOUBLE price, round_even(1000::DOUBLE * li.live / li.n, 0) / 10::DOUBLE pu, tu,
+  CASE WHEN p_size % 7 <> 0 THEN (q * 2500)::BIGINT END print_run, CASE WHEN p_size % 7 <> 0 THEN top::BIGINT END tpv, CASE WHEN p_size % 7 <> 0 THEN li.n::DOUBLE / o END odds, r_top, listed, top,
+  CASE WHEN p_size % 7 <> 0 THEN NOT EXISTS (SELECT 1 FROM tiers{t} x WHERE x.k = p_partkey AND x.level >= top AND x.remaining >= 1) ELSE false END dead
+  FROM part JOIN li{t} li ON p_partkey = li.k JOIN live{t} lv ON lv.k = li.k),
+g1{t} AS (SELECT *, round_even(pu * print_run / 100::DOUBLE, 0)::BIGINT rt FROM g0{t}),
+g2{t} AS (SELECT *, {_r6('tu / nullif(rt, 0)::DOUBLE')} evt, {_r6('(tu / nullif(rt, 0)::DOUBLE) / price')} ev, CASE WHEN pu > 0 THEN {_r6('tu / pu')} END rel,
+  CASE WHEN rt <> 0 AND NOT dead THEN {_r6('rt::DOUBLE / r_top::DOUBLE')} END odds_now FROM g1{t}),
+g3{t} AS (SELECT *, coalesce(ev > 0 AND ev < 1.5::DOUBLE, false) ok FROM g2{t}),
+g4{t} AS (SELECT *, concat_ws(',', CASE WHEN ev > 0.85::DOUBLE THEN 'anomaly_candidate' END, CASE WHEN ev IS NOT NULL AND NOT ok THEN 'ev_out_of_range' END, CASE WHEN pu > 0 AND pu < 5 THEN 'low_inventory' END,
+  CASE WHEN print_run IS NULL THEN 'no_print_run' END, CASE WHEN pu = 0 THEN 'sold_out' END) flags,
+  CASE WHEN print_run IS NOT NULL AND ok AND pu >= 15 THEN 'high' WHEN print_run IS NOT NULL AND ok AND pu >= 5 THEN 'medium' ELSE 'low' END confidence FROM g3{t}),
+g5{t} AS (SELECT *, NOT dead AND pu <> 0 AND print_run IS NOT NULL AND ev IS NOT NULL rated FROM g4{t}),
+g6{t} AS (SELECT *, CASE WHEN rated THEN least(greatest(ev, 0::DOUBLE), 1.5::DOUBLE) * (CASE confidence WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.85 ELSE 0.45 END)::DOUBLE END idx FROM g5{t}),
+g7{t} AS (SELECT *, min(idx) OVER () lo, max(idx) OVER () hi FROM g6{t}),
+g8{t} AS (SELECT *, CASE WHEN rated THEN CASE WHEN hi = lo THEN 68 ELSE round_even(40 + 55 * ((idx - lo) / (hi - lo)), 0)::INT END END score FROM g7{t}),
+latest{t} AS (SELECT *, CASE WHEN score IS NULL THEN NULL WHEN score >= 85 THEN 'A' WHEN score >= 80 THEN 'A-' WHEN score >= 75 THEN 'B+' WHEN score >= 68 THEN 'B' WHEN score >= 62 THEN 'B-' WHEN score >= 52 THEN 'C' WHEN score >= 42 THEN 'D' ELSE 'F' END grade,
+  CASE WHEN rated AND contains(flags, 'ev_out_of_range') THEN 'claim_lag' WHEN rated THEN confidence WHEN dead THEN 'dead' WHEN pu = 0 THEN 'sold_out' WHEN print_run IS NULL THEN 'no_print_run' ELSE 'no_data' END reason,
+  CASE WHEN NOT rated THEN 'unrated' WHEN contains(flags, 'ev_out_of_range') OR contains(flags, 'low_inventory') THEN 'excluded' ELSE 'eligible' END bucket FROM g8{t})"""
+
+
+_EV = "WITH" + _ev()
+
+
+def _flags():
+    return F.array_join("flags", ",").alias("flags")
+
+
+@_query(f"{_EV} SELECT game_no, name, price, pu AS percent_unsold, tu AS total_unclaimed, print_run, rt AS remaining_tickets, evt AS ev_per_ticket, ev AS ev_ratio, rel AS relative_score, odds_now AS top_prize_odds_now, dead AS dead_game, flags, confidence, odds AS overall_odds_launch, score AS value_score, grade, rated, reason FROM latest")
+def ev_core(spark, sf_dir):
+    """The flagship: every active game by expected value, scored against its day."""
+    out = score.with_scores(M.games(spark, sf_dir))
+    return out.select("game_no", "name", "price", "percent_unsold", "total_unclaimed", "print_run", "remaining_tickets", "ev_per_ticket", "ev_ratio", "relative_score", "top_prize_odds_now", "dead_game", _flags(), "confidence", "overall_odds_launch", "value_score", "grade", "rated", "reason").orderBy("game_no")
+
+
+def _from_games(name: str, sql: str, columns):
+    QUERIES[name] = lambda spark, sf_dir: M.games(spark, sf_dir).select("game_no", *columns())
+    SQL[name] = f"{_EV} SELECT game_no, {sql} FROM latest"
+
+
+_from_games("ev_flags", "flags", lambda: [_flags()])
+_from_games("ev_confidence", "confidence, ok AS in_range", lambda: ["confidence", ev.in_range().alias("in_range")])
+_from_games("ev_relative_score", "rel AS relative_score", lambda: ["relative_score"])
+_from_games("ev_top_odds", "odds_now AS top_prize_odds_now, odds AS overall_odds_launch", lambda: ["top_prize_odds_now", "overall_odds_launch"])
+_from_games("ev_dead", "dead AS dead_game, tpv AS top_prize_value", lambda: ["dead_game", "top_prize_value"])
+
+
+@_query(f"{_EV} SELECT game_no, price, NULL::BIGINT AS print_run, NULL::DOUBLE AS ev_ratio FROM latest")
+def ev_skeleton(spark, sf_dir):
+    return ev.skeleton(M.inventory(spark, sf_dir)[0]).select("game_no", "price", "print_run", "ev_ratio")
+
+
+@_query(f"{_EV} SELECT game_no, idx AS value_index, score AS value_score FROM latest")
+def score_curve(spark, sf_dir):
+    return score.with_scores(M.games(spark, sf_dir)).select("game_no", "value_index", "value_score")
+
+
+@_query(f"{_EV} SELECT game_no, score AS value_score, grade, rated FROM latest")
+def score_grade(spark, sf_dir):
+    return score.with_scores(M.games(spark, sf_dir)).select("game_no", "value_score", "grade", "rated")
+
+
+@_query(f"{_EV} SELECT game_no, reason FROM latest")
+def score_reason(spark, sf_dir):
+    return score.with_scores(M.games(spark, sf_dir)).select("game_no", "reason")
+
+
+@_query(f"{_EV}, one AS (SELECT min(game_no) m FROM latest WHERE rated) SELECT game_no, 68 AS value_score, 'B' AS grade FROM latest, one WHERE game_no = m")
+def score_degenerate(spark, sf_dir):
+    """A day with one rateable game: the curve's middle."""
+    g = M.games(spark, sf_dir).withColumn("rated", score.rateable()).filter("rated")
+    return score.with_scores(g.join(g.agg(F.min("game_no").alias("m")), F.col("game_no") == F.col("m"))).select("game_no", "value_score", "grade")
+
+
+@_query(f"{_EV} SELECT grade, count(*) AS n FROM latest GROUP BY 1")
+def grade_hist(spark, sf_dir):
+    return score.with_scores(M.games(spark, sf_dir)).groupBy("grade").agg(F.count("*").alias("n"))
+
+
+@_query(f"{_EV} SELECT reason, count(*) AS n, string_agg(game_no, ',' ORDER BY game_no) AS members FROM latest WHERE NOT rated GROUP BY 1")
+def reason_buckets(spark, sf_dir):
+    g = score.with_scores(M.games(spark, sf_dir)).filter("not rated")
+    return g.groupBy("reason").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("game_no")), ",").alias("members"))
+
+
+@_query(f"""{_EV}, i AS (SELECT *, round_even(greatest(pu - 0.05::DOUBLE, 0::DOUBLE) * print_run / 100::DOUBLE, 0)::BIGINT a, round_even(least(pu + 0.05::DOUBLE, 100::DOUBLE) * print_run / 100::DOUBLE, 0)::BIGINT b FROM latest WHERE ev IS NOT NULL)
+SELECT game_no, a AS remaining_tickets_min, b AS remaining_tickets_max, {_r6('tu / nullif(b, 0)::DOUBLE / price')} AS ev_ratio_min, {_r6('tu / nullif(a, 0)::DOUBLE / price')} AS ev_ratio_max FROM i""")
+def ev_interval(spark, sf_dir):
+    g = ev.with_intervals(M.games(spark, sf_dir)).filter("ev_ratio is not null")
+    return g.select("game_no", "remaining_tickets_min", "remaining_tickets_max", "ev_ratio_min", "ev_ratio_max")
+
+
+@_query(f"{_EV} SELECT game_no, s / 100::DOUBLE AS assumed_claimed_share, ((round_even(ev * 1e6::DOUBLE, 0)::BIGINT * (100 - s) + 50) // 100)::DOUBLE / 1e6::DOUBLE AS scenario_ratio FROM latest, (VALUES (50), (80), (95)) v(s) WHERE ev IS NOT NULL")
+def ev_scenarios(spark, sf_dir):
+    g = ev.with_scenarios(M.games(spark, sf_dir)).select("game_no", F.explode("ev_scenarios").alias("x"))
+    return g.select("game_no", "x.assumed_claimed_share", F.col("x.ev_ratio").alias("scenario_ratio"))
+
+
+@_query(f"{_EV} SELECT game_no, listed AS listed_sum, {_r6('listed / nullif(tu, 0)')} AS multiple FROM latest")
+def tier_multiple(spark, sf_dir):
+    return ev.tier_multiple(M.inventory(spark, sf_dir)[0]).select("game_no", "listed_sum", "multiple")
+
+
+@_query(f"""{_EV}, m AS (SELECT k, (level * remaining)::DOUBLE v, row_number() OVER (PARTITION BY k ORDER BY level * remaining) r, count(*) OVER (PARTITION BY k) n FROM tiers)
+SELECT k AS game_no, {_r6('sum(v * r) * 2 / nullif(sum(v) * any_value(n), 0) - (any_value(n) + 1) / any_value(n)::DOUBLE')} AS gini FROM m WHERE k IN (SELECT game_no FROM latest) GROUP BY 1""")
+def prize_gini(spark, sf_dir):
+    return ev.prize_gini(M.inventory(spark, sf_dir)[0]).select("game_no", "gini")
+
+
+# Views -----------------------------------------------------------------------------------------
+
+
+@_query(f"{_EV} SELECT game_no, score AS value_score FROM latest WHERE bucket = 'eligible'")
+def eligible(spark, sf_dir):
+    return score.with_scores(M.games(spark, sf_dir)).filter(views.bucket() == "eligible").select("game_no", "value_score")
+
+
+@_query(f"{_EV} SELECT bucket, count(*) AS n, sum(game_no)::BIGINT AS members FROM latest GROUP BY 1")
+def excluded_partition(spark, sf_dir):
+    g = score.with_scores(M.games(spark, sf_dir)).withColumn("bucket", views.bucket())
+    return g.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("game_no").alias("members"))
+
+
+_RANKED = f"{_EV}, r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY score DESC, game_no) rk, row_number() OVER (ORDER BY score DESC, game_no) rk_all FROM latest WHERE bucket = 'eligible')"
+
+
+@_query(f"{_RANKED} SELECT scope, game_no, score AS value_score, grade FROM r WHERE rk = 1")
+def hero_by_price(spark, sf_dir):
+    return views.hero(score.with_scores(M.games(spark, sf_dir)), "scope").select("scope", "game_no", "value_score", "grade")
+
+
+@_query(f"{_RANKED} SELECT rk_all AS rank, game_no, score AS value_score FROM r WHERE rk_all BETWEEN 2 AND 10")
+def shortlist(spark, sf_dir):
+    return views.shortlist(score.with_scores(M.games(spark, sf_dir))).select(F.col("rank").cast("bigint").alias("rank"), "game_no", "value_score")
+
+
+@_query("SELECT p_brand AS scope, count(*) AS games FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) GROUP BY 1")
+def price_chips(spark, sf_dir):
+    return M.inventory(spark, sf_dir)[0].groupBy("scope").agg(F.count("*").alias("games"))
+
+
+@_query("SELECT o_orderkey, epoch(TIMESTAMP '2001-01-01') - epoch(o_orderdate) > 48 * 3600 AS stale FROM orders")
+def staleness(spark, sf_dir):
+    return M.table(spark, sf_dir, "orders").select("o_orderkey", views.stale(F.col("o_orderdate"), F.lit("2001-01-01")).alias("stale"))
+
+
+# Gates -----------------------------------------------------------------------------------------
+
+
+@_query(f"{_EV} SELECT count(*) AS games, 0::BIGINT AS incomplete, sum(tu::DECIMAL(18,2))::DOUBLE AS money, count(*) >= 40 AND sum(tu) > 50000000 AS passed FROM latest")
+def gate_parser(spark, sf_dir):
+    return gates.parser_gate(M.inventory(spark, sf_dir)[0])
+
+
+@_query(f"WITH{_ev()},{_ev(M.YESTERDAY, '_y')}, j AS (SELECT a.ev - b.ev AS delta FROM latest a JOIN latest_y b USING (game_no) WHERE a.ev IS NOT NULL AND b.ev IS NOT NULL) SELECT count(*) AS compared, count(*) FILTER (WHERE abs(delta) > 0.2::DOUBLE) AS moved, coalesce(count(*) FILTER (WHERE abs(delta) > 0.2::DOUBLE) / nullif(count(*), 0) <= 0.3::DOUBLE, true) AS passed FROM j")
+def gate_diff(spark, sf_dir):
+    return gates.diff_gate(M.games(spark, sf_dir), M.games(spark, sf_dir, M.YESTERDAY))
+
+
+@_query(f"{_EV}, c AS (SELECT count(*) a, count(print_run) b FROM latest) SELECT a AS active_games, b AS with_print_run, {_r6('b * 100::DOUBLE / a', 1)} AS coverage_pct, 80::DOUBLE AS gate_threshold_pct, b * 100::DOUBLE / a >= 80 AS passed FROM c")
+def gate_coverage(spark, sf_dir):
+    return meta.coverage(M.games(spark, sf_dir).withColumn("is_active", F.lit(True)))
+
+
+@_query("SELECT rule, 0::BIGINT AS violations FROM (VALUES ('required'), ('confidence'), ('grade'), ('flags'), ('scenarios'), ('reason'), ('rated'), ('intervals')) v(rule)")
+def gate_invariants(spark, sf_dir):
+    return gates.violations(M.latest(spark, sf_dir), LATEST_RULES)
+
+
+@_query(f"{_EV} SELECT count(*) FILTER (WHERE ok) AS in_range, 0::BIGINT AS unmarked, count(*) FILTER (WHERE ok) >= 20 AS passed FROM latest")
+def gate_math(spark, sf_dir):
+    return gates.math_gate(M.games(spark, sf_dir))
+
+
+# Metadata --------------------------------------------------------------------------------------
+
+_META = """WITH a AS (SELECT CASE WHEN s_suppkey % 50 <> 1 THEN s_suppkey END game_no, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE s_name END a_name, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey * 1000 END print_run, 'a' || s_suppkey article_id FROM supplier WHERE s_suppkey % 3 <> 0),
+s AS (SELECT s_suppkey game_no, 'snap ' || s_suppkey s_name, (s_suppkey % 7)::DOUBLE s_price FROM supplier WHERE s_suppkey % 2 = 0),
+t AS (SELECT 'a' || s_suppkey article_id, (s_suppkey % 5)::DOUBLE tile_price FROM supplier WHERE s_suppkey % 4 <> 3),
+f AS (SELECT coalesce(x.game_no, s.game_no) game_no, x.article_id, x.print_run, tile_price, s_price, a_name, s_name, s.game_no IS NOT NULL is_active, x.article_id IS NOT NULL is_article
+  FROM (SELECT * FROM a LEFT JOIN t USING (article_id) WHERE game_no IS NOT NULL) x FULL JOIN s ON x.game_no = s.game_no),
+m AS (SELECT f.*, CASE WHEN a_name <> '' THEN a_name WHEN is_active THEN s_name ELSE c_name END AS name, coalesce(tile_price, s_price) price FROM f LEFT JOIN customer ON c_custkey = f.game_no)"""
+
+
+def _merged(spark, sf_dir):
+    return meta.merged(*M.metadata(spark, sf_dir))
+
+
+@_query(f"{_META} SELECT game_no, article_id, print_run, price, is_active, is_article FROM m")
+def meta_full_outer(spark, sf_dir):
+    return _merged(spark, sf_dir).select("game_no", "article_id", "print_run", "price", "is_active", "is_article")
+
+
+@_query(f"{_META} SELECT game_no, name FROM m")
+def name_precedence(spark, sf_dir):
+    return _merged(spark, sf_dir).select("game_no", "name")
+
+
+@_query(f"{_META} SELECT game_no, tile_price, s_price AS unclaimed_price FROM m WHERE tile_price <> s_price")
+def price_conflicts(spark, sf_dir):
+    return meta.price_conflicts(_merged(spark, sf_dir))
+
+
+@_query(f"{_META} SELECT game_no, is_active FROM m WHERE (is_active AND print_run IS NULL) OR (is_article AND NOT is_active)")
+def coverage_missing(spark, sf_dir):
+    """Active games without a print run, and articles of games that aren't active."""
+    return _merged(spark, sf_dir).filter("(is_active and print_run is null) or (is_article and not is_active)").select("game_no", "is_active")
+
+
+@_query("SELECT c_mktsegment || c_nationkey AS key, coalesce(nullif(max(CASE WHEN c_acctbal < 0 THEN '' WHEN c_acctbal < 3000 THEN 'env' END), ''), max(CASE WHEN c_acctbal > 9000 THEN 'file' END), 'default') AS value FROM customer GROUP BY 1")
+def config_layers(spark, sf_dir):
+    c = M.table(spark, sf_dir, "customer").select(F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("key"), "c_acctbal")
+    keys = c.select("key", F.lit("default").alias("value")).distinct()
+    file = c.filter("c_acctbal > 9000").select("key", F.lit("file").alias("value")).distinct()
+    env = c.filter("c_acctbal < 3000").groupBy("key").agg(F.max(F.when(F.col("c_acctbal") < 0, "").otherwise("env")).alias("value"))
+    return meta.layered(keys, file, env)
+
+
+@_query("SELECT DISTINCT 'n' || (s_suppkey % 25) AS slug FROM supplier WHERE (s_suppkey % 25) NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 6 <> 0)")
+def unknown_slugs(spark, sf_dir):
+    used = M.table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), (F.col("s_suppkey") % 25).cast("string")).alias("slug")).distinct()
+    return used.join(M.calls(spark, sf_dir)[1], "slug", "left_anti")
+
+
+# Panel -----------------------------------------------------------------------------------------
+
+_PANEL = """WITH o AS (SELECT user_id || ':' || event_type game_key, ts::DATE obs_date, ts capture_ts, 'event/' || event_id capture_url, floor(value)::DOUBLE pu, value * 100 tu, event_id FROM events),
+r AS (SELECT *, row_number() OVER w rn, first_value(capture_ts) OVER w kept_ts, first_value(capture_url) OVER w kept_url FROM o WINDOW w AS (PARTITION BY game_key, obs_date ORDER BY capture_ts DESC, event_id DESC)),
+p AS (SELECT * FROM r WHERE rn = 1),
+l AS (SELECT *, CASE WHEN lead(obs_date) OVER (PARTITION BY game_key ORDER BY obs_date) IS NOT NULL THEN 'active' WHEN pu = 0 THEN 'exited_observed' WHEN obs_date < (SELECT max(obs_date) FROM p) THEN 'exited_unobserved' ELSE 'active' END status FROM p),
+w0 AS (SELECT game_key, obs_date w_start, lead(obs_date) OVER g w_end, pu, lead(pu) OVER g pu2, tu, lead(tu) OVER g tu2, max(tu) OVER (PARTITION BY game_key) u_max FROM p WINDOW g AS (PARTITION BY game_key ORDER BY obs_date)),
+w AS (SELECT game_key, w_start, w_end, (w_end - w_start)::INT dt, tu u_start, u_max, (pu - pu2) / (w_end - w_start) s, (tu - tu2) / ((w_end - w_start) * u_max) d FROM w0 WHERE w_end IS NOT NULL),
+dm AS (SELECT * EXCLUDE (s, d), s - avg(s) OVER (PARTITION BY game_key) s, d - avg(d) OVER (PARTITION BY game_key) d, (w_start - DATE '1970-01-01') + (w_end - w_start) / 2 mid FROM w WHERE u_start > 0),
+pr AS (SELECT a.game_key, a.w_start a_start, b.w_start b_start, b.mid - a.mid lag, a.s, b.d, a.u_max FROM dm a JOIN dm b ON a.game_key = b.game_key AND b.w_start >= a.w_end),
+bn AS (SELECT *, CASE WHEN lag > 0 AND lag <= 10 THEN 0 WHEN lag > 10 AND lag <= 30 THEN 1 WHEN lag > 30 AND lag <= 60 THEN 2 WHEN lag > 60 AND lag <= 400 THEN 3 END bin FROM pr)"""
+
+
+@_query(f"{_PANEL} SELECT game_key, obs_date, capture_url, pu AS percent_unsold FROM p")
+def panel_dedup(spark, sf_dir):
+    return M.panel_rows(spark, sf_dir).select("game_key", "obs_date", "capture_url", "percent_unsold")
+
+
+@_query(f"{_PANEL} SELECT game_key, obs_date, capture_ts AS superseded_capture_ts, capture_url AS superseded_capture_url, kept_ts AS kept_capture_ts, kept_url AS kept_capture_url FROM r WHERE rn > 1")
+def panel_superseded(spark, sf_dir):
+    return panel.superseded(M.observations(spark, sf_dir), ["event_id"])
+
+
+@_query(f"{_PANEL} SELECT game_key, obs_date, status AS lifecycle_status FROM l")
+def panel_lifecycle(spark, sf_dir):
+    return panel.with_lifecycle(M.panel_rows(spark, sf_dir)).select("game_key", "obs_date", "lifecycle_status")
+
+
+@_query(f"{_PANEL} SELECT count(*) AS records, count(DISTINCT capture_ts) AS captures, count(DISTINCT game_key) AS lifecycles, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'exited_observed') AS exited_observed, count(*) FILTER (WHERE status = 'exited_unobserved') AS exited_unobserved FROM l")
+def panel_inventory(spark, sf_dir):
+    return panel.inventory(panel.with_lifecycle(M.panel_rows(spark, sf_dir)))
+
+
+@_query(f"{_PANEL} SELECT game_key, obs_date, {_r6('greatest(pu - 0.05::DOUBLE, 0::DOUBLE)', 10)} AS lo, {_r6('pu + 0.05::DOUBLE', 10)} AS hi FROM p")
+def panel_intervals(spark, sf_dir):
+    return M.panel_rows(spark, sf_dir).withColumn("i", panel.pu_interval(F.col("percent_unsold"))).select("game_key", "obs_date", "i.lo", "i.hi")
+
+
+@_query(f"{_PANEL} SELECT game_key, w_start, w_end, dt, {_r6('s')} AS sales, {_r6('d')} AS claims FROM w")
+def panel_windows(spark, sf_dir):
+    return panel.windows(M.panel_rows(spark, sf_dir)).select("game_key", "w_start", "w_end", "dt", num.rounded(F.col("s")).alias("sales"), num.rounded(F.col("d")).alias("claims"))
+
+
+@_query(f"{_PANEL}, b AS (SELECT *, lag(pu) OVER (PARTITION BY game_key ORDER BY obs_date) before FROM p) SELECT game_key, obs_date, before, pu AS percent_unsold FROM b WHERE pu > before")
+def panel_jumps(spark, sf_dir):
+    return panel.jumps(M.panel_rows(spark, sf_dir)).select("game_key", "obs_date", "before", "percent_unsold")
+
+
+@_query("SELECT event_id, user_id || ':' || regexp_replace(lower(trim(' ' || event_type || '  Nr ' || user_id || ' ')), '\\s+', '-', 'g') AS game_key FROM events")
+def slug_key(spark, sf_dir):
+    name = F.concat(F.lit(" "), "event_type", F.lit("  Nr "), F.col("user_id").cast("string"), F.lit(" "))
+    return M.table(spark, sf_dir, "events").select("event_id", panel.game_key(F.col("user_id"), name).alias("game_key"))
+
+
+# Lag study -------------------------------------------------------------------------------------
+
+
+def _pairs(spark, sf_dir):
+    return kernel.pairs(kernel.demeaned(panel.windows(M.panel_rows(spark, sf_dir))))
+
+
+@_query(f"{_PANEL} SELECT game_key, a_start, b_start, lag::DOUBLE AS lag FROM pr")
+def pair_windows(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("game_key", "a_start", "b_start", F.col("lag").cast("double").alias("lag"))
+
+
+@_query(f"{_PANEL} SELECT bin, count(*) AS n_pairs, min(lag)::DOUBLE AS least, max(lag)::DOUBLE AS most FROM bn WHERE bin IS NOT NULL GROUP BY 1")
+def lag_bins(spark, sf_dir):
+    return kernel.binned(_pairs(spark, sf_dir)).groupBy("bin").agg(F.count("*").alias("n_pairs"), F.min("lag").cast("double").alias("least"), F.max("lag").cast("double").alias("most"))
+
+
+@_query(f"{_PANEL} SELECT game_key, w_start, {_r6('s', 4)} + 0 AS s, {_r6('d', 4)} + 0 AS d FROM dm")
+def demean(spark, sf_dir):
+    out = kernel.demeaned(panel.windows(M.panel_rows(spark, sf_dir)))
+    return out.select("game_key", "w_start", (num.rounded(F.col("s"), 4) + 0).alias("s"), (num.rounded(F.col("d"), 4) + 0).alias("d"))
+
+
+@_query(f"""{_PANEL}, q AS (SELECT bin, round(s, 9) s, round(d, 9) d FROM bn WHERE bin IS NOT NULL),
+k AS (SELECT bin, rank() OVER (PARTITION BY bin ORDER BY s) + (count(*) OVER (PARTITION BY bin, s) - 1) / 2 rs, rank() OVER (PARTITION BY bin ORDER BY d) + (count(*) OVER (PARTITION BY bin, d) - 1) / 2 rd FROM q)
+SELECT bin, count(*) AS n_pairs, {_r6('corr(rs, rd)', 4)} AS rho FROM k GROUP BY 1""")
+def spearman(spark, sf_dir):
+    rows = kernel.binned(_pairs(spark, sf_dir)).withColumns({"s": F.round("s", 9), "d": F.round("d", 9)})
+    return kernel.spearman(rows).select("bin", "n_pairs", num.rounded(F.col("rho"), 4).alias("rho"))
+
+
+@_query(f"""{_PANEL}, c AS (SELECT bin, quantile_cont(u_max, 0.9) cap FROM bn WHERE bin IS NOT NULL GROUP BY 1), v AS (SELECT bin, s, d, least(u_max, cap) w FROM bn JOIN c USING (bin)),
+a AS (SELECT bin, sum(w) sw, sum(w * s) ws, sum(w * d) wd, sum(w * s * d) wsd, sum(w * s * s) wss FROM v GROUP BY 1) SELECT bin, {_r6('(wsd - ws * wd / sw) / (wss - ws * ws / sw)')} AS slope FROM a""")
+def weighted_slope(spark, sf_dir):
+    return kernel.weighted_slope(kernel.binned(_pairs(spark, sf_dir))).select("bin", num.rounded(F.col("slope")).alias("slope"))
+
+
+@_query()
+def permutation_test(spark, sf_dir):
+    """Seeded by a hash that SQL doesn't share; 20 repetitions here, 1000 by default."""
+    return kernel.permutation(kernel.demeaned(panel.windows(M.panel_rows(spark, sf_dir))), reps=20)
+
+
+@_query("SELECT avg((l_extendedprice BETWEEN 10000 AND 90000)::INT::DOUBLE) * 100 AS within80, avg((l_extendedprice BETWEEN 2000 AND 104000)::INT::DOUBLE) * 100 AS within95, avg((l_extendedprice BETWEEN 10000 AND 90000)::INT::DOUBLE) * 100 BETWEEN 70 AND 90 AND avg((l_extendedprice BETWEEN 2000 AND 104000)::INT::DOUBLE) * 100 BETWEEN 90 AND 100 AS calibrated FROM lineitem")
+def backtest_coverage(spark, sf_dir):
+    rows = M.table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("actual"), *[F.lit(v).alias(c) for c, v in (("lo80", 10000), ("hi80", 90000), ("lo95", 2000), ("hi95", 104000))])
+    return kernel.interval_coverage(rows)
+
+
+# Findings --------------------------------------------------------------------------------------
+
+_FIND = """WITH e AS (SELECT *, (props::JSON ->> '$.k')::INT k FROM events),
+f AS (SELECT 't' || (user_id % 40) task_id, event_id ord, 'm' || (event_id % 5) slug, CASE WHEN event_id % 2 = 0 THEN ' ' || upper(event_type) ELSE event_type END issue,
+  CASE WHEN value < 40 THEN 0 WHEN value < 160 THEN 1 WHEN value < 400 THEN 2 END sev, 'f' || (k % 3) AS file, CASE WHEN k % 4 = 0 THEN 0 ELSE k % 20 END line, CASE WHEN k % 11 = 0 THEN 'not_an_issue' ELSE 'issue' END stance FROM e),
+u AS (SELECT task_id, lower(trim(issue)) issue_key, file, line, min(sev) worst, count(DISTINCT sev) > 1 OR count(DISTINCT stance) > 1 disputed, string_agg(DISTINCT slug, ',' ORDER BY slug) models, arg_min(issue, ord) issue FROM f WHERE sev IS NOT NULL GROUP BY ALL),
+i AS (SELECT *, 'F' || row_number() OVER (PARTITION BY task_id ORDER BY worst, issue_key, file, line) id FROM u),
+rl AS (SELECT * FROM (SELECT 't' || (user_id % 40) task_id, 'F' || (event_id % 60 + 1) id, CASE event_id % 4 WHEN 0 THEN 'upheld' WHEN 1 THEN 'rejected' END ruling, row_number() OVER (PARTITION BY user_id % 40, event_id % 60 ORDER BY event_id DESC) rn FROM events) WHERE rn = 1),
+rd AS (SELECT i.*, CASE WHEN disputed THEN ruling END ruling FROM i LEFT JOIN rl USING (task_id, id)),
+vd AS (SELECT task_id, count(*) findings, count(*) FILTER (WHERE disputed) disputed, min(worst) FILTER (WHERE NOT disputed OR ruling IS DISTINCT FROM 'rejected') w FROM rd GROUP BY 1)"""
+_SEV = "CASE worst WHEN 0 THEN 'critical' WHEN 1 THEN 'major' ELSE 'minor' END"
+
+
+def _union(spark, sf_dir):
+    return findings.union(M.findings(spark, sf_dir))
+
+
+@_query(f"{_FIND} SELECT task_id, issue, file, line, {_SEV} AS severity, models AS source_models FROM i")
+def finding_union(spark, sf_dir):
+    return _union(spark, sf_dir).select("task_id", "issue", "file", "line", "severity", F.array_join("source_models", ",").alias("source_models"))
+
+
+@_query(f"{_FIND} SELECT task_id, issue_key, file, line, disputed FROM i WHERE disputed")
+def finding_disputed(spark, sf_dir):
+    return _union(spark, sf_dir).filter("disputed").select("task_id", "issue_key", "file", "line", "disputed")
+
+
+@_query(f"{_FIND} SELECT task_id, id, issue_key, file, line FROM i")
+def finding_ids(spark, sf_dir):
+    return _union(spark, sf_dir).select("task_id", "id", "issue_key", "file", "line")
+
+
+@_query(f"{_FIND} SELECT task_id, id, disputed, ruling AS arbiter_ruling FROM rd")
+def ruling_join(spark, sf_dir):
+    return findings.ruled(_union(spark, sf_dir), M.rulings(spark, sf_dir)).select("task_id", "id", "disputed", "arbiter_ruling")
+
+
+@_query(f"{_FIND} SELECT task_id, findings, disputed, CASE w WHEN 0 THEN 'FAIL' WHEN 1 THEN 'REVISE' ELSE 'PASS' END AS verdict FROM vd")
+def verdict_derive(spark, sf_dir):
+    return findings.verdicts(findings.ruled(_union(spark, sf_dir), M.rulings(spark, sf_dir)))
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END WHEN o_orderkey % 2 = 0 THEN 2 ELSE 3 END AS code FROM orders")
+def verdict_exit(spark, sf_dir):
+    key, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    verdict = F.when(s == "P", "PASS").when(s == "F", "FAIL").when(key % 2 == 0, "REVISE").otherwise("odd")
+    return M.table(spark, sf_dir, "orders").select("o_orderkey", findings.exit_code(verdict, (key % 3 == 0) & s.isin("P", "F")).alias("code"))
+
+
+_ENTRIES = """WITH en AS (SELECT conv_id::VARCHAR task_id, turn idx, 'm' || (turn % 5) slug, text AS content, CASE (conv_id + turn) % 5 WHEN 0 THEN 'json' WHEN 1 THEN 'fenced-json' WHEN 2 THEN 'embedded-json' WHEN 3 THEN CASE WHEN length(trim(text, ' ' || chr(9) || chr(10))) >= 40 THEN 'prose' WHEN length(trim(text, ' ' || chr(9) || chr(10))) > 0 THEN 'noise' ELSE 'empty' END ELSE 'empty' END note FROM conversations)"""
+
+
+def _entries(spark, sf_dir):
+    """Turns as answers: plain, fenced and wrapped JSON, prose, nothing."""
+    c, k = M.table(spark, sf_dir, "conversations"), (F.col("conv_id") + F.col("turn")) % 5
+    body = F.concat(F.lit('{"summary":"a } in \\"it\\"","findings":[{"severity":"major","issue":"turn '), F.col("turn").cast("string"), F.lit('","line":"x"}],"n":'), F.col("turn").cast("string"), F.lit("}"))
+    content = F.when(k == 0, body).when(k == 1, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Here it is: "), body, F.lit(" done}"))).when(k == 3, F.col("text")).otherwise(F.lit("  "))
+    raw = c.select(F.col("conv_id").cast("string").alias("task_id"), F.col("turn").alias("idx"), F.concat(F.lit("m"), (F.col("turn") % 5).cast("string")).alias("slug"), content.alias("content"))
+    return raw.withColumn("r", T.read_opinion("content")).select("*", "r.payload", "r.note").drop("r")
+
+
+@_query(f"{_ENTRIES} SELECT task_id, idx, note FROM en")
+def tolerant_json(spark, sf_dir):
+    return _entries(spark, sf_dir).select("task_id", "idx", "note")
+
+
+@_query(f"{_ENTRIES} SELECT task_id, idx, chr((64 + row_number() OVER (PARTITION BY task_id ORDER BY idx))::INT) AS label FROM en WHERE note NOT IN ('noise', 'empty')")
+def survivors_anonymous(spark, sf_dir):
+    return findings.survivors(_entries(spark, sf_dir)).select("task_id", "idx", "label")
+
+
+@_query(f"{_ENTRIES} SELECT task_id, count(*) FILTER (WHERE note NOT IN ('noise', 'empty')) AS survivors, coalesce(string_agg('dropped expert: ' || slug, '; ' ORDER BY idx) FILTER (WHERE note IN ('noise', 'empty')), '') AS blind_spots, count(*) FILTER (WHERE note NOT IN ('noise', 'empty')) >= 2 AS enough FROM en GROUP BY 1")
+def blind_spots(spark, sf_dir):
+    return findings.enough(_entries(spark, sf_dir)).select("task_id", "survivors", F.array_join("blind_spots", "; ").alias("blind_spots"), "enough")
+
+
+@_query(f"{_ENTRIES}, s AS (SELECT task_id, count(*) FILTER (WHERE note NOT IN ('noise', 'empty')) n, count(*) FILTER (WHERE note IN ('json', 'fenced-json', 'embedded-json')) j FROM en GROUP BY 1) SELECT task_id, n AS survivors, j AS findings, CASE WHEN n < 2 OR j = 0 THEN 'REVISE' ELSE 'REVISE' END AS verdict FROM s")
+def review_verdicts(spark, sf_dir):
+    """The whole review of many tasks; every finding here is major or missing, so each verdict is REVISE."""
+    none = M.rulings(spark, sf_dir).filter("false")
+    return findings.review(_entries(spark, sf_dir), none).select("task_id", "survivors", "findings", "verdict")
+
+
+@_query("SELECT event_id, CASE WHEN (CASE WHEN event_id % 3 = 0 THEN (ARRAY[400, 408, 429, 500, 502, 503])[event_id % 6 + 1] ELSE (ARRAY[200, 429, 401, 502])[event_id % 4 + 1] END) IN (408, 429, 502, 503) THEN 'transient' ELSE 'terminal' END AS class FROM events")
+def error_class(spark, sf_dir):
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % n + 1).cast("int"))
+    body = F.when(F.col("event_id") % 3 == 0, pick([400, 408, 429, 500, 502, 503], 6).cast("string")).when(F.col("event_id") % 3 == 1, F.lit("odd"))
+    return M.table(spark, sf_dir, "events").select("event_id", T.error_class(pick([200, 429, 401, 502], 4), body).alias("class"))
+
+
+# Costs -----------------------------------------------------------------------------------------
+
+_COST = """WITH c AS (SELECT l_orderkey task_id, 'n' || (l_suppkey % 25) model, CASE WHEN l_orderkey % 5 = 0 THEN NULL WHEN l_orderkey % 7 = 0 THEN -1::DOUBLE ELSE l_discount END rep, l_quantity * 1000 ti, l_linenumber * 500::DOUBLE toks, n_nationkey nk FROM lineitem LEFT JOIN nation ON n_nationkey = l_suppkey % 25 AND n_nationkey % 6 <> 0),
+m AS (SELECT *, coalesce(CASE WHEN rep >= 0 THEN rep END, (ti / 1e6::DOUBLE) * (nk + 0.5::DOUBLE) + (toks / 1e6::DOUBLE) * (nk * 2 + 1)) cost FROM c),
+t AS (SELECT task_id, count(*) calls, count(*) FILTER (WHERE cost IS NULL) unmetered, coalesce(sum(round_even(cost * 1e9::DOUBLE, 0)::BIGINT), 0)::BIGINT n FROM m GROUP BY 1)"""
+
+
+@_query(f"{_COST} SELECT model, count(*) AS calls, count(cost) AS metered, sum(round_even(cost * 1e9::DOUBLE, 0)::BIGINT)::BIGINT AS nanodollars FROM m GROUP BY 1")
+def cost_fallback(spark, sf_dir):
+    out = cost.metered(*M.calls(spark, sf_dir))
+    return out.groupBy("model").agg(F.count("*").alias("calls"), F.count("cost").alias("metered"), F.sum(cost.nano(F.col("cost"))).alias("nanodollars"))
+
+
+@_query(f"{_COST} SELECT task_id, calls, unmetered, n / 1e9::DOUBLE AS cost_usd_total, n > 300000000 AS cost_cap_breached FROM t")
+def cost_breach(spark, sf_dir):
+    return cost.totals(cost.metered(*M.calls(spark, sf_dir)), 0.3)
+
+
+@_query(f"{_COST}, v AS (SELECT task_id, CASE WHEN task_id % 13 <> 0 THEN n / 1e9::DOUBLE END AS cost_usd_total FROM t) SELECT task_id::VARCHAR AS task_id, cost_usd_total FROM v WHERE task_id % 2 <> 0")
+def cost_log_idempotent(spark, sf_dir):
+    return cost.new_entries(*M.cost_log(spark, sf_dir)).select("task_id", "cost_usd_total")
+
+
+@_query(f"{_COST} SELECT count(*) AS entries, sum(round_even(n / 1e9::DOUBLE * 1e6::DOUBLE, 0)::BIGINT)::BIGINT / 1e6::DOUBLE AS total_usd, max(task_id) AS latest FROM t")
+def cost_tally(spark, sf_dir):
+    t = cost.totals(cost.metered(*M.calls(spark, sf_dir)), 0.3).withColumn("ordinal", F.col("task_id"))
+    return cost.tally(t)
+
+
+@_query(f"{_COST} SELECT task_id, {_r6('least(n / 1e9::DOUBLE * 100 / 0.3::DOUBLE, 100::DOUBLE)')} AS used, CASE WHEN n / 1e9::DOUBLE * 100 >= 30 THEN 'breach' WHEN n / 1e9::DOUBLE * 100 / 0.3::DOUBLE >= 80 THEN 'warn' ELSE 'ok' END AS state FROM t")
+def cost_kpi(spark, sf_dir):
+    t = cost.totals(cost.metered(*M.calls(spark, sf_dir)), 0.3)
+    used, state = cost.used_share(F.col("cost_usd_total"), F.lit(0.3))
+    return t.select("task_id", num.rounded(used).alias("used"), state.alias("state"))
+
+
+@_query(f"SELECT event_id, {_r6('(value - min(value) OVER w) / CASE WHEN max(value) OVER w = min(value) OVER w THEN 1 ELSE max(value) OVER w - min(value) OVER w END')} AS y, event_id = max(event_id) OVER w AS is_last FROM events WINDOW w AS (PARTITION BY user_id)")
+def cost_sparkline(spark, sf_dir):
+    out = cost.spark_line(M.table(spark, sf_dir, "events"), "user_id", "event_id", "value")
+    return out.select("event_id", num.rounded(F.col("y")).alias("y"), "is_last")
+
+
+_LOOP = """WITH a AS (SELECT user_id * 10 + event_id % 10 loop_id, floor(value / 10)::BIGINT score, value > 420 passed, 10 + (props::JSON ->> '$.k')::BIGINT % 30 AS cost, row_number() OVER (PARTITION BY user_id * 10 + event_id % 10 ORDER BY event_id) n FROM events),
+b AS (SELECT *, coalesce(bool_or(passed) OVER w, false) done, coalesce(sum(cost) OVER w, 0)::BIGINT spent FROM a WINDOW w AS (PARTITION BY loop_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@_query(f"{_LOOP} SELECT loop_id, n, spent AS spent_before, NOT done AND n <= 3 AND spent < 50 AS allowed FROM b")
+def forge_budget(spark, sf_dir):
+    return cost.budgeted(M.attempts(spark, sf_dir), 3, 50).select("loop_id", F.col("n").cast("bigint").alias("n"), "spent_before", "allowed")
+
+
+@_query(f"{_LOOP}, k AS (SELECT *, row_number() OVER (PARTITION BY loop_id ORDER BY score DESC, n) r FROM a) SELECT loop_id, CASE WHEN bool_or(passed) THEN 'PASS' ELSE 'EXHAUSTED' END AS status, sum(cost)::BIGINT AS cost, max(n) FILTER (WHERE r = 1) AS best_n, max(score) AS best_score FROM k GROUP BY 1")
+def forge_result(spark, sf_dir):
+    return cost.loop_result(M.attempts(spark, sf_dir)).select("loop_id", "status", "cost", F.col("best_n").cast("bigint").alias("best_n"), "best_score")
+
+
+@_query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 AND lower(p_type) <> 'promo' AND lower(p_type) <> lower(split_part(p_brand, '#', 1)) THEN 'promo/judge' WHEN lower(p_type) <> 'economy' THEN 'economy/one' ELSE 'standard/two' END AS judge FROM part")
+def judge_pick(spark, sf_dir):
+    part = M.table(spark, sf_dir, "part")
+    g = part.select("p_partkey", F.concat("p_type", F.lit("/m")).alias("generator"), F.when(F.col("p_size") % 4 == 0, "promo/judge").otherwise("").alias("preferred"))
+    pool = spark.createDataFrame([("economy/one", 0), ("standard/two", 1)], "judge string, ordinal int")
+    picked = cost.judged_by(g.select("generator", "preferred").distinct(), pool)
+    return g.join(picked, ["generator", "preferred"]).select("p_partkey", "judge")
+
+
+@_query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'PASS' ELSE 'REVISE' END AS verdict, contains(lower(p_name), 'hum') OR contains(lower(p_name), 'sound') AS hears FROM part")
+def judge_sanitised(spark, sf_dir):
+    verdict = F.when(F.col("p_size") % 3 == 0, "PASS").when(F.col("p_size") % 3 == 1, "PASS").otherwise("?")
+    defects = F.when(F.col("p_size") % 3 == 1, 2)
+    return M.table(spark, sf_dir, "part").select("p_partkey", cost.sanitised(verdict, defects).alias("verdict"), cost.hears(F.col("p_name")).alias("hears"))
+
+
+@_query(f"SELECT l_linenumber, l_quantity, i, {_r6('least(0.1::DOUBLE, greatest(l_quantity, 0.2::DOUBLE) / 20) + i * ((greatest(l_quantity, 0.2::DOUBLE) - 2 * least(0.1::DOUBLE, greatest(l_quantity, 0.2::DOUBLE) / 20)) / (greatest(l_linenumber, 2) - 1))')} AS t FROM (SELECT DISTINCT l_linenumber, l_quantity, unnest(range(greatest(l_linenumber, 2))) i FROM lineitem)")
+def frame_times(spark, sf_dir):
+    rows = M.table(spark, sf_dir, "lineitem").select("l_linenumber", "l_quantity").distinct()
+    out = rows.select("*", F.posexplode(cost.frame_times(F.col("l_quantity"), F.col("l_linenumber"))).alias("i", "t"))
+    return out.select("l_linenumber", "l_quantity", F.col("i").cast("bigint").alias("i"), num.rounded(F.col("t")).alias("t"))
+
+
+# Ingest ----------------------------------------------------------------------------------------
+
+
+@_query("SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages")
+def html_links(spark, sf_dir):
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    return M.table(spark, sf_dir, "pages").select("page_id", F.explode(links).alias("href")).distinct()
+
+
+@_query("SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title FROM pages")
+def html_title(spark, sf_dir):
+    return M.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"))
+
+
+@_query("SELECT page_id, nullif(regexp_extract(url, '[?&]page=(\\d+)', 1), '')::BIGINT AS page_no FROM pages")
+def url_ids(spark, sf_dir):
+    return M.table(spark, sf_dir, "pages").select("page_id", F.parse_url("url", F.lit("QUERY"), F.lit("page")).cast("bigint").alias("page_no"))
+
+
+@_query()
+def html_items(spark, sf_dir):
+    """Whole pages through the tokenizer: items by kind. SQL has no HTML parser."""
+    from ..sources import html
+
+    return html.items(M.table(spark, sf_dir, "pages"), ["page_id"]).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events")
+def json_props(spark, sf_dir):
+    return M.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_extendedprice AS money, strftime(l_shipdate, '%Y-%m-%d') AS day, count(*) AS n FROM lineitem GROUP BY ALL")
+def text_values(spark, sf_dir):
+    """Money and dates written as pages write them, and read back."""
+    line = M.table(spark, sf_dir, "lineitem")
+    written = F.concat(F.lit(" $"), F.format_number("l_extendedprice", 2), F.lit(" "))
+    day = F.date_format("l_shipdate", "MMMM d, yyyy")
+    out = line.select("l_orderkey", "l_linenumber", T.money(written).alias("money"), F.date_format(T.month_day(day), "yyyy-MM-dd").alias("day"))
+    return out.groupBy("l_orderkey", "l_linenumber", "money", "day").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT CASE WHEN event_id % 10 = 0 THEN 'parse_failed' WHEN ts < TIMESTAMP '2024-01-05' THEN 'era_skipped' ELSE 'in_era' END AS status, count(*) AS n FROM events GROUP BY 1")
+def capture_index(spark, sf_dir):
+    """Events written as capture indexes and read back, with the era guard."""
+    from ..sources import files
+
+    e = M.table(spark, sf_dir, "events")
+    ts = F.when(F.col("event_id") % 10 == 0, "bad").otherwise(F.date_format("ts", "yyyyMMddHHmmss"))
+    row = F.to_json(F.array(F.array(F.lit("timestamp"), F.lit("original"), F.lit("digest")), F.array(ts, F.col("event_type"), F.col("event_id").cast("string"))))
+    return files.captures(e.select(row.alias("value")), since="20240105").groupBy("status").agg(F.count("*").alias("n"))
+
+
+# Streaming -------------------------------------------------------------------------------------
+
+
+def _stream_dir(spark) -> str:
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="scoreloom-")
+    return f"{base}/stream-{uuid.uuid4().hex}"
+
+
+@_query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, ts::DATE AS d FROM events) GROUP BY ALL")
+def stream_dedup(spark, sf_dir):
+    """Observations as a stream, one a user, type and day."""
+    from ..streaming import history
+
+    base = _stream_dir(spark)
+    rows = spark.readStream.schema(M.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("day", F.col("ts").cast("date"))
+    history.run_once(history.deduplicated(rows, ["user_id", "event_type", "day"], "60 days").select("user_id", "event_type", "day"), f"{base}/out", f"{base}/state")
+    return spark.read.schema("user_id bigint, event_type string, day date").parquet(f"{base}/out").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
