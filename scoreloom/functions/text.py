@@ -71,7 +71,7 @@ def family(x: Column) -> Column:
 
 def listed(x: Column) -> Column:
     """A comma list without blanks."""
-    return F.filter(F.transform(F.split(x, ","), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(x, ","), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def truthy(x: Column) -> Column:
