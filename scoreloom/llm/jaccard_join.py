@@ -8,9 +8,12 @@ capped. In a bucket the classes' group counts are points of an R-tree: the sum o
 minima bounds the overlap, for a node by its greatest coordinates. Surviving pairs are verified on the
 whole sets.
 
-First each member is paired along the tree (a linear number of pairs), links are verified and joined
-into components. Then, in buckets that still hold several components, the R-tree lists all surviving
-pairs between components, and these are verified too. What is left apart has no link.
+Counts are kept in two bits with about two cells a token, so the bound is close to the overlap itself.
+
+Three rounds, each verified on the whole sets and joined into components: each member with its bucket's
+first one; then, in buckets that still hold several components, a spanning forest of the surviving pairs;
+then all surviving pairs between the components that are left. What remains apart has no link. The first
+two rounds list a linear number of pairs, so a group of copies is not written out as all its pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut, mix, rows_in, ship, shingle_hashes, space_words, staged, width
 from .components import components
 
-DIMS, LEAF = 64, 16
+LEAST_CELLS, MOST_CELLS, LEAF = 64, 8192, 16
 #: Members of a bucket that one task takes at a time; larger buckets are joined in blocks of this size.
 BLOCK = 4096
 #: Bits of the filter that keeps texts out of an exchange; its false positives cost time only.
@@ -105,49 +108,105 @@ def class_of(words: list[bytes]) -> int:
     return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
 
 
-def point(tokens: np.ndarray) -> np.ndarray:
-    """Counts by group, DIMS of them."""
-    return np.diff(np.searchsorted(tokens >> np.uint64(58), np.arange(DIMS + 1, dtype=np.uint64))).astype(np.uint32)
+def packed(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of each token: the chance that this changes a pair's intersection is under 1e-7."""
+    return (tokens >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
+def point(tokens: np.ndarray) -> bytes:
+    """Counts by group, two bits each (3: three or more), of about two groups a token."""
+    cells = 1 << min(MOST_CELLS.bit_length() - 1, max(LEAST_CELLS.bit_length() - 1, (2 * len(tokens) - 1).bit_length()))
+    counts = np.minimum(np.bincount((tokens >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells), 3).astype(np.uint8).reshape(-1, 4)
+    return (counts[:, 0] | counts[:, 1] << 2 | counts[:, 2] << 4 | counts[:, 3] << 6).astype(np.uint8).tobytes()
+
+
+def spread(points: list[bytes]) -> np.ndarray:
+    """The counts of points, folded to the fewest cells that any of them has (neighbouring cells are summed)."""
+    least = min(map(len, points))
+    out = np.empty((len(points), least * 4), dtype=np.uint8)
+    for k, p in enumerate(points):
+        raw = np.frombuffer(p, np.uint8)
+        full = np.stack([raw & 3, raw >> 2 & 3, raw >> 4 & 3, raw >> 6], axis=1).reshape(least * 4, -1)
+        out[k] = np.minimum(full.sum(axis=1), 255)
+    return out
 
 
 class RTree:
-    """Points of group counts, packed level by level; each node holds its greatest coordinates and least size."""
+    """Points of group counts, packed level by level.
+
+    Each node holds its greatest coordinates, its least size, and the most tokens that its points' counts
+    leave out (counts that were cut off); the bound allows for these.
+    """
 
-    def __init__(self, points: np.ndarray, rule: Rule, leaf: int = LEAF):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, rule: Rule, leaf: int = LEAF):
         self.rule, self.leaf = rule, leaf
-        spread = int(np.argmax(points.var(axis=0))) if len(points) else 0
-        size = points.sum(axis=1, dtype=np.int64)
-        self.order = np.lexsort((points[:, spread], size))
-        self.levels = [(points[self.order].astype(np.int64), size[self.order])]
+        column = int(np.argmax(points.var(axis=0))) if len(points) else 0
+        self.order = np.lexsort((points[:, column], sizes))
+        points, sizes = points[self.order], sizes[self.order]
+        self.levels = [(points, sizes, sizes - points.sum(axis=1, dtype=np.int64))]
         while len(self.levels[-1][0]) > 1:
-            top, least = self.levels[-1]
+            top, least, extra = self.levels[-1]
             starts = np.arange(0, len(top), leaf)
-            self.levels.append((np.maximum.reduceat(top, starts), np.minimum.reduceat(least, starts)))
+            self.levels.append((np.maximum.reduceat(top, starts), np.minimum.reduceat(least, starts), np.maximum.reduceat(extra, starts)))
 
-    def near(self, p: np.ndarray, n: int) -> np.ndarray:
-        """Places (in self.order) of the points whose overlap with p is not ruled out."""
+    def near(self, x: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in self.order) whose overlap with place x is not ruled out, and the bounds."""
+        p, n, rest = (level[x] for level in self.levels[0])
         at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
-            top, least = self.levels[depth]
-            bound = np.minimum(top[at], p).sum(axis=1)
+            top, least, extra = self.levels[depth]
+            bound = np.minimum(top[at], p).sum(axis=1, dtype=np.int64) + np.minimum(extra[at], rest)
             floor = np.maximum(least[at], -(-n * self.rule.num // self.rule.den))
-            at = at[bound >= self.rule.needed(floor + n)]
+            fits = bound >= self.rule.needed(floor + n)
+            at, bound = at[fits], bound[fits]
             if depth == 0 or not len(at):
                 break
             at = (at[:, None] * self.leaf + np.arange(self.leaf)).ravel()
             at = at[at < len(self.levels[depth - 1][0])]
-        return at
+        return at, bound
 
-    def chain(self) -> list[tuple[int, int]]:
-        """Pairs along the tree: each place with the first of its node, and these likewise, level by level."""
-        out, step = [], 1
-        while step < len(self.order):
-            heads = np.arange(0, len(self.order), step)
-            lead = heads - heads % (step * self.leaf)
-            out += [(a, b) for a, b in zip(lead.tolist(), heads.tolist(), strict=True) if a != b]
-            step *= self.leaf
-        # neighbours in size, for members that the node's first one is too far from
-        return out + [(k, k + 1) for k in range(len(self.order) - 1)]
+
+def star(points: np.ndarray, sizes: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """The first point with each other that is not ruled out."""
+    extra = sizes - points.sum(axis=1, dtype=np.int64)
+    bound = np.minimum(points[1:], points[0]).sum(axis=1, dtype=np.int64) + np.minimum(extra[1:], extra[0])
+    return [(0, k + 1) for k in np.flatnonzero(bound >= rule.needed(sizes[1:] + sizes[0])).tolist()]
+
+
+def between(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray, blocks: np.ndarray, rule: Rule, every: bool):
+    """Surviving pairs between groups: all of them, or a forest that spans what they connect.
+
+    With two blocks at hand only pairs across the blocks count.
+    """
+    names, group = np.unique(groups, return_inverse=True)
+    if len(names) < 2:
+        return
+    largest = int(np.argmax(np.bincount(group)))
+    two = blocks.min() != blocks.max()
+    tree = RTree(points, sizes, rule)
+    group, block = group[tree.order], blocks[tree.order]
+    up = np.arange(len(names))
+    for x in np.flatnonzero(group != largest).tolist():
+        at, bound = tree.near(x)
+        use = up[group[at]] != up[group[x]]
+        if two:
+            use &= block[at] != block[x]
+        at, bound = at[use], bound[use]
+        if every:
+            at = at[(group[at] == largest) | (at > x)]
+            yield from ((int(tree.order[x]), int(tree.order[y])) for y in at.tolist())
+        else:
+            for y in at[np.argsort(-bound, kind="stable")].tolist():
+                a, b = up[group[x]], up[group[y]]
+                if a != b:
+                    up[up == a] = b
+                    yield int(tree.order[x]), int(tree.order[y])
 
 
 def classes(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -261,7 +320,7 @@ def _maybe(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def _sets(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
-    """class, node (its smallest doc_id), tokens, point of the member classes."""
+    """class, node (its smallest doc_id), size, tokens, point of the member classes."""
     bits = _bitmap(members.select(F.col("node").alias("doc_id")))
     words_in = rule.words
 
@@ -270,59 +329,36 @@ def _sets(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
             words = [space_words(t) for t in texts]
             sets = [tokens_of(w, words_in) for w in words]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([class_of(w) for w in words], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([point(s).tobytes() for s in sets], pa.binary())],
-                ["doc_id", "own", "tokens", "point"],
+                [part.column(0), pa.array([class_of(w) for w in words], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([packed(s) for s in sets], pa.binary()), pa.array([point(s) for s in sets], pa.binary())],
+                ["doc_id", "own", "size", "tokens", "point"],
             )
 
-    held = _maybe(docs, bits).filter("__maybe").select("doc_id", "text").mapInArrow(run, "doc_id long, own long, tokens binary, point binary")
-    return held.join(members, (F.col("doc_id") == F.col("node")) & (F.col("own") == F.col("class"))).dropDuplicates(["class"]).select("class", "node", "tokens", "point")
+    held = _maybe(docs, bits).filter("__maybe").select("doc_id", "text").mapInArrow(run, "doc_id long, own long, size long, tokens binary, point binary")
+    return held.join(members, (F.col("doc_id") == F.col("node")) & (F.col("own") == F.col("class"))).dropDuplicates(["class"]).select("class", "node", "size", "tokens", "point")
 
 
-def _pairs(members: DataFrame, rule: Rule, parts: int, every: bool) -> DataFrame:
-    """a, b: nodes to verify. members: bucket, m, node, point, component.
-
-    every: all surviving pairs between components; else a linear number along the trees.
-    """
+def _pairs(members: DataFrame, rule: Rule, parts: int, mode: str) -> DataFrame:
+    """a, b: nodes to verify, by `mode` (star, forest, all). members: bucket, m, node, size, point, component."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    if every:  # block i meets block j in the task (i, j)
-        dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    if mode == "star":
+        dealt = dealt.withColumn("i", F.col("own")).withColumn("j", F.col("own"))
+    else:  # block i meets block j in the task (i, j)
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    else:
-        dealt = members.withColumn("own", own).withColumn("i", own).withColumn("j", own)
-
-    def tree_pairs(nodes, comps, owner, points):
-        tree = RTree(points, rule)
-        order, (p, n) = tree.order, tree.levels[0]
-        if not every:
-            for x, y in tree.chain():
-                if np.minimum(p[x], p[y]).sum() >= rule.needed(n[x] + n[y]):
-                    yield nodes[order[x]], nodes[order[y]]
-            return
-        labels, counts = np.unique(comps, return_counts=True)
-        if len(labels) < 2:
-            return
-        largest = labels[np.argmax(counts)]
-        cross = owner.min() != owner.max()
-        for x in range(len(order)):
-            k = order[x]
-            if comps[k] == largest:
-                continue
-            for y in tree.near(p[x], int(n[x])).tolist():
-                o = order[y]
-                if comps[o] != comps[k] and (comps[o] == largest or x < y) and not (cross and owner[o] == owner[k]):
-                    yield nodes[k], nodes[o]
 
     def run(batches):
         name, held = None, []
         out: set[tuple[int, int]] = set()
 
-        def done():
-            if len(held) > 1:
-                points = np.frombuffer(b"".join(h[3] for h in held), np.uint32).reshape(len(held), DIMS)
-                for a, b in tree_pairs([h[0] for h in held], np.array([h[1] for h in held]), np.array([h[2] for h in held]), points):
-                    out.add((a, b) if a < b else (b, a))
-            held.clear()
+        def found():
+            if len(held) < 2:
+                return
+            nodes, sizes = [h[0] for h in held], np.array([h[3] for h in held], dtype=np.int64)
+            points = spread([h[4] for h in held])
+            groups, owners = np.array([h[1] for h in held]), np.array([h[2] for h in held])
+            pairs = star(points, sizes, rule) if mode == "star" else between(points, sizes, groups, owners, rule, mode == "all")
+            yield from ((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])) for x, y in pairs)
 
         def sent():
             a, b = zip(*out, strict=True)
@@ -330,19 +366,24 @@ def _pairs(members: DataFrame, rule: Rule, parts: int, every: bool) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "component", "own", "point")), strict=True)
-            for bucket, i, j, node, comp, owner, p in rows:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "component", "own", "size", "point")), strict=True)
+            for bucket, i, j, *row in rows:
                 if (bucket, i, j) != name:
-                    done()
+                    for pair in found():
+                        out.add(pair)
+                        if len(out) >= 50_000:
+                            yield sent()
+                    held.clear()
                     name = (bucket, i, j)
-                held.append((node, comp, owner, p))
-            if len(out) > 200_000:
+                held.append(row)
+        for pair in found():
+            out.add(pair)
+            if len(out) >= 50_000:
                 yield sent()
-        done()
         if out:
             yield sent()
 
-    dealt = dealt.select("bucket", "i", "j", "node", "component", "own", "point").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    dealt = dealt.select("bucket", "i", "j", "node", "component", "own", "size", "point").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -352,7 +393,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-            keep = [rule.linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in rows]
+            keep = [rule.linked(unpacked(x), unpacked(y)) for x, y in rows]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
@@ -377,17 +418,17 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     needed = members.select("class").distinct()
     nodes = owners.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node"))
     sets = staged(_sets(known, needed.join(nodes, "class"), rule), "sets")
-    points = sets.select("class", "node", "point")
-    placed = members.join(points, "class").select("bucket", "m", "node", "point")
-    links = staged(_verified(_pairs(placed.withColumn("component", F.col("node")), rule, parts, False), sets, rule), "links")
-    found = components(links)
-    label = found.withColumnRenamed("node", "of")
-    placed = members.join(points, "class").join(label, F.col("node") == F.col("of"), "left").select("bucket", "m", "node", "point", F.coalesce("component", "node").alias("component"))
-    # only buckets that hold several components have anything left to compare
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(F.col("bucket").alias("is_open"))
-    rest = placed.join(open_, F.col("bucket") == F.col("is_open"), "left_semi")
-    more = staged(_verified(_pairs(rest, rule, parts, True), sets, rule), "links")
-    grown = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    placed = members.join(sets.select("class", "node", "size", "point"), "class").select("bucket", "m", "node", "size", "point")
+    links = staged(_verified(_pairs(placed.withColumn("component", F.col("node")), rule, parts, "star"), sets, rule), "links")
+    grown = components(links)
+    for mode in ("forest", "all"):
+        label = grown.withColumnRenamed("node", "of")
+        labelled = members.join(sets.select("class", "node"), "class").join(label, F.col("node") == F.col("of"), "left").select("bucket", "m", "node", F.coalesce("component", "node").alias("component"))
+        # only buckets that hold several components have anything left to compare
+        open_ = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(F.col("bucket").alias("is_open"))
+        rest = labelled.join(open_, F.col("bucket") == F.col("is_open"), "left_semi").join(sets.select("node", "size", "point"), "node")
+        links = staged(_verified(_pairs(rest, rule, parts, mode), sets, rule), "links")
+        grown = components(grown.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
     grown = grown.withColumnRenamed("node", "of")
     whole = nodes.join(grown, F.col("node") == F.col("of"), "left").select(F.col("class").alias("__class"), F.coalesce("component", "node").alias("group"))
     return owners.join(whole, F.col("class") == F.col("__class"), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id")).alias("component_id"))

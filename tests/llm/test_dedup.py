@@ -107,11 +107,11 @@ def test_rtree_rules_out_no_link():
     rule = jaccard_join.Rule(4, 85)
     base = g.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2)
     sets = [np.unique(np.r_[g.choice(base, g.integers(200, 300), replace=False), g.integers(0, 1 << 63, g.integers(0, 30)).astype(np.uint64)]) for _ in range(80)]
-    points = np.stack([jaccard_join.point(s) for s in sets])
-    tree = jaccard_join.RTree(points, rule)
-    for k, s in enumerate(sets):
-        near = set(tree.order[tree.near(points[k].astype(np.int64), len(s))].tolist())
-        assert {j for j, o in enumerate(sets) if rule.linked(s, o)} <= near
+    tree = jaccard_join.RTree(jaccard_join.spread([jaccard_join.point(s) for s in sets]), np.array([len(s) for s in sets]), rule)
+    for x, k in enumerate(tree.order.tolist()):
+        near = set(tree.order[tree.near(x)[0]].tolist())
+        assert {j for j, o in enumerate(sets) if rule.linked(sets[k], o)} <= near
+        assert all((jaccard_join.unpacked(jaccard_join.packed(s)) == s >> np.uint64(16)).all() for s in sets[:3])
 
 
 def test_components(spark):
