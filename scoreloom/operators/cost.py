@@ -90,6 +90,12 @@ def hears(criteria):
     return F.lower(criteria).rlike("|".join(AUDIO))
 
 
+def guarded(verdict, criteria, defects):
+    """A pass on criteria about sound needs a defect that names audio; frames show none, so else it is REVISE."""
+    named = F.exists(defects, lambda d: F.lower(d.problem).contains("audio") | F.lower(d.criterion).contains("audio"))
+    return F.when((verdict == "PASS") & hears(criteria) & ~F.coalesce(named, F.lit(False)), "REVISE").otherwise(verdict)
+
+
 def defect_text(defects):
     """'criterion: problem' joined by '; '."""
     return F.array_join(F.transform(defects, lambda d: F.concat(d.criterion, F.lit(": "), d.problem)), "; ")

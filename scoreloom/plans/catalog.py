@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import num
 from ..functions import text as T
-from ..operators import cost, ev, findings, gates, kernel, meta, panel, score, views
+from ..operators import config, cost, ev, findings, gates, kernel, meta, panel, score, views
 from ..schemas import LATEST_RULES
 from . import mappings as M
 
@@ -264,6 +264,42 @@ def unknown_slugs(spark, sf_dir):
     return used.join(M.calls(spark, sf_dir)[1], "slug", "left_anti")
 
 
+@_query("""SELECT o_orderkey, k AS key, CASE k WHEN 'n' THEN CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE (o_orderkey % 4)::VARCHAR END WHEN 'f' THEN CASE WHEN o_orderkey % 3 = 1 THEN '0.5' END WHEN 'b' THEN CASE o_orderkey % 3 WHEN 0 THEN '1' WHEN 1 THEN '0' END WHEN 'e' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'union' END WHEN 's' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'plain' END END AS clean,
+  CASE WHEN k = 'z' THEN 'not editable' WHEN k = 'n' AND o_orderkey % 4 = 0 OR k = 'f' AND o_orderkey % 3 <> 1 OR k = 'b' AND o_orderkey % 3 = 2 OR k IN ('e', 's') AND o_orderkey % 2 = 1 THEN 'invalid value' END AS error
+  FROM orders, (VALUES ('n'), ('f'), ('b'), ('e'), ('s'), ('z')) v(k)""")
+def config_valid(spark, sf_dir):
+    """Proposed settings of six kinds, good and bad."""
+    key = F.col("o_orderkey")
+    value = (
+        F.when(F.col("key") == "n", F.concat(F.lit(" "), (key % 4).cast("string")))
+        .when(F.col("key") == "f", F.when(key % 3 == 0, "inf").when(key % 3 == 1, "0.5").otherwise("-1"))
+        .when(F.col("key") == "b", F.when(key % 3 == 0, "Yes").when(key % 3 == 1, "off").otherwise("maybe"))
+        .when(F.col("key") == "e", F.when(key % 2 == 0, "union").otherwise("Union"))
+        .otherwise(F.when(key % 2 == 0, " plain ").otherwise("a$b"))
+    )
+    rows = M.table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(*[F.lit(k) for k in "nfbesz"])).alias("key")).withColumn("value", value)
+    return config.validated(rows, {"n": "int", "f": "number", "b": "switch", "e": ("union", "aggregate"), "s": "text"}).select("o_orderkey", "key", "clean", "error")
+
+
+@_query("SELECT DISTINCT slug FROM (SELECT 'n' || n_nationkey AS slug FROM nation WHERE n_nationkey % 6 <> 0 UNION ALL SELECT 'n' || (s_suppkey % 40) FROM supplier)")
+def dropdown_slugs(spark, sf_dir):
+    used = M.table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), (F.col("s_suppkey") % 40).cast("string")).alias("slug"))
+    return config.vocabulary(M.calls(spark, sf_dir)[1], used)
+
+
+@_query("SELECT 'v' || a || '.' || b || '.' || c AS name FROM (SELECT DISTINCT p_size a, p_partkey % 12 b, p_partkey % 7 c FROM part WHERE p_size >= 20) ORDER BY a DESC, b DESC, c DESC LIMIT 1")
+def newest_version(spark, sf_dir):
+    k = F.col("p_partkey")
+    names = M.table(spark, sf_dir, "part").select(F.concat(F.lit("v"), F.concat_ws(".", F.col("p_size").cast("string"), (k % 12).cast("string"), (k % 7).cast("string"))).alias("name"))
+    return config.newest(names)
+
+
+@_query("SELECT c_custkey AS ordinal, c_name AS line FROM customer WHERE c_custkey % 3 <> 0")
+def missing_lines(spark, sf_dir):
+    c = M.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("line"))
+    return config.missing_lines(c, c.filter("ordinal % 3 = 0"))
+
+
 # Panel -----------------------------------------------------------------------------------------
 
 _PANEL = """WITH o AS (SELECT user_id || ':' || event_type game_key, ts::DATE obs_date, ts capture_ts, 'event/' || event_id capture_url, floor(value)::DOUBLE pu, value * 100 tu, event_id FROM events),

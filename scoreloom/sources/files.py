@@ -16,8 +16,24 @@ FILE_CAP, TEXT_CAP, TOTAL_CAP = 10 << 20, 2 << 20, 20 << 20
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
     """file, html: one row a file, paths in order; no file is an error."""
-    out = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("html"))
-    return out
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("html"))
+
+
+def first_file(files: DataFrame) -> DataFrame:
+    """The row whose file comes first by name."""
+    return files.orderBy("file").limit(1)
+
+
+def document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON document a file."""
+    return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+
+
+def write_document(games: DataFrame, path: str, order: str = "game_no") -> None:
+    """A day's rows as one JSON document {as_of, games: [...]}, nulls written; a day's games fit one row."""
+    row = F.struct(order, *[c for c in games.columns if c not in (order, "as_of")])
+    whole = games.groupBy("as_of").agg(F.array_sort(F.collect_list(row), lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)).alias("games"))
+    whole.select(F.to_json(F.struct("as_of", "games"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import num
 from scoreloom.functions import text as T
-from scoreloom.operators import cost, findings
+from scoreloom.operators import config, cost, findings
 
 FIND = "task_id string, ord bigint, slug string, issue string, severity string, file string, line string, stance string"
 RULE = "task_id string, ord bigint, id string, ruling string"
@@ -104,3 +104,29 @@ def test_errors_and_words(spark):
     assert df.filter(T.error_class(F.col("s"), F.col("c")) != F.col("want")).count() == 0
     r = spark.range(1).select(T.listed(F.lit(" a, ,b ,")).alias("l"), T.money(F.lit(" $1,234.50 ")).alias("m"), T.money(F.lit("n/a")).alias("bad"), T.family(F.lit("Open/x/y")).alias("f"), T.page_date(F.lit(" July 11, 2026 7:05 AM ")).alias("d"), T.month_day(F.lit("Smarch 1, 2020")).alias("n"), T.truthy(F.lit(" Yes")).alias("t")).collect()[0]
     assert (r.l, r.m, r.bad, r.f, str(r.d), r.n, r.t) == (["a", "b"], 1234.5, None, "open", "2026-07-11", None, True)
+
+
+def test_settings(spark):
+    kinds = {"A": "int", "B": "number", "C": "switch", "D": ("x", "y"), "E": "text"}
+    rows = [("A", " 07 ", "7"), ("A", "0", None), ("A", "1.5", None), ("B", "1e-3", "1e-3"), ("B", "nan", None), ("B", "inf", None), ("B", "0", None), ("C", "ON", "1"), ("C", "no", "0"), ("C", "2", None), ("D", "x ", "x"), ("D", "z", None), ("E", "a b", "a b"), ("E", "a`b", None), ("E", "  ", None), ("F", "x", None)]
+    got = config.validated(spark.createDataFrame(rows, "key string, value string, want string"), kinds)
+    assert got.filter("not (clean <=> want)").count() == 0
+    assert {r.error for r in got.filter("key = 'F'").collect()} == {"not editable"}
+    r = spark.range(1).select(config.number_or(F.lit("inf"), 2.0).alias("n"), config.form_value(F.array(F.lit("a"), F.lit("b")), F.lit(True)).alias("l"), config.form_value(F.array(F.lit("a"), F.lit("b")), F.lit(False)).alias("s"), config.with_prefix(F.array(F.lit("xa"), F.lit("b")), "x").alias("p")).collect()[0]
+    assert (r.n, r.l, r.s, r.p) == (2.0, "a,b", "b", ["xa"])
+    names = spark.createDataFrame([("v20.9.0",), ("v20.10.1",), ("v18.99.9",), ("vx",), ("v21",)], "name string")
+    assert config.newest(names).collect()[0].name == "v20.10.1"
+
+
+def test_contradictions(spark):
+    body = json.dumps({"contradictions": [{"topic": "t", "positions": [{"label": "A", "stance": "s"}]}, "loose", {"positions": 1}]})
+    df = spark.createDataFrame([(body,), ('{"contradictions": "x"}',), ("{}",)], "p string").select(config.contradictions(F.col("p")).alias("c"))
+    got = [[(c.topic, [tuple(p) for p in c.positions]) for c in r.c] for r in df.collect()]
+    assert got == [[("t", [("A", "s")]), ("loose", []), ("", [])], [], []]
+
+
+def test_sound_is_never_passed_unheard(spark):
+    rows = [("PASS", "clear music", [], "REVISE"), ("PASS", "bright", [], "PASS"), ("PASS", "voice", [("audio", "quiet")], "PASS"), ("REVISE", "hum", [], "REVISE"), ("PASS", "sound", None, "REVISE")]
+    df = spark.createDataFrame(rows, "v string, c string, d array<struct<criterion:string,problem:string>>, want string")
+    assert df.filter(cost.guarded(F.col("v"), F.col("c"), F.col("d")) != F.col("want")).count() == 0
+    assert df.select(cost.defect_text(F.col("d")).alias("t")).collect()[2].t == "audio: quiet"

@@ -120,6 +120,16 @@ def test_metadata(spark):
     assert (c.active_games, c.with_print_run, c.coverage_pct, c.passed) == (3, 1, 33.3, False)
 
 
+def test_documents(spark, tmp_path):
+    rows = spark.createDataFrame([("2026-07-11", 9, None), ("2026-07-11", 2, "b")], "as_of string, game_no long, name string")
+    files.write_document(rows, f"{tmp_path}/doc")
+    got = files.document(spark, f"{tmp_path}/doc/*.txt", "as_of string, games array<struct<game_no:long,name:string>>").collect()
+    assert [(g.game_no, g.name) for g in got[0].games] == [(2, "b"), (9, None)]
+    for name in ("b.html", "a.html"):
+        (tmp_path / name).write_text(name)
+    assert files.first_file(files.whole_text(spark, f"{tmp_path}/*.html")).collect()[0].html == "a.html"
+
+
 def test_streams(spark, tmp_path):
     rows = spark.sql("select id % 5 as k, timestamp'2026-01-01' + make_interval(0,0,0,0,0,0,id) as ts, 'e' as event_type, cast(id as double) value from range(20)")
     rows.write.parquet(f"{tmp_path}/in")
