@@ -135,7 +135,7 @@ def template_rows(count: int = TEMPLATES, seed: int = 3) -> list[tuple[str, list
         0: lambda: f"{plain()}{g.choice(['', '.', '_', '+'])}{g.choice([plain(), digit(2)])}@{plain()}{g.choice(['', digit(1)])}.{g.choice(['com', 'org', 'example.com', 'co.uk', 'de', 'net'])}",
         1: lambda: ".".join(str(g.randint(0, 255)) for _ in range(4)),
         2: card,
-        3: lambda: f"+{g.choice(['1', '44', '49', '33'])} {g.choice(['({}) {}-{}', '{} {} {}', '{}-{}-{}']).format(digit(3), digit(3), digit(4))}" if g.random() < 0.7 else f"({digit(3)}) {digit(3)}-{digit(4)}",
+        3: lambda: f"+{g.choice(['1', '44', '49', '33'])} {g.choice(['({}) {}-{}', '{} {} {}', '{}-{}-{}']).format(digit(3), digit(3), digit(4))}" if g.random() < 0.6 else f"({digit(3)}) {digit(3)}-{digit(4)}" if g.random() < 0.5 else g.choice("-.").join([digit(3), digit(3), digit(4)]),
     }
     other = (lambda: digit(g.randint(1, 6)), lambda: join([digit(2), digit(2), digit(4)]), lambda: f"{digit(1)}.{digit(2)}", lambda: f"v{digit(1)}.{digit(1)}.{digit(2)}", lambda: "@" + plain(), lambda: f"${digit(2)},{digit(3)}", lambda: f"{plain()}={digit(18)}{plain()}", lambda: "".join(g.choice("0123456789abcdef") for _ in range(g.choice([18, 32, 40]))), lambda: digit(g.randint(10, 16)))
     out = []
@@ -189,7 +189,7 @@ def _fits(kind: int, own: str) -> bool:
         return "@" in own[1:-1] and " " not in own
     if kind == 1:
         return own.count(".") == 3 and digits >= 4
-    return 13 <= digits <= 19 and luhn(re.sub("[^0-9]", "", own)) if kind == 2 else 9 <= digits <= 15 and own[0] in "+("
+    return 13 <= digits <= 19 and luhn(re.sub("[^0-9]", "", own)) if kind == 2 else 9 <= digits <= 15 and (own[0] in "+(" or re.fullmatch(r"[0-9]{3}([-.])[0-9]{3}\1[0-9]{4}", own) is not None)
 
 
 def tagged_spans(tagger: Tagger, texts: list[str], at_once: int = 512) -> list[list[tuple[int, int, int]]]:
