@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,8 +16,18 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-# glibc keeps one arena per thread; two are plenty for a worker that mostly runs numpy.
-os.environ.setdefault("MALLOC_ARENA_MAX", "2")
+
+
+def _thrifty() -> None:
+    """Have freed arrays go back to the system at once: workers are reused, one operator after another."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        for option, value in ((-3, 1 << 20), (-1, 1 << 20), (-8, 2)):  # mmap threshold, trim threshold, arenas
+            libc.mallopt(option, value)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_thrifty()
 
 #: Bytes of text that Arrow functions take at a time.
 BATCH_BYTES = 2 << 20
