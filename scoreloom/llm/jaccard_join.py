@@ -10,10 +10,11 @@ whole sets.
 
 Counts are kept in two bits with about two cells a token, so the bound is close to the overlap itself.
 
-Three rounds, each verified on the whole sets and joined into components: each member with its bucket's
-first one; then, in buckets that still hold several components, a spanning forest of the surviving pairs;
-then all surviving pairs between the components that are left. What remains apart has no link. The first
-two rounds list a linear number of pairs, so a group of copies is not written out as all its pairs.
+Rounds, each verified on the whole sets and joined into components: each member with its bucket's first
+one; then, in buckets that still hold several components, all surviving pairs between these if they are
+few, else a spanning forest of them; then, in the latter buckets, all pairs between the components that
+are left. What remains apart has no link. The first two rounds list a linear number of pairs, so a group
+of copies is not written out as all its pairs.
 """
 
 from __future__ import annotations
@@ -130,10 +131,15 @@ def spread(points: list[bytes]) -> np.ndarray:
     """The counts of points, folded to the fewest cells that any of them has (neighbouring cells are summed)."""
     least = min(map(len, points))
     out = np.empty((len(points), least * 4), dtype=np.uint8)
-    for k, p in enumerate(points):
-        raw = np.frombuffer(p, np.uint8)
-        full = np.stack([raw & 3, raw >> 2 & 3, raw >> 4 & 3, raw >> 6], axis=1).reshape(least * 4, -1)
-        out[k] = np.minimum(full.sum(axis=1), 255)
+    sizes = np.array([len(p) for p in points])
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        raw = np.frombuffer(b"".join(points[k] for k in at.tolist()), np.uint8).reshape(len(at), size)
+        full = np.empty((len(at), size, 4), dtype=np.uint8)
+        for k in range(4):
+            np.bitwise_and(raw >> np.uint8(2 * k), 3, out=full[:, :, k])
+        full = full.reshape(len(at), least * 4, -1)
+        out[at] = full[:, :, 0] if full.shape[2] == 1 else np.minimum(full.sum(axis=2, dtype=np.uint32), 255)
     return out
 
 
@@ -141,15 +147,20 @@ class RTree:
     """Points of group counts, packed level by level.
 
     Each node holds its greatest coordinates, its least size, and the most tokens that its points' counts
-    leave out (counts that were cut off); the bound allows for these.
+    leave out (counts that were cut off); the bound allows for these. The tree's coordinates are sums of
+    FOLD neighbouring cells, which rules out most points cheaply; what is left is bounded by all cells.
     """
 
+    FOLD = 8
+
     def __init__(self, points: np.ndarray, sizes: np.ndarray, rule: Rule, leaf: int = LEAF):
         self.rule, self.leaf = rule, leaf
         column = int(np.argmax(points.var(axis=0))) if len(points) else 0
         self.order = np.lexsort((points[:, column], sizes))
-        points, sizes = points[self.order], sizes[self.order]
-        self.levels = [(points, sizes, sizes - points.sum(axis=1, dtype=np.int64))]
+        self.points, self.sizes = points[self.order], sizes[self.order]
+        self.extra = self.sizes - self.points.sum(axis=1, dtype=np.int64)
+        coarse = np.minimum(self.points.reshape(len(points), -1, self.FOLD).sum(axis=2, dtype=np.uint16), 255).astype(np.uint8)
+        self.levels = [(coarse, self.sizes, self.sizes - coarse.sum(axis=1, dtype=np.int64))]
         while len(self.levels[-1][0]) > 1:
             top, least, extra = self.levels[-1]
             starts = np.arange(0, len(top), leaf)
@@ -158,18 +169,21 @@ class RTree:
     def near(self, x: int) -> tuple[np.ndarray, np.ndarray]:
         """Places (in self.order) whose overlap with place x is not ruled out, and the bounds."""
         p, n, rest = (level[x] for level in self.levels[0])
+        low = -(-n * self.rule.num // self.rule.den)
         at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             top, least, extra = self.levels[depth]
+            if depth == 0:  # the places stand in order of size
+                at = at[(least[at] >= low) & (least[at] * self.rule.num <= n * self.rule.den)]
             bound = np.minimum(top[at], p).sum(axis=1, dtype=np.int64) + np.minimum(extra[at], rest)
-            floor = np.maximum(least[at], -(-n * self.rule.num // self.rule.den))
-            fits = bound >= self.rule.needed(floor + n)
-            at, bound = at[fits], bound[fits]
+            at = at[bound >= self.rule.needed(np.maximum(least[at], low) + n)]
             if depth == 0 or not len(at):
                 break
             at = (at[:, None] * self.leaf + np.arange(self.leaf)).ravel()
             at = at[at < len(self.levels[depth - 1][0])]
-        return at, bound
+        bound = np.minimum(self.points[at], self.points[x]).sum(axis=1, dtype=np.int64) + np.minimum(self.extra[at], self.extra[x])
+        fits = bound >= self.rule.needed(self.sizes[at] + n)
+        return at[fits], bound[fits]
 
 
 def star(points: np.ndarray, sizes: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
@@ -179,34 +193,43 @@ def star(points: np.ndarray, sizes: np.ndarray, rule: Rule) -> list[tuple[int, i
     return [(0, k + 1) for k in np.flatnonzero(bound >= rule.needed(sizes[1:] + sizes[0])).tolist()]
 
 
-def between(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray, blocks: np.ndarray, rule: Rule, every: bool):
-    """Surviving pairs between groups: all of them, or a forest that spans what they connect.
+#: A bucket writes out all its surviving pairs if they are at most so many a member.
+DENSE = 4
+
 
-    With two blocks at hand only pairs across the blocks count.
+def between(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray, blocks: np.ndarray, rule: Rule, every: bool) -> tuple[list[tuple[int, int]], bool]:
+    """Surviving pairs between groups, and whether these are all.
+
+    All of them, if `every` or if they are few; else a forest that spans what they connect. With two
+    blocks at hand only pairs across the blocks count.
     """
     names, group = np.unique(groups, return_inverse=True)
     if len(names) < 2:
-        return
+        return [], True
     largest = int(np.argmax(np.bincount(group)))
     two = blocks.min() != blocks.max()
     tree = RTree(points, sizes, rule)
     group, block = group[tree.order], blocks[tree.order]
     up = np.arange(len(names))
+    pairs: list[tuple[int, int]] = []
+    forest: list[tuple[int, int]] = []
+    whole = True
     for x in np.flatnonzero(group != largest).tolist():
         at, bound = tree.near(x)
-        use = up[group[at]] != up[group[x]]
+        use = group[at] != group[x]
         if two:
             use &= block[at] != block[x]
         at, bound = at[use], bound[use]
-        if every:
-            at = at[(group[at] == largest) | (at > x)]
-            yield from ((int(tree.order[x]), int(tree.order[y])) for y in at.tolist())
-        else:
-            for y in at[np.argsort(-bound, kind="stable")].tolist():
-                a, b = up[group[x]], up[group[y]]
-                if a != b:
-                    up[up == a] = b
-                    yield int(tree.order[x]), int(tree.order[y])
+        if whole:
+            later = at[(group[at] == largest) | (at > x)]
+            pairs += [(int(tree.order[x]), int(tree.order[y])) for y in later.tolist()]
+            whole = every or len(pairs) <= DENSE * len(points) + LEAF
+        for y in at[np.argsort(-bound, kind="stable")].tolist() if not every else ():
+            a, b = up[group[x]], up[group[y]]
+            if a != b:
+                up[up == a] = b
+                forest.append((int(tree.order[x]), int(tree.order[y])))
+    return (pairs, True) if whole else (forest, False)
 
 
 def classes(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -297,9 +320,18 @@ def _buckets(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
     return dealt.mapInArrow(meet, "bucket long, m long, class long").dropDuplicates(["bucket", "class"])
 
 
+def _place():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+
+
+def _held(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    place = place.astype(np.int64)
+    return (bits[place >> 6].view(np.uint64) >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 def _bitmap(ids: DataFrame) -> np.ndarray:
     """A bit for each hashed doc_id: FILTER_BITS bits, however many ids there are."""
-    place = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("p"))
+    place = ids.select(_place().alias("p"))
     words = place.groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toPandas()
     out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     out[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
@@ -311,12 +343,11 @@ def _maybe(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def maybe(place):
-        p = place.to_numpy(dtype=np.int64)
         import pandas as pd
 
-        return pd.Series((bits[p >> 6].view(np.uint64) >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+        return pd.Series(_held(bits, place.to_numpy()))
 
-    return docs.withColumn("__maybe", maybe(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))))
+    return docs.withColumn("__maybe", maybe(_place()))
 
 
 def _sets(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
@@ -325,20 +356,25 @@ def _sets(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
     words_in = rule.words
 
     def run(batches):
-        for part, texts in rows_in(batches):
-            words = [space_words(t) for t in texts]
-            sets = [tokens_of(w, words_in) for w in words]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([class_of(w) for w in words], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([packed(s) for s in sets], pa.binary()), pa.array([point(s) for s in sets], pa.binary())],
-                ["doc_id", "own", "size", "tokens", "point"],
-            )
+        for batch in batches:
+            some = batch.filter(pa.array(_held(bits, np.asarray(batch.column("place")))))
+            for part, texts in rows_in(iter([some])):
+                words = [space_words(t) for t in texts]
+                sets = [tokens_of(w, words_in) for w in words]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([class_of(w) for w in words], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([packed(s) for s in sets], pa.binary()), pa.array([point(s) for s in sets], pa.binary())],
+                    ["doc_id", "own", "size", "tokens", "point"],
+                )
 
-    held = _maybe(docs, bits).filter("__maybe").select("doc_id", "text").mapInArrow(run, "doc_id long, own long, size long, tokens binary, point binary")
+    held = docs.select("doc_id", "text", _place().alias("place")).mapInArrow(run, "doc_id long, own long, size long, tokens binary, point binary")
     return held.join(members, (F.col("doc_id") == F.col("node")) & (F.col("own") == F.col("class"))).dropDuplicates(["class"]).select("class", "node", "size", "tokens", "point")
 
 
 def _pairs(members: DataFrame, rule: Rule, parts: int, mode: str) -> DataFrame:
-    """a, b: nodes to verify, by `mode` (star, forest, all). members: bucket, m, node, size, point, component."""
+    """a, b: nodes to verify, by `mode` (star, forest, all). members: bucket, m, node, size, point, component.
+
+    A row without a and b names a bucket of which not all surviving pairs are given.
+    """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
     dealt = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     if mode == "star":
@@ -349,21 +385,25 @@ def _pairs(members: DataFrame, rule: Rule, parts: int, mode: str) -> DataFrame:
 
     def run(batches):
         name, held = None, []
-        out: set[tuple[int, int]] = set()
+        out: set[tuple] = set()
 
         def found():
             if len(held) < 2:
                 return
             nodes, sizes = [h[0] for h in held], np.array([h[3] for h in held], dtype=np.int64)
             points = spread([h[4] for h in held])
-            groups, owners = np.array([h[1] for h in held]), np.array([h[2] for h in held])
-            pairs = star(points, sizes, rule) if mode == "star" else between(points, sizes, groups, owners, rule, mode == "all")
-            yield from ((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])) for x, y in pairs)
+            if mode == "star":
+                pairs = star(points, sizes, rule)
+            else:
+                pairs, whole = between(points, sizes, np.array([h[1] for h in held]), np.array([h[2] for h in held]), rule, mode == "all")
+                if not whole:
+                    yield None, None, name[0]
+            yield from ((min(nodes[x], nodes[y]), max(nodes[x], nodes[y]), None) for x, y in pairs)
 
         def sent():
-            a, b = zip(*out, strict=True)
+            columns = list(zip(*out, strict=True))
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "bucket"])
 
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "component", "own", "size", "point")), strict=True)
@@ -384,7 +424,7 @@ def _pairs(members: DataFrame, rule: Rule, parts: int, mode: str) -> DataFrame:
             yield sent()
 
     dealt = dealt.select("bucket", "i", "j", "node", "component", "own", "size", "point").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, bucket long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -419,16 +459,23 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     nodes = owners.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node"))
     sets = staged(_sets(known, needed.join(nodes, "class"), rule), "sets")
     placed = members.join(sets.select("class", "node", "size", "point"), "class").select("bucket", "m", "node", "size", "point")
-    links = staged(_verified(_pairs(placed.withColumn("component", F.col("node")), rule, parts, "star"), sets, rule), "links")
+    links = staged(_verified(_pairs(placed.withColumn("component", F.col("node")), rule, parts, "star").select("a", "b"), sets, rule), "links")
     grown = components(links)
+    left = None  # buckets that have more pairs than were verified
     for mode in ("forest", "all"):
         label = grown.withColumnRenamed("node", "of")
         labelled = members.join(sets.select("class", "node"), "class").join(label, F.col("node") == F.col("of"), "left").select("bucket", "m", "node", F.coalesce("component", "node").alias("component"))
         # only buckets that hold several components have anything left to compare
         open_ = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(F.col("bucket").alias("is_open"))
         rest = labelled.join(open_, F.col("bucket") == F.col("is_open"), "left_semi").join(sets.select("node", "size", "point"), "node")
-        links = staged(_verified(_pairs(rest, rule, parts, mode), sets, rule), "links")
+        if left is not None:
+            rest = rest.join(left, "bucket", "left_semi")
+        pairs = staged(_pairs(rest, rule, parts, mode), "pairs")
+        links = staged(_verified(pairs.filter("a is not null").select("a", "b"), sets, rule), "links")
+        left = pairs.filter("bucket is not null").select("bucket").distinct()
         grown = components(grown.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+        if left.isEmpty():
+            break
     grown = grown.withColumnRenamed("node", "of")
     whole = nodes.join(grown, F.col("node") == F.col("of"), "left").select(F.col("class").alias("__class"), F.coalesce("component", "node").alias("group"))
     return owners.join(whole, F.col("class") == F.col("__class"), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id")).alias("component_id"))
