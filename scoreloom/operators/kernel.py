@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 BINS = ((0, 10), (10, 30), (30, 60), (60, 400))
+#: Repetitions of the permutation test that a task counts.
+SHARE = 25
 
 
 def demeaned(windows: DataFrame) -> DataFrame:
@@ -54,21 +61,55 @@ def permutation(windows: DataFrame, reps: int = 1000, least: int = 30, bins=BINS
     """Family-wise p of each bin: the share of repetitions whose greatest |rho| reaches the bin's.
 
     In each repetition every game's responses are shifted in a circle by an offset that a hash of the
-    game and the repetition gives. `reps` copies of the pairs are made: the test is meant for panels of
-    some thousand games, and its rows are spread by repetition.
+    game and the repetition gives. A game's pairs are one row, of which a copy is made for each SHARE
+    repetitions; these are counted in numpy, by codes of the responses in place of a sort. A task holds
+    all pairs (about 20 bytes each), so the test is meant for panels of some thousand games.
     """
-    spark = windows.sparkSession
+    ship(windows.sparkSession)
     w = Window.partitionBy("game_key")
     own = windows.withColumns({"k": F.row_number().over(w.orderBy("w_start")) - 1, "n": F.count("*").over(w)})
-    place = own.select("game_key", F.col("w_start").alias("b_start"), "k", "n")
+    place = own.select("game_key", F.col("w_start").alias("b_start"), "k")
     real = binned(pairs(windows), bins).join(place, ["game_key", "b_start"])
     rho = spearman(real).filter(F.col("n_pairs") >= least)
-    shift = F.when(F.col("n") > 1, 1 + F.pmod(F.xxhash64("game_key", "rep", F.lit(seed)), F.col("n") - 1)).otherwise(0)
-    many = real.join(rho.select("bin"), "bin", "left_semi").crossJoin(spark.range(reps).withColumnRenamed("id", "rep")).withColumn("at", (F.col("k") + shift) % F.col("n"))
-    given = own.select("game_key", F.col("k").alias("at"), F.col("d").alias("moved"))
-    shifted = many.join(given, ["game_key", "at"]).select("rep", "bin", "s", F.col("moved").alias("d"))
-    tops = spearman(shifted, ["rep", "bin"]).groupBy("rep").agg(F.max(F.abs("rho")).alias("top"))
-    return rho.crossJoin(F.broadcast(tops)).groupBy("bin", "n_pairs", "rho").agg(F.avg((F.col("top") >= F.abs("rho")).cast("double")).alias("p"))
+    low = lambda c: F.coalesce(c, F.lit(float("-inf")))  # noqa: E731  nulls rank first
+    values = own.groupBy("game_key").agg(F.first("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("k", low(F.col("d")).alias("d")))), lambda x: x.d).alias("d"))
+    pair = F.struct("bin", F.col("k").cast("int").alias("k"), low(F.col("s")).alias("s"))
+    held = real.join(F.broadcast(rho.select("bin")), "bin", "left_semi").groupBy("game_key").agg(F.collect_list(pair).alias("pairs")).join(values, "game_key")
+    first = F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(SHARE)))
+    shift = lambda r: F.when(F.col("n") > 1, 1 + F.pmod(F.xxhash64("game_key", r.cast("bigint"), F.lit(seed)), F.col("n") - 1)).otherwise(0).cast("int")
+    shifts = F.transform(F.sequence("first", F.least(F.col("first") + SHARE, F.lit(reps)) - 1), shift)
+    dealt = held.withColumn("first", first).repartition(-(-reps // SHARE), "first").select("first", "pairs.bin", "pairs.k", "pairs.s", "d", shifts.alias("shifts"))
+
+    def run(table: pa.Table) -> pa.Table:
+        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        sizes = lambda c: pc.list_value_length(table.column(c)).to_numpy()
+        game = np.repeat(np.arange(table.num_rows), sizes("bin"))
+        n = sizes("d").astype(np.int64)
+        start, length, k = (np.cumsum(n) - n)[game], n[game], flat("k").astype(np.int64)
+        code, s, bin_ = np.unique(flat("d"), return_inverse=True)[1], flat("s"), flat("bin")
+        shifts = flat("shifts").reshape(table.num_rows, -1)
+        parts = []
+        for b in np.unique(bin_):
+            at = np.flatnonzero(bin_ == b)
+            if len(at) > 1:
+                parts.append((at, centred_ranks(np.unique(s[at], return_inverse=True)[1])))
+        tops = []
+        for r in range(shifts.shape[1]):
+            moved = code[start + (k + shifts[game, r]) % length]
+            with np.errstate(invalid="ignore"):
+                rhos = [x @ y / np.sqrt((x @ x) * (y @ y)) for at, x in parts for y in [centred_ranks(moved[at])]]
+            tops.append(np.max(np.abs(rhos)) if rhos else None)
+        return pa.table({"top": pa.array(tops, pa.float64())})
+
+    tops = dealt.groupBy("first").applyInArrow(run, "top double")
+    # the slack is for sums in another order; it can only raise p
+    return rho.crossJoin(F.broadcast(tops)).groupBy("bin", "n_pairs", "rho").agg(F.avg((F.col("top") >= F.abs("rho") - 1e-9).cast("double")).alias("p"))
+
+
+def centred_ranks(codes: np.ndarray) -> np.ndarray:
+    """Ranks of codes 0, 1, ... less their mean; ties at theirs."""
+    counts = np.bincount(codes)
+    return (np.cumsum(counts) - (counts - 1) / 2 - (len(codes) + 1) / 2)[codes]
 
 
 def interval_coverage(rows: DataFrame) -> DataFrame:

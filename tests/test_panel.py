@@ -1,8 +1,13 @@
 """The panel: supersession, lifecycles, windows, and the lag study."""
 
+import inspect
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.operators import kernel, panel
+from scoreloom.plans import catalog
 
 ROWS = "game_key string, obs_date string, capture_ts string, capture_url string, percent_unsold double, total_unclaimed double"
 
@@ -68,3 +73,58 @@ def test_permutation_finds_an_echo(spark):
     w = panel.windows(spark.createDataFrame(rows, ROWS).withColumn("obs_date", F.to_date("obs_date")))
     got = {r.bin: r for r in kernel.permutation(kernel.demeaned(w), reps=60, bins=((0, 8.5), (8.5, 400))).collect()}
     assert got[0].rho > 0.5 and got[0].p < 0.05
+
+
+def test_permutation_query_repeats_a_thousand_times(spark, monkeypatch):
+    rule, seen = inspect.signature(kernel.permutation), []
+
+    def told(*args, **given):
+        bound = rule.bind(*args, **given)
+        bound.apply_defaults()
+        seen.append(bound.arguments["reps"])
+
+    monkeypatch.setattr(kernel, "permutation", told)
+    catalog.QUERIES["permutation_test"](spark, "/root/testdata/sf0.001")
+    assert seen[0] >= 1000
+
+
+def _rho(rows):
+    def ranks(v):
+        return [sum(y < x for y in v) + (v.count(x) + 1) / 2 for x in v]
+
+    a, b = ranks([r[0] for r in rows]), ranks([r[1] for r in rows])
+    m = (len(rows) + 1) / 2
+    over = sum((x - m) * (y - m) for x, y in zip(a, b, strict=True))
+    return over / (sum((x - m) ** 2 for x in a) * sum((y - m) ** 2 for y in b)) ** 0.5
+
+
+@pytest.mark.parametrize("reps", [7, 60])
+def test_permutation_against_brute_force(spark, reps):
+    g, bins = random.Random(2), ((0, 8), (8, 20))
+    rows = []
+    for game in range(25):
+        for day in sorted(g.sample(range(1, 29), g.randint(1, 6))):
+            rows.append((f"g{game}", f"2026-01-{day:02d}", "t", "u", float(g.randint(0, 9)), float(g.randint(1, 6))))
+    w = kernel.demeaned(panel.windows(spark.createDataFrame(rows, ROWS).withColumn("obs_date", F.to_date("obs_date")))).localCheckpoint()
+    got = {r.bin: r for r in kernel.permutation(w, reps=reps, least=5, bins=bins).collect()}
+    own = {}
+    for r in sorted(w.collect(), key=lambda r: r.w_start):
+        own.setdefault(r.game_key, []).append(r)
+    pairs = []  # bin, s, game, place of d
+    for game, ws in own.items():
+        for a in ws:
+            for k, b in enumerate(ws):
+                lag = (b.w_start - a.w_start).days + (b.dt - a.dt) / 2
+                pairs += [(n, a.s, game, k) for n, (lo, hi) in enumerate(bins) if b.w_start >= a.w_end and lo < lag <= hi]
+    hashes = {(r.g, r.rep): r.h for r in spark.createDataFrame([(x,) for x in own], "g string").crossJoin(spark.range(reps).withColumnRenamed("id", "rep")).withColumn("h", F.xxhash64("g", "rep", F.lit(11))).collect()}
+
+    def rhos(rep):
+        move = {x: 1 + hashes[x, rep] % (len(ws) - 1) if rep is not None and len(ws) > 1 else 0 for x, ws in own.items()}
+        return [_rho([(s, own[x][(k + move[x]) % len(own[x])].d) for n, s, x, k in pairs if n == b]) for b in range(len(bins))]
+
+    real, tops = rhos(None), [max(map(abs, rhos(rep))) for rep in range(reps)]
+    assert len(got) == 2
+    for b, r in got.items():
+        assert r.n_pairs == sum(p[0] == b for p in pairs) and abs(r.rho - real[b]) < 1e-9
+        assert abs(r.p - sum(t >= abs(real[b]) - 1e-9 for t in tops) / reps) < 1e-12
+    assert any(0 < r.p < 1 for r in got.values())
