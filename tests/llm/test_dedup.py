@@ -145,6 +145,19 @@ def test_line_dedup(spark, docs, rows):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_line_dedup_of_planted_passages(spark):
+    """The ratio's border on a hot and a small host, as the README states it."""
+    words = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    planted = {("hot", "over"): 41, ("hot", "under"): 40, ("small", "three"): 3, ("small", "two"): 2}
+    made = []
+    for host, pages in (("hot", 2000), ("small", 20)):
+        for k in range(pages):
+            lines = [words(name) for (of, name), n in planted.items() if of == host and k < n]
+            made.append((len(made), "\n".join([f"own {host} {k}", *lines]), None, host, 0))
+    got = "\n".join(r.text for r in line_dedup.line_report(spark.createDataFrame(made, SCHEMA)).collect()).split("\n")
+    assert {name: got.count(words(name)) for _, name in planted} == {"over": 0, "under": 40, "three": 0, "two": 2}
+
+
 def test_line_dedup_without_broadcast(spark, docs, monkeypatch):
     want = sorted(map(str, line_dedup.line_report(docs, ratio=0.01).collect()))
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
