@@ -14,6 +14,11 @@ def last_of(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
+def with_source(articles: DataFrame, provenance: DataFrame) -> DataFrame:
+    """articles with the `source` of their page, null where there is none. provenance: one row an article_id."""
+    return articles.join(provenance.select("article_id", "source"), "article_id", "left")
+
+
 def merged(articles: DataFrame, snapshot: DataFrame, dates: DataFrame, tiles: DataFrame) -> DataFrame:
     """Games of the snapshot or the articles; names: article, snapshot, dates; prices: tile, snapshot."""
     a = articles.filter("game_no is not null").join(tiles.withColumnRenamed("price", "tile_price"), "article_id", "left").withColumnsRenamed({"name": "a_name"}).withColumn("is_article", F.lit(True))

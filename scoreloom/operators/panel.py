@@ -67,8 +67,10 @@ def jumps(panel: DataFrame) -> DataFrame:
     return panel.withColumn("before", before).filter("percent_unsold > before")
 
 
-def inventory(panel: DataFrame) -> DataFrame:
-    return panel.agg(
+def inventory(panel: DataFrame, *by: str) -> DataFrame:
+    """One row, or one for each value of `by` ("source"). A record is noncash if a prize has no level."""
+    return panel.groupBy(*by).agg(
         F.count("*").alias("records"), F.count_distinct("capture_ts").alias("captures"), F.count_distinct("game_key").alias("lifecycles"),
         *[F.count_if(F.col("lifecycle_status") == s).alias(s) for s in ("active", "exited_observed", "exited_unobserved")],
+        F.count_if(has_noncash(F.col("top_prizes"))).alias("noncash"),
     )

@@ -225,7 +225,8 @@ m AS (SELECT f.*, CASE WHEN a_name <> '' THEN a_name WHEN is_active THEN s_name
 
 
 def _merged(spark, sf_dir):
-    return meta.merged(*M.metadata(spark, sf_dir))
+    articles, *others = M.metadata(spark, sf_dir)
+    return meta.merged(meta.with_source(articles, M.provenance(spark, sf_dir)), *others)
 
 
 @_query(f"{_META} SELECT game_no, article_id, print_run, price, is_active, is_article FROM m")
@@ -233,6 +234,11 @@ def meta_full_outer(spark, sf_dir):
     return _merged(spark, sf_dir).select("game_no", "article_id", "print_run", "price", "is_active", "is_article")
 
 
+@_query(f"{_META} SELECT game_no, article_id, CASE WHEN s_suppkey % 8 = 0 THEN NULL WHEN s_suppkey % 5 = 0 THEN 'wayback' WHEN s_suppkey IS NOT NULL THEN 'live' END AS source FROM m LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 4 <> 2) ON article_id = 'a' || s_suppkey")
+def article_source(spark, sf_dir):
+    return _merged(spark, sf_dir).select("game_no", "article_id", "source")
+
+
 @_query(f"{_META} SELECT game_no, name FROM m")
 def name_precedence(spark, sf_dir):
     return _merged(spark, sf_dir).select("game_no", "name")
@@ -330,7 +336,20 @@ def panel_lifecycle(spark, sf_dir):
 
 @_query(f"{_PANEL} SELECT count(*) AS records, count(DISTINCT capture_ts) AS captures, count(DISTINCT game_key) AS lifecycles, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'exited_observed') AS exited_observed, count(*) FILTER (WHERE status = 'exited_unobserved') AS exited_unobserved FROM l")
 def panel_inventory(spark, sf_dir):
-    return panel.inventory(panel.with_lifecycle(M.panel_rows(spark, sf_dir)))
+    return panel.inventory(M.panel_records(spark, sf_dir)).drop("noncash")
+
+
+_SOURCES = f"""{_PANEL}, s AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'daily' ELSE 'wayback' END AS source, event_id % 4 <> 0 AND event_id % 9 = 0 AS bare FROM l)"""
+
+
+@_query(f"{_SOURCES} SELECT source, count(*) AS records, count(DISTINCT capture_ts) AS captures, count(DISTINCT game_key) AS lifecycles, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'exited_observed') AS exited_observed, count(*) FILTER (WHERE status = 'exited_unobserved') AS exited_unobserved, count(*) FILTER (WHERE bare) AS noncash FROM s GROUP BY 1")
+def panel_inventory_sources(spark, sf_dir):
+    return panel.inventory(M.panel_records(spark, sf_dir), "source")
+
+
+@_query(f"{_SOURCES} SELECT count(*) AS records, count(*) FILTER (WHERE bare) AS noncash FROM s")
+def panel_noncash(spark, sf_dir):
+    return panel.inventory(M.panel_records(spark, sf_dir)).select("records", "noncash")
 
 
 @_query(f"{_PANEL} SELECT game_key, obs_date, {_r6('greatest(pu - 0.05::DOUBLE, 0::DOUBLE)', 10)} AS lo, {_r6('pu + 0.05::DOUBLE', 10)} AS hi FROM p")

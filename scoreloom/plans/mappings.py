@@ -59,6 +59,14 @@ def panel_rows(spark, sf_dir) -> DataFrame:
     return panel.deduped(observations(spark, sf_dir), ["event_id"])
 
 
+def panel_records(spark, sf_dir) -> DataFrame:
+    """panel_rows with lifecycle, source (null where it isn't known) and prizes, of which some have no level."""
+    k = F.col("event_id")
+    tier = F.array(F.struct(F.when(k % 9 != 0, k).alias("level"), F.when(k % 9 == 0, "car").alias("level_label"), F.lit(1).cast("bigint").alias("remaining")))
+    source = F.when(k % 11 == 0, None).when(k % 5 == 0, "daily").otherwise("wayback")
+    return panel.with_lifecycle(panel_rows(spark, sf_dir)).withColumns({"source": source, "top_prizes": F.when(k % 4 != 0, tier)})
+
+
 def findings(spark, sf_dir) -> DataFrame:
     """Events as findings of five reviewers on forty tasks."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
@@ -120,3 +128,9 @@ def metadata(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
     dates = c.select(F.col("c_custkey").alias("game_no"), F.col("c_name").alias("name"), F.lit(None).cast("date").alias("end_date"), F.lit(None).cast("date").alias("last_cash_date"))
     tiles = s.filter("s_suppkey % 4 <> 3").select(F.concat(F.lit("a"), k.cast("string")).alias("article_id"), (k % 5).cast("double").alias("price"))
     return a, snap, dates, tiles
+
+
+def provenance(spark, sf_dir) -> DataFrame:
+    """Where an article's page is from: for some of the articles, and for pages that aren't articles."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").filter("s_suppkey % 4 <> 2").select(F.concat(F.lit("a"), k.cast("string")).alias("article_id"), F.when(k % 8 != 0, F.when(k % 5 == 0, "wayback").otherwise("live")).alias("source"))

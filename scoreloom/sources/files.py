@@ -29,6 +29,15 @@ def document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
 
 
+def provenance(spark: SparkSession, path: str) -> DataFrame:
+    """article_id, source from documents {article_id: {source, ...}}; no file is no row, a bad one an error."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop):
+        return spark.createDataFrame([], "article_id string, source string")
+    parsed = F.from_json("html", "map<string,struct<source:string>>", {"mode": "FAILFAST"})
+    return whole_text(spark, path).select(F.explode(parsed).alias("article_id", "page")).select("article_id", "page.source")
+
+
 def write_document(games: DataFrame, path: str, order: str = "game_no") -> None:
     """A day's rows as one JSON document {as_of, games: [...]}, nulls written; a day's games fit one row."""
     row = F.struct(order, *[c for c in games.columns if c not in (order, "as_of")])

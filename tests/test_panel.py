@@ -128,3 +128,14 @@ def test_permutation_against_brute_force(spark, reps):
         assert r.n_pairs == sum(p[0] == b for p in pairs) and abs(r.rho - real[b]) < 1e-9
         assert abs(r.p - sum(t >= abs(real[b]) - 1e-9 for t in tops) / reps) < 1e-12
     assert any(0 < r.p < 1 for r in got.values())
+
+
+def test_panel_inventory_by_source(spark):
+    tiers = "array<struct<level:bigint,level_label:string,remaining:bigint>>"
+    rows = [("a", "t1", "wayback", "active", [(None, "car", 1), (5, None, 2)]), ("b", "t1", "wayback", "active", [(5, None, 2)]), ("a", "t2", "daily", "exited_observed", [(None, "trip", 0)]), ("c", "t3", None, "active", None)]
+    df = spark.createDataFrame(rows, f"game_key string, capture_ts string, source string, lifecycle_status string, top_prizes {tiers}")
+    got = {r.source: (r.records, r.captures, r.lifecycles, r.active, r.noncash) for r in panel.inventory(df, "source").collect()}
+    assert got == {"wayback": (2, 1, 2, 2, 1), "daily": (1, 1, 1, 0, 1), None: (1, 1, 1, 1, 0)}
+    whole = panel.inventory(df).collect()[0]
+    assert (whole.records, whole.lifecycles, whole.noncash) == (4, 3, 2)
+    assert [r.noncash for r in panel.inventory(df.limit(0)).collect()] == [0]

@@ -142,3 +142,19 @@ def test_streams(spark, tmp_path):
     for k in range(2):
         history.log_costs(spark.readStream.schema(schemas.COST_LOG).parquet(f"{tmp_path}/v"), f"file://{tmp_path}/log", f"{tmp_path}/cp{k}")
     assert spark.read.parquet(f"{tmp_path}/log").count() == 2
+
+
+def test_article_provenance(spark, tmp_path):
+    (tmp_path / "PROVENANCE.json").write_text(json.dumps({"11": {"source": "wayback", "url": "u"}, "12": {"url": "u"}, "99": {"source": "live"}}, indent=1))
+    found = files.provenance(spark, str(tmp_path / "PROVENANCE.json"))
+    articles = spark.createDataFrame([("11", 1, "A", 10), ("12", 2, "B", 20), ("13", 3, "C", 30)], "article_id string, game_no long, name string, print_run long")
+    got = meta.with_source(articles, found)
+    assert {r.article_id: r.source for r in got.collect()} == {"11": "wayback", "12": None, "13": None}
+    games = spark.createDataFrame([(1, "A", 5.0), (4, "D", 5.0)], "game_no long, name string, price double")
+    dates = spark.createDataFrame([], "game_no long, name string, end_date date, last_cash_date date")
+    tiles = spark.createDataFrame([], "article_id string, price double")
+    assert {r.game_no: r.source for r in meta.merged(got, games, dates, tiles).collect()} == {1: "wayback", 2: None, 3: None, 4: None}
+    assert files.provenance(spark, str(tmp_path / "none.json")).count() == 0
+    (tmp_path / "bad.json").write_text("{")
+    with pytest.raises(Exception, match="MALFORMED"):
+        files.provenance(spark, str(tmp_path / "bad.json")).collect()
