@@ -482,11 +482,44 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id. Rows without an id stay."""
+    """docs with one row of each group: that of the smallest doc_id. Rows without an id stay.
+
+    Different texts of a repeated id are documents of their own, of which the smaller digest comes first;
+    of rows that repeat both id and text one stays.
+    """
     spark = docs.sparkSession
+    repeated = staged(docs.filter("doc_id is not null").groupBy(docs["doc_id"].alias("__gone")).count().filter("count > 1").select("__gone"), "repeated")
+    if not repeated.isEmpty():
+        return _one_of_repeated(docs, repeated, words, num, den)
     gone = staged(jaccard_join(docs, words, num, den).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    flagged = _maybe(docs, _bitmap(gone.select(F.col("__gone").alias("doc_id"))))
-    clear = flagged.filter("not __maybe").select(*docs.columns)
-    doubtful = flagged.filter("__maybe").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
-    ship(spark)
-    return clear.unionByName(doubtful)
+    return _without(docs, "doc_id", gone)
+
+
+def _without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """docs but for rows whose key is in `gone` (__gone)."""
+    ids = docs if key == "doc_id" else docs.withColumnsRenamed({"doc_id": "__doc_id", key: "doc_id"})
+    flagged = _maybe(ids, _bitmap(gone.select(F.col("__gone").alias("doc_id"))))
+    clear = flagged.filter("not __maybe").select(*ids.columns)
+    doubtful = flagged.filter("__maybe").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*ids.columns)
+    ship(docs.sparkSession)
+    left = clear.unionByName(doubtful)
+    return left if key == "doc_id" else left.withColumnsRenamed({"doc_id": key, "__doc_id": "doc_id"})
+
+
+def _one_of_repeated(docs: DataFrame, repeated: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """one_of_each where ids repeat: each (id, text) of a repeated id gets a key that no id has."""
+    of = docs["doc_id"] == repeated["__gone"]
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    own = docs.join(repeated, of, "left_semi").withColumn("__digest", digest).dropDuplicates(["doc_id", "__digest"])
+    own = staged(own.withColumn("__key", F.monotonically_increasing_id()), "own")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    fresh = F.lit(high) + 1 + F.col("__key") if high < 1 << 62 else F.lit(low) - 1 - F.col("__key")
+    own = own.withColumn("__key", fresh.cast("long"))
+    whole = docs.join(repeated, of, "left_anti").withColumns({"__digest": F.lit(None).cast("string"), "__key": F.col("doc_id").cast("long")}).unionByName(own)
+    groups = staged(jaccard_join(whole.select(F.col("__key").alias("doc_id"), "text"), words, num, den).filter("doc_id is not null").select("doc_id", "component_id"), "groups")
+    names = own.select(F.col("__key").alias("__of"), F.col("doc_id").alias("__id"), "__digest")
+    order = F.struct(F.coalesce("__id", "doc_id").alias("id"), "__digest", F.col("doc_id").alias("key"))
+    placed = groups.join(names, F.col("doc_id") == F.col("__of"), "left").select("component_id", order.alias("o"))
+    first = placed.groupBy("component_id").agg(F.min("o").alias("first"))
+    gone = staged(placed.join(first, "component_id").filter("o.key <> first.key").select(F.col("o.key").alias("__gone")), "gone")
+    return _without(whole, "__key", gone).select(*docs.columns)

@@ -89,6 +89,18 @@ def test_jaccard_join_odd_rows(spark, docs, rows):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("base", [0, (1 << 63) - 1000])
+def test_one_of_each_loses_no_text_of_a_repeated_id(spark, base):
+    words = lambda name: " ".join(f"{name}{k}" for k in range(30))
+    x, y, z = words("x"), words("y"), words("z")
+    made = [(3, y, "a"), (5, x, "b"), (5, y, "c"), (7, x, "d"), (9, z, "e"), (9, z, "e"), (11, "", "f"), (11, None, "f")]
+    made = [(base + d, t, n, "s", 0) for d, t, n in made] + [(None, x, "g", "s", 0), (None, x, "g", "s", 0)]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(made, SCHEMA).repartition(3))
+    assert kept.columns == SCHEMA.replace(",", "").split()[::2]
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str)
+    assert got == sorted([(base + 3, y), (base + 5, x), (base + 9, z), (base + 11, ""), (None, x), (None, x)], key=str)
+
+
 def test_signatures_lose_no_link():
     g = random.Random(9)
     for num in (85, 80, 60):
