@@ -114,6 +114,13 @@ def score_degenerate(spark, sf_dir):
     return score.with_scores(g.join(g.agg(F.min("game_no").alias("m")), F.col("game_no") == F.col("m"))).select("game_no", "value_score", "grade")
 
 
+@_query(f"{_EV} SELECT game_no, 68 AS value_score, 'B' AS grade FROM latest WHERE rated")
+def score_degenerate_days(spark, sf_dir):
+    """Every rateable game on a day of its own: each is at the curve's middle."""
+    g = M.games(spark, sf_dir).withColumn("rated", score.rateable()).filter("rated")
+    return score.with_scores(g.withColumn("as_of", F.date_add("as_of", F.col("game_no").cast("int")))).select("game_no", "value_score", "grade")
+
+
 @_query(f"{_EV} SELECT grade, count(*) AS n FROM latest GROUP BY 1")
 def grade_hist(spark, sf_dir):
     return score.with_scores(M.games(spark, sf_dir)).groupBy("grade").agg(F.count("*").alias("n"))
