@@ -7,7 +7,8 @@ than STRIDE tokens, at other places (penalty HARD), so that padding plus penalti
     cost[j] = penalty[j] + WINDOW - at[j] + min over at[j] - at[i] <= WINDOW of cost[i] + at[i]
 
 The minimum slides with j, so a monotone queue gives each transition in constant time; a window of
-exactly a power of two needs no padding and is a transition of its own.
+exactly 512, 1024 or 2048 tokens needs no padding and is a transition of its own. Exact windows below
+512 are tried at a shard's end alone, so the cost is the least without them elsewhere; no token is lost.
 """
 
 from __future__ import annotations
