@@ -183,7 +183,7 @@ def train(docs: DataFrame, texts: int = TRAIN_TEXTS, rounds: int = ROUNDS) -> Ta
 
 
 def _fits(kind: int, own: str) -> bool:
-    """What a tagged span must have at least to be kept."""
+    """What a tagged span must have at least to be kept; phones of other forms (555 123 4567) are lost."""
     digits = len(_DIGIT.findall(own))
     if kind == 0:
         return "@" in own[1:-1] and " " not in own
