@@ -49,6 +49,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns named c0, c1, ... by place, and the new name of each old one (spelled exactly so).
+
+    Names with dots or backticks, names that differ in case only and names that an operator uses itself
+    can't clash; docs.columns give them back by toDF().
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(reversed(docs.columns), reversed(names), strict=True))
+
+
+def picked(docs: DataFrame, **types: str) -> DataFrame:
+    """The named columns, cast; others are not looked at, whatever their names."""
+    plain, at = positional(docs)
+    return plain.select(*[F.col(at[name]).cast(kind).alias(name) for name, kind in types.items()])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage; survives the loss of executors."""
     shared_dir(df.sparkSession)
@@ -89,6 +105,15 @@ def rows_in(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[t
             yield part, [t or "" for t in part.column(text).to_pylist()]
 
 
+def texts_in(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 * BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Byte-balanced slices of the batches, each with its texts as an Arrow array (null: empty)."""
+    for batch in batches:
+        column = batch.column(text)
+        for lo, hi in byte_slices(column, limit):
+            part = batch.slice(lo, hi - lo)
+            yield part, pc.fill_null(part.column(text).cast(pa.large_string()), "")
+
+
 def shard_bounds(df: DataFrame, shards: int, key: str = "doc_id") -> list[int]:
     """Increasing cut points that deal `key` to about equal shards; reads that column alone."""
     if shards < 2:
@@ -139,6 +164,10 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Words whose runs are hashed at a time; longer texts are taken in parts that overlap.
+_RUN = 1 << 16
+
+
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     """64-bit hashes of the runs of k words, in order (polynomial over the words joined by a space).
 
@@ -146,6 +175,8 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     """
     if not words:
         return np.empty(0, dtype=np.uint64)
+    if len(words) > _RUN + k:
+        return np.concatenate([shingle_hashes(words[at : at + _RUN + k - 1], k) for at in range(0, len(words) - k + 1, _RUN)])
     data = np.frombuffer(b" ".join(words), dtype=np.uint8)
     if len(words) <= k:
         starts, ends = np.zeros(1, dtype=np.int64), np.array([len(data)])
@@ -177,3 +208,12 @@ def alnum_words(text: str) -> list[bytes]:
     """Lower-cased (A-Z) words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` as UTF-8."""
     return text.encode("utf-8", "surrogatepass").translate(_ALNUM).split()
 
+
+def alnum_parts(text: str, limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The lists that make up alnum_words(text), each of about `limit` bytes of text."""
+    data = text.encode("utf-8", "surrogatepass").translate(_ALNUM)
+    lo = 0
+    while len(data) - lo > limit and (at := data.find(b" ", lo + limit)) >= 0:
+        yield data[lo:at].split()
+        lo = at
+    yield data[lo:].split() if lo else data.split()

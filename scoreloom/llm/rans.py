@@ -119,36 +119,45 @@ def encode(ids: np.ndarray, table: Table, lanes: int = 1024, every: int = 256) -
 
 
 def decode(block: bytes, table: Table, part: int | None = None) -> np.ndarray:
-    """The ids of a block, or those between checkpoint `part` (0: the block's start) and the next one."""
+    """The ids of a block, or those between checkpoint `part` (0: the block's start) and the next one.
+
+    A whole block is decoded from all its checkpoints at once: each is a row of states that reads its own
+    stretch of the stream, so a block takes as many steps as one stretch has.
+    """
     data = _opened(block)
     magic, n, lanes, every, words, marks = _HEAD.unpack_from(data)
     if magic != b"RNS1":
         raise Damaged("not a block")
-    steps, at = -(-n // lanes), _HEAD.size
-    first, last, pos = 0, steps, 0
-    x = np.frombuffer(data, "<u8", lanes, at).astype(np.uint64)
-    at += 8 * lanes
+    if part is not None and not 0 <= part <= marks:
+        raise IndexError(part)
+    if not n:
+        return np.empty(0, np.uint32)
+    steps, at, size = -(-n // lanes), _HEAD.size, 8 + 8 * lanes
+    held = np.frombuffer(data, np.uint8, marks * size, at + 8 * lanes).reshape(marks, size)
+    x = np.concatenate([np.frombuffer(data, "<u8", lanes, at), np.ascontiguousarray(held[:, 8:]).view("<u8").ravel()]).astype(np.uint64).reshape(-1, lanes)
+    places = np.ascontiguousarray(held[:, :8]).view("<u4").astype(np.int64).reshape(-1, 2)
+    first, pos = np.concatenate([[0], places[:, 0]]), np.concatenate([[0], places[:, 1]])
+    count = np.diff(np.concatenate([first, [steps]]))  # all alike but for the last, which is no longer
     if part is not None:
-        if not 0 <= part <= marks:
-            raise IndexError(part)
-        if part:
-            first, pos = struct.unpack_from("<II", data, at + (part - 1) * (8 + 8 * lanes))
-            x = np.frombuffer(data, "<u8", lanes, at + (part - 1) * (8 + 8 * lanes) + 8).astype(np.uint64)
-        if part < marks:
-            last = struct.unpack_from("<I", data, at + part * (8 + 8 * lanes))[0]
-    at += marks * (8 + 8 * lanes)
-    stream = np.frombuffer(data, "<u4", words, at)
-    out = np.empty(min(n, last * lanes) - first * lanes, dtype=np.int32)
-    slots, freq, start, bits = table.slots() if n else None, table.freq, table.start, np.uint64(BITS)
-    for s in range(first, last):
-        m = min(lanes, n - s * lanes)
-        y = x[:m]
+        x, first, pos, count = (a[part : part + 1] for a in (x, first, pos, count))
+    stream = np.frombuffer(data, "<u4", words, at + 8 * lanes + marks * size)
+    slots, freq, start, bits = table.slots(), table.freq, table.start, np.uint64(BITS)
+    low_step, last = int(first[0]), steps * lanes - n
+    out = np.empty((int(count.sum()), lanes), dtype=np.int32)
+    for s in range(int(count[0])):
+        rows = len(count) if s < count[-1] else len(count) - 1
+        y = x[:rows]
         low = y & _MASK
         k = slots[low.astype(np.int64)]
-        out[(s - first) * lanes : (s - first) * lanes + m] = k
+        out[first[:rows] + (s - low_step)] = k
         y[:] = freq[k] * (y >> bits) + low - start[k]
-        dry = np.flatnonzero(y < _LOW)
-        if len(dry):
-            y[dry] = (y[dry] << np.uint64(32)) | stream[pos : pos + len(dry)]
-            pos += len(dry)
-    return table.symbols[out] if n else np.empty(0, np.uint32)
+        dry = y < _LOW
+        if last and first[rows - 1] + s == steps - 1:
+            dry[-1, lanes - last :] = False  # the last step has no ids in these lanes
+        where = np.flatnonzero(dry)
+        if len(where):
+            many = dry.sum(axis=1)
+            from_ = np.arange(len(where)) + np.repeat(pos[:rows] - np.cumsum(many) + many, many)
+            y.reshape(-1)[where] = (y.reshape(-1)[where] << np.uint64(32)) | stream[from_]
+            pos[:rows] += many
+    return table.symbols[out.ravel()[: n - low_step * lanes]]

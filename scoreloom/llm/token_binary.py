@@ -1,6 +1,6 @@
 """Token ids of a corpus as rANS-coded segments, in ascending order of documents.
 
-Layout: a Parquet dataset with one row per segment: `shard`, `seq` (order within the shard), `start`
+Layout: a Parquet dataset, its files in ascending order of doc_id, with one row per segment: `shard`, `seq` (order within the shard), `start`
 (ids of the shard before it), `n_tokens`, `table` (rans.Table), `blocks` (rans blocks sharing that
 table) and the index of its documents (`doc_ids`, `doc_tokens`). A segment holds whole documents; a
 task holds one segment at a time, so its memory is bounded by SEGMENT tokens or one document.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import rows_in, shard_bounds, shared_dir, width
+from .common import picked, shard_bounds, shared_dir, texts_in, width
 from .tokens import opened
 
 SEGMENT, BLOCK = 4 << 20, 1 << 20
@@ -26,23 +26,28 @@ _SEGMENTS = "shard int, seq int, start long, n_tokens long, table binary, blocks
 
 def encoded(docs: DataFrame, kind: str, path: str, end_id: int, shards: int) -> DataFrame:
     """shard, doc_id, n, ids (packed little-endian), by ranges of doc_id; end_id closes each document."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    rows = picked(docs, doc_id="long", text="string")
     cuts = np.asarray(shard_bounds(rows, shards), dtype=np.int64)
 
     def encode(batches):
         encoder = opened(kind, path)
-        end = encoder.packed([end_id])
-        for part, texts in rows_in(batches):
+        for part, texts in texts_in(batches):
             keys = part.column(0)
             known = np.asarray(keys.is_valid())
             shard = np.where(known, np.searchsorted(cuts, np.asarray(keys.fill_null(0)), side="right"), 0)
-            ids = [x + end for x in encoder.encode(texts)]
+            ids, ends = encoder.closed(texts, end_id)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int32()), keys, pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                [pa.array(shard, pa.int32()), keys, pa.array(np.diff(ends, prepend=0), pa.int64()), binaries(ids, ends)],
                 ["shard", "doc_id", "n", "ids"],
             )
 
-    return rows.mapInArrow(encode, "shard int, doc_id long, n long, ids binary").repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    return rows.mapInArrow(encode, "shard int, doc_id long, n long, ids binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
+
+
+def binaries(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of ids, which end at `ends`, as one binary value each, without a copy."""
+    offsets = (np.concatenate([[0], ends]) * ids.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
 
 
 def write(docs: DataFrame, path: str, to: str, kind: str = "word", end_id: int = 1, lanes: int = 1024, every: int = 256, segment: int = SEGMENT) -> None:
@@ -84,7 +89,8 @@ def write(docs: DataFrame, path: str, to: str, kind: str = "word", end_id: int =
 
 
 def read(spark: SparkSession, at: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document of the dataset, decoded in parallel by segments."""
+    """doc_id, start, n_tokens, ids_crc32 of each document of the dataset, decoded in parallel: segments by tasks, each
+    block from all its checkpoints at once."""
     segments = spark.read.schema(_SEGMENTS).parquet(at)
     # one number a shard: as many as the session's shuffle partitions
     totals = {r["shard"]: r["n"] for r in segments.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()}
