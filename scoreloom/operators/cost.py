@@ -15,11 +15,18 @@ AUDIO = ("audio", "sound", "music", "narration", "dialogue", "voice", "hum", "sf
 def metered(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """calls with `cost`: the reported one if sane, else tokens times price; null where neither is known.
 
-    calls: model, tokens_in, tokens_out, cost_usd; prices: slug, in_per_1m, out_per_1m.
+    calls: model, tokens_in, tokens_out, cost_usd and, if a call has a price of its own, own_in_per_1m and
+    own_out_per_1m (both, or the table's holds); prices: slug, in_per_1m, out_per_1m. Of a slug that the
+    table has twice the dearer price counts.
     """
-    out = calls.join(prices, F.col("model") == F.col("slug"), "left")
-    priced = (F.col("tokens_in") / 1e6) * F.col("in_per_1m") + (F.col("tokens_out") / 1e6) * F.col("out_per_1m")
-    return out.withColumn("cost", F.coalesce(sane_cost(F.col("cost_usd")), priced)).drop("slug", "in_per_1m", "out_per_1m")
+    table = prices.groupBy("slug").agg(F.max(F.struct("in_per_1m", "out_per_1m")).alias("listed"))
+    out = calls.join(table, F.col("model") == F.col("slug"), "left")
+    price = F.col("listed")
+    if {"own_in_per_1m", "own_out_per_1m"} <= set(calls.columns):
+        own = F.struct(F.col("own_in_per_1m").cast("double").alias("in_per_1m"), F.col("own_out_per_1m").cast("double").alias("out_per_1m"))
+        price = F.when(F.col("own_in_per_1m").isNotNull() & F.col("own_out_per_1m").isNotNull(), own).otherwise(price)
+    priced = (F.col("tokens_in") / 1e6) * price.in_per_1m + (F.col("tokens_out") / 1e6) * price.out_per_1m
+    return out.withColumn("cost", F.coalesce(sane_cost(F.col("cost_usd")), priced)).drop("slug", "listed")
 
 
 def nano(x):
@@ -28,9 +35,12 @@ def nano(x):
 
 
 def totals(metered_: DataFrame, cap: float, key: str = "task_id") -> DataFrame:
-    """Per task: calls, calls without any cost, total, and whether it is over the cap."""
+    """Per task: calls, calls without any cost, total, and whether it is over the cap.
+
+    A call whose cost isn't known could be over it, so it counts as a breach.
+    """
     out = metered_.groupBy(key).agg(F.count("*").alias("calls"), F.count_if(F.col("cost").isNull()).alias("unmetered"), F.coalesce(F.sum(nano(F.col("cost"))), F.lit(0)).alias("n"))
-    return out.select(key, "calls", "unmetered", (F.col("n") / F.lit(1e9)).alias("cost_usd_total"), (F.col("n") > F.lit(round(cap * 1e9))).alias("cost_cap_breached"))
+    return out.select(key, "calls", "unmetered", (F.col("n") / F.lit(1e9)).alias("cost_usd_total"), ((F.col("n") > F.lit(round(cap * 1e9))) | (F.col("unmetered") > 0)).alias("cost_cap_breached"))
 
 
 def new_entries(verdicts: DataFrame, log: DataFrame) -> DataFrame:
@@ -96,6 +106,13 @@ def guarded(verdict, criteria, defects):
     return F.when((verdict == "PASS") & hears(criteria) & ~F.coalesce(named, F.lit(False)), "REVISE").otherwise(verdict)
 
 
+def guarded_defects(verdict, criteria, defects):
+    """The defects, and one more (its words are fixed) if guarded() turned the verdict round."""
+    kept = F.coalesce(defects, F.array().cast("array<struct<criterion:string,problem:string>>"))
+    more = F.array(F.struct(F.lit("audio criteria present").alias("criterion"), F.lit("audio cannot be verified from frames \u2014 human ears required").alias("problem")))
+    return F.when((verdict == "PASS") & (guarded(verdict, criteria, defects) == "REVISE"), F.concat(kept, more)).otherwise(kept)
+
+
 def defect_text(defects):
     """'criterion: problem' joined by '; '."""
     return F.array_join(F.transform(defects, lambda d: F.concat(d.criterion, F.lit(": "), d.problem)), "; ")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 RANKS = {"critical": 0, "major": 1, "minor": 2}
 KEY = ("task_id", "issue_key", "file", "line")
-_FINDINGS = "array<struct<severity:string,issue:string,file:string,line:string,stance:string>>"
+_FIELDS = {"severity": "string", "issue": "string", "file": "string", "line": "int", "stance": "string"}
 
 
 def rank(severity):
@@ -24,18 +24,70 @@ def survivors(entries: DataFrame) -> DataFrame:
     return kept.withColumn("label", F.char(F.lit(64) + place)).drop("slug")
 
 
+#: Fixed words of a lost expert, and of a panel that could not form.
+NO_OUTPUT = "no usable output"
+NO_PANEL = "Panel could not form: fewer than 2 experts returned usable output."
+TOO_FEW = "Fewer than two experts survived; a single opinion is not a panel."
+
+
 def enough(entries: DataFrame, least: int = 2) -> DataFrame:
-    """Per task: survivors, dropped slugs, whether there are enough, and whether all survivors answered in prose."""
-    lost = F.array_sort(F.collect_list(F.when(F.col("payload").isNull(), F.struct("idx", "slug"))))
-    out = entries.groupBy("task_id").agg(F.count("payload").alias("survivors"), F.transform(lost, lambda x: x.slug).alias("dropped"), F.count_if(F.col("payload").isNotNull() & (F.col("note") != "prose")).alias("structured"))
-    return out.withColumn("enough", F.col("survivors") >= least).withColumn("blind_spots", F.transform("dropped", lambda s: F.concat(F.lit("dropped expert: "), s)))
+    """Per task: survivors, dropped slugs, blind spots, whether there are enough, and how many answered in more than prose.
+
+    An entry may have an `error`, which is then the reason why it was dropped.
+    """
+    why = F.coalesce("error", F.lit(NO_OUTPUT)) if "error" in entries.columns else F.lit(NO_OUTPUT)
+    lost = F.array_sort(F.collect_list(F.when(F.col("payload").isNull(), F.struct("idx", "slug", why.alias("why")))))
+    out = entries.groupBy("task_id").agg(F.count("payload").alias("survivors"), lost.alias("lost"), F.count_if(F.col("payload").isNotNull() & (F.col("note") != "prose")).alias("structured"))
+    spots = F.transform("lost", lambda x: F.concat(F.lit("dropped expert: "), x.slug, F.lit(" \u2014 "), x.why))
+    return out.select("task_id", "survivors", F.transform("lost", lambda x: x.slug).alias("dropped"), "structured", (F.col("survivors") >= least).alias("enough"), spots.alias("blind_spots"))
+
+
+def with_listed(state: DataFrame, listed: DataFrame) -> DataFrame:
+    """state (of enough()) whose blind spots begin with those that the synthesizer lists: listed (task_id, spots)."""
+    own = listed.groupBy("task_id").agg(F.flatten(F.collect_list("spots")).alias("spots"))
+    return state.join(own, "task_id", "left").withColumn("blind_spots", F.concat(F.coalesce("spots", F.array().cast("array<string>")), "blind_spots")).drop("spots")
+
+
+def failures(entries: DataFrame, role: str = "reviewer") -> DataFrame:
+    """One row for each task without enough survivors: the opinions there are, or a stand-in, and the verdict REVISE.
+
+    entries as opinions.read() gives them, with tokens_in, tokens_out and cost_usd.
+    """
+    zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)
+    opinion = F.struct("idx", F.col("slug").alias("model"), F.lit(role).alias("role"), "summary", "recommendation", "confidence", zero("tokens_in", "bigint"), zero("tokens_out", "bigint"), zero("cost_usd", "double"))
+    held = entries.groupBy("task_id").agg(F.array_sort(F.collect_list(F.when(F.col("payload").isNotNull(), opinion))).alias("held"))
+    empty = F.struct(F.lit(0).alias("idx"), F.lit("panel/none").alias("model"), F.lit(role).alias("role"), F.lit(NO_PANEL).alias("summary"), F.lit("").alias("recommendation"), F.lit(0.0).alias("confidence"), F.lit(0).cast("bigint").alias("tokens_in"), F.lit(0).cast("bigint").alias("tokens_out"), F.lit(0.0).alias("cost_usd"))
+    given = F.transform(F.when(F.size("held") > 0, F.col("held")).otherwise(F.array(empty)), lambda o: o.dropFields("idx"))
+    out = enough(entries).filter("not enough").join(held, "task_id")
+    return out.select("task_id", "survivors", given.alias("opinions"), "blind_spots", F.lit(TOO_FEW).alias("rationale"), F.lit("REVISE").alias("verdict"))
+
+
+def dispatched(entries: DataFrame, seed: int) -> DataFrame:
+    """entries with `turn`: the seeded order in which they are asked; answers are still collected by idx."""
+    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), "task_id", "slug"))
+    return entries.withColumn("turn", F.row_number().over(Window.partitionBy("task_id").orderBy(mixed, "idx")))
+
+
+def parsed(payload):
+    """The payload as a variant, or null if it is no JSON object."""
+    value = F.try_parse_json(payload)
+    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+
+
+def readable(entries: DataFrame) -> DataFrame:
+    """entries whose payload that can't be read counts as a lost answer: it must not pass as one without findings."""
+    return entries.withColumn("payload", F.when(parsed(F.col("payload")).isNotNull(), F.col("payload")))
 
 
 def exploded(entries: DataFrame) -> DataFrame:
-    """One row for each finding of a readable answer. A `findings` field that is no list counts as none."""
-    listed = F.from_json(F.get_json_object("payload", "$.findings"), _FINDINGS)
-    out = entries.filter("payload is not null").select("task_id", "idx", "slug", F.posexplode(listed).alias("pos", "f"))
-    return out.select("task_id", (F.col("idx") * 100_000 + F.col("pos")).alias("ord"), "slug", "f.*")
+    """One row for each finding of a readable answer.
+
+    A `findings` field that is no list counts as none; members that are no objects are left out, each by itself.
+    """
+    listed = F.try_variant_get(parsed(F.col("payload")), "$.findings", "array<variant>")
+    out = entries.filter("payload is not null").select("task_id", "idx", "slug", F.posexplode(listed).alias("pos", "f")).filter(F.schema_of_variant("f").startswith("OBJECT"))
+    fields = [F.try_variant_get("f", f"$.{name}", kind).cast("string").alias(name) for name, kind in _FIELDS.items()]
+    return out.select("task_id", (F.col("idx") * 100_000 + F.col("pos")).alias("ord"), "slug", *fields)
 
 
 def union(findings: DataFrame) -> DataFrame:
@@ -80,6 +132,7 @@ def verdicts(found: DataFrame) -> DataFrame:
 
 def review(entries: DataFrame, rulings: DataFrame) -> DataFrame:
     """The verdict of each task: too few survivors, or prose alone without findings, is REVISE."""
+    entries = readable(entries)
     state = enough(entries)
     found = verdicts(ruled(union(exploded(entries)), rulings)).withColumnRenamed("verdict", "derived")
     out = state.join(found, "task_id", "left")
@@ -97,5 +150,6 @@ def exit_code(verdict, breached):
 
 
 def diagnostics(entries: DataFrame, cap: int = 4000) -> DataFrame:
+    """entries with what became of each answer: survived, how it was recovered, the first `cap` characters, whether that is all."""
     text = F.coalesce("content", F.lit(""))
-    return entries.withColumns({"survived": F.col("payload").isNotNull(), "preview": F.substring(text, 1, cap), "truncated": F.length(text) > cap})
+    return entries.withColumns({"survived": F.col("payload").isNotNull(), "recovered_via": F.col("note"), "preview": F.substring(text, 1, cap), "truncated": F.length(text) > cap})

@@ -19,10 +19,15 @@ def parser_gate(snapshot: DataFrame, least_games: int = 40, least_money: float =
     return out.withColumn("passed", (F.col("games") >= least_games) & (F.col("incomplete") == 0) & (F.col("money") > least_money))
 
 
-def diff_gate(today: DataFrame, prior: DataFrame, move: float = 0.2, share: float = 0.30) -> DataFrame:
-    """One row: games with a ratio on both days, those that moved by more than `move`, and whether their share is small."""
+def diff_gate(today: DataFrame, prior: DataFrame, move: float = 0.2, share: float = 0.30, order: str | None = None) -> DataFrame:
+    """One row: games with a ratio on both days, those that moved by more than `move`, and whether their share is small.
+
+    Of a game that the prior day has several times the last row by `order` counts (without one: the greatest
+    ratio); if that row has no ratio, the game isn't compared.
+    """
     a = today.filter("ev_ratio is not null").select("game_no", "ev_ratio")
-    b = prior.filter("ev_ratio is not null").select("game_no", F.col("ev_ratio").alias("before"))
+    last = F.max_by(F.struct("ev_ratio"), order)["ev_ratio"] if order else F.max("ev_ratio")
+    b = prior.groupBy("game_no").agg(last.alias("before")).filter("before is not null")
     out = a.join(b, "game_no").agg(F.count("*").alias("compared"), F.count_if(F.abs(F.col("ev_ratio") - F.col("before")) > move).alias("moved"))
     return out.withColumn("passed", F.coalesce(F.try_divide(F.col("moved"), F.col("compared")) <= share, F.lit(True)))
 

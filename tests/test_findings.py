@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import num
 from scoreloom.functions import text as T
-from scoreloom.operators import config, cost, findings
+from scoreloom.operators import config, cost, findings, gates, opinions
 
 FIND = "task_id string, ord bigint, slug string, issue string, severity string, file string, line string, stance string"
 RULE = "task_id string, ord bigint, id string, ruling string"
@@ -38,15 +38,55 @@ def test_union_order_lines_and_stances(spark):
     assert [(r.id, r.issue, r.line, r.disputed) for r in got] == [("F1", "a", 0, False), ("F2", "b", 3, False), ("F3", "d", 0, True)]
 
 
-def test_opinions():
-    body = {"analysis": " fine ", "findings": 1}
-    assert T.opinion(json.dumps(body))[0]["summary"] == "fine"
-    assert T.opinion("```json\n{\"summary\": \"s\"}\n```")[1] == "fenced-json"
-    assert T.opinion('So: {"summary": "a } b", "x": "\\"}"} and {')[1] == "embedded-json"
-    assert T.opinion(json.dumps({"findings": [{"issue": "a"}, "b", {"title": "c"}, {"issue": "d"}]}))[0]["summary"] == "4 finding(s): a; b; c (+1 more)"
-    assert T.opinion("x" * 40)[1] == "prose" and T.opinion("no")[1] == "noise" and T.opinion("  ")[1] == "empty" and T.opinion(None)[1] == "empty"
-    assert T.opinion("[1, 2]") == (None, "noise") and T.opinion("{}") == (None, "noise")
-    assert len(T.opinion("y" * 5000)[0]["summary"]) == 1200
+def test_opinions(spark):
+    want = {
+        json.dumps({"analysis": " fine ", "findings": 1}): ("json", "fine", ""),
+        "```json\n{\"summary\": \"s\"}\n```": ("fenced-json", "s", ""),
+        'So: {"summary": "a } b", "x": "\\"}"} and {': ("embedded-json", "a } b", ""),
+        'Bad ```[1]``` good ```{"decision": " go "}```': ("fenced-json", "go", "go"),
+        json.dumps({"findings": [{"issue": "a"}, "b", {"title": "c"}, 7, None, {"issue": "d"}]}): ("json", "4 finding(s): a; b; c (+1 more)", ""),
+        json.dumps({"findings": [{"severity": "major"}], "advice": 5}): ("json", "(structured findings only; no summary field returned)", ""),
+        '{"summary": "x", "summary": "last", "confidence": NaN}': ("json", "last", ""),
+        "x" * 40: ("prose", "x" * 40, ""),
+        "y" * 5000: ("prose", "y" * 1200, ""),
+        "no": ("noise", None, None),
+        "[1, 2]": ("noise", None, None),
+        "{}": ("noise", None, None),
+        '{"summary": 3}': ("noise", None, None),
+        "  ": ("empty", None, None),
+        None: ("empty", None, None),
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(want)], "k int, content string")
+    got = {r.k: r for r in opinions.read(df).collect()}
+    for k, (note, summary, advice) in enumerate(want.values()):
+        assert (got[k].note, got[k].summary, got[k].recommendation) == (note, summary, advice), k
+        assert (got[k].payload is None) == (note in ("noise", "empty"))
+    rows = [("t", 0, "m", json.dumps({"summary": "s", "confidence": 3, "plan": "p"}), None, 2, None), ("t", 1, "m", "", 1, 1, 0.5)]
+    made = spark.createDataFrame(rows, "task_id string, idx int, slug string, content string, tokens_in long, tokens_out long, cost_usd double")
+    assert [tuple(r) for r in opinions.projected(opinions.read(made)).collect()] == [("t", 0, "m", "s", "", "p", 1.0, 0, 2, 0.0)]
+
+
+def test_odd_members_lose_no_finding(spark):
+    critical = {"severity": "critical", "issue": "rce", "line": 3.7}
+    payloads = [json.dumps({"findings": ["just text", critical, 7, None, [1], {"severity": 5}]}), '{"findings": {"severity": "critical"}}', '{"findings": [', "[1]"]
+    entries = spark.createDataFrame([("t", k, f"m{k}", p, "json") for k, p in enumerate(payloads)], "task_id string, idx int, slug string, payload string, note string")
+    rows = [r for r in findings.exploded(entries).collect() if r.severity == "critical"]
+    assert [(r.slug, r.issue, r.line) for r in rows] == [("m0", "rce", "3")]
+    got = findings.review(entries, spark.createDataFrame([], RULE)).collect()[0]
+    assert (got.verdict, got.survivors, got.dropped) == ("FAIL", 2, ["m2", "m3"])
+
+
+def test_unknown_costs_breach(spark):
+    calls = spark.createDataFrame([("a", "m", 1e6, 1e6, None, None, None), ("b", "none", 1e6, 1e6, None, None, None), ("c", "none", 1e6, 1e6, None, 0.1, 0.2), ("d", "m", 1e6, 1e6, -1.0, 0.1, None)], "task_id string, model string, tokens_in double, tokens_out double, cost_usd double, own_in_per_1m double, own_out_per_1m double")
+    prices = spark.createDataFrame([("m", 0.3, 0.4), ("m", 0.1, 9.0)], "slug string, in_per_1m double, out_per_1m double")
+    got = {r.task_id: (r.calls, r.unmetered, round(r.cost_usd_total, 6), r.cost_cap_breached) for r in cost.totals(cost.metered(calls, prices), 1.0).collect()}
+    assert got == {"a": (1, 0, 0.7, False), "b": (1, 1, 0.0, True), "c": (1, 0, 0.3, False), "d": (1, 0, 0.7, False)}
+
+
+def test_the_last_prior_row_counts(spark):
+    today = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 1.0)], "game_no int, ev_ratio double")
+    prior = spark.createDataFrame([(1, 9.0, 0), (1, 1.1, 1), (2, 1.0, 0), (2, None, 1), (3, 5.0, 0)], "game_no int, ev_ratio double, place int")
+    assert tuple(gates.diff_gate(today, prior, order="place").collect()[0]) == (2, 1, False)
 
 
 def test_reviews(spark):
@@ -55,10 +95,11 @@ def test_reviews(spark):
     prose = "This reads well enough to me, nothing else to add."
     answers = {"two": [good, clean], "one": [good, "?"], "prose": [prose, prose], "mixed": [clean, prose], "none": ["", None], "odd": [odd, odd]}
     rows = [(t, k, f"m{k}", a) for t, own in answers.items() for k, a in enumerate(own)]
-    entries = spark.createDataFrame(rows, "task_id string, idx int, slug string, content string").withColumn("r", T.read_opinion("content")).select("*", "r.payload", "r.note")
+    entries = spark.createDataFrame(rows, "task_id string, idx int, slug string, content string")
+    entries = opinions.read(entries)
     got = {r.task_id: r for r in findings.review(entries, spark.createDataFrame([], RULE)).collect()}
     assert {t: r.verdict for t, r in got.items()} == {"two": "REVISE", "one": "REVISE", "prose": "REVISE", "mixed": "PASS", "none": "REVISE", "odd": "PASS"}
-    assert got["one"].dropped == ["m1"] and got["one"].blind_spots == ["dropped expert: m1"]
+    assert got["one"].dropped == ["m1"] and got["one"].blind_spots == ["dropped expert: m1 — no usable output"]
     assert [r.label for r in findings.survivors(entries).filter("task_id = 'two'").orderBy("idx").collect()] == ["A", "B"]
     d = findings.diagnostics(entries.withColumn("content", F.repeat(F.lit("z"), 5000))).first()
     assert len(d.preview) == 4000 and d.truncated
