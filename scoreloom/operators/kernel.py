@@ -8,9 +8,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
 from ..shipping import ship
 
-BINS = ((0, 10), (10, 30), (30, 60), (60, 400))
+#: Fixed lag bins in days; (45, 90] and (90, 150] are the study's own, the outer ones hold the rest.
+BINS = ((0, 45), (45, 90), (90, 150), (150, 400))
+#: Stretches of the values that ranks are counted in.
+STRETCHES = 256
 #: Repetitions of the permutation test that a task counts.
 SHARE = 25
 
@@ -20,13 +24,21 @@ def demeaned(windows: DataFrame) -> DataFrame:
     return windows.filter("u_start > 0").withColumns({"s": F.col("s") - F.avg("s").over(w), "d": F.col("d") - F.avg("d").over(w)})
 
 
-def pairs(windows: DataFrame) -> DataFrame:
-    """All ordered disjoint pairs of a game's windows: A ends before B starts."""
+def pairs(windows: DataFrame, most: float | None = None) -> DataFrame:
+    """All ordered disjoint pairs of a game's windows: A ends before B starts; with `most` only lags up to it.
+
+    With `most`, windows meet in stretches of that many days, so a long lifecycle isn't joined with itself as a whole.
+    """
     mid = lambda a, b: F.unix_date(a) + F.date_diff(b, a) / 2
     base = windows.withColumn("mid", mid("w_start", "w_end"))
     a = base.select("game_key", F.col("w_start").alias("a_start"), F.col("w_end").alias("a_end"), F.col("s"), F.col("mid").alias("a_mid"), "u_max")
     b = base.select("game_key", F.col("w_start").alias("b_start"), F.col("d"), F.col("mid").alias("b_mid"))
-    return a.join(b, "game_key").filter("b_start >= a_end").withColumn("lag", F.col("b_mid") - F.col("a_mid"))
+    keys = ["game_key"]
+    if most is not None:
+        at = lambda c: F.floor(F.col(c) / most)
+        a, b, keys = a.withColumn("stretch", F.explode(F.array(at("a_mid"), at("a_mid") + 1))), b.withColumn("stretch", at("b_mid")), ["game_key", "stretch"]
+    out = a.join(b, keys).filter("b_start >= a_end").withColumn("lag", F.col("b_mid") - F.col("a_mid"))
+    return out if most is None else out.filter(F.col("lag") <= most).drop("stretch")
 
 
 def binned(pairs_: DataFrame, bins=BINS) -> DataFrame:
@@ -36,21 +48,39 @@ def binned(pairs_: DataFrame, bins=BINS) -> DataFrame:
     return pairs_.withColumn("bin", out).filter("bin is not null")
 
 
-def average_rank(column: str, keys: list[str]):
-    """Rank with ties at their mean; the count of equal values comes from an aggregate window."""
-    w = Window.partitionBy(*keys).orderBy(column)
-    return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*keys, column)) - 1) / 2
+def ranked(rows: DataFrame, column: str, keys: list[str], name: str) -> DataFrame:
+    """rows with `name`: the rank of `column` within keys, ties at their mean.
+
+    Equal values are counted first. The distinct ones are dealt in stretches between quantiles, whose totals
+    give the ranks before each, so no key's values are sorted in one task.
+    """
+    steps = [k / STRETCHES for k in range(1, STRETCHES)]
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(column, steps).alias("cuts"))
+    counts = rows.groupBy(*keys, column).agg(F.count("*").alias("n")).join(cuts, keys)
+    counts = counts.withColumn("stretch", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c < F.col(column)))).drop("cuts")
+    totals = counts.groupBy(*keys, "stretch").agg(F.sum("n").alias("total"))
+    before = F.coalesce(F.sum("total").over(Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = Window.partitionBy(*keys, "stretch").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.join(totals.select(*keys, "stretch", before.alias("before")), [*keys, "stretch"])
+    rank = F.col("before") + F.sum("n").over(within) - (F.col("n") - 1) / 2
+    ranks = placed.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col(column).alias("of_value"), rank.alias(name))
+    same = F.col(column).eqNullSafe(F.col("of_value"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"of_{k}"))
+    return rows.join(ranks, same).drop(*[f"of_{k}" for k in keys], "of_value")
 
 
 def spearman(binned_: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or ["bin"]
-    ranked = binned_.withColumns({"rs": average_rank("s", keys), "rd": average_rank("d", keys)})
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.corr("rs", "rd").alias("rho"))
+    rows = cut(binned_.select(*keys, "s", "d"))  # it is read for the quantiles, the counts and the ranks
+    both = ranked(ranked(rows, "s", keys, "rs"), "d", keys, "rd")
+    return both.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.corr("rs", "rd").alias("rho"))
 
 
 def weighted_slope(binned_: DataFrame) -> DataFrame:
     """Slope of d on s, weighted by the game's greatest unclaimed money, capped at its 90th percentile."""
-    cap = binned_.groupBy("bin").agg(F.percentile("u_max", F.lit(0.9)).alias("cap"))
+    games = binned_.groupBy("bin", "u_max").agg(F.count("*").alias("n"))
+    cap = games.groupBy("bin").agg(F.percentile("u_max", F.lit(0.9), F.col("n")).alias("cap"))
     out = binned_.join(cap, "bin").withColumn("w", F.least("u_max", "cap"))
     w, s, d = F.col("w"), F.col("s"), F.col("d")
     sums = out.groupBy("bin").agg(F.sum(w).alias("sw"), F.sum(w * s).alias("ws"), F.sum(w * d).alias("wd"), F.sum(w * s * d).alias("wsd"), F.sum(w * s * s).alias("wss"))
@@ -69,7 +99,7 @@ def permutation(windows: DataFrame, reps: int = 1000, least: int = 30, bins=BINS
     w = Window.partitionBy("game_key")
     own = windows.withColumns({"k": F.row_number().over(w.orderBy("w_start")) - 1, "n": F.count("*").over(w)})
     place = own.select("game_key", F.col("w_start").alias("b_start"), "k")
-    real = binned(pairs(windows), bins).join(place, ["game_key", "b_start"])
+    real = binned(pairs(windows, bins[-1][1]), bins).join(place, ["game_key", "b_start"])
     rho = spearman(real).filter(F.col("n_pairs") >= least)
     low = lambda c: F.coalesce(c, F.lit(float("-inf")))  # noqa: E731  nulls rank first
     values = own.groupBy("game_key").agg(F.first("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("k", low(F.col("d")).alias("d")))), lambda x: x.d).alias("d"))

@@ -49,15 +49,23 @@ def with_lifecycle(panel: DataFrame) -> DataFrame:
 
 
 def windows(panel: DataFrame) -> DataFrame:
-    """Consecutive observations of a game: start, end, days, sales and claims rates."""
+    """Consecutive observations of a game: start, end, days, sales and claims rates.
+
+    If the panel has top_remaining, also the top tier's rate: its decrement by days and the game's greatest count.
+    """
     w = Window.partitionBy("game_key").orderBy("obs_date")
+    whole = Window.partitionBy("game_key")
     nxt = lambda c: F.lead(c).over(w)
-    out = panel.withColumns({"w_end": nxt("obs_date"), "pu_end": nxt("percent_unsold"), "u_end": nxt("total_unclaimed"), "u_max": F.max("total_unclaimed").over(Window.partitionBy("game_key"))})
+    top = "top_remaining" in panel.columns
+    more = {"r_end": nxt("top_remaining"), "r_max": F.max("top_remaining").over(whole)} if top else {}
+    out = panel.withColumns({"w_end": nxt("obs_date"), "pu_end": nxt("percent_unsold"), "u_end": nxt("total_unclaimed"), "u_max": F.max("total_unclaimed").over(whole)} | more)
     out = out.filter("w_end is not null").withColumn("dt", F.date_diff("w_end", "obs_date"))
+    rate = F.try_divide(F.col("top_remaining") - F.col("r_end"), F.col("dt") * F.col("r_max")).alias("d_top") if top else None
     return out.select(
         "game_key", F.col("obs_date").alias("w_start"), "w_end", "dt", "u_max", F.col("total_unclaimed").alias("u_start"),
         F.try_divide(F.col("percent_unsold") - F.col("pu_end"), F.col("dt")).alias("s"),
         F.try_divide(F.col("total_unclaimed") - F.col("u_end"), F.col("dt") * F.col("u_max")).alias("d"),
+        *(["r_max", rate] if top else []),
     )
 
 

@@ -105,7 +105,8 @@ def test_permutation_against_brute_force(spark, reps):
     for game in range(25):
         for day in sorted(g.sample(range(1, 29), g.randint(1, 6))):
             rows.append((f"g{game}", f"2026-01-{day:02d}", "t", "u", float(g.randint(0, 9)), float(g.randint(1, 6))))
-    w = kernel.demeaned(panel.windows(spark.createDataFrame(rows, ROWS).withColumn("obs_date", F.to_date("obs_date")))).localCheckpoint()
+    w = kernel.demeaned(panel.windows(spark.createDataFrame(rows, ROWS).withColumn("obs_date", F.to_date("obs_date"))))
+    w = spark.createDataFrame(w.collect(), w.schema)
     got = {r.bin: r for r in kernel.permutation(w, reps=reps, least=5, bins=bins).collect()}
     own = {}
     for r in sorted(w.collect(), key=lambda r: r.w_start):
