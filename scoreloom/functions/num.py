@@ -45,3 +45,15 @@ def backoff(attempts: int = 4, base: float = 0.5, most: float = 8.0, total: floa
             break
         waits.append(wait)
     return waits
+
+
+def jittered(draws: Column, base: float = 0.5, most: float = 8.0, total: float = 20.0) -> Column:
+    """The waits before each retry for an array of draws from [0, 1), as far as their sum stays within `total`."""
+    waits = F.transform(draws, lambda u, k: F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), k)) * (F.lit(0.5) + F.lit(0.5) * u))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(True).alias("on"), F.array().cast("array<double>").alias("waits"))
+
+    def add(held, wait):
+        on = held.on & (held.sum + wait <= total)
+        return F.struct(F.when(on, held.sum + wait).otherwise(held.sum).alias("sum"), on.alias("on"), F.when(on, F.concat(held.waits, F.array(wait))).otherwise(held.waits).alias("waits"))
+
+    return F.aggregate(waits, start, add, lambda held: held.waits)

@@ -85,9 +85,10 @@ def with_scenarios(games: DataFrame, limits: Limits = LIMITS) -> DataFrame:
 
 
 def skeleton(snapshot: DataFrame) -> DataFrame:
-    """The first-milestone shape: everything that needs metadata is null."""
+    """The first-milestone shape: everything that needs metadata is null, no game is dead or flagged, none trusted."""
     nulls = {"print_run": "bigint", "remaining_tickets": "bigint", "ev_per_ticket": "double", "ev_ratio": "double", "ev_ratio_adjusted": "double"}
-    return snapshot.withColumns({k: F.lit(None).cast(t) for k, t in nulls.items()})
+    fixed = {"dead_game": F.lit(False), "flags": F.array().cast("array<string>"), "confidence": F.lit("low")}
+    return snapshot.withColumns({k: F.lit(None).cast(t) for k, t in nulls.items()} | fixed)
 
 
 def tier_multiple(games: DataFrame) -> DataFrame:

@@ -45,3 +45,8 @@ def layered(keys: DataFrame, file: DataFrame, env: DataFrame) -> DataFrame:
     """key, value: the environment (unless empty), else the file, else the default."""
     out = keys.select("key", F.col("value").alias("d")).join(file.select("key", F.col("value").alias("f")), "key", "left").join(env.select("key", F.col("value").alias("e")), "key", "left")
     return out.select("key", F.coalesce(F.nullif("e", F.lit("")), "f", "d").alias("value"))
+
+
+def common(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows that both have, once each; nulls equal nulls."""
+    return a.intersect(b)

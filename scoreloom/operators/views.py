@@ -19,12 +19,27 @@ def ranked(games: DataFrame, scope: str | None = None, day: str = "as_of") -> Da
     return games.filter(bucket() == "eligible").withColumn("rank", F.row_number().over(order))
 
 
+#: Parts that a day's games are ranked in first.
+PARTS = 64
+
+
+def best(games: DataFrame, last: int, scope: str | None = None, day: str = "as_of") -> DataFrame:
+    """The `last` best eligible games of a day (and scope) with their rank.
+
+    Each part of a day gives its own best ones, and only these are ranked together, so no day is sorted in one task.
+    """
+    order = Window.partitionBy(*[day, scope] if scope else [day], "part").orderBy(F.desc("value_score"), F.asc("game_no"))
+    parts = games.filter(bucket() == "eligible").withColumn("part", F.pmod(F.xxhash64("game_no"), F.lit(PARTS)))
+    first = parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= last).drop("part", "rank")
+    return ranked(first, scope, day).filter(F.col("rank") <= last)
+
+
 def hero(games: DataFrame, scope: str | None = None) -> DataFrame:
-    return ranked(games, scope).filter("rank = 1")
+    return best(games, 1, scope)
 
 
 def shortlist(games: DataFrame, scope: str | None = None, last: int = 10) -> DataFrame:
-    return ranked(games, scope).filter((F.col("rank") >= 2) & (F.col("rank") <= last))
+    return best(games, last, scope).filter("rank >= 2")
 
 
 def stale(as_of, now, hours: int = 48):

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import num
 from ..functions import text as T
-from ..operators import config, cost, ev, findings, gates, kernel, meta, panel, score, views
+from ..operators import config, cost, ev, findings, gates, kernel, meta, opinions, panel, score, views
 from ..schemas import LATEST_RULES
+from ..shared import shared_dir
+from ..sources import files, html
+from ..streaming import history
 from . import mappings as M
 
 QUERIES: dict = {}
@@ -87,9 +90,9 @@ _from_games("ev_top_odds", "odds_now AS top_prize_odds_now, odds AS overall_odds
 _from_games("ev_dead", "dead AS dead_game, tpv AS top_prize_value", lambda: ["dead_game", "top_prize_value"])
 
 
-@_query(f"{_EV} SELECT game_no, price, NULL::BIGINT AS print_run, NULL::DOUBLE AS ev_ratio FROM latest")
+@_query(f"{_EV} SELECT game_no, price, NULL::BIGINT AS print_run, NULL::DOUBLE AS ev_ratio, false AS dead_game, '' AS flags, 'low' AS confidence FROM latest")
 def ev_skeleton(spark, sf_dir):
-    return ev.skeleton(M.inventory(spark, sf_dir)[0]).select("game_no", "price", "print_run", "ev_ratio")
+    return ev.skeleton(M.inventory(spark, sf_dir)[0]).select("game_no", "price", "print_run", "ev_ratio", "dead_game", _flags(), "confidence")
 
 
 @_query(f"{_EV} SELECT game_no, idx AS value_index, score AS value_score FROM latest")
@@ -107,6 +110,15 @@ def score_reason(spark, sf_dir):
     return score.with_scores(M.games(spark, sf_dir)).select("game_no", "reason")
 
 
+_TEXTS = "CASE reason " + " ".join("WHEN '{}' THEN '{}'".format(code, words.replace("'", "''")) for code, words in score.REASONS.items()) + " END"
+
+
+@_query(f"{_EV} SELECT game_no, {_TEXTS} AS reason FROM latest")
+def score_reason_text(spark, sf_dir):
+    """The published words of each game's reason."""
+    return score.with_scores(M.games(spark, sf_dir)).select("game_no", score.reason_text(F.col("reason")).alias("reason"))
+
+
 @_query(f"{_EV}, one AS (SELECT min(game_no) m FROM latest WHERE rated) SELECT game_no, 68 AS value_score, 'B' AS grade FROM latest, one WHERE game_no = m")
 def score_degenerate(spark, sf_dir):
     """A day with one rateable game: the curve's middle."""
@@ -211,11 +223,58 @@ def gate_coverage(spark, sf_dir):
     return meta.coverage(M.games(spark, sf_dir).withColumn("is_active", F.lit(True)))
 
 
-@_query("SELECT rule, 0::BIGINT AS violations FROM (VALUES ('required'), ('confidence'), ('grade'), ('flags'), ('scenarios'), ('reason'), ('rated'), ('intervals')) v(rule)")
+@_query("SELECT rule, 0::BIGINT AS violations FROM (VALUES ('required'), ('confidence'), ('grade'), ('flags'), ('scenarios'), ('reason'), ('rated'), ('intervals'), ('monotone')) v(rule)")
 def gate_invariants(spark, sf_dir):
     return gates.violations(M.latest(spark, sf_dir), LATEST_RULES)
 
 
+_BROKEN = """SELECT rule, n AS violations FROM (SELECT count(*) FILTER (WHERE game_no % 17 = 1) required, count(*) FILTER (WHERE game_no % 17 = 2) confidence, count(*) FILTER (WHERE game_no % 17 = 3 AND rated) grade,
+  count(*) FILTER (WHERE game_no % 17 = 4) flags, count(*) FILTER (WHERE game_no % 17 = 5 AND ev IS NOT NULL) scenarios, count(*) FILTER (WHERE game_no % 17 = 6) reason, count(*) FILTER (WHERE game_no % 17 = 7 AND rated) rated,
+  count(*) FILTER (WHERE game_no % 17 = 8 AND ev IS NOT NULL) intervals, count(*) FILTER (WHERE game_no % 17 = 9 AND ev IS NOT NULL) monotone FROM latest) UNPIVOT (n FOR rule IN (required, confidence, grade, flags, scenarios, reason, rated, intervals, monotone))"""
+
+
+@_query(f"{_EV} {_BROKEN}")
+def gate_broken(spark, sf_dir):
+    """Rows that break each rule in turn, so that every rule is seen to fail."""
+    rows = M.latest(spark, sf_dir)
+    on = lambda k, new, old: F.when(F.col("game_no") % 17 == k, new).otherwise(F.col(old))
+    known = F.col("ev_ratio").isNotNull()
+    broken = {
+        "name": on(1, F.lit(None).cast("string"), "name"),
+        "confidence": on(2, F.lit("odd"), "confidence"),
+        "grade": on(3, F.when(F.col("rated"), "Z").otherwise(F.col("grade")), "grade"),
+        "flags": on(4, F.array(F.lit("zz")), "flags"),
+        "ev_scenarios": F.when(F.col("game_no") % 17 == 9, F.reverse("ev_scenarios")).otherwise(on(5, F.slice("ev_scenarios", 1, 2), "ev_scenarios")),
+        "reason": on(6, F.lit(""), "reason"),
+        "value_score": on(7, F.lit(None).cast("int"), "value_score"),
+        "remaining_tickets_min": on(8, F.when(known, F.col("remaining_tickets_max") + 1), "remaining_tickets_min"),
+    }
+    return gates.violations(rows.withColumns(broken), LATEST_RULES)
+
+
+@_query(f"{_EV} SELECT count(*) AS games, count(*) FILTER (WHERE game_no % 9 = 0) AS incomplete, sum(CASE WHEN game_no % 18 <> 0 THEN tu::DECIMAL(18,2) END)::DOUBLE AS money, false AS passed FROM latest")
+def gate_parser_gaps(spark, sf_dir):
+    """Games without a price or without their money: the gate holds the day back."""
+    gap = F.col("game_no") % 9 == 0
+    rows = M.inventory(spark, sf_dir)[0].withColumns({"price": F.when(~gap, F.col("price")), "total_unclaimed": F.when(F.col("game_no") % 18 != 0, F.col("total_unclaimed"))})
+    return gates.parser_gate(rows)
+
+
+@_query(f"WITH{_ev()},{_ev(M.YESTERDAY, '_y')}, j AS (SELECT a.ev - b.ev AS delta FROM latest a JOIN latest_y b USING (game_no) WHERE a.ev IS NOT NULL AND b.ev IS NOT NULL) SELECT count(*) AS compared, count(*) FILTER (WHERE abs(delta) > 0.2::DOUBLE) AS moved FROM j")
+def gate_diff_repeated(spark, sf_dir):
+    """A prior day that has every game twice: the later row counts."""
+    prior = M.games(spark, sf_dir, M.YESTERDAY)
+    twice = prior.withColumn("place", F.lit(1)).unionByName(prior.withColumns({"place": F.lit(0), "ev_ratio": F.col("ev_ratio") + 5}))
+    return gates.diff_gate(M.games(spark, sf_dir), twice, order="place").select("compared", "moved")
+
+
+@_query(f"{_EV} SELECT count(*) FILTER (WHERE ok) AS in_range, count(*) FILTER (WHERE ev IS NOT NULL AND NOT ok AND game_no % 2 = 0) AS unmarked FROM latest")
+def gate_math_unmarked(spark, sf_dir):
+    """Ratios out of range of which half have lost their flag."""
+    rows = M.games(spark, sf_dir).withColumn("flags", F.when(F.col("game_no") % 2 == 0, F.array_remove("flags", "ev_out_of_range")).otherwise(F.col("flags")))
+    return gates.math_gate(rows).select("in_range", "unmarked")
+
+
 @_query(f"{_EV} SELECT count(*) FILTER (WHERE ok) AS in_range, 0::BIGINT AS unmarked, count(*) FILTER (WHERE ok) >= 20 AS passed FROM latest")
 def gate_math(spark, sf_dir):
     return gates.math_gate(M.games(spark, sf_dir))
@@ -271,6 +330,12 @@ def config_layers(spark, sf_dir):
     return meta.layered(keys, file, env)
 
 
+@_query("SELECT DISTINCT l_suppkey % 40 AS k, l_linenumber AS n FROM lineitem INTERSECT SELECT p_partkey % 50, (p_size % 9)::INT FROM part")
+def in_both(spark, sf_dir):
+    line = M.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 40).alias("k"), F.col("l_linenumber").alias("n"))
+    return meta.common(line, M.table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("k"), (F.col("p_size") % 9).cast("int").alias("n")))
+
+
 @_query("SELECT DISTINCT 'n' || (s_suppkey % 25) AS slug FROM supplier WHERE (s_suppkey % 25) NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 6 <> 0)")
 def unknown_slugs(spark, sf_dir):
     used = M.table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), (F.col("s_suppkey") % 25).cast("string")).alias("slug")).distinct()
@@ -323,7 +388,7 @@ w0 AS (SELECT game_key, obs_date w_start, lead(obs_date) OVER g w_end, pu, lead(
 w AS (SELECT game_key, w_start, w_end, (w_end - w_start)::INT dt, tu u_start, u_max, (pu - pu2) / (w_end - w_start) s, (tu - tu2) / ((w_end - w_start) * u_max) d FROM w0 WHERE w_end IS NOT NULL),
 dm AS (SELECT * EXCLUDE (s, d), s - avg(s) OVER (PARTITION BY game_key) s, d - avg(d) OVER (PARTITION BY game_key) d, (w_start - DATE '1970-01-01') + (w_end - w_start) / 2 mid FROM w WHERE u_start > 0),
 pr AS (SELECT a.game_key, a.w_start a_start, b.w_start b_start, b.mid - a.mid lag, a.s, b.d, a.u_max FROM dm a JOIN dm b ON a.game_key = b.game_key AND b.w_start >= a.w_end),
-bn AS (SELECT *, CASE WHEN lag > 0 AND lag <= 10 THEN 0 WHEN lag > 10 AND lag <= 30 THEN 1 WHEN lag > 30 AND lag <= 60 THEN 2 WHEN lag > 60 AND lag <= 400 THEN 3 END bin FROM pr)"""
+bn AS (SELECT *, CASE WHEN lag > 0 AND lag <= 4.5 THEN 0 WHEN lag > 4.5 AND lag <= 9 THEN 1 WHEN lag > 9 AND lag <= 15 THEN 2 WHEN lag > 15 AND lag <= 40 THEN 3 END bin FROM pr)"""
 
 
 @_query(f"{_PANEL} SELECT game_key, obs_date, capture_url, pu AS percent_unsold FROM p")
@@ -369,6 +434,14 @@ def panel_windows(spark, sf_dir):
     return panel.windows(M.panel_rows(spark, sf_dir)).select("game_key", "w_start", "w_end", "dt", num.rounded(F.col("s")).alias("sales"), num.rounded(F.col("d")).alias("claims"))
 
 
+@_query(f"""{_PANEL}, x AS (SELECT game_key, obs_date w_start, floor(pu / 10) r, lead(floor(pu / 10)) OVER g r2, max(floor(pu / 10)) OVER (PARTITION BY game_key) r_max, lead(obs_date) OVER g - obs_date dt FROM p WINDOW g AS (PARTITION BY game_key ORDER BY obs_date))
+SELECT game_key, w_start, r_max, {_r6('(r - r2) / nullif(dt * r_max, 0)')} AS d_top FROM x WHERE dt IS NOT NULL""")
+def top_windows(spark, sf_dir):
+    """The top tier's rates, by days and each game's greatest count."""
+    rows = M.panel_rows(spark, sf_dir).withColumn("top_remaining", F.floor(F.col("percent_unsold") / 10).cast("double"))
+    return panel.windows(rows).select("game_key", "w_start", "r_max", num.rounded(F.col("d_top")).alias("d_top"))
+
+
 @_query(f"{_PANEL}, b AS (SELECT *, lag(pu) OVER (PARTITION BY game_key ORDER BY obs_date) before FROM p) SELECT game_key, obs_date, before, pu AS percent_unsold FROM b WHERE pu > before")
 def panel_jumps(spark, sf_dir):
     return panel.jumps(M.panel_rows(spark, sf_dir)).select("game_key", "obs_date", "before", "percent_unsold")
@@ -383,18 +456,26 @@ def slug_key(spark, sf_dir):
 # Lag study -------------------------------------------------------------------------------------
 
 
-def _pairs(spark, sf_dir):
-    return kernel.pairs(kernel.demeaned(panel.windows(M.panel_rows(spark, sf_dir))))
+#: The study's bins at a tenth: the events cover a month.
+_BINS = tuple((low / 10, high / 10) for low, high in kernel.BINS)
+
+
+def _pairs(spark, sf_dir, most=_BINS[-1][1]):
+    return kernel.pairs(kernel.demeaned(panel.windows(M.panel_rows(spark, sf_dir))), most)
+
+
+def _binned(spark, sf_dir):
+    return kernel.binned(_pairs(spark, sf_dir), _BINS)
 
 
 @_query(f"{_PANEL} SELECT game_key, a_start, b_start, lag::DOUBLE AS lag FROM pr")
 def pair_windows(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("game_key", "a_start", "b_start", F.col("lag").cast("double").alias("lag"))
+    return _pairs(spark, sf_dir, None).select("game_key", "a_start", "b_start", F.col("lag").cast("double").alias("lag"))
 
 
 @_query(f"{_PANEL} SELECT bin, count(*) AS n_pairs, min(lag)::DOUBLE AS least, max(lag)::DOUBLE AS most FROM bn WHERE bin IS NOT NULL GROUP BY 1")
 def lag_bins(spark, sf_dir):
-    return kernel.binned(_pairs(spark, sf_dir)).groupBy("bin").agg(F.count("*").alias("n_pairs"), F.min("lag").cast("double").alias("least"), F.max("lag").cast("double").alias("most"))
+    return _binned(spark, sf_dir).groupBy("bin").agg(F.count("*").alias("n_pairs"), F.min("lag").cast("double").alias("least"), F.max("lag").cast("double").alias("most"))
 
 
 @_query(f"{_PANEL} SELECT game_key, w_start, {_r6('s', 4)} + 0 AS s, {_r6('d', 4)} + 0 AS d FROM dm")
@@ -407,20 +488,20 @@ def demean(spark, sf_dir):
 k AS (SELECT bin, rank() OVER (PARTITION BY bin ORDER BY s) + (count(*) OVER (PARTITION BY bin, s) - 1) / 2 rs, rank() OVER (PARTITION BY bin ORDER BY d) + (count(*) OVER (PARTITION BY bin, d) - 1) / 2 rd FROM q)
 SELECT bin, count(*) AS n_pairs, {_r6('corr(rs, rd)', 4)} AS rho FROM k GROUP BY 1""")
 def spearman(spark, sf_dir):
-    rows = kernel.binned(_pairs(spark, sf_dir)).withColumns({"s": F.round("s", 9), "d": F.round("d", 9)})
+    rows = _binned(spark, sf_dir).withColumns({"s": F.round("s", 9), "d": F.round("d", 9)})
     return kernel.spearman(rows).select("bin", "n_pairs", num.rounded(F.col("rho"), 4).alias("rho"))
 
 
 @_query(f"""{_PANEL}, c AS (SELECT bin, quantile_cont(u_max, 0.9) cap FROM bn WHERE bin IS NOT NULL GROUP BY 1), v AS (SELECT bin, s, d, least(u_max, cap) w FROM bn JOIN c USING (bin)),
 a AS (SELECT bin, sum(w) sw, sum(w * s) ws, sum(w * d) wd, sum(w * s * d) wsd, sum(w * s * s) wss FROM v GROUP BY 1) SELECT bin, {_r6('(wsd - ws * wd / sw) / (wss - ws * ws / sw)')} AS slope FROM a""")
 def weighted_slope(spark, sf_dir):
-    return kernel.weighted_slope(kernel.binned(_pairs(spark, sf_dir))).select("bin", num.rounded(F.col("slope")).alias("slope"))
+    return kernel.weighted_slope(_binned(spark, sf_dir)).select("bin", num.rounded(F.col("slope")).alias("slope"))
 
 
 @_query()
 def permutation_test(spark, sf_dir):
     """Seeded by a hash that SQL doesn't share; the operator's 1000 repetitions."""
-    return kernel.permutation(kernel.demeaned(panel.windows(M.panel_rows(spark, sf_dir))))
+    return kernel.permutation(kernel.demeaned(panel.windows(M.panel_rows(spark, sf_dir))), bins=_BINS)
 
 
 @_query("SELECT avg((l_extendedprice BETWEEN 10000 AND 90000)::INT::DOUBLE) * 100 AS within80, avg((l_extendedprice BETWEEN 2000 AND 104000)::INT::DOUBLE) * 100 AS within95, avg((l_extendedprice BETWEEN 10000 AND 90000)::INT::DOUBLE) * 100 BETWEEN 70 AND 90 AND avg((l_extendedprice BETWEEN 2000 AND 104000)::INT::DOUBLE) * 100 BETWEEN 90 AND 100 AS calibrated FROM lineitem")
@@ -487,7 +568,7 @@ def _entries(spark, sf_dir):
     body = F.concat(F.lit('{"summary":"a } in \\"it\\"","findings":[{"severity":"major","issue":"turn '), F.col("turn").cast("string"), F.lit('","line":"x"}],"n":'), F.col("turn").cast("string"), F.lit("}"))
     content = F.when(k == 0, body).when(k == 1, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Here it is: "), body, F.lit(" done}"))).when(k == 3, F.col("text")).otherwise(F.lit("  "))
     raw = c.select(F.col("conv_id").cast("string").alias("task_id"), F.col("turn").alias("idx"), F.concat(F.lit("m"), (F.col("turn") % 5).cast("string")).alias("slug"), content.alias("content"))
-    return raw.withColumn("r", T.read_opinion("content")).select("*", "r.payload", "r.note").drop("r")
+    return opinions.read(raw)
 
 
 @_query(f"{_ENTRIES} SELECT task_id, idx, note FROM en")
@@ -500,7 +581,7 @@ def survivors_anonymous(spark, sf_dir):
     return findings.survivors(_entries(spark, sf_dir)).select("task_id", "idx", "label")
 
 
-@_query(f"{_ENTRIES} SELECT task_id, count(*) FILTER (WHERE note NOT IN ('noise', 'empty')) AS survivors, coalesce(string_agg('dropped expert: ' || slug, '; ' ORDER BY idx) FILTER (WHERE note IN ('noise', 'empty')), '') AS blind_spots, count(*) FILTER (WHERE note NOT IN ('noise', 'empty')) >= 2 AS enough FROM en GROUP BY 1")
+@_query(f"{_ENTRIES} SELECT task_id, count(*) FILTER (WHERE note NOT IN ('noise', 'empty')) AS survivors, coalesce(string_agg('dropped expert: ' || slug || ' \u2014 no usable output', '; ' ORDER BY idx) FILTER (WHERE note IN ('noise', 'empty')), '') AS blind_spots, count(*) FILTER (WHERE note NOT IN ('noise', 'empty')) >= 2 AS enough FROM en GROUP BY 1")
 def blind_spots(spark, sf_dir):
     return findings.enough(_entries(spark, sf_dir)).select("task_id", "survivors", F.array_join("blind_spots", "; ").alias("blind_spots"), "enough")
 
@@ -512,6 +593,66 @@ def review_verdicts(spark, sf_dir):
     return findings.review(_entries(spark, sf_dir), none).select("task_id", "survivors", "findings", "verdict")
 
 
+@_query(f"""{_ENTRIES}, r AS (SELECT task_id, idx, slug, CASE WHEN note IN ('json', 'fenced-json', 'embedded-json') THEN 'a }} in "it"' WHEN note = 'prose' THEN left(trim(content, ' ' || chr(9) || chr(10)), 1200) END AS summary, CASE WHEN idx % 3 = 0 THEN 0 ELSE idx * 10 END AS tokens_in FROM en)
+SELECT task_id, idx, slug, summary, '' AS recommendation, 0::DOUBLE AS confidence, tokens_in::BIGINT AS tokens_in FROM r WHERE summary IS NOT NULL""")
+def opinion_rows(spark, sf_dir):
+    """The opinions of readable answers; unknown token counts are 0."""
+    rows = _priced(spark, sf_dir)
+    return opinions.projected(rows).select("task_id", "idx", "slug", "summary", "recommendation", "confidence", "tokens_in")
+
+
+def _priced(spark, sf_dir):
+    used = F.when(F.col("idx") % 3 != 0, F.col("idx") * 10)
+    return _entries(spark, sf_dir).withColumns({"tokens_in": used, "tokens_out": used, "cost_usd": F.lit(None).cast("double")})
+
+
+@_query(f"""{_ENTRIES}, n AS (SELECT task_id, count(*) FILTER (WHERE note NOT IN ('noise', 'empty')) AS survivors FROM en GROUP BY 1)
+SELECT task_id, survivors, greatest(survivors, 1) AS opinions, survivors = 0 AS stand_in, 'REVISE' AS verdict FROM n WHERE survivors < 2""")
+def failure_rows(spark, sf_dir):
+    """Tasks without enough survivors, with the opinion there is or a stand-in."""
+    out = findings.failures(_priced(spark, sf_dir))
+    return out.select("task_id", "survivors", F.size("opinions").cast("bigint").alias("opinions"), (F.col("opinions")[0]["model"] == "panel/none").alias("stand_in"), "verdict")
+
+
+@_query("""WITH en AS (SELECT conv_id::VARCHAR task_id, turn idx, text AS content, trim(text, ' ' || chr(9) || chr(10)) t FROM conversations WHERE text NOT LIKE '%{%')
+SELECT task_id, idx, length(t) >= 40 AS survived, CASE WHEN length(t) >= 40 THEN 'prose' WHEN length(t) > 0 THEN 'noise' ELSE 'empty' END AS recovered_via, length(left(content, 60)) AS preview_chars, length(content) > 60 AS truncated FROM en""")
+def diagnostic_rows(spark, sf_dir):
+    """What became of plain answers: how they were recovered, and a bounded preview."""
+    c = M.table(spark, sf_dir, "conversations").filter(~F.col("text").contains("{")).select(F.col("conv_id").cast("string").alias("task_id"), F.col("turn").alias("idx"), F.col("text").alias("content"))
+    out = findings.diagnostics(opinions.read(c), 60)
+    return out.select("task_id", "idx", "survived", "recovered_via", F.length("preview").cast("bigint").alias("preview_chars"), "truncated")
+
+
+@_query("SELECT conv_id::VARCHAR AS task_id, turn AS idx, row_number() OVER (PARTITION BY conv_id ORDER BY md5('7:' || conv_id || ':m' || turn), turn) AS turn FROM conversations")
+def dispatch_order(spark, sf_dir):
+    c = M.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("task_id"), F.col("turn").alias("idx"), F.concat(F.lit("m"), F.col("turn").cast("string")).alias("slug"))
+    return findings.dispatched(c, 7).select("task_id", "idx", F.col("turn").cast("bigint").alias("turn"))
+
+
+@_query("""WITH d AS (SELECT event_id, event_id % 101 / 101::DOUBLE u, event_id % 37 / 37::DOUBLE v, event_id % 7 / 7::DOUBLE w FROM events), p AS (SELECT event_id, 4 * (0.5 + 0.5 * u) a, 8 * (0.5 + 0.5 * v) b, 8 * (0.5 + 0.5 * w) c FROM d)
+SELECT event_id, round_even((CASE WHEN a + b + c <= 12 THEN a + b + c WHEN a + b <= 12 THEN a + b ELSE a END) * 1e6, 0) / 1e6 AS waited, CASE WHEN a + b + c <= 12 THEN 3 WHEN a + b <= 12 THEN 2 ELSE 1 END AS retries FROM p""")
+def retry_waits(spark, sf_dir):
+    """Waits with jitter from given draws, within a bound on their sum."""
+    k = F.col("event_id")
+    waits = num.jittered(F.array(*[(k % n) / F.lit(n).cast("double") for n in (101, 37, 7)]), base=4.0, total=12.0)
+    out = M.table(spark, sf_dir, "events").select(k, waits.alias("w"))
+    return out.select("event_id", num.rounded(F.aggregate("w", F.lit(0.0), lambda a, x: a + x)).alias("waited"), F.size("w").alias("retries"))
+
+
+@_query("""WITH e AS (SELECT conv_id::VARCHAR task_id, turn, (conv_id * 7 + turn) % 5 s, (conv_id + turn) % 6 = 5 lost FROM conversations),
+t AS (SELECT task_id, count(*) FILTER (WHERE NOT lost) survivors, count(DISTINCT turn) FILTER (WHERE NOT lost AND s < 4) findings, min(s) FILTER (WHERE NOT lost) worst FROM e GROUP BY 1)
+SELECT task_id, survivors, findings, CASE WHEN survivors < 2 THEN 'REVISE' WHEN worst = 0 THEN 'FAIL' WHEN worst = 1 THEN 'REVISE' ELSE 'PASS' END AS verdict FROM t""")
+def review_mixed(spark, sf_dir):
+    """Reviews of all outcomes: findings of each severity beside members that are no objects, and answers that can't be read."""
+    c = M.table(spark, sf_dir, "conversations")
+    severity = F.element_at(F.array(*[F.lit(x) for x in ("critical", "major", "minor", "minor")]), ((F.col("conv_id") * 7 + F.col("turn")) % 5 + 1).cast("int"))
+    finding = F.concat(F.lit('{"severity":"'), severity, F.lit('","issue":"turn '), F.col("turn").cast("string"), F.lit('","line":"'), F.col("turn").cast("string"), F.lit('"}'))
+    odd = F.when((F.col("conv_id") * 7 + F.col("turn")) % 5 < 4, F.concat(F.lit('{"findings":["just text",'), finding, F.lit(',7,null,{"severity":"unknown"}]}'))).otherwise('{"findings":1}')
+    payload = F.when((F.col("conv_id") + F.col("turn")) % 6 == 5, '{"findings":[').otherwise(odd)
+    rows = c.select(F.col("conv_id").cast("string").alias("task_id"), F.col("turn").alias("idx"), F.concat(F.lit("m"), (F.col("turn") % 5).cast("string")).alias("slug"), payload.alias("payload"), F.lit("json").alias("note"))
+    return findings.review(rows, M.rulings(spark, sf_dir).filter("false")).select("task_id", "survivors", "findings", "verdict")
+
+
 @_query("SELECT event_id, CASE WHEN (CASE WHEN event_id % 3 = 0 THEN (ARRAY[400, 408, 429, 500, 502, 503])[event_id % 6 + 1] ELSE (ARRAY[200, 429, 401, 502])[event_id % 4 + 1] END) IN (408, 429, 502, 503) THEN 'transient' ELSE 'terminal' END AS class FROM events")
 def error_class(spark, sf_dir):
     pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % n + 1).cast("int"))
@@ -532,7 +673,19 @@ def cost_fallback(spark, sf_dir):
     return out.groupBy("model").agg(F.count("*").alias("calls"), F.count("cost").alias("metered"), F.sum(cost.nano(F.col("cost"))).alias("nanodollars"))
 
 
-@_query(f"{_COST} SELECT task_id, calls, unmetered, n / 1e9::DOUBLE AS cost_usd_total, n > 300000000 AS cost_cap_breached FROM t")
+@_query(f"""{_COST}, p AS (SELECT model, CASE WHEN rep >= 0 THEN rep WHEN toks = 500 THEN (ti / 1e6::DOUBLE) * 3 + (toks / 1e6::DOUBLE) * 4 ELSE cost END cost FROM m)
+SELECT model, count(cost) AS metered, sum(round_even(cost * 1e9::DOUBLE, 0)::BIGINT)::BIGINT AS nanodollars FROM p GROUP BY 1""")
+def cost_own_price(spark, sf_dir):
+    """First lines have a price of their own, and the table has each slug twice."""
+    calls, prices = M.calls(spark, sf_dir)
+    first = F.col("tokens_out") == 500
+    calls = calls.withColumns({"own_in_per_1m": F.when(first, 3.0), "own_out_per_1m": F.when(first, 4.0)})
+    twice = prices.unionByName(prices.withColumns({"in_per_1m": F.col("in_per_1m") / 2, "out_per_1m": F.lit(0.0)}))
+    out = cost.metered(calls, twice)
+    return out.groupBy("model").agg(F.count("cost").alias("metered"), F.sum(cost.nano(F.col("cost"))).alias("nanodollars"))
+
+
+@_query(f"{_COST} SELECT task_id, calls, unmetered, n / 1e9::DOUBLE AS cost_usd_total, n > 300000000 OR unmetered > 0 AS cost_cap_breached FROM t")
 def cost_breach(spark, sf_dir):
     return cost.totals(cost.metered(*M.calls(spark, sf_dir)), 0.3)
 
@@ -591,6 +744,18 @@ def judge_sanitised(spark, sf_dir):
     return M.table(spark, sf_dir, "part").select("p_partkey", cost.sanitised(verdict, defects).alias("verdict"), cost.hears(F.col("p_name")).alias("hears"))
 
 
+@_query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 OR h AND p_size % 2 <> 0 THEN 'REVISE' ELSE 'PASS' END AS verdict, CASE WHEN p_size % 2 = 0 THEN 'look: Audio hiss' ELSE '' END || CASE WHEN h AND p_size % 2 <> 0 AND p_size % 3 <> 0 THEN 'audio criteria present: audio cannot be verified from frames \u2014 human ears required' ELSE '' END AS defects
+FROM (SELECT *, p_partkey % 5 = 0 h FROM part)""")
+def audio_guard(spark, sf_dir):
+    """Passes on criteria about sound, with and without a defect that names it."""
+    size = F.col("p_size")
+    given = F.when(size % 2 == 0, F.array(F.struct(F.lit("look").alias("criterion"), F.lit("Audio hiss").alias("problem"))))
+    verdict, criteria = F.when(size % 3 == 0, "REVISE").otherwise("PASS"), F.when(F.col("p_partkey") % 5 == 0, "a clear VOICE").otherwise("bright")
+    out = M.table(spark, sf_dir, "part").select("p_partkey", verdict.alias("v"), criteria.alias("c"), given.alias("d"))
+    of = [F.col("v"), F.col("c"), F.col("d")]
+    return out.select("p_partkey", cost.guarded(*of).alias("verdict"), cost.defect_text(cost.guarded_defects(*of)).alias("defects"))
+
+
 @_query(f"SELECT l_linenumber, l_quantity, i, {_r6('least(0.1::DOUBLE, greatest(l_quantity, 0.2::DOUBLE) / 20) + i * ((greatest(l_quantity, 0.2::DOUBLE) - 2 * least(0.1::DOUBLE, greatest(l_quantity, 0.2::DOUBLE) / 20)) / (greatest(l_linenumber, 2) - 1))')} AS t FROM (SELECT DISTINCT l_linenumber, l_quantity, unnest(range(greatest(l_linenumber, 2))) i FROM lineitem)")
 def frame_times(spark, sf_dir):
     rows = M.table(spark, sf_dir, "lineitem").select("l_linenumber", "l_quantity").distinct()
@@ -601,33 +766,132 @@ def frame_times(spark, sf_dir):
 # Ingest ----------------------------------------------------------------------------------------
 
 
-@_query("SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages")
+_UNESCAPED = "replace({}, '&amp;', '&')"
+
+
+@_query(f"SELECT DISTINCT page_id, {_UNESCAPED.format('h')} AS href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS h FROM pages)")
 def html_links(spark, sf_dir):
-    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    return M.table(spark, sf_dir, "pages").select("page_id", F.explode(links).alias("href")).distinct()
+    found = html.items(M.table(spark, sf_dir, "pages"), ["page_id"]).filter("kind = 'link'")
+    return found.select("page_id", F.col("cells")[0].alias("href")).distinct()
 
 
-@_query("SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title FROM pages")
+@_query(f"SELECT page_id, trim({_UNESCAPED.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}) AS title FROM pages")
 def html_title(spark, sf_dir):
-    return M.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"))
+    return html.articles(M.table(spark, sf_dir, "pages"), "page_id").select("page_id", F.col("name").alias("title"))
 
 
-@_query("SELECT page_id, nullif(regexp_extract(url, '[?&]page=(\\d+)', 1), '')::BIGINT AS page_no FROM pages")
-def url_ids(spark, sf_dir):
-    return M.table(spark, sf_dir, "pages").select("page_id", F.parse_url("url", F.lit("QUERY"), F.lit("page")).cast("bigint").alias("page_no"))
+@_query("SELECT page_id, count(*) FILTER (WHERE t IN ('h1', 'p', 'text')) AS n, count(DISTINCT t) AS kinds FROM (SELECT page_id, unnest(['h1', 'p', 'text']) t FROM pages) GROUP BY 1")
+def html_kinds(spark, sf_dir):
+    """Every page has its headline, its paragraphs and its text."""
+    found = html.items(M.table(spark, sf_dir, "pages"), ["page_id"]).filter("kind in ('h1', 'p', 'text')").select("page_id", "kind").distinct()
+    return found.groupBy("page_id").agg(F.count("*").alias("n"), F.count_distinct("kind").alias("kinds"))
 
 
 @_query()
 def html_items(spark, sf_dir):
     """Whole pages through the tokenizer: items by kind. SQL has no HTML parser."""
-    from ..sources import html
-
     return html.items(M.table(spark, sf_dir, "pages"), ["page_id"]).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events")
+@_query("SELECT p_partkey::VARCHAR AS article_id, (p_size % 30)::DOUBLE AS price FROM part WHERE p_partkey % 3 <> 0")
+def tile_prices(spark, sf_dir):
+    """Parts as price pages: one link to an article, and others that are none."""
+    k = F.col("p_partkey").cast("string")
+    link = F.concat(F.lit('<a href="/whatsnew/index.php?a=1&amp;id='), k, F.when(F.col("p_partkey") % 3 != 0, "&amp;v=article").otherwise("&amp;v=list"), F.lit('"><h2>x</h2></a><a href="/other?id=9&amp;v=article">y</a>'))
+    pages = M.table(spark, sf_dir, "part").select(F.concat(F.lit("scratch"), (F.col("p_size") % 30).cast("string"), F.lit("dollar_"), k, F.lit(".html")).alias("file"), link.alias("html"))
+    return html.tile_prices(pages)
+
+
+def _cells(*values):
+    return F.concat(F.lit("<tr>"), *[x for v in values for x in (F.lit("<td>"), v, F.lit("</td>"))], F.lit("</tr>"))
+
+
+@_query(f"""{_EV}, t AS (SELECT k, count(*) tiers, sum(level * remaining)::BIGINT listed FROM tiers GROUP BY 1)
+SELECT game_no, name, price, pu AS percent_unsold, tu AS total_unclaimed, tiers, t.listed, 'July 11, 2026 7:05 AM' AS source_timestamp FROM latest JOIN t ON k = game_no WHERE game_no % 31 <> 0""")
+def snapshot_pages(spark, sf_dir):
+    """The inventory written as unclaimed-prize pages, one a game, and read back; every 31st has an odd cell and gives no game."""
+    money = lambda c: F.concat(F.lit("$"), F.format_number(c, 2))
+    games = M.inventory(spark, sf_dir)[0]
+    tier = lambda x: (F.concat(F.lit("$"), F.format_number(x.level, 0)), x.remaining.cast("string"))
+    first = F.element_at("top_prizes", 1)
+    unsold = F.when(F.col("game_no") % 31 == 0, "n/a").otherwise(F.concat(F.col("percent_unsold").cast("string"), F.lit("%")))
+    head = _cells(F.concat(F.lit(" $"), F.col("price").cast("string")), F.col("game_no").cast("string"), F.concat(F.lit("&nbsp;"), "name"), unsold, money("total_unclaimed"), *tier(first))
+    blank = [F.lit("&nbsp;")] * 5
+    rest = F.array_join(F.transform(F.slice("top_prizes", 2, 100), lambda x: _cells(*blank, *tier(x))), "")
+    page = F.concat(F.lit('<p>Prizes as of July 11, 2026 7:05 AM</p><table class="a tbstriped"><tr><th>x</th></tr>'), head, rest, F.lit("</table>"))
+    found = html.snapshots(games.select(F.col("game_no").alias("page"), page.alias("html")))[0]
+    listed = F.expr("aggregate(top_prizes, 0L, (a, x) -> a + x.level * x.remaining)")
+    return found.select("game_no", "name", "price", "percent_unsold", "total_unclaimed", F.size("top_prizes").cast("bigint").alias("tiers"), listed.alias("listed"), "source_timestamp")
+
+
+@_query("""SELECT p_partkey AS article_id, p_name AS name, CASE WHEN p_size % 5 <> 0 THEN p_partkey END AS game_no, p_size * 12345 AS print_run, CASE WHEN p_size % 2 = 0 THEN p_size / 8::DOUBLE END AS overall_odds,
+  p_size * 1000 AS top_prize_value, strftime(DATE '2024-01-01' + p_size::INT, '%Y-%m-%d') AS on_sale FROM part""")
+def article_pages(spark, sf_dir):
+    """Parts as article pages, some fields left out, and read back."""
+    size, number = F.col("p_size"), lambda c: F.format_number(c, 0)
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), size), "MMMM d, yyyy")
+    said = [
+        F.when(size % 5 != 0, F.concat(F.lit("Game #"), F.col("p_partkey").cast("string"))).otherwise("Game"),
+        F.concat(F.lit("Tickets Printed - "), number(size * 12345)),
+        F.when(size % 2 == 0, F.concat(F.lit("Overall odds of winning 1: "), (size / 8).cast("string"))).otherwise("Overall odds"),
+        F.concat(F.lit("Maximum Award: $"), number(size * 1000)),
+        F.concat(F.lit("On Sale - "), day),
+    ]
+    body = F.concat(F.lit("<h1> "), "p_name", F.lit(" </h1><script>Game #1</script>"), *[x for line in said for x in (F.lit("<p>"), line, F.lit("</p>"))])
+    pages = M.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("article_id"), body.alias("html"))
+    return html.articles(pages).withColumn("on_sale", F.date_format("on_sale", "yyyy-MM-dd"))
+
+
+@_query("SELECT p_partkey % 100 AS game_no, arg_max(p_name, p_partkey) AS name, strftime(DATE '2024-01-01' + arg_max(p_size, p_partkey)::INT, '%Y-%m-%d') AS end_date FROM part GROUP BY 1")
+def date_pages(spark, sf_dir):
+    """Parts as rows of end-date pages: the last row of a game wins, rows without a number don't count."""
+    day = lambda n: F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size") + n), "MMMM d, yyyy")
+    rows = _cells((F.col("p_partkey") % 100).cast("string"), F.col("p_name"), day(0), day(90))
+    page = F.concat(F.lit('<table class="tbstriped">'), rows, _cells(F.lit("n/a"), F.lit("x"), F.lit("y"), F.lit("z")), F.lit("</table>"))
+    found = html.scratch_dates(M.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), page.alias("html")))
+    return found.select("game_no", "name", F.date_format("end_date", "yyyy-MM-dd").alias("end_date"))
+
+
+@_query("SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events WHERE event_id % 50 <> 0")
 def json_props(spark, sf_dir):
-    return M.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    """Events written as JSON lines, some broken, and read back loosely."""
+    at = f"{_stream_dir(spark)}/lines"
+    line = F.when(F.col("event_id") % 50 == 0, '{"event_id": 1, "k').otherwise(F.to_json(F.struct("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))))
+    M.table(spark, sf_dir, "events").select(line.alias("value")).write.text(at)
+    return files.jsonl(spark, at, "event_id bigint, k bigint", strict=False)
+
+
+@_query(f"""{_EV}, t AS (SELECT k, count(*) n FROM tiers GROUP BY 1)
+SELECT game_no, game_no || ':' || regexp_replace(lower(trim(name)), '\\s+', '-', 'g') AS game_key, '{M.TODAY}' AS obs_date, '{M.TODAY}T00:00:00+00:00' AS capture_ts, pu AS percent_unsold, {_r6('greatest(pu - 0.05::DOUBLE, 0::DOUBLE)', 10)} AS lo, tu AS total_unclaimed, n AS tiers, 'daily' AS source FROM latest JOIN t ON k = game_no""")
+def history_rows(spark, sf_dir):
+    """The inventory as history files, one a game, read back as panel records."""
+    games = M.inventory(spark, sf_dir)[0]
+    day = F.to_json(F.struct(F.col("as_of").cast("string").alias("as_of"), F.array(F.struct("game_no", "name", "price", "percent_unsold", "total_unclaimed", "top_prizes")).alias("games")))
+    raw = games.select(F.concat(F.lit("/h/"), F.col("game_no").cast("string"), F.lit(".json")).alias("path"), F.encode(day, "UTF-8").alias("content"))
+    out = files.observed(raw)
+    return out.select("game_no", "game_key", "obs_date", "capture_ts", "percent_unsold", F.col("pu_interval.lo").alias("lo"), "total_unclaimed", F.size("top_prizes").cast("bigint").alias("tiers"), "source")
+
+
+@_query("""SELECT 'K' || n_nationkey % 10 AS key, CASE arg_max(n_nationkey % 3, n_nationkey) WHEN 0 THEN 'a # b' WHEN 1 THEN 'plain' ELSE 'it''s' END AS value FROM nation GROUP BY 1""")
+def settings_lines(spark, sf_dir):
+    """Nations as lines of a settings file: quotes keep a hash sign, comments go, the last line of a key wins."""
+    k = F.col("n_nationkey")
+    value = F.when(k % 3 == 0, '"a # b" # why').when(k % 3 == 1, " plain # why").otherwise('"it\'s"')
+    line = F.concat(F.lit("K"), (k % 10).cast("string"), F.lit("="), value)
+    rows = M.table(spark, sf_dir, "nation").select(k.cast("bigint").alias("ordinal"), line.alias("value"))
+    return files.settings(rows.unionByName(rows.withColumns({"ordinal": F.col("ordinal") + 1000, "value": F.lit("# K0=none")})))
+
+
+@_query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'image_url' WHEN doc_id % 4 = 1 THEN 'file' WHEN doc_id % 4 = 2 THEN 'input_audio' ELSE 'text' END AS type, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes,
+  length(CASE doc_id % 4 WHEN 0 THEN 'data:image/png;base64,' || base64(encode(coalesce(text, ''))) WHEN 1 THEN 'data:application/pdf;base64,' || base64(encode(coalesce(text, ''))) WHEN 2 THEN base64(encode(coalesce(text, '')))
+    ELSE '===== ATTACHED FILE: ' || doc_id || '.txt =====' || chr(10) || coalesce(text, '') || chr(10) || '===== END ' || doc_id || '.txt =====' END)::BIGINT AS n FROM documents""")
+def attachment_parts(spark, sf_dir):
+    """Documents as attached files of four kinds."""
+    k = F.col("doc_id")
+    ext = F.when(k % 4 == 0, ".PNG").when(k % 4 == 1, ".pdf").when(k % 4 == 2, ".wav").otherwise(".txt")
+    raw = M.table(spark, sf_dir, "documents").select(F.concat(F.lit("/x/"), k.cast("string"), ext).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    out = files.attachments(raw).filter("error is null")
+    return out.select(F.regexp_extract("path", r"(\d+)\.", 1).cast("bigint").alias("doc_id"), "type", F.col("bytes").cast("bigint").alias("bytes"), F.length(F.regexp_replace("payload", "\r\n", "")).cast("bigint").alias("n"))
 
 
 @_query("SELECT l_orderkey, l_linenumber, l_extendedprice AS money, strftime(l_shipdate, '%Y-%m-%d') AS day, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -643,29 +907,42 @@ def text_values(spark, sf_dir):
 @_query("SELECT CASE WHEN event_id % 10 = 0 THEN 'parse_failed' WHEN ts < TIMESTAMP '2024-01-05' THEN 'era_skipped' ELSE 'in_era' END AS status, count(*) AS n FROM events GROUP BY 1")
 def capture_index(spark, sf_dir):
     """Events written as capture indexes and read back, with the era guard."""
-    from ..sources import files
-
     e = M.table(spark, sf_dir, "events")
     ts = F.when(F.col("event_id") % 10 == 0, "bad").otherwise(F.date_format("ts", "yyyyMMddHHmmss"))
     row = F.to_json(F.array(F.array(F.lit("timestamp"), F.lit("original"), F.lit("digest")), F.array(ts, F.col("event_type"), F.col("event_id").cast("string"))))
     return files.captures(e.select(row.alias("value")), since="20240105").groupBy("status").agg(F.count("*").alias("n"))
 
 
+@_query("""SELECT count(*) AS captures_total, count(*) FILTER (WHERE event_id % 10 > 1) AS parsed, count(*) FILTER (WHERE event_id % 10 = 1) AS era_skipped, count(*) FILTER (WHERE event_id % 10 = 0) AS parse_failed,
+  string_agg(CASE WHEN event_id % 10 = 0 THEN 'bad ' || event_type END, ';' ORDER BY 'bad ' || event_type) AS failures, count(*) FILTER (WHERE event_id % 10 > 1) >= 150 AS passed FROM events""")
+def backfill_report(spark, sf_dir):
+    """Outcomes of a backfill and whether enough captures were parsed."""
+    k = F.col("event_id") % 10
+    rows = M.table(spark, sf_dir, "events").select(F.when(k == 0, "parse_failed").when(k == 1, "era_skipped").otherwise("ok").alias("status"), F.concat(F.lit("bad "), "event_type").alias("detail"))
+    return files.accepted(files.backfill_summary(rows)).withColumn("failures", F.array_join("failures", ";"))
+
+
 # Streaming -------------------------------------------------------------------------------------
 
 
 def _stream_dir(spark) -> str:
-    import tempfile
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="scoreloom-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+@_query("""WITH d AS (SELECT ts::DATE AS day, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY ALL) SELECT day, event_type, n, top FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 7 DAY""")
+def stream_daily(spark, sf_dir):
+    """Counts by day and type as a stream: the days that late rows can no longer change."""
+    base = _stream_dir(spark)
+    rows = spark.readStream.schema(M.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    days = history.daily_counts(rows.withColumn("ts", F.col("ts").cast("timestamp")))
+    history.run_once(days.select(F.col("window.start").alias("start"), "event_type", "n", "top"), f"{base}/out", f"{base}/state")
+    out = spark.read.schema("start timestamp, event_type string, n bigint, top double").parquet(f"{base}/out")
+    return out.select(F.col("start").cast("date").alias("day"), "event_type", "n", "top")
 
 
 @_query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, ts::DATE AS d FROM events) GROUP BY ALL")
 def stream_dedup(spark, sf_dir):
     """Observations as a stream, one a user, type and day."""
-    from ..streaming import history
-
     base = _stream_dir(spark)
     rows = spark.readStream.schema(M.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("day", F.col("ts").cast("date"))

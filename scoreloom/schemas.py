@@ -16,6 +16,7 @@ LATEST_RULES = {
     "grade": "grade is null or grade in ('A', 'A-', 'B+', 'B', 'B-', 'C', 'D', 'F')",
     "flags": "forall(flags, f -> f in ('anomaly_candidate', 'ev_out_of_range', 'low_inventory', 'no_print_run', 'sold_out')) and flags = sort_array(flags)",
     "scenarios": "ev_scenarios is null or size(ev_scenarios) = 3",
+    "monotone": "ev_scenarios is null or forall(sequence(0, size(ev_scenarios) - 2), k -> ev_scenarios[k].assumed_claimed_share < ev_scenarios[k + 1].assumed_claimed_share and ev_scenarios[k].ev_ratio >= ev_scenarios[k + 1].ev_ratio)",
     "reason": "length(reason) > 0",
     "rated": "rated = (value_score is not null) and rated = (grade is not null)",
     "intervals": "(ev_ratio is null) = (remaining_tickets_min is null) and coalesce(remaining_tickets_min <= remaining_tickets_max, true) and coalesce(ev_ratio_min <= ev_ratio_max, true)",

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators import panel
 
 _GAME = f"game_no:bigint,name:string,price:double,percent_unsold:double,total_unclaimed:double,top_prizes:{schemas.TIERS}"
 _DAY = f"as_of string, games array<struct<{_GAME}>>"
+#: Types of attached files, caps in bytes, and (in attachments()) the lines around an attached text.
 TYPES = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".webp": "image/webp", ".gif": "image/gif", ".pdf": "application/pdf", ".wav": "wav", ".mp3": "mp3"}
 FILE_CAP, TEXT_CAP, TOTAL_CAP = 10 << 20, 2 << 20, 20 << 20
 
@@ -38,11 +42,48 @@ def provenance(spark: SparkSession, path: str) -> DataFrame:
     return whole_text(spark, path).select(F.explode(parsed).alias("article_id", "page")).select("article_id", "page.source")
 
 
-def write_document(games: DataFrame, path: str, order: str = "game_no") -> None:
-    """A day's rows as one JSON document {as_of, games: [...]}, nulls written; a day's games fit one row."""
+def document_text(games: DataFrame, order: str = "game_no") -> DataFrame:
+    """as_of, value: a day's rows as one JSON document {as_of, games: [...]}, nulls written, two spaces a level.
+
+    A day's games are one row by their nature (some dozens); days are rendered apart from each other.
+    """
     row = F.struct(order, *[c for c in games.columns if c not in (order, "as_of")])
-    whole = games.groupBy("as_of").agg(F.array_sort(F.collect_list(row), lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)).alias("games"))
-    whole.select(F.to_json(F.struct("as_of", "games"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    by_order = lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)
+    whole = games.groupBy("as_of").agg(F.array_sort(F.collect_list(row), by_order).alias("games"))
+    return whole.select("as_of", indented(F.to_json(F.struct("as_of", "games"), {"ignoreNullFields": "false"})).alias("value"))
+
+
+@F.pandas_udf(T.StringType())
+def indented(lines):
+    import json
+
+    return lines.map(lambda line: json.dumps(json.loads(line), indent=2))
+
+
+def write_document(games: DataFrame, path: str, order: str = "game_no", history: str | None = None) -> None:
+    """A day's rows as one JSON file at `path`, and the same bytes at `history`/<as_of>.json; either replaces itself.
+
+    The text is written once, whole, in a folder beside the path, and copied from there, so a reader never
+    sees a part of it.
+    """
+    spark = games.sparkSession
+    held = document_text(games, order)
+    beside = f"{path}-{uuid.uuid4().hex}"
+    held.write.partitionBy("as_of").option("lineSep", "\n").text(beside)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    system = at(beside).getFileSystem(conf)
+    days = system.globStatus(at(f"{beside}/as_of=*/part-*"))
+    if len(days) != 1:
+        system.delete(at(beside), True)
+        raise ValueError(f"{len(days)} days in place of one")
+    day = days[0].getPath().getParent().getName().split("=", 1)[1]
+    for to in (path, *([f"{history}/{day}.json"] if history else [])):
+        fresh = at(f"{to}-{uuid.uuid4().hex}")
+        jvm.org.apache.hadoop.fs.FileUtil.copy(system, days[0].getPath(), system, fresh, False, True, conf)
+        system.delete(at(to), True)
+        system.rename(fresh, at(to))
+    system.delete(at(beside), True)
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
@@ -96,6 +137,11 @@ def backfill_summary(processed: DataFrame) -> DataFrame:
     )
 
 
+def accepted(summary: DataFrame, least: int = 150) -> DataFrame:
+    """The summary of a backfill, and whether enough captures were parsed."""
+    return summary.withColumn("passed", F.col("parsed") >= least)
+
+
 def settings(lines: DataFrame, column: str = "value") -> DataFrame:
     """key, value of shell-like KEY="VALUE" lines (ordinal, value): quotes keep '#', comments go, the last line of a key wins."""
     s = F.trim(column)
@@ -124,11 +170,21 @@ def total_size(raw: DataFrame) -> DataFrame:
     return raw.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes")).withColumn("passed", F.col("bytes") <= TOTAL_CAP)
 
 
+def alphabetical(value, kind: T.DataType):
+    """The value with the fields of its structs, at any depth, in alphabetical order."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[alphabetical(value[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: alphabetical(x, kind.elementType))
+    return value
+
+
 def write_jsonl(rows: DataFrame, path: str, order: list[str]) -> None:
-    """Sorted JSON lines with columns in alphabetical order, nulls written; the same rows give the same lines."""
-    names = sorted(rows.columns)
-    line = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
-    rows.orderBy(*order).select(line.alias("value")).write.mode("overwrite").text(path)
+    """Sorted JSON lines, keys in alphabetical order at any depth, nulls written; the same rows give the same lines."""
+    fields = sorted(rows.schema.fields, key=lambda f: f.name)
+    line = F.to_json(F.struct(*[alphabetical(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields]), {"ignoreNullFields": "false"})
+    rows.orderBy(*order).select(line.alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
 def panel_from(archive: DataFrame, daily: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,4 +196,3 @@ def panel_from(archive: DataFrame, daily: DataFrame) -> tuple[DataFrame, DataFra
 
 def settings_of(spark: SparkSession, path: str) -> DataFrame:
     return settings(spark.read.text(path).select(F.monotonically_increasing_id().alias("ordinal"), "value"))
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,15 +31,28 @@ def run_once(rows: DataFrame, to: str, checkpoint: str, mode: str = "append") ->
 
 
 def log_costs(verdicts: DataFrame, log: str, checkpoint: str) -> None:
-    """Append verdicts that the log doesn't have yet, batch by batch; a batch that runs again adds nothing."""
+    """Append verdicts that the log doesn't have yet, batch by batch.
+
+    A batch writes a folder of its own, named by its stream (the checkpoint) and number, and replaces it if it
+    runs again, so a batch that failed half-way leaves nothing behind.
+    """
     from ..operators.cost import new_entries
-    from ..schemas import COST_LOG
 
-    def append(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(log)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        old = spark.read.schema(COST_LOG).parquet(log) if there else spark.createDataFrame([], COST_LOG)
-        new_entries(batch.select(*old.columns), old).write.mode("append").parquet(log)
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def append(batch: DataFrame, number: int) -> None:
+        spark, name = batch.sparkSession, f"{stream}-{number}"
+        old = cost_log(spark, log).filter(F.col("batch") != name).drop("batch")
+        new_entries(batch.select(*old.columns), old).write.mode("overwrite").parquet(f"{log}/batch={name}")
 
     verdicts.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def cost_log(spark: SparkSession, log: str) -> DataFrame:
+    """The entries of a log that log_costs() writes, with the batch of each; no folder is no entry."""
+    from ..schemas import COST_LOG
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(log)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], f"{COST_LOG}, batch string")
+    return spark.read.schema(f"{COST_LOG}, batch string").parquet(log)

@@ -72,7 +72,11 @@ def test_history_and_panel(spark, tmp_path):
     out = f"{tmp_path}/out"
     files.write_jsonl(panel, out, ["obs_date", "game_no"])
     lines = [json.loads(r.value) for r in spark.read.text(out).collect()]
-    assert len(lines) == 2 and list(lines[0]) == sorted(lines[0]) and None in lines[0].values() or lines[0]["lifecycle_status"]
+    assert len(lines) == 2 and list(lines[0]) == sorted(lines[0])
+    assert all(list(tier) == ["level", "level_label", "remaining"] for line in lines for tier in line["top_prizes"])
+    mixed = spark.sql("select named_struct('b', 1, 'a', array(named_struct('z', 1, 'y', cast(null as int)))) as s, 2 as k")
+    files.write_jsonl(mixed, f"{tmp_path}/mixed", ["k"])
+    assert [r.value for r in spark.read.text(f"{tmp_path}/mixed").collect()] == ['{"k":2,"s":{"a":[{"y":null,"z":1}],"b":1}}']
 
 
 def test_jsonl(spark, tmp_path):
@@ -121,10 +125,19 @@ def test_metadata(spark):
 
 
 def test_documents(spark, tmp_path):
-    rows = spark.createDataFrame([("2026-07-11", 9, None), ("2026-07-11", 2, "b")], "as_of string, game_no long, name string")
-    files.write_document(rows, f"{tmp_path}/doc")
-    got = files.document(spark, f"{tmp_path}/doc/*.txt", "as_of string, games array<struct<game_no:long,name:string>>").collect()
-    assert [(g.game_no, g.name) for g in got[0].games] == [(2, "b"), (9, None)]
+    rows = spark.createDataFrame([("2026-07-11", 9, None, 2e7), ("2026-07-11", 2, "b", 0.5)], "as_of string, game_no long, name string, money double")
+    to, history = tmp_path / "latest.json", tmp_path / "history"
+    files.write_document(rows, f"file://{to}", history=f"file://{history}")
+    want = {"as_of": "2026-07-11", "games": [{"game_no": 2, "name": "b", "money": 0.5}, {"game_no": 9, "name": None, "money": 2e7}]}
+    assert to.read_text().rstrip("\n") == json.dumps(want, indent=2)
+    assert (history / "2026-07-11.json").read_bytes() == to.read_bytes()
+    files.write_document(rows.filter("game_no = 2"), f"file://{to}", history=f"file://{history}")
+    assert len(json.loads(to.read_text())["games"]) == 1 and (history / "2026-07-11.json").read_bytes() == to.read_bytes()
+    with pytest.raises(ValueError):
+        files.write_document(rows.withColumn("as_of", F.col("game_no").cast("string")), f"file://{to}")
+    assert len(json.loads(to.read_text())["games"]) == 1 and {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {"latest.json", "history"}
+    got = files.document(spark, f"{to}", "as_of string, games array<struct<game_no:long,name:string>>").collect()
+    assert [(g.game_no, g.name) for g in got[0].games] == [(2, "b")]
     for name in ("b.html", "a.html"):
         (tmp_path / name).write_text(name)
     assert files.first_file(files.whole_text(spark, f"{tmp_path}/*.html")).collect()[0].html == "a.html"
