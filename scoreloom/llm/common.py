@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut, shared_dir
 from ..shipping import ship
 
 
@@ -38,17 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), one is made."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext.getCheckpointDir()
-        path = held or "file://" + tempfile.mkdtemp(prefix="scoreloom-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs with columns named c0, c1, ... by place, and the new name of each old one (spelled exactly so).
 
@@ -65,19 +54,35 @@ def picked(docs: DataFrame, **types: str) -> DataFrame:
     return plain.select(*[F.col(at[name]).cast(kind).alias(name) for name, kind in types.items()])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and cut the lineage; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_SCRATCH: list[list[str]] = []
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Like cut(), but as compressed Parquet: column pruning works when it is read again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is deleted at the end; whatever is read from it must be written by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        discard(spark, *_SCRATCH.pop())
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared file system."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

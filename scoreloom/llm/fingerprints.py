@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, rows_in, shard_bounds, shard_of, ship, shingle_hashes, space_words, width
+from .common import mix, picked, rows_in, shard_bounds, shard_of, ship, shingle_hashes, space_words, width
 
 SAMPLES, RUN = 64, 2
 _ROW_BITS, _SEED, _ROWS_AT_ONCE = 15, 20_240_601, 8192
@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    rows = picked(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     shards = width(spark)
     cuts = shard_bounds(rows, shards)
     key = F.coalesce("doc_id", F.lit(_FIRST))
@@ -144,5 +144,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             if out:
                 yield sent(out)
 
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "tail", "doc_id", "text")
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "tail", "doc_id", "text")
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -10,13 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, positional, width
 
 #: A line on more than this share of a host's pages, and on at least MIN_PAGES of them, is boilerplate.
 RATIO, MIN_PAGES = 0.02, 3
 #: The boilerplate list is broadcast up to this many lines (16 bytes each and the host's name).
 BROADCAST_LINES = 100_000
-SALTS = 16
 
 
 def _key(line: Column) -> Column:
@@ -39,17 +38,22 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     return counted.join(totals, counted["host"].eqNullSafe(totals["host"])).filter(F.col("n") > F.lit(ratio) * F.col("pages")).select(counted["host"].alias("host"), "a", "b")
 
 
-def _marked(docs: DataFrame, host: str, ratio: float, min_pages: int) -> DataFrame:
-    """row (all columns), lines, kept."""
-    pages = docs.select(docs[host].alias("host"), docs["text"].alias("text"))
+def _marked(plain: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
+    """row (all columns), lines, kept. plain's columns are named by place (common.positional).
+
+    A host's list is short whatever the host's size: a listed line stands on over `ratio` of its pages, so
+    there are at most 1 / ratio times the lines of an average page.
+    """
+    pages = plain.select(F.col(host).alias("host"), F.col(text).alias("text"))
     bad = cut(boilerplate(pages, ratio, min_pages))
     lists = bad.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("bad")).withColumnRenamed("host", "of")
-    inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[host].alias("host"), F.split(docs["text"], "\n").alias("lines"))
+    inner = plain.select(F.struct(*plain.columns).alias("row"), F.col(host).alias("host"), F.split(text, "\n").alias("lines"))
     if bad.count() <= BROADCAST_LINES:
         joined = inner.join(F.broadcast(lists), F.col("host").eqNullSafe(F.col("of")), "left")
-    else:  # dealt by host and a salt; each host's list is sent to all salts
-        salted = inner.withColumn("own", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-        lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    else:  # dealt by host and a salt, as many as there are tasks; each host's list is sent to all salts
+        salts = width(plain.sparkSession)
+        salted = inner.withColumn("own", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+        lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = salted.join(lists, F.col("host").eqNullSafe(F.col("of")) & (F.col("own") == F.col("salt")), "left")
     kept = F.filter("lines", lambda x: ~F.array_contains(F.col("bad"), _key(x)))
     return joined.select("row", "lines", F.when(F.col("bad").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
@@ -59,20 +63,28 @@ def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
     """docs with boilerplate lines taken out of `text`, and `n_chars` (if there) counted anew; all else stays.
 
     A null host is a host of its own; a null text stays null; lines that repeat within a page count
-    once and are dropped together; an empty table stays empty. Extra columns may have any name.
+    once and are dropped together; a line whose share is just the ratio stays; an empty table stays empty.
+    Columns are addressed by place, so extra ones may have any name. A text is one row of lines, whatever
+    its length.
     """
+    plain, at = positional(docs)
     text = F.array_join("kept", "\n")
-    return _marked(docs, host, ratio, min_pages).select(*[(text if c == "text" else F.length(text).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    new = {at["text"]: text}
+    if "n_chars" in at:
+        new[at["n_chars"]] = F.length(text).cast(plain.schema[at["n_chars"]].dataType)
+    marked = _marked(plain, at[host], at["text"], ratio, min_pages)
+    return marked.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in plain.columns]).toDF(*docs.columns)
 
 
 def line_report(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """doc_id, n_lines, n_dropped, text (what stays) of each row; a null text has no lines."""
-    slim = docs.select(docs["doc_id"].alias("doc_id"), docs[host].alias("host"), docs["text"].alias("text"))
+    """doc_id, n_lines, n_dropped, text (what stays) of each row; a null text has no lines. See dedup_lines()."""
+    plain, at = positional(docs)
+    slim = plain.select(at["doc_id"], at[host], at["text"])
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    marked = _marked(slim, "host", ratio, min_pages)
+    marked = _marked(slim, at[host], at["text"], ratio, min_pages)
     lines = F.when(F.col("lines").isNotNull(), size("lines")).otherwise(F.lit(0).cast("long"))
     kept = F.when(F.col("lines").isNotNull(), size("kept")).otherwise(F.lit(0).cast("long"))
-    return marked.select(F.col("row.doc_id").alias("doc_id"), lines.alias("n_lines"), (lines - kept).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
+    return marked.select(F.col(f"row.{at['doc_id']}").cast("long").alias("doc_id"), lines.alias("n_lines"), (lines - kept).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
 
 
 #: DuckDB twin of line_report over `documents` with the defaults.

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import LOWER, rows_in
+from .common import LOWER, picked, rows_in
 
 _STRINGS = 48
 ANY = ("any",)
@@ -202,5 +202,5 @@ def secrets(docs: DataFrame, rules=RULES) -> DataFrame:
                 ["doc_id", *names, "base_sha256", "spans"],
             )
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    rows = picked(docs, doc_id="long", text="string")
     return rows.mapInArrow(find, f"doc_id long, {', '.join(f'{n} long' for n in names)}, base_sha256 string, spans string")
