@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import alnum_words, rows_in, ship
+from .common import alnum_parts, alnum_words, picked, positional, rows_in, ship, staged
 
 WINDOW, SAMPLE = 13, 4
 #: Bytes of benchmark text that are sent to the executors at once; a larger benchmark is searched in blocks.
@@ -103,22 +104,41 @@ class FMIndex:
 
 
 class Windows:
-    """Distinct windows of the items, by length, as symbols (2 and up; 1 parts runs)."""
+    """Distinct windows of the items, by length, as symbols (2 and up; 1 parts runs).
+
+    What is sent is the items' symbols, four bytes a word, and the vocabulary; a worker lays the windows out
+    once (opened()).
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
-        self.names: list[str] = []
-        self.symbol: dict[bytes, int] = {}
-        by: dict[int, dict[tuple[int, ...], set[int]]] = {}
-        for name, text in items:
-            words = alnum_words(text or "")
-            if words:
-                own = [self.symbol.setdefault(w, len(self.symbol) + 2) for w in words]
-                n = min(size, len(own))
-                for k in range(len(own) - n + 1):
-                    by.setdefault(n, {}).setdefault(tuple(own[k : k + n]), set()).add(len(self.names))
-                self.names.append(name)
-        self.groups = [(np.array(list(found), dtype=np.int64), [sorted(x) for x in found.values()]) for _, found in sorted(by.items())]
-        self.least = min(by, default=1)
+        symbol: dict[bytes, int] = {}
+        own = [(name, [symbol.setdefault(w, len(symbol) + 2) for w in alnum_words(text or "")]) for name, text in items]
+        own = [(name, s) for name, s in own if s]
+        self.size = size
+        self.names = [name for name, _ in own]
+        self.words = b" ".join(symbol)
+        self.ends = np.cumsum([len(s) for _, s in own], dtype=np.int64)
+        self.sequence = np.concatenate([np.array(s, dtype=np.int32) for _, s in own] or [np.empty(0, np.int32)])
+        self.ready = False
+
+    def opened(self) -> Windows:
+        if self.ready:
+            return self
+        self.symbol = {w: k for k, w in enumerate(self.words.split(), 2)}
+        length = np.diff(self.ends, prepend=0)
+        starts = self.ends - length
+        self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # windows, ends of their items, items
+        for n in np.unique(np.minimum(length, self.size)).tolist():
+            held = np.flatnonzero(np.minimum(length, self.size) == n)
+            many = length[held] - n + 1
+            item = np.repeat(held, many)
+            at = np.repeat(starts[held] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            windows, which = np.unique(self.sequence[at[:, None] + np.arange(n)], axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), item], axis=1), axis=0)
+            self.groups.append((windows.astype(np.int64), np.searchsorted(pairs[:, 0], np.arange(len(windows)), side="right"), pairs[:, 1]))
+        self.least = min((g[0].shape[1] for g in self.groups), default=1)
+        self.ready = True
+        return self
 
 
 def _shard(docs: list[np.ndarray], windows: Windows) -> list[tuple[np.ndarray, set[int]]]:
@@ -140,7 +160,7 @@ def _shard(docs: list[np.ndarray], windows: Windows) -> list[tuple[np.ndarray, s
     text, owner, place = np.concatenate(symbols), np.concatenate(owner), np.concatenate(place)
     index = FMIndex(text)
     change = np.zeros(len(text) + 1, dtype=np.int64)
-    for patterns, items in windows.groups:
+    for patterns, ends, items in windows.groups:
         lo, hi = index.search(patterns)
         found = np.flatnonzero(hi > lo)
         if not len(found):
@@ -152,7 +172,8 @@ def _shard(docs: list[np.ndarray], windows: Windows) -> list[tuple[np.ndarray, s
         np.add.at(change, at, 1)
         np.add.at(change, at + patterns.shape[1], -1)
         for key in np.unique(which * len(docs) + owner[at]).tolist():
-            out[key % len(docs)][1].update(items[key // len(docs)])
+            k = key // len(docs)
+            out[key % len(docs)][1].update(items[ends[k - 1] if k else 0 : ends[k]].tolist())
     hit = np.flatnonzero(np.cumsum(change[:-1]) > 0)
     for d, own in zip(*_grouped(owner[hit], place[hit]), strict=True):
         out[d] = (own, out[d][1])
@@ -178,75 +199,71 @@ def _places(written: str) -> np.ndarray:
     return np.concatenate([np.arange(*map(int, s.split(":"))) for s in written.split(",")]) if written else np.empty(0, dtype=np.int64)
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> list[list[tuple[str, str | None]]]:
-    items = benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), benchmark["text"].alias("text"))
+def _blocks(benchmark: DataFrame, limit: int):
+    """The items in blocks of about `limit` bytes, one at a time: (number of the block, whether it is the last, items)."""
+    items = picked(benchmark, item_id="string", text="string")
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
     n = 1 + total // limit
-    parts = [items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
-    for part in parts:  # each holds about `limit` bytes
-        yield [(r["item_id"] or "", r["text"]) for r in part.collect()]
+    for k in range(n):
+        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        yield k, k == n - 1, [(r["item_id"] or "", r["text"]) for r in part.collect()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, size: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
-    """The columns `keep` (doc_id) of each row, and n_words, n_hit, n_items, items_sha256, contaminated, spans.
+_FOUND = (("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.string()))
 
-    Null texts have no words, neither have items without words; items that share an id count once; a null
-    item id is the empty string; an empty table of documents gives an empty result, an empty benchmark no hit.
-    `spans` are the merged word ranges to remove.
+
+def _searched(plain: DataFrame, text: str, benchmark: DataFrame, size: int, limit: int, clean: bool) -> DataFrame:
+    """plain's rows, named by place, with what _FOUND lists; or, if `clean`, the rows that aren't contaminated as they are.
+
+    The benchmark is gone through block by block: one is held by the driver and sent at a time, and what was
+    found so far is kept with the rows in the shared folder.
     """
-    ship(docs.sparkSession)
-    out = docs.select(*[docs[c] for c in keep or ["doc_id"]])
-    columns, source = out.columns, "text" if "text" in out.columns else "__text"
-    if source == "__text":
-        out = docs.select(*[docs[c] for c in columns], docs["text"].alias(source))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields if f.name in columns)
-    carried = "" if source in columns else f"{source} string, "
-    blocks = list(_blocks(benchmark, limit))
-
-    def step(number: int, windows: Windows, last: bool):
+    spark = plain.sparkSession
+    ship(spark)
+    columns, out = plain.columns, plain
+    schema = plain.schema
+
+    def step(sent, first: bool, last: bool):
         def run(batches):
-            held: list = []  # row batch, texts, symbols by text
+            windows = sent.value.opened()
+            known = windows.symbol.get
+            held: list = []  # row batch, symbols by text
 
             def flush():
                 found = iter(_shard([s for _, own in held for s, _ in own], windows))
                 for part, own in held:
-                    old = [("", [])] * len(own) if not number else list(zip(part.column("__spans").to_pylist(), part.column("__items").to_pylist(), strict=True))
+                    old = [("", [])] * len(own) if first else list(zip(part.column("old_spans").to_pylist(), part.column("old_items").to_pylist(), strict=True))
                     rows = []
                     for (before, names), (_, n) in zip(old, own, strict=True):
                         places, items = next(found)
                         places = np.union1d(places, _places(before)) if before else places
                         rows.append((places, sorted({*names, *(windows.names[i] for i in items)}), n))
                     head = [part.column(c) for c in columns]
-                    if last:
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                *head,
-                                pa.array([n for _, _, n in rows], pa.int64()),
-                                pa.array([len(p) for p, _, _ in rows], pa.int64()),
-                                pa.array([len(i) for _, i, _ in rows], pa.int64()),
-                                pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for _, i, _ in rows]),
-                                pa.array([len(p) > 0 and 20 * len(p) >= n for p, _, n in rows]),
-                                pa.array([spans(p) for p, _, _ in rows]),
-                            ],
-                            [*columns, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
-                        )
+                    bad = [len(p) > 0 and 20 * len(p) >= n for p, _, n in rows]
+                    if not last:
+                        yield pa.RecordBatch.from_arrays([*head, pa.array([spans(p) for p, _, _ in rows]), pa.array([i for _, i, _ in rows], pa.list_(pa.string()))], [*columns, "old_spans", "old_items"])
+                    elif clean:
+                        yield pa.RecordBatch.from_arrays(head, columns).filter(pa.array([not x for x in bad], pa.bool_()))
                     else:
-                        yield pa.RecordBatch.from_arrays([*head, *([] if source in columns else [part.column(source)]), pa.array([spans(p) for p, _, _ in rows]), pa.array([i for _, i, _ in rows], pa.list_(pa.string()))], [*columns, *([] if source in columns else [source]), "__spans", "__items"])
+                        got = [[n for _, _, n in rows], [len(p) for p, _, _ in rows], [len(i) for _, i, _ in rows], [hashlib.sha256(",".join(i).encode()).hexdigest() for _, i, _ in rows], bad, [spans(p) for p, _, _ in rows]]
+                        yield pa.RecordBatch.from_arrays([*head, *(pa.array(x, kind) for x, (_, kind) in zip(got, _FOUND, strict=True))], [*columns, *(name for name, _ in _FOUND)])
                 held.clear()
 
             symbols = n_docs = 0
-            known = windows.symbol.get
-            for part, texts in rows_in(batches, source):
+            for part, texts in rows_in(batches, text):
                 own = []
                 for t in texts:
-                    words = alnum_words(t)
-                    s = np.fromiter((known(w, 0) for w in words), dtype=np.int64, count=len(words))
+                    n, lists = 0, []
+                    for words in alnum_parts(t):
+                        n += len(words)
+                        lists.append(np.fromiter((known(w, 0) for w in words), dtype=np.int32, count=len(words)))
+                    s = np.concatenate(lists) if len(lists) > 1 else lists[0]
                     seen = int(np.count_nonzero(s))
                     if seen < windows.least:
                         s = s[:0]
                     else:
                         symbols += seen
-                    own.append((s, len(words)))
+                    own.append((s, n))
                 held.append((part, own))
                 n_docs += len(texts)
                 if symbols >= SHARD_SYMBOLS or n_docs >= SHARD_DOCS:
@@ -257,16 +274,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
 
         return run
 
-    more = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
-    for k, items in enumerate(blocks):
-        last = k == len(blocks) - 1
-        out = out.mapInArrow(step(k, Windows(items, size), last), f"{schema}, {more if last else f'{carried}__spans string, __items array<string>'}")
+    kept = T.StructType.fromDDL("old_spans string, old_items array<string>")
+    more = T.StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
+    for k, last, items in _blocks(benchmark, limit):
+        sent = spark.sparkContext.broadcast(Windows(items, size))  # of about `limit` bytes of text
+        added = kept.fields if not last else [] if clean else more.fields
+        out = out.mapInArrow(step(sent, not k, last), T.StructType([*schema.fields, *added]))
+        if not last:
+            out = staged(out, "searched")
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated rows; all columns stay as they are, whatever their names."""
-    names = docs.columns
-    plain = docs.select(*[docs[c].alias("text" if c == "text" else f"c{k}") for k, c in enumerate(names)])
-    kept = contamination(plain, benchmark, plain.columns).filter("not contaminated")
-    return kept.select(*[F.col("text" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(names)])
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans of each row of docs (doc_id, text).
+
+    Null texts have no words, neither have items without words; items that share an id count once; a null
+    item id is the empty string; null ids and repeated rows are kept; an empty table of documents gives an
+    empty result, an empty benchmark no hit. `spans` are the merged word ranges to remove. Words are taken
+    from a text in parts, so a long one costs four bytes a word and the index of what it shares with items.
+    """
+    plain, at = positional(picked(docs, doc_id="long", text="string"))
+    return _searched(plain, at["text"], benchmark, size, limit, False).select(F.col(at["doc_id"]).alias("doc_id"), *(name for name, _ in _FOUND))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the contaminated rows; columns are addressed by place and stay as they are, whatever their names."""
+    plain, at = positional(docs)
+    return _searched(plain, at["text"], benchmark, size, limit, True).toDF(*docs.columns)
