@@ -1,10 +1,10 @@
 """Personal data: patterns and a character-level BiLSTM-CRF.
 
 The base spans follow fixed patterns. The tagger is trained on windows whose spans are labelled: base
-spans in a bounded sample of the corpus and filled-in templates. It reads every text's whole extent in
-overlapping windows; a span must hold a digit or an at sign, so windows with neither decode to nothing
-and are passed over. Where windows overlap, each character takes its tag from the window in whose middle
-it stands nearest, and spans are read off the text as a whole. Spans that meet a base span are left out.
+spans in a bounded sample of the corpus and filled-in templates. Overlapping windows cover the whole of
+every text; each character takes its tag from the window in whose middle it stands nearest, and spans are
+read off the text as a whole. A span that is kept holds a digit or an at sign (_fits), so windows that
+can't reach one are not decoded; the result is the same. Spans that meet a base span are left out.
 Spans count code points, ends exclusive.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bilstm_crf import Tagger
-from .common import rows_in, ship
+from .common import picked, rows_in, ship
 
 KINDS = ("email", "ip", "card", "phone")
 #: Texts that windows are learned from at most, windows of each, and templates.
@@ -169,8 +169,8 @@ def train(docs: DataFrame, texts: int = TRAIN_TEXTS, rounds: int = ROUNDS) -> Ta
                     rows.append((part, [x for k, a, b in spans if b > at and a < at + WINDOW for x in (k, a - at, b - at)]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["text", "spans"])
 
-    picked = docs.filter(F.col("text").rlike("[0-9@]")).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(texts).select("doc_id")
-    sample = docs.join(F.broadcast(picked.distinct()), "doc_id").select("text")  # at most `texts` ids are sent
+    chosen = docs.filter(F.col("text").rlike("[0-9@]")).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(texts).select("doc_id")
+    sample = docs.join(F.broadcast(chosen.distinct()), "doc_id").select("text")  # at most `texts` ids are sent
     got = sample.mapInArrow(cutouts, "text string, spans array<int>").orderBy(F.xxhash64("text")).limit(texts * TRAIN_WINDOWS).collect()
     rows = template_rows() + [(r["text"], [tuple(r["spans"][k : k + 3]) for k in range(0, len(r["spans"]), 3)]) for r in got]
     x, y = np.zeros((len(rows), WINDOW), np.int64), np.zeros((len(rows), WINDOW), np.int64)
@@ -192,39 +192,98 @@ def _fits(kind: int, own: str) -> bool:
     return 13 <= digits <= 19 and luhn(re.sub("[^0-9]", "", own)) if kind == 2 else 9 <= digits <= 15 and (own[0] in "+(" or re.fullmatch(r"[0-9]{3}([-.])[0-9]{3}\1[0-9]{4}", own) is not None)
 
 
-def tagged_spans(tagger: Tagger, texts: list[str], at_once: int = 512) -> list[list[tuple[int, int, int]]]:
-    """The tagger's spans of whole texts, (kind, start, end) by start."""
-    jobs = [(d, at) for d, t in enumerate(texts) for at in windows_at(t)]
-    tags: dict[int, dict[int, tuple[int, int]]] = {}
-    codes: dict[int, np.ndarray] = {}
-    for lo in range(0, len(jobs), at_once):
-        part = jobs[lo : lo + at_once]
-        x = np.zeros((len(part), WINDOW), np.int64)
-        for k, (d, at) in enumerate(part):
-            if d not in codes:
-                codes = {d: symbols(texts[d])}
-            own = codes[d][at : at + WINDOW]
-            x[k, : len(own)] = own
-        for (d, at), row in zip(part, tagger.decode(x), strict=True):
-            held = tags.setdefault(d, {})
-            for k in range(min(WINDOW, len(texts[d]) - at)):
-                off = abs(2 * k - WINDOW)
-                if at + k not in held or off < held[at + k][0]:
-                    held[at + k] = (off, int(row[k]))
+def owners(places: np.ndarray, size: int) -> np.ndarray:
+    """The window (its start) that tags each place: of those that cover a text of this size, STEP apart and one
+    at its end, the one in whose middle the place stands nearest (of two, the first)."""
+    last = max(0, size - WINDOW)
+    first = np.clip(-((WINDOW + STEP - 2 * places) // (2 * STEP)) * STEP, 0, max(0, (last - 1) // STEP * STEP))
+    return np.where(np.abs(2 * (places - first) - WINDOW) <= np.abs(2 * (places - last) - WINDOW), first, last)
+
+
+class _Tags:
+    """Tags of places of texts; windows are decoded when they are asked for, many at once."""
+
+    def __init__(self, tagger: Tagger, texts: list[str], at_once: int = 512):
+        self.tagger, self.texts, self.at_once = tagger, texts, at_once
+        self.rows: dict[tuple[int, int], np.ndarray] = {}
+
+    def decode(self, jobs: list[tuple[int, int]]) -> None:
+        codes: dict[int, np.ndarray] = {}
+        for lo in range(0, len(jobs), self.at_once):
+            part = jobs[lo : lo + self.at_once]
+            x = np.zeros((len(part), WINDOW), np.int64)
+            for k, (d, at) in enumerate(part):
+                own = symbols(self.texts[d][at : at + WINDOW])
+                x[k, : len(own)] = own
+            self.rows.update(zip(part, self.tagger.decode(x).astype(np.int8), strict=True))
+
+    def of(self, d: int, place: int) -> int | None:
+        """The tag, or nothing if its window isn't decoded yet."""
+        at = int(owners(np.array([place]), len(self.texts[d]))[0])
+        row = self.rows.get((d, at))
+        return None if row is None else int(row[place - at])
+
+    def within(self, d: int, lo: int, hi: int) -> np.ndarray:
+        places = np.arange(lo, hi)
+        at = owners(places, len(self.texts[d]))
+        out = np.empty(hi - lo, dtype=np.int64)
+        for s in np.unique(at).tolist():
+            same = at == s
+            out[same] = self.rows[d, s][places[same] - s]
+        return out
+
+
+def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+    """The tagger's spans of whole texts, (kind, start, end) by start.
+
+    They are the spans that windows over the whole text give: every place is tagged by its own window
+    (owners()). Only windows that can matter are decoded: a span that is kept has a digit or an at sign, so
+    from these each stretch grows to both sides until a place without a tag ends it.
+    """
+    tags = _Tags(tagger, texts)
+    jobs: set[tuple[int, int]] = set()
+    grow: list[list[int]] = []  # text, from, to, whether it may go on to the left and right
+    for d, t in enumerate(texts):
+        for m in _TRIGGER.finditer(t):
+            lo, hi = max(0, m.start() - 1), min(len(t), m.end() + 1)
+            grow.append([d, lo, hi, 1, 1])
+            jobs.update((d, at) for at in np.unique(owners(np.arange(lo, hi), len(t))).tolist())
+    while jobs:
+        tags.decode(sorted(jobs))
+        jobs = set()
+        for row in grow:
+            d, size = row[0], len(texts[row[0]])
+            while row[3]:
+                now = tags.of(d, row[1])
+                if now is None:
+                    jobs.add((d, int(owners(np.array([row[1]]), size)[0])))
+                    break
+                if not now or not row[1]:
+                    row[3] = 0
+                else:
+                    row[1] -= 1
+            while row[4]:
+                now = tags.of(d, row[2] - 1)
+                if now is None:
+                    jobs.add((d, int(owners(np.array([row[2] - 1]), size)[0])))
+                    break
+                if not now or row[2] == size:
+                    row[4] = 0
+                else:
+                    row[2] += 1
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for d, held in tags.items():
-        kind, start, last = -1, 0, -2
-        for p in sorted(held):
-            tag = held[p][1]
-            now = (tag - 1) // 2 if tag else -1
-            if kind >= 0 and (now != kind or p != last + 1 or tag % 2):
-                out[d].append((kind, start, last + 1))
-                kind = -1
-            if now >= 0 and kind < 0:
-                kind, start = now, p
-            last = p
-        if kind >= 0:
-            out[d].append((kind, start, last + 1))
+    stretches: list[list[int]] = []
+    for d, lo, hi, *_ in sorted(grow):
+        if stretches and stretches[-1][0] == d and lo <= stretches[-1][2]:
+            stretches[-1][2] = max(hi, stretches[-1][2])
+        else:
+            stretches.append([d, lo, hi])
+    for d, lo, hi in stretches:
+        own = tags.within(d, lo, hi)
+        kinds = np.where(own > 0, (own - 1) // 2, -1)
+        starts = np.flatnonzero((kinds >= 0) & np.r_[True, (kinds[1:] != kinds[:-1]) | (own[1:] % 2 == 1)])
+        ends = np.flatnonzero((kinds >= 0) & np.r_[(kinds[1:] != kinds[:-1]) | (own[1:] % 2 == 1), True]) + 1
+        out[d] += [(int(kinds[a]), lo + a, lo + b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
     return [[s for s in spans if _fits(s[0], texts[d][s[1] : s[2]])] for d, spans in enumerate(out)]
 
 
@@ -236,10 +295,11 @@ def personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and all spans, for each row of docs (doc_id, text).
 
     Counts and digest are those of the base spans. Null and empty texts have none; null ids and repeated
-    rows are kept; an empty table gives an empty result; other columns are not read.
+    rows are kept; an empty table gives an empty result; other columns are not read. A text of any length
+    is read whole, in memory of some bytes a character and its windows' tags.
     """
     ship(docs.sparkSession)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    rows = picked(docs, doc_id="long", text="string")
     tagger = tagger or train(rows)
 
     def find(batches):
