@@ -15,12 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, cut, rows_in, ship
+from .common import _powers, cut, picked, positional, rows_in, ship
 
 #: Labelled rows that are learned from at most, and features kept at most.
 TRAIN_ROWS, FEATURES = 24_000, 4096
 SIZES = (4, 5, 6)
 BUCKET_BITS, CHUNK_BITS = 19, 13
+#: What parts the classes: buckets in at least SUPPORT texts of which the toxic ones are over DEVIATIONS standard
+#: deviations from the classes' share; n-grams in at least GRAM_SUPPORT texts with a log-count ratio of at least RATIO.
+SUPPORT, DEVIATIONS, GRAM_SUPPORT, RATIO = 4, 6, 3, 1
+#: Characters that are hashed at a time.
+STRETCH = 1 << 18
 _SPREAD = np.uint64(0xBF58476D1CE4E5B9)
 _BLANK = {9: 32, 10: 32, 11: 32, 12: 32, 13: 32}
 
@@ -41,17 +46,34 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def grams(texts: list[str]):
-    """For each size: (hash of every n-gram of all texts, end position), and the texts' end positions.
+def parts(texts: list[str]):
+    """Batches of (text numbers, stretches): texts lower-cased, line ends and tabs as spaces, a space before and after.
 
-    Texts are lower-cased, line ends and tabs become spaces, and a space stands before and after each;
-    n-grams do not cross from one text into the next.
+    Stretches of a long text overlap by one character less than the longest n-gram, so together they have
+    its n-grams and no others, and a batch is bounded in characters.
     """
-    codes = [np.frombuffer(f" {t.lower().translate(_BLANK)} ".encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
+    of: list[int] = []
+    own: list[str] = []
+    count = 0
+    for k, t in enumerate(texts):
+        whole = f" {t.lower().translate(_BLANK)} "
+        for lo in range(0, max(1, len(whole) - max(SIZES) + 1), STRETCH):
+            of.append(k)
+            own.append(whole[lo : lo + STRETCH + max(SIZES) - 1])
+            count += len(own[-1])
+            if count >= STRETCH:
+                yield np.array(of), own
+                of, own, count = [], [], 0
+    if own:
+        yield np.array(of), own
+
+
+def grams(stretches: list[str]):
+    """For each size: (number of the stretch, hash) of every n-gram; none crosses from one stretch into the next."""
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in stretches]
     ends = np.cumsum([len(c) for c in codes])
     data = np.concatenate(codes)
     power, back = _powers(len(data) + 1)
-    out = []
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(7)) * power[: len(data)], out=sums[1:])
@@ -60,22 +82,19 @@ def grams(texts: list[str]):
                 h = (sums[n:] - sums[:-n]) * back[: len(data) - n + 1]
                 h ^= h >> np.uint64(29)
                 h *= _SPREAD
-                out.append((h, n))
-    return out, ends
+                yield h, n, ends
 
 
 def hits(texts: list[str], held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the n-grams in held buckets, each pair once."""
-    found, ends = grams(texts)
-    doc, gram = [], []
-    for h, n in found:
-        at = np.flatnonzero(held[_bucket(h)])
-        d = np.searchsorted(ends, at, side="right")
-        inside = at + n <= ends[d]
-        doc.append(d[inside])
-        gram.append(h[at[inside]])
-    if not doc:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    doc, gram = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for of, own in parts(texts):
+        for h, n, ends in grams(own):
+            at = np.flatnonzero(held[_bucket(h)])
+            d = np.searchsorted(ends, at, side="right")
+            inside = at + n <= ends[d]
+            doc.append(of[d[inside]])
+            gram.append(h[at[inside]])
     d, g = np.concatenate(doc), np.concatenate(gram)
     order = np.lexsort((g, d))
     d, g = d[order], g[order]
@@ -84,6 +103,26 @@ def hits(texts: list[str], held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d[new], g[new]
 
 
+def gram_buckets(texts: list[str]):
+    """(text, its buckets, each once) of every text, in order; no n-grams are sorted."""
+    last = np.zeros(1 << BUCKET_BITS, dtype=np.int64)  # where a bucket was written last
+    text, held = -1, []
+    for of, own in parts(texts):
+        found = [(_bucket(h), n) for h, n, _ in grams(own)]
+        stop = np.cumsum([len(t) for t in own]).tolist()
+        for k, t, end in zip(of.tolist(), own, stop, strict=True):
+            b = np.concatenate([x[end - len(t) : max(end - len(t), end - n + 1)] for x, n in found] or [np.empty(0, np.int64)])
+            place = np.arange(len(b))
+            last[b] = place
+            if k != text:
+                if held:
+                    yield text, held[0] if len(held) == 1 else np.unique(np.concatenate(held))
+                text, held = k, []
+            held.append(b[last[b] == place])
+    if held:
+        yield text, held[0] if len(held) == 1 else np.unique(np.concatenate(held))
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: int = FEATURES) -> Model:
     """Learn from `labels` (doc_id, toxic 0/1; null or other labels and null ids are left out) and the texts of `docs`.
 
@@ -91,9 +130,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features:
     """
     spark = docs.sparkSession
     ship(spark)
-    ids = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
+    ids = picked(labels, doc_id="long", toxic="int").filter("doc_id is not null and toxic in (0, 1)")
     ids = cut(ids.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows))
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    texts = picked(docs, doc_id="long", text="string")
     sample = texts.join(F.broadcast(ids), "doc_id").select("text", "toxic")  # at most `rows` pairs of numbers are sent
     size = 1 << BUCKET_BITS
 
@@ -103,18 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features:
         for part, own in rows_in(batches):
             toxic = np.asarray(part.column("toxic"))
             total += np.bincount(toxic, minlength=2)
-            found, ends = grams(own)
-            keys = []
-            for h, k in found:
-                at = np.arange(len(h))
-                d = np.searchsorted(ends, at, side="right")
-                inside = at + k <= ends[d]
-                keys.append(d[inside] << BUCKET_BITS | _bucket(h[inside]))
-            if keys:
-                pairs = np.unique(np.concatenate(keys))
-                label = toxic[pairs >> BUCKET_BITS]
-                for y in (0, 1):
-                    n[y] += np.bincount(pairs[label == y] & (size - 1), minlength=size).astype(np.int32)
+            for k, own_buckets in gram_buckets(own):
+                n[toxic[k], own_buckets] += 1
         if total.any():
             chunks = n.reshape(2, -1, 1 << CHUNK_BITS).transpose(1, 0, 2)
             for lo in range(0, len(chunks), 8):
@@ -134,9 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features:
         share = total[1] / max(1, total.sum())
         support = n.sum(axis=0)
         z = (n[1] - support * share) / np.sqrt(np.maximum(support * share * (1 - share), 1e-9))
-        z[support < 4] = 0
+        z[support < SUPPORT] = 0
         top = np.argsort(-np.abs(z), kind="stable")[:keep]
-        top = top[np.abs(z[top]) > 6]
+        top = top[np.abs(z[top]) > DEVIATIONS]
         base = int(pdf["chunk"].iloc[0]) << CHUNK_BITS
         return pd.DataFrame({"bucket": [(base + top).tolist()], "z": [z[top].tolist()], "total": [total.tolist()]})
 
@@ -164,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features:
     names, col = np.unique(np.concatenate(parts), return_inverse=True)
     n1, n0 = np.bincount(col[y[row] == 1], minlength=len(names)), np.bincount(col[y[row] == 0], minlength=len(names))
     ratio = np.log((n1 + 1) / (y.sum() + 2)) - np.log((n0 + 1) / ((1 - y).sum() + 2))
-    kept = (n1 + n0 >= 3) & (np.abs(ratio) >= 1)  # weak ones add up over long texts
+    kept = (n1 + n0 >= GRAM_SUPPORT) & (np.abs(ratio) >= RATIO)  # weak ones add up over long texts
     ratio[~kept] = 0
     w, bias = fit(row, col, ratio, y, len(names))
     use = kept & (w * ratio != 0)
@@ -209,28 +238,37 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of docs whose score is under the threshold, all columns as they are; learns like toxicity()."""
-    model = train(docs, labels.filter(~held_out()), rows)
+    """The rows of docs whose score is under the threshold, all columns as they are; learns like toxicity().
+
+    Columns are addressed by place, so extra ones may have any name; rows with a null id are scored like
+    others.
+    """
+    model = train(docs, learnt(labels), rows)
     held = model.prefilter()
+    plain, at = positional(docs)
 
     def run(batches):
-        for part, texts in rows_in(batches):
+        for part, texts in rows_in(batches, at["text"]):
             yield part.filter(pa.array(score(model, texts, held) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def held_out(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
 
 
+def learnt(labels: DataFrame) -> DataFrame:
+    """The labels (doc_id, toxic) that may be learned from."""
+    return picked(labels, doc_id="long", toxic="int").filter(~held_out())
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs; learns from labels that are not held out.
 
     Null texts count as empty; a null id is not held out; repeated rows are scored alike; an empty table
     of documents gives an empty result; other columns of either table are not read.
     """
-    rows_ = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    model = train(docs, labels.filter(~held_out()), rows)
-    out = scored(rows_, model)
+    model = train(docs, learnt(labels), rows)
+    out = scored(picked(docs, doc_id="long", text="string"), model)
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -42,6 +42,86 @@ def test_toxicity_learns_and_holds_out(spark):
     assert {r.predicted for r in toxicity.toxicity(docs.limit(3), marks.limit(0)).collect()} <= {0, 1}
 
 
+def _gram_hash(gram):
+    """A n-gram's hash, from its definition."""
+    word, base = (1 << 64) - 1, 0x9E3779B97F4A7C15 | 1
+    h = sum((ord(c) + 7) * pow(base, k, 1 << 64) for k, c in enumerate(gram)) & word
+    h ^= h >> 29
+    return h * 0xBF58476D1CE4E5B9 & word
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    """Counts, choice of n-grams, ratios and scores from sets of n-grams; long texts come in stretches."""
+    monkeypatch.setattr(toxicity, "STRETCH", 50)
+    g = random.Random(21)
+    word = lambda: "".join(g.choice("abcd") for _ in range(g.randint(1, 4)))
+    texts, marks = [], []
+    for k in range(400):
+        toxic = k % 3 == 0
+        words = [word() for _ in range(g.randint(3, 40))] + (["vile\tTHING"] if toxic and k % 15 else []) + (["good thing"] if not toxic and k % 4 == 0 else [])
+        g.shuffle(words)
+        texts.append(" ".join(words))
+        marks.append(int(toxic))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, y) for k, y in enumerate(marks)], "doc_id long, toxic int")
+    features = 40
+    model = toxicity.train(docs, labels, features=features)
+    grams = [{p[a : a + n] for p in [" " + re.sub(r"\s", " ", t.lower()) + " "] for n in toxicity.SIZES for a in range(len(p) - n + 1)} for t in texts]
+    hashes = [{_gram_hash(x) for x in own} for own in grams]
+    share, buckets = sum(marks) / len(marks), [{h >> (64 - toxicity.BUCKET_BITS) for h in own} for own in hashes]
+    n = {0: {}, 1: {}}
+    for own, y in zip(buckets, marks, strict=True):
+        for b in own:
+            n[y][b] = n[y].get(b, 0) + 1
+    z = {}
+    for b in set(n[0]) | set(n[1]):
+        both = n[0].get(b, 0) + n[1].get(b, 0)
+        if both >= toxicity.SUPPORT:
+            z[b] = (n[1].get(b, 0) - both * share) / (both * share * (1 - share)) ** 0.5
+    strong = sorted((b for b in z if abs(z[b]) > toxicity.DEVIATIONS), key=lambda b: -abs(z[b]))
+    assert len(strong) > 10
+    chosen = set(strong[:features]) if len(strong) <= features or abs(z[strong[features - 1]]) != abs(z[strong[features]]) else set(strong)
+    names = sorted({h for own in hashes for h in own if h >> (64 - toxicity.BUCKET_BITS) in chosen})
+    count = {h: [sum(h in own and y == c for own, y in zip(hashes, marks, strict=True)) for c in (0, 1)] for h in names}
+    ratio = {h: np.log((c[1] + 1) / (sum(marks) + 2)) - np.log((c[0] + 1) / (len(marks) - sum(marks) + 2)) for h, c in count.items()}
+    kept = {h for h in names if sum(count[h]) >= toxicity.GRAM_SUPPORT and abs(ratio[h]) >= toxicity.RATIO}
+    got = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    assert set(got) <= kept and len(got) > 5
+    own = toxicity.score(model, [*texts, "", "x" * 500 + " vile thing"], model.prefilter())
+    for t, s in zip([*texts, "", "x" * 500 + " vile thing"], own.tolist(), strict=True):
+        p = " " + re.sub(r"\s", " ", t.lower()) + " "
+        total = model.bias + sum(got.get(h, 0) for h in {_gram_hash(p[a : a + n]) for n in toxicity.SIZES for a in range(len(p) - n + 1)})
+        assert abs(s - 1 / (1 + np.exp(-total))) < 1e-9
+    if len(strong) <= features:
+        at = {h: k for k, h in enumerate(names)}
+        order = sorted(names)
+        row = np.concatenate([np.full(sum(h in at for h in o), k) for k, o in enumerate(hashes)])
+        col = np.concatenate([[at[h] for h in sorted(o) if h in at] for o in hashes]).astype(int)
+        w, bias = toxicity.fit(row, col, np.array([ratio[h] if h in kept else 0.0 for h in order]), np.array(marks, float), len(names))
+        assert abs(bias - model.bias) < 1e-6 and all(abs(got[h] - w[at[h]] * ratio[h]) < 1e-6 for h in got)
+
+
+def test_long_texts_are_scored_whole():
+    g = random.Random(22)
+    text = " ".join("".join(g.choice("abcdefgh") for _ in range(g.randint(2, 8))) for _ in range(700_000)) + " at the very end"
+    held = np.ones(1 << toxicity.BUCKET_BITS, dtype=bool)
+    held[::2] = False
+    d, found = toxicity.hits(["short", text, ""], held)
+    for gram in (" end ", "very e"):
+        h = _gram_hash(gram)
+        assert held[h >> (64 - toxicity.BUCKET_BITS)] == (h in set(found[d == 1].tolist()))
+    assert (d == 1).sum() > 100_000 and np.all(np.diff(d) >= 0)
+
+
+def test_accepted_keeps_all_columns(spark):
+    rows = [(k, "zzworst" if k % 2 else "fine words", "x", "T", k) for k in range(300)] + [(None, "fine words", None, None, None), (None, None, "x", "T", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, TEXT string, __score int")
+    marks = spark.createDataFrame([(k, k % 2, 5) for k in range(300)], "doc_id long, toxic int, `a.b` int")
+    kept = toxicity.accepted(docs, marks)
+    empty = toxicity.score(toxicity.train(docs, toxicity.learnt(marks)), [""], np.zeros(1 << toxicity.BUCKET_BITS, dtype=bool))[0]
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {r for r in rows if r[1] == "fine words" or r[1] is None and empty < 0.5}
+
+
 def _brute_pii(text):
     patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
     out = []
@@ -114,6 +194,38 @@ def test_personal_data(spark, tagger):
     assert pii.personal_data(spark.createDataFrame([], SCHEMA), tagger).count() == 0
 
 
+def test_tagged_spans_are_those_of_full_coverage(tagger):
+    """Windows over the whole of every text, each place tagged by the one in whose middle it stands nearest."""
+    g = random.Random(31)
+    rows = [t for t, _ in pii.template_rows(120, seed=9)]
+    texts = ["", "7", "@", "1" * 700, "a@" * 200] + [(" plain words and more of them " * g.randint(0, 5)).join(g.sample(rows, g.randint(1, 6))) for _ in range(40)]
+    want, placed = [], 0
+    for t in texts:
+        last = max(0, len(t) - pii.WINDOW)
+        starts = sorted({*range(0, last, pii.STEP), last})
+        x = np.zeros((len(starts), pii.WINDOW), np.int64)
+        for k, at in enumerate(starts):
+            own = pii.symbols(t[at : at + pii.WINDOW])
+            x[k, : len(own)] = own
+        tags = tagger.decode(x)
+        best = [min((abs(2 * (p - at) - pii.WINDOW), at, k) for k, at in enumerate(starts) if at <= p < at + pii.WINDOW) for p in range(len(t))]
+        assert [b[1] for b in best] == pii.owners(np.arange(len(t)), len(t)).tolist()
+        own = [int(tags[k][p - at]) for p, (_, at, k) in enumerate(best)]
+        spans, p = [], 0
+        while p < len(t):
+            if own[p]:
+                kind, a = (own[p] - 1) // 2, p
+                p += 1
+                while p < len(t) and own[p] and (own[p] - 1) // 2 == kind and own[p] % 2 == 0:
+                    p += 1
+                spans.append((kind, a, p))
+            else:
+                p += 1
+        want.append([s for s in spans if pii._fits(s[0], t[s[1] : s[2]])])
+        placed += len(want[-1])
+    assert placed > 50 and pii.tagged_spans(tagger, texts) == want
+
+
 def test_windows_cover_every_trigger():
     g = random.Random(8)
     for _ in range(500):
