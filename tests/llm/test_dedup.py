@@ -74,7 +74,10 @@ def _components(rows, k, num):
 
 @pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80), (2, 60)])
 def test_jaccard_join_against_brute_force(docs, rows, k, num, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 16)  # so that buckets are dealt in blocks
+    if k == 4:  # so that buckets are dealt in blocks, and signatures come in runs with hot ones
+        monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+        monkeypatch.setattr(jaccard_join, "CHUNK", 300)
+        monkeypatch.setattr(jaccard_join, "HOT", 10)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs, k, num).collect()}
     assert got == _components(rows, k, num)
 
@@ -123,7 +126,68 @@ def test_rtree_rules_out_no_link():
     for x, k in enumerate(tree.order.tolist()):
         near = set(tree.order[tree.near(x)[0]].tolist())
         assert {j for j, o in enumerate(sets) if rule.linked(sets[k], o)} <= near
-        assert all((jaccard_join.unpacked(jaccard_join.packed(s)) == s >> np.uint64(16)).all() for s in sets[:3])
+
+
+@pytest.mark.parametrize("canopy", [4, 1024])
+def test_what_a_block_gives(monkeypatch, canopy):
+    """All surviving pairs if it says so; else every point is linked to the first one that survives with it, or to what that one is."""
+    monkeypatch.setattr(jaccard_join, "CANOPY", canopy)
+    g = np.random.default_rng(5)
+    rule = jaccard_join.Rule(4, 85)
+    pool = [g.integers(0, 1 << 63, 120).astype(np.uint64) * np.uint64(2) for _ in range(3)]
+    sets = [np.unique(np.r_[g.choice(pool[k % 3], 115, replace=False), g.integers(0, 1 << 63, g.integers(0, 8)).astype(np.uint64)]) for k in range(70)]
+    points, sizes = jaccard_join.spread([jaccard_join.point(s) for s in sets]), np.array([len(s) for s in sets])
+    groups = np.array([0 if k % 3 == 0 else k for k in range(70)])
+    blocks = np.zeros(70, dtype=int)
+    links = {(x, y) for x in range(70) for y in range(x) if rule.linked(sets[x], sets[y]) and groups[x] != groups[y]}
+    found, whole = jaccard_join.between(points, sizes, groups, blocks, rule, True)
+    assert whole and links <= {(max(p), min(p)) for p in found.tolist()}
+    found, whole = jaccard_join.between(points, sizes, groups, blocks, rule, False)
+    assert not whole and len(found) <= 5 * 70
+    up = list(groups)
+    for x, y in found.tolist():
+        a, b = up[x], up[y]
+        up = [b if u == a else u for u in up]
+    assert len(set(up)) < 12
+    few, whole = jaccard_join.between(points[:8], sizes[:8], np.arange(8), blocks[:8], rule, False)
+    assert canopy < 8 or whole and {p for p in links if p[0] < 8} <= {(max(p), min(p)) for p in few.tolist()}
+
+
+def test_jaccard_join_of_long_texts(spark):
+    """Texts of 30,000 to 600,000 words, whose sets are compared whole."""
+    g = random.Random(12)
+    long = [f"w{g.randrange(10**6)}" for _ in range(30_000)]
+    far = [f"w{g.randrange(10**6)}" if k % 9 == 0 else w for k, w in enumerate(long)]
+    near = [f"w{g.randrange(10**6)}" if k % 60 == 0 else w for k, w in enumerate(long)]
+    huge = [f"h{g.randrange(10**6)}" for _ in range(600_000)]
+    rows = [(k, " ".join(w), "x", "y", 0) for k, w in enumerate((long, far, near, huge, [*huge, "end"], long[:10]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, SCHEMA), 4, 85).collect()}
+    assert [got[k][1] for k in range(6)] == [0, 1, 0, 3, 3, 5]
+    words = " ".join(long[:9]).encode().split()
+    assert got[5][0] == 7 and (common.shingle_hashes(words * 20_000, 4) == np.tile(common.shingle_hashes(words * 2, 4)[:9], 20_000)[: 180_000 - 3]).all()
+
+
+ODD = "doc_id long, `a.b` string, text string, TEXT string, `Doc_ID` int, `x``y` int, __gone boolean, __maybe int, source string, n_chars long, maybe int, bucket long, host string, row string"
+
+
+def test_names_that_clash(spark):
+    """Stages keep every column as it is, whatever its name; the values of each are told apart."""
+    case = spark.conf.get("spark.sql.caseSensitive")
+    same = " ".join(f"w{k}" for k in range(40))
+    made = [(k, "ab", same if k < 3 else f"{same} other words of text number {k} v{k} x{k} y{k} z{k} " * 3, "OTHER", -k, k, k % 2 == 0, 7, "s", 1, 5, 6, "h", "r") for k in range(8)]
+    made += [(None, "ab", None, None, None, None, None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(made, ODD)
+    want = {r[0]: tuple(r) for r in made}
+    kept = jaccard_join.one_of_each(df)
+    assert kept.columns == df.columns and {r[0] for r in kept.collect()} == {0, 3, 4, 5, 6, 7, None} - ({4, 5, 6, 7} - {r[0] for r in kept.collect()})
+    assert all(tuple(r) == want[r[0]] for r in kept.collect())
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == df.columns and all(tuple(r)[:2] + tuple(r)[3:9] == want[r[0]][:2] + want[r[0]][3:9] for r in out.collect())
+    clean = decontaminate.decontaminated(df, spark.createDataFrame([(1, "nothing of this")], "item_id long, text string"))
+    assert clean.columns == df.columns and {tuple(r) for r in clean.collect()} == set(want.values())
+    assert {r.doc_id for r in decontaminate.contamination(df, spark.createDataFrame([(1, same)], "item_id long, text string")).filter("contaminated").select("doc_id").collect()} == set(range(8))
+    assert fingerprints.fingerprints(df).count() == 9 and line_dedup.line_report(df).count() == 9
+    assert spark.conf.get("spark.sql.caseSensitive") == case
 
 
 def test_components(spark):
@@ -245,6 +309,20 @@ def test_fingerprints(spark, rows):
     assert len(one) == 1 and one[0].near_next == 1
 
 
+def test_samples_of_more_terms_than_draws():
+    """Terms that share their draws don't shift the estimate: sets several times as large as the table of draws."""
+    g = np.random.default_rng(18)
+    gaps = []
+    for share in (0.5, 0.8, 0.95):
+        for _ in range(4):
+            pool = np.unique(g.integers(0, 1 << 63, 150_000).astype(np.uint64) * np.uint64(2))
+            own = g.random(len(pool))
+            a, b = pool[own < (1 + share) / 2], pool[own > (1 - share) / 2]
+            want = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            gaps.append((fingerprints.weighted(a, np.ones(len(a), int)) == fingerprints.weighted(b, np.ones(len(b), int))).mean() - want)
+    assert abs(np.mean(gaps)) < 0.04 and np.max(np.abs(gaps)) < 0.2
+
+
 def test_samples_collide_as_often_as_the_weights_overlap():
     g = np.random.default_rng(8)
     gaps = []
