@@ -110,7 +110,7 @@ def rows_in(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[t
             yield part, [t or "" for t in part.column(text).to_pylist()]
 
 
-def texts_in(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 * BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def texts_in(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Byte-balanced slices of the batches, each with its texts as an Arrow array (null: empty)."""
     for batch in batches:
         column = batch.column(text)

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words and bytes of words that a worker keeps; the vocabulary starts anew when either is reached.
-CACHE_WORDS, CACHE_BYTES = 800_000, 16 << 20
+CACHE_WORDS, CACHE_BYTES = 600_000, 12 << 20
 #: Longer words are cut at safe places inside, where there are any, into calls of about this many characters.
 LONG = 1 << 14
 

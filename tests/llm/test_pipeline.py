@@ -27,3 +27,24 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert 100 not in left["jaccard_join"] and 5 in left["jaccard_join"]
     assert 101 not in left["decontamination"] and left["packing"] == left["decontamination"]
     assert {r.doc_id for r in C.run(spark, d).collect()} == left["packing"]
+
+
+def test_odd_rows_go_through(spark, tmp_path):
+    """Null ids and texts, repeated rows and ids; then tables without rows."""
+    good = [" ".join(f"w{k}x{j}" for j in range(12)) for k in range(20)]
+    docs = [(k, t, "en", "s", len(t)) for k, t in enumerate(good)]
+    docs += [(None, good[0] + " and more", "en", None, None), (None, None, None, None, None), (30, None, "en", "s", 0), (31, "", "en", "s", 0), docs[4], (5, "another text of a repeated id with words of its own", "de", "t", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    d = f"{tmp_path}/odd"
+    spark.createDataFrame(docs, schema).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(None, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(None, None), (7, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    got = C.run(spark, d).collect()
+    assert {r.doc_id for r in got} == {*range(20), 30, 31, None}
+    tokens = {}
+    for r in got:
+        tokens.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    assert len({x[2] for x in tokens[5]}) == 2 and len(tokens[4]) == 1 and sum(n for _, n, _ in tokens[30]) == 1
+    for name, kind in (("documents", schema), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert C.run(spark, f"{tmp_path}/none").count() == 0

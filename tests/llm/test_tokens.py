@@ -131,3 +131,59 @@ def test_packing_covers_every_token_once(spark, docs):
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 2048
     assert packing.packed(docs.limit(0), P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_runs_without_spaces_come_apart_where_the_library_agrees():
+    g = random.Random(41)
+    letters = lambda alphabet, n: "".join(g.choice(alphabet) for _ in range(n))
+    han = "".join(chr(0x4E00 + k * 7) for k in range(500)) + "、。"
+    texts = [letters("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 120_000), letters(han, 60_000), letters("0123456789abcdef", 80_000), letters("aé́İ'ſ<|endoftext|>5", 60_000), "x" * 40_000, "日本語、テキスト。" * 9_000, "a" + letters("  ab\n", 60_000), "🙂" * 20_000 + "5a" * 20_000]
+    lib = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    assert opened("piece", P.path("piece_bpe_32k.model")).counts(texts) == [len(lib.encode(t)) for t in texts]
+    for kind, name in (("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json")):
+        own, whole = opened(kind, P.path(name)), Tokenizer.from_file(P.path(name))
+        for t, got in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(got, own.kind).tolist() == whole.encode(t, add_special_tokens=False).ids, t[:40]
+
+
+def test_a_full_vocabulary_starts_anew(monkeypatch):
+    from scoreloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+    own, lib = tokens.ByteIds(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for at in range(0, 400, 20):
+        texts = _random_texts()[at : at + 20]
+        assert [np.frombuffer(x, own.kind).tolist() for x in own.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(own.pool.place) < 500
+
+
+def test_long_documents_are_cut_and_written_whole(spark, tmp_path):
+    """Documents of more tokens than a window and than what is planned at once; a very long one takes a segment of its own."""
+    g = random.Random(43)
+    words = ["".join(g.choice("abcdefgh") for _ in range(g.randint(1, 7))) for _ in range(300)]
+    text = lambda n: " ".join(g.choice(words) + g.choice(["", "", "", "."]) for _ in range(n))
+    texts = [text(n) for n in (5, 3_000, 200_000, 10, 9_000, 1)] + ["one two three four. " * 2_000, ""]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = packing.packed(docs, P.path("byte_bpe_50k.json")).toPandas()
+    ids = _ids("byte_bpe_50k.json", texts)
+    assert max(map(len, ids)) > packing.PLAN and got["length"].max() <= 2048
+    for k, own in enumerate(ids):
+        pieces = got[got["doc_id"] == k].sort_values("start")
+        assert pieces["start"].tolist() == [0, *pieces["length"].cumsum().tolist()[:-1]] and pieces["length"].sum() == len(own) and set(pieces["doc_tokens"]) == {len(own)}
+        assert all(zlib.crc32(own[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in pieces.itertuples())
+    padding = 0
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        n = int(s["length"].sum())
+        assert s["offset"].tolist() == [0, *s["length"].cumsum().tolist()[:-1]] and n <= 2048
+        padding += 0 if n & (n - 1) == 0 else 2048 - n
+    assert padding < 0.05 * sum(map(len, ids))
+    to = f"file://{tmp_path}/long"
+    token_binary.write(docs, P.path("word_bpe_49k.json"), to, segment=20_000)
+    rows = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_binary.read(spark, to).collect()}
+    start = 0
+    for k, own in enumerate(_ids("word_bpe_49k.json", texts)):
+        assert rows[k] == (start, len(own), zlib.crc32(own.tobytes()))
+        start += len(own)
+    files = sorted(p.name for p in (tmp_path / "long").glob("part-*"))
+    held = [r["doc_ids"] for f in files for r in spark.read.parquet(f"{to}/{f}").select("doc_ids").collect()]
+    assert [d for own in held for d in own] == sorted(range(len(texts)))
