@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from scoreloom.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
-from scoreloom.llm.common import shared_dir, ship, table
+from scoreloom.llm.common import discard, scratch, shared_dir, ship, table
 
 #: Near duplicates: runs of five words, a similarity of 0.8 or more.
 WORDS, SIMILARITY = 5, 80
@@ -52,12 +52,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; what a stage has staged or read goes as soon as its output is written."""
     ship(spark)
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
+    docs, before = table(spark, sf_dir, "documents"), None
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        path = f"{base}/{k}-{name}"
+        with scratch(spark):
+            docs = stage(spark, docs, sf_dir)
             docs.write.parquet(path)
-            docs = spark.read.schema(docs.schema).parquet(path)
-    return docs
+        docs = spark.read.schema(docs.schema).parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
