@@ -147,19 +147,17 @@ def _spread(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return out
 
 
-#: Counts above this are left out of the bound's product and allowed for as tokens that points leave out.
-STEPS = 10
-#: Numbers of a product's side that are held at once.
-_SIDE = 1 << 22
+def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a, b).sum(axis=-1, dtype=np.int32)
 
 
 class RTree:
     """Points of group counts, packed level by level.
 
     Each node holds its greatest coordinates, its least and greatest size, and the most tokens that its
-    points' counts leave out (counts that were cut off); the bound allows for these. The inner nodes'
-    coordinates are sums of FOLD neighbouring groups. Points are bounded by all groups: a count c is written
-    as c ones, so that the sums of minima of many pairs are one matrix product.
+    points' counts leave out (counts that were cut off); the bound allows for these. The tree's
+    coordinates are sums of FOLD neighbouring groups, which rules out most points cheaply; what is left
+    is bounded by all groups.
     """
 
     FOLD = 4
@@ -171,61 +169,52 @@ class RTree:
             self.order = np.lexsort((points[:, column], sizes))
         else:
             self.order = np.arange(len(points))
-        self.points, self.sizes = np.minimum(points[self.order], STEPS), sizes[self.order]
+        self.points, self.sizes = points[self.order], sizes[self.order]
         self.extra = self.sizes - self.points.sum(axis=1, dtype=np.int64)
-        self.steps = np.arange(1, min(STEPS, int(self.points.max(initial=1))) + 1, dtype=np.uint8)
-        self.whole = self._ones(slice(None)) if self.points.size * len(self.steps) <= _SIDE else None
-        self.levels = [(None, self.sizes, self.sizes, self.extra)]
-        if len(points) > leaf:
-            top = np.minimum(self.points.reshape(len(points), -1, self.FOLD).sum(axis=2, dtype=np.uint16), 255).astype(np.uint8)
-            extra = self.sizes - top.sum(axis=1, dtype=np.int64)
-            self.folded = top, extra
-            low = high = self.sizes
-            while len(low) > leaf:
-                at = np.arange(0, len(low), leaf)
-                top, low, high, extra = np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at)
-                self.levels.append((top, low, high, extra))
-
-    def _ones(self, which) -> np.ndarray:
-        points = self.points[which]
-        return (points[:, None, :] >= self.steps[:, None]).reshape(len(points), -1).astype(np.float32)
-
-    def _side(self, which) -> np.ndarray:
-        return self._ones(which) if self.whole is None else self.whole[which]
-
-    def _under(self, lo: int, hi: int) -> np.ndarray:
-        """Places whose nodes may hold a partner of a place in [lo, hi)."""
-        num, den, size = self.rule.num, self.rule.den, self.sizes[lo:hi]
-        least, most = int(size.min()), int(size.max())
-        at = np.arange(len(self.levels[-1][1]))
+        coarse = np.minimum(self.points.reshape(len(points), -1, self.FOLD).sum(axis=2, dtype=np.uint16), 255).astype(np.uint8)
+        self.levels = [(coarse, self.sizes, self.sizes, self.sizes - coarse.sum(axis=1, dtype=np.int64))]
+        while len(self.levels[-1][0]) > leaf:
+            top, least, most, extra = self.levels[-1]
+            at = np.arange(0, len(top), leaf)
+            self.levels.append((np.maximum.reduceat(top, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at), np.maximum.reduceat(extra, at)))
+
+    def _under(self, top, least: int, most: int, extra: int) -> np.ndarray:
+        """Places whose node may hold a partner of a node with these bounds."""
+        num, den = self.rule.num, self.rule.den
+        at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             tops, low, high, rest = self.levels[depth]
             at = at[(low[at] * num <= most * den) & (high[at] * den >= least * num)]
             if depth == 0 or not len(at):
                 break
-            bound = np.minimum(tops[at], self.folded[0][lo:hi].max(axis=0)).sum(axis=1, dtype=np.int32) + np.minimum(rest[at], int(self.folded[1][lo:hi].max()))
+            bound = _overlap(tops[at], top) + np.minimum(rest[at], extra)
             at = at[bound >= self.rule.needed(low[at] + least)]
             at = (at[:, None] * self.leaf + np.arange(self.leaf)).ravel()
-            at = at[at < len(self.levels[depth - 1][1])]
+            at = at[at < len(self.levels[depth - 1][0])]
         return at
 
     def pairs(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """(x, y) of places x in [lo, hi) and places y whose overlap with x is not ruled out (x itself included)."""
-        at = self._under(lo, hi)
-        own = self._side(slice(lo, hi))
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        step = max(1, _SIDE // own.shape[1])
-        for k in range(0, len(at), step):
-            some = at[k : k + step]
-            bound = (own @ self._side(some).T).astype(np.int64) + np.minimum(self.extra[lo:hi, None], self.extra[some][None])
-            x, y = np.nonzero(bound >= self.rule.needed(self.sizes[lo:hi, None] + self.sizes[some][None]))
-            found.append((x + lo, some[y]))
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        top, _, _, extra = self.levels[0]
+        own, size = top[lo:hi], self.sizes[lo:hi]
+        at = self._under(own.max(axis=0), int(size.min()), int(size.max()), int(extra[lo:hi].max()))
+        found = []
+        for k in range(0, len(at), 512):
+            some = at[k : k + 512]
+            bound = _overlap(own[:, None], top[some][None]) + np.minimum(extra[lo:hi, None], extra[some][None])
+            x, y = np.nonzero(bound >= self.rule.needed(size[:, None] + self.sizes[some][None]))
+            y = some[y]
+            for j in range(0, len(x), 8192):
+                p, q = x[j : j + 8192] + lo, y[j : j + 8192]
+                fine = _overlap(self.points[p], self.points[q]) + np.minimum(self.extra[p], self.extra[q])
+                fits = fine >= self.rule.needed(self.sizes[p] + self.sizes[q])
+                found.append((p[fits], q[fits]))
+        return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
     def near(self, x: int) -> tuple[np.ndarray, np.ndarray]:
         """Places (in self.order) whose overlap with place x is not ruled out, and the bounds."""
         at = self.pairs(x, x + 1)[1]
-        return at, np.minimum(self.points[at], self.points[x]).sum(axis=1, dtype=np.int64) + np.minimum(self.extra[at], self.extra[x])
+        return at, _overlap(self.points[at], self.points[x]) + np.minimum(self.extra[at], self.extra[x])
 
 
 def between(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray, blocks: np.ndarray, rule: Rule, every: bool, dense: int = DENSE) -> tuple[np.ndarray, bool]:
