@@ -241,9 +241,11 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: i
     """The rows of docs whose score is under the threshold, all columns as they are; learns like toxicity().
 
     Columns are addressed by place, so extra ones may have any name; rows with a null id are scored like
-    others.
+    others. Where the labels teach nothing (none, or of one class) no row is rejected.
     """
     model = train(docs, learnt(labels), rows)
+    if not len(model.features):
+        return docs
     held = model.prefilter()
     plain, at = positional(docs)
 
