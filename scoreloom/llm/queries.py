@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, jaccard_join, line_dedup, packing, pii, secrets_scan, token_binary, token_counts, toxicity
+from . import decontaminate, erasure, fingerprints, jaccard_join, line_dedup, packing, pii, secrets_scan, spelling, token_binary, token_counts, topk_search, toxicity
 from .common import table
 
 PIECES, WORDS, BYTES = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -50,5 +51,17 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_binary, op3_toxicity, op4_pii, op5_secrets, op6_line_dedup, op7_jaccard_join, op8_packing, op9_decontaminate, op10_fingerprints)}
-SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE}
+def op11_topk_search(spark, sf_dir):
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op12_erasure(spark, sf_dir):
+    return erasure.erase_clients(*[table(spark, sf_dir, name) for name in erasure.AMOUNTS])
+
+
+def op13_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_binary, op3_toxicity, op4_pii, op5_secrets, op6_line_dedup, op7_jaccard_join, op8_packing, op9_decontaminate, op10_fingerprints, op11_topk_search, op12_erasure, op13_spelling)}
+SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE, "op11_topk_search": topk_search.ORACLE}
