@@ -115,7 +115,7 @@ def counted(batches, drop: int = DROP, letters: int = LETTERS, held: int = HELD)
                 h = advanced(np.array([prefix], dtype=np.uint32), most)[np.minimum(size, most), 0] ^ crc
                 for k in np.flatnonzero(size > most).tolist():
                     h[k] = zlib.crc32(words.text[here[k]].encode(), prefix)
-                struck = h % drop == 0
+                struck = h.astype(np.int64) % drop == 0
                 counts[here[~struck]] += n[~struck]
                 for k in np.flatnonzero(struck).tolist():
                     word = shortened(words.text[here[k]], int(h[k]))
