@@ -13,7 +13,8 @@ Rounds, each verified and joined into components: first, in one of SHARE buckets
 they are few a member, else those of each point with the first point that its search finds; the same in
 the other buckets, between components; then, in buckets of which pairs were left out and that still hold
 several components, all surviving pairs between these. What remains apart has no link. So a group of
-copies is never written out as all its pairs, nor in each of the many buckets that it shares.
+copies is never written out as all its pairs, nor in each of the many buckets that it shares: a pair is left
+to the first of its common buckets, as far as the members know their first ones.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ DENSE = 4
 SHARE = 16
 #: Larger blocks first gather what is near their first members, so many of these.
 CANOPY, CANOPIES = 1024, 64
+#: Buckets of which each member knows that it is in them: its first ones.
+FIRSTS = 8
 _FLUSH = 1 << 20
 _KEY = (1 << 48) - 1
 
@@ -217,14 +220,29 @@ class RTree:
         return at, _overlap(self.points[at], self.points[x]) + np.minimum(self.extra[at], self.extra[x])
 
 
-def between(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray, blocks: np.ndarray, rule: Rule, every: bool, dense: int = DENSE) -> tuple[np.ndarray, bool]:
+def common(lists: np.ndarray, ends: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """64 bits for each list: which of the values marked in `before` it has, of the 64 that most lists have."""
+    own = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[before]
+    values, place, count = np.unique(lists[before], return_inverse=True, return_counts=True)
+    bit = np.full(len(values), 64)
+    most = np.argsort(-count, kind="stable")[:64]
+    bit[most] = np.arange(len(most))
+    out = np.zeros(len(ends), dtype=np.uint64)
+    known = bit[place] < 64
+    np.bitwise_or.at(out, own[known], np.uint64(1) << bit[place][known].astype(np.uint64))
+    return out
+
+
+def between(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray, blocks: np.ndarray, rule: Rule, every: bool, dense: int = DENSE, met: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
     """Surviving pairs (rows x, y) between groups, and whether these are all.
 
     All of them, if `every` or if they are few (`dense` a member); else each point with the first one that its search finds.
     With two blocks at hand only pairs across the blocks count. Points come in the order that makes one first.
+    Pairs that have a bit of `met` in common are left to an earlier bucket.
     """
     tree = RTree(points, sizes, rule)
     group, block, n = groups[tree.order], blocks[tree.order], len(points)
+    earlier = np.zeros(n, dtype=np.uint64) if met is None else met[tree.order]
     two = bool(block.min() != block.max())
     pairs: list[np.ndarray] = []
     whole = True
@@ -242,7 +260,8 @@ def between(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray, blocks: n
                 free[x] = False
                 if len(at):
                     free[at] = False
-                    pairs.append(np.stack([np.full(len(at), x), at], axis=1))
+                    fresh = at[(earlier[at] & earlier[x]) == 0]
+                    pairs.append(np.stack([np.full(len(fresh), x), fresh], axis=1))
                     group[np.isin(group, np.unique(group[at]))] = group[x]
                     whole = False
     names, count = np.unique(group, return_counts=True)
@@ -258,6 +277,7 @@ def between(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray, blocks: n
             use = (group[x] != largest) & (group[x] != group[y]) & ((group[y] == largest) | (y > x))
             if two:
                 use &= block[x] != block[y]
+            use &= (earlier[x] & earlier[y]) == 0
             x, y = x[use], y[use]
             total += len(x)
             if every or total <= dense * n + LEAF:
@@ -456,7 +476,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _pairs(members: DataFrame, rule: Rule, parts: int, every: bool, dense: int = DENSE) -> DataFrame:
-    """a, b: nodes to verify. members: bucket, i, j, own, node, size, point, component; (bucket, i, j) names a block.
+    """a, b: nodes to verify. members: bucket, early, i, j, own, node, size, point, component, firsts, n_early; (bucket, i, j) names a block.
 
     A row without a and b names a bucket of which not all surviving pairs are given.
     """
@@ -482,7 +502,15 @@ def _pairs(members: DataFrame, rule: Rule, parts: int, every: bool, dense: int =
             points = batch.column("point")[lo:hi]
             ends = np.frombuffer(points.buffers()[1], np.int32)[points.offset : points.offset + len(points) + 1].astype(np.int64)
             counts = _spread(np.frombuffer(points.buffers()[2], np.uint8), ends[:-1], np.diff(ends))
-            found, whole = between(counts, size, component, own, rule, every, dense)
+            # the first bucket that two members share, by the same order in all rounds, is never passed over
+            lists = batch.column("firsts")[lo:hi]
+            stops = np.cumsum(np.asarray(lists.value_lengths()))
+            firsts = np.asarray(lists.flatten())
+            place = np.arange(len(firsts)) - np.repeat(np.r_[0, stops[:-1]], np.diff(stops, prepend=0))
+            of_early = place < np.repeat(np.asarray(batch.column("n_early")[lo:hi]), np.diff(stops, prepend=0))
+            early = batch.column("early")[lo].as_py()
+            before = (of_early == early) & (firsts < bucket[0]) | of_early & (not early)
+            found, whole = between(counts, size, component, own, rule, every, dense, common(firsts, stops, before))
             if not whole:
                 left.add(int(bucket[0]))
             if len(found):
@@ -507,7 +535,7 @@ def _pairs(members: DataFrame, rule: Rule, parts: int, every: bool, dense: int =
         if out or left:
             yield sent()
 
-    dealt = members.select("bucket", "i", "j", "own", "node", "component", "size", "point").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    dealt = members.select("bucket", "early", "i", "j", "own", "node", "component", "size", "point", "firsts", "n_early").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
     return dealt.mapInArrow(run, "a long, b long, bucket long").distinct()
 
 
@@ -579,10 +607,13 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     nodes = named.groupBy("d", "e").agg(F.min("doc_id").alias("node"))
     # the few classes that meet another, with their points
     keyed = named.withColumn("key", F.col("d").bitwiseAND(F.lit(_KEY)))
-    vertices = staged(keyed.join(members.select("key").distinct(), "key", "left_semi").groupBy("key", "d", "e").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("point").alias("point")), "vertices")
+    early = F.pmod(F.xxhash64("bucket"), F.lit(SHARE)) == 0
+    firsts = members.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct((~early).alias("late"), "bucket"))), 1, FIRSTS).alias("f"))
+    firsts = firsts.select(F.col("key").alias("of"), F.col("f.bucket").alias("firsts"), F.size(F.filter("f", lambda x: ~x.late)).alias("n_early"))
+    points = keyed.join(members.select("key").distinct(), "key", "left_semi").groupBy("key", "d", "e").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("point").alias("point"))
+    vertices = staged(points.join(firsts, F.col("key") == F.col("of")).drop("of"), "vertices")
     hot = members.filter("m = 0").groupBy(F.col("bucket").alias("of")).agg(F.count("*").alias("many"))
     sized = members.join(hot, F.col("bucket") == F.col("of"), "left").select("bucket", F.coalesce("many", "m").alias("m"), "key")
-    early = F.pmod(F.xxhash64("bucket"), F.lit(SHARE)) == 0
     links = grown = None
     open_ = sized.filter(F.col("m") > BLOCK).select(F.col("bucket").alias("left"))  # buckets of which pairs are left out
     for number in range(3):
@@ -592,7 +623,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
         chosen = sized.filter(early if number == 0 else ~early)
         if number == 2:
             chosen = sized.join(open_.distinct(), F.col("bucket") == F.col("left"), "left_semi")
-        placed = chosen.join(held.select("key", "node", "size", "point", "component"), "key").drop("key")
+        placed = chosen.join(held.select("key", "node", "size", "point", "component", "firsts", "n_early"), "key").drop("key").withColumn("early", early)
         # after the first round copies are components, and what survives between these is seldom much
         found = staged(_pairs(_tiles(placed) if number == 2 else _blocks(placed), rule, parts, number == 2, DENSE << 2 * number), "pairs")
         open_ = open_.unionByName(found.filter("bucket is not null").select(F.col("bucket").alias("left")))
