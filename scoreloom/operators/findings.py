@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .opinions import first_object
+
 RANKS = {"critical": 0, "major": 1, "minor": 2}
 KEY = ("task_id", "issue_key", "file", "line")
 _FIELDS = {"severity": "string", "issue": "string", "file": "string", "line": "int", "stance": "string"}
@@ -75,8 +77,14 @@ def parsed(payload):
 
 
 def readable(entries: DataFrame) -> DataFrame:
-    """entries whose payload that can't be read counts as a lost answer: it must not pass as one without findings."""
-    return entries.withColumn("payload", F.when(parsed(F.col("payload")).isNotNull(), F.col("payload")))
+    """entries with payloads that a strict reader takes (of a repeated key the last value, NaN and infinities null).
+
+    One that still can't be read counts as a lost answer: it must not pass as one without findings.
+    """
+    own = F.col("payload")
+    strict = parsed(own).isNotNull()
+    anew = first_object(F.when(own.isNotNull() & ~strict, F.array(own))).object
+    return entries.withColumn("payload", F.when(strict, own).otherwise(F.when(parsed(anew).isNotNull(), anew)))
 
 
 def exploded(entries: DataFrame) -> DataFrame:
@@ -87,7 +95,7 @@ def exploded(entries: DataFrame) -> DataFrame:
     listed = F.try_variant_get(parsed(F.col("payload")), "$.findings", "array<variant>")
     out = entries.filter("payload is not null").select("task_id", "idx", "slug", F.posexplode(listed).alias("pos", "f")).filter(F.schema_of_variant("f").startswith("OBJECT"))
     fields = [F.try_variant_get("f", f"$.{name}", kind).cast("string").alias(name) for name, kind in _FIELDS.items()]
-    return out.select("task_id", (F.col("idx") * 100_000 + F.col("pos")).alias("ord"), "slug", *fields)
+    return out.select("task_id", F.struct("idx", "pos").alias("ord"), "slug", *fields)
 
 
 def union(findings: DataFrame) -> DataFrame:

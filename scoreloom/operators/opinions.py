@@ -8,6 +8,7 @@ told under any of its names.
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,25 @@ def candidates(text: Column) -> Column:
     return F.concat(F.array(text), F.regexp_extract_all(text, F.lit(FENCE), F.lit(1)), F.array(tail))
 
 
+#: In place of an object that is there but can't be read: such an answer is lost, it isn't prose.
+UNREADABLE = ""
+
+
+def finite(text: str) -> float | None:
+    """A number, null if it is too large for one."""
+    value = float(text)
+    return value if math.isfinite(value) else None
+
+
+#: Whole numbers of more digits are rounded.
+DIGITS = 38
+
+
+def decoder() -> json.JSONDecoder:
+    """NaN and infinities are no JSON, numbers beyond a double's reach no numbers: all are null."""
+    return json.JSONDecoder(parse_constant=lambda _: None, parse_float=finite, parse_int=lambda t: int(t) if len(t) <= DIGITS else finite(t))
+
+
 @F.pandas_udf(T.StructType([T.StructField("object", T.StringType()), T.StructField("place", T.IntegerType())]))
 def first_object(lists):
     """The first candidate that is a JSON object, written anew (of a repeated key the last value), and its place.
@@ -42,18 +62,20 @@ def first_object(lists):
     """
     import pandas as pd
 
-    decode = json.JSONDecoder(parse_constant=lambda _: None).raw_decode  # NaN and infinities are no JSON
-    out = []
+    decode, out = decoder().raw_decode, []
     for parts in lists:
         found = (None, None)
         for place, part in enumerate(() if parts is None else parts):
             start = (part or "").lstrip(" \t\n\r")
             try:
                 value, end = decode(start)
-            except (ValueError, RecursionError):
+            except ValueError:
                 continue
+            except RecursionError:
+                found = (UNREADABLE, place)
+                break
             if isinstance(value, dict) and (place == len(parts) - 1 or not start[end:].strip(" \t\n\r")):
-                found = (json.dumps(value), place)
+                found = (json.dumps(value, allow_nan=False), place)
                 break
         out.append(found)
     return pd.DataFrame(out, columns=["object", "place"]).astype({"place": "Int32"})
@@ -98,8 +120,9 @@ def read(answers: DataFrame, content: str = "content") -> DataFrame:
     advice = told(value, ADVICE_KEYS)
     out = out.withColumns({"said": F.coalesce(told(value, SUMMARY_KEYS), _headline(listed), advice), "advice": advice, "prose": prose})
     usable = value.isNotNull() & (F.col("said").isNotNull() | (F.coalesce(F.size(listed), F.lit(0)) > 0))
-    long = F.length("prose") >= LEAST_PROSE
-    note = F.when(usable, F.col("read.how")).when(long, "prose").when(F.length("prose") > 0, "noise").otherwise("empty")
+    lost = F.col("read.object").isNotNull() & value.isNull()  # there is an object that can't be read
+    long = (F.length("prose") >= LEAST_PROSE) & ~lost
+    note = F.when(usable, F.col("read.how")).when(lost, "empty").when(long, "prose").when(F.length("prose") > 0, "noise").otherwise("empty")
     out = out.withColumns(
         {
             "note": note,

@@ -643,11 +643,17 @@ def retry_waits(spark, sf_dir):
 t AS (SELECT task_id, count(*) FILTER (WHERE NOT lost) survivors, count(DISTINCT turn) FILTER (WHERE NOT lost AND s < 4) findings, min(s) FILTER (WHERE NOT lost) worst FROM e GROUP BY 1)
 SELECT task_id, survivors, findings, CASE WHEN survivors < 2 THEN 'REVISE' WHEN worst = 0 THEN 'FAIL' WHEN worst = 1 THEN 'REVISE' ELSE 'PASS' END AS verdict FROM t""")
 def review_mixed(spark, sf_dir):
-    """Reviews of all outcomes: findings of each severity beside members that are no objects, and answers that can't be read."""
+    """Reviews of all outcomes: findings of each severity beside members that are no objects, and answers that can't be read.
+
+    Objects with numbers beyond all bounds, NaN, endless digits and repeated keys are read like the others.
+    """
     c = M.table(spark, sf_dir, "conversations")
     severity = F.element_at(F.array(*[F.lit(x) for x in ("critical", "major", "minor", "minor")]), ((F.col("conv_id") * 7 + F.col("turn")) % 5 + 1).cast("int"))
     finding = F.concat(F.lit('{"severity":"'), severity, F.lit('","issue":"turn '), F.col("turn").cast("string"), F.lit('","line":"'), F.col("turn").cast("string"), F.lit('"}'))
-    odd = F.when((F.col("conv_id") * 7 + F.col("turn")) % 5 < 4, F.concat(F.lit('{"findings":["just text",'), finding, F.lit(',7,null,{"severity":"unknown"}]}'))).otherwise('{"findings":1}')
+    k = (F.col("conv_id") * 3 + F.col("turn")) % 5
+    strange = F.when(k == 0, ',"big":1e999').when(k == 1, ',"x":[NaN,-Infinity]').when(k == 2, F.concat(F.lit(',"n":'), F.repeat(F.lit("9"), 5000))).otherwise("")
+    first = F.when(k == 3, '"findings":[],').otherwise("")
+    odd = F.when((F.col("conv_id") * 7 + F.col("turn")) % 5 < 4, F.concat(F.lit("{"), first, F.lit('"findings":["just text",'), finding, F.lit(',7,null,{"severity":"unknown"}]'), strange, F.lit("}"))).otherwise('{"findings":1}')
     payload = F.when((F.col("conv_id") + F.col("turn")) % 6 == 5, '{"findings":[').otherwise(odd)
     rows = c.select(F.col("conv_id").cast("string").alias("task_id"), F.col("turn").alias("idx"), F.concat(F.lit("m"), (F.col("turn") % 5).cast("string")).alias("slug"), payload.alias("payload"), F.lit("json").alias("note"))
     return findings.review(rows, M.rulings(spark, sf_dir).filter("false")).select("task_id", "survivors", "findings", "verdict")

@@ -171,3 +171,21 @@ def test_sound_is_never_passed_unheard(spark):
     df = spark.createDataFrame(rows, "v string, c string, d array<struct<criterion:string,problem:string>>, want string")
     assert df.filter(cost.guarded(F.col("v"), F.col("c"), F.col("d")) != F.col("want")).count() == 0
     assert df.select(cost.defect_text(F.col("d")).alias("t")).collect()[2].t == "audio: quiet"
+
+
+def test_an_answer_that_overflows_is_no_acquittal(spark):
+    """Numbers beyond all bounds, NaN, endless digits, repeated keys and too deep objects: the critical finding counts or the answer is lost."""
+    bad = '"findings":[{"severity":"critical","issue":"x"}]'
+    clean = '{"summary":"fine","findings":[]}'
+    strange = ["1e999", "-1e999", "NaN", "9" * 5000, "[" * 30 + "]" * 30]
+    deep = "[" * 100_000 + "]" * 100_000
+    rows = [(f"t{k}", 0, "a", f'{{{bad},"big":{x}}}') for k, x in enumerate([*strange, deep])] + [("twice", 0, "a", f'{{"findings":[],{bad}}}')]
+    rows += [(t, k, s, clean) for t, *_ in rows for k, s in ((1, "b"), (2, "c"))]
+    answers = spark.createDataFrame(rows, "task_id string, idx int, slug string, content string")
+    none = spark.createDataFrame([], RULE)
+    got = {r["task_id"]: r for r in findings.review(opinions.read(answers), none).collect()}
+    assert {t: r["verdict"] for t, r in got.items() if t != "t5"} == dict.fromkeys(["t0", "t1", "t2", "t3", "t4", "twice"], "FAIL")
+    assert got["t5"]["survivors"] == 2 and len(got["t5"]["blind_spots"]) == 1
+    raw = answers.select("task_id", "idx", "slug", F.col("content").alias("payload"), F.lit("json").alias("note"))
+    got = {r["task_id"]: r["verdict"] for r in findings.review(raw, none).collect()}
+    assert {t: v for t, v in got.items() if t != "t5"} == dict.fromkeys(["t0", "t1", "t2", "t3", "t4", "twice"], "FAIL")
