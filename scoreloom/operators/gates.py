@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
 from .ev import in_range
 
 
@@ -32,6 +35,44 @@ def diff_gate(today: DataFrame, prior: DataFrame, move: float = 0.2, share: floa
     return out.withColumn("passed", F.coalesce(F.try_divide(F.col("moved"), F.col("compared")) <= share, F.lit(True)))
 
 
+def history_gate(days: DataFrame, move: float = 0.2, share: float = 0.30) -> DataFrame:
+    """as_of, prior, compared, moved, passed of each day, against the last day before it that itself passed; the first day passes.
+
+    days: as_of, game_no, ev_ratio (null: not compared), each game once a day. Every day is tried as the one that passed:
+    against the next day, then, where that fails, against the one after it, and so on, all days at once; so there are as many
+    rounds as the longest run of days that fail against one. The days that hold are those that the first one leads to.
+    """
+    ratios = cut(days.filter("ev_ratio is not null").select("as_of", "game_no", "ev_ratio"))
+    order = cut(days.select("as_of").distinct().withColumn("k", F.row_number().over(Window.orderBy("as_of"))))  # a row a day
+    placed = ratios.join(F.broadcast(order), "as_of").select("k", "game_no", "ev_ratio")
+    later = placed.select(F.col("k").alias("day"), F.col("game_no").alias("g"), F.col("ev_ratio").alias("now"))
+    n, far, tried = order.count(), 1, []
+    open_ = order.filter(F.col("k") < n).select("k")
+    while True:
+        pairs = placed.join(F.broadcast(open_), "k").join(later, (F.col("day") == F.col("k") + far) & (F.col("g") == F.col("game_no")))
+        counts = pairs.groupBy(F.col("k").alias("of")).agg(F.count("*").alias("compared"), F.count_if(F.abs(F.col("now") - F.col("ev_ratio")) > move).alias("moved"))
+        found = open_.join(counts, F.col("k") == F.col("of"), "left").select("k", (F.col("k") + far).alias("day"), F.coalesce("compared", F.lit(0)).alias("compared"), F.coalesce("moved", F.lit(0)).alias("moved"))
+        found = cut(found.withColumn("passed", F.coalesce(F.try_divide(F.col("moved"), F.col("compared")) <= share, F.lit(True))))
+        tried.append(found)
+        far += 1
+        open_ = found.filter(~F.col("passed") & (F.col("k") + far <= n)).select("k")
+        if open_.isEmpty():
+            break
+    steps = cut(reduce(DataFrame.unionByName, tried))
+    held = order.filter("k = 1").select("k")
+    reached, ahead = held, held
+    jumps = steps.filter("passed").select("k", F.col("day").alias("next"))
+    while not ahead.isEmpty():  # days that hold: those reached so far and what they lead to, twice as many steps each time
+        ahead = cut(reached.join(jumps, "k").select(F.col("next").alias("k")).join(reached, "k", "left_anti").distinct())
+        reached = cut(reached.unionByName(ahead))
+        jumps = cut(jumps.unionByName(jumps.join(jumps.select(F.col("k").alias("next"), F.col("next").alias("further")), "next").select("k", F.col("further").alias("next"))).distinct())
+    names = order.select(F.col("k").alias("day"), "as_of")
+    prior = order.select("k", F.col("as_of").alias("prior"))
+    out = steps.join(reached, "k").join(names, "day").join(prior, "k").select("as_of", "prior", "compared", "moved", "passed")
+    first = order.filter("k = 1").select("as_of", F.lit(None).cast("date").alias("prior"), F.lit(0).cast("long").alias("compared"), F.lit(0).cast("long").alias("moved"), F.lit(True).alias("passed"))
+    return first.unionByName(out)
+
+
 def violations(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
     """rule, violations: how many rows break each rule (null counts as broken); one pass over the rows."""
     counted = rows.agg(*[F.count_if(~F.coalesce(F.expr(c), F.lit(False))).alias(f"`{n}`".strip("`")) for n, c in rules.items()])

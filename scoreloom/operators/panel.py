@@ -40,14 +40,41 @@ def superseded(rows: DataFrame, order: list[str]) -> DataFrame:
     return out.filter("__rn > 1").select(*KEY, F.col("capture_ts").alias("superseded_capture_ts"), F.col("capture_url").alias("superseded_capture_url"), "kept_capture_ts", "kept_capture_url")
 
 
-def with_lifecycle(panel: DataFrame) -> DataFrame:
-    """active, but for a game's last day: exited_observed at 0, exited_unobserved if the panel goes on."""
+def with_lifecycle(panel: DataFrame, confirmed: str | None = None) -> DataFrame:
+    """active, but for a game's last day: exited_observed at 0, exited_unobserved if the panel goes on.
+
+    `confirmed` names a column with the end date that is known of a game; one before the panel's end is an observed exit.
+    """
     last = panel.agg(F.max("obs_date").alias("panel_end"))  # one row
     out = panel.withColumn("__next", F.lead("obs_date").over(Window.partitionBy("game_key").orderBy("obs_date"))).crossJoin(F.broadcast(last))
-    status = F.when(F.col("__next").isNotNull(), "active").when(F.col("percent_unsold") == 0, "exited_observed").when(F.col("panel_end") > F.col("obs_date"), "exited_unobserved").otherwise("active")
+    seen = F.col("percent_unsold") == 0
+    if confirmed:
+        seen = seen | F.coalesce(F.col(confirmed) < F.col("panel_end"), F.lit(False))
+    status = F.when(F.col("__next").isNotNull(), "active").when(seen, "exited_observed").when(F.col("panel_end") > F.col("obs_date"), "exited_unobserved").otherwise("active")
     return out.withColumn("lifecycle_status", status).drop("__next", "panel_end")
 
 
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, known: str, stretch: str = "month") -> DataFrame:
+    """left with the columns of the last row of right that is not after it: right[known] <= left[at]; nulls if there is none.
+
+    Both are sorted as one, without a join of rows. A key's rows are taken in stretches of time (month, week, ...), and what
+    a stretch leaves known goes to the next ones, so a long or hot key isn't sorted in one task. right has one row for
+    each key and time; a null time is never known.
+    """
+    told = [c for c in right.columns if c not in keys]
+    a = left.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("l"), *keys, F.col(at).alias("t"), F.lit(None).cast(right.select(F.struct(*told)).schema[0].dataType).alias("r"))
+    b = right.filter(F.col(known).isNotNull()).select(F.lit(None).cast(a.schema["l"].dataType).alias("l"), *keys, F.col(known).alias("t"), F.struct(*told).alias("r"))
+    both = a.unionByName(b).withColumn("part", F.date_trunc(stretch, "t"))
+    last = both.filter("r is not null").groupBy(*keys, "part").agg(F.max_by("r", "t").alias("left_known"))
+    parts = both.select(*keys, "part").distinct().join(last, [*keys, "part"], "left")
+    before = F.last("left_known", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    same = [F.col(k) == F.col(f"of_{k}") for k in keys] + [F.col("part").eqNullSafe(F.col("of_part"))]
+    carried = parts.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col("part").alias("of_part"), before.alias("carried"))
+    within = F.last("r", ignorenulls=True).over(Window.partitionBy(*keys, "part").orderBy(F.col("t"), F.col("r").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("found", within).filter("l is not null").join(carried, same, "left")
+    return found.select("l.*", *[F.coalesce(F.col("found"), F.col("carried"))[c].alias(c) for c in told])
+
+
 def windows(panel: DataFrame) -> DataFrame:
     """Consecutive observations of a game: start, end, days, sales and claims rates.
 

@@ -954,3 +954,6 @@ def stream_dedup(spark, sf_dir):
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("day", F.col("ts").cast("date"))
     history.run_once(history.deduplicated(rows, ["user_id", "event_type", "day"], "60 days").select("user_id", "event_type", "day"), f"{base}/out", f"{base}/state")
     return spark.read.schema("user_id bigint, event_type string, day date").parquet(f"{base}/out").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+from . import recorded  # noqa: E402, F401  (registers its queries; it needs what is above)
