@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +14,10 @@ from ..shipping import ship
 BINS = ((0, 45), (45, 90), (90, 150), (150, 400))
 #: Stretches of the values that ranks are counted in.
 STRETCHES = 256
-#: Repetitions of the permutation test that a task counts.
-SHARE = 25
+#: Counts of a histogram that a quantile is found by.
+BUCKETS = 256
+#: Fixed value: offsets of the permutation test are worked out modulo this prime, in whole numbers of 64 bits.
+MODULUS = 2_147_483_647
 
 
 def demeaned(windows: DataFrame) -> DataFrame:
@@ -48,98 +49,184 @@ def binned(pairs_: DataFrame, bins=BINS) -> DataFrame:
     return pairs_.withColumn("bin", out).filter("bin is not null")
 
 
-def ranked(rows: DataFrame, column: str, keys: list[str], name: str) -> DataFrame:
-    """rows with `name`: the rank of `column` within keys, ties at their mean.
+def value_ranks(counts: DataFrame, column: str, keys: list[str], name: str) -> DataFrame:
+    """keys, column, `name`: the rank of each distinct value within keys, ties at their mean, less the mean of all ranks.
 
-    Equal values are counted first. The distinct ones are dealt in stretches between quantiles, whose totals
-    give the ranks before each, so no key's values are sorted in one task.
+    counts: keys, column, n. The distinct values are dealt in stretches between quantiles, whose totals give the ranks
+    before each, so no key's values are sorted in one task. Nulls come first.
     """
     steps = [k / STRETCHES for k in range(1, STRETCHES)]
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(column, steps).alias("cuts"))
-    counts = rows.groupBy(*keys, column).agg(F.count("*").alias("n")).join(cuts, keys)
-    counts = counts.withColumn("stretch", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c < F.col(column)))).drop("cuts")
-    totals = counts.groupBy(*keys, "stretch").agg(F.sum("n").alias("total"))
-    before = F.coalesce(F.sum("total").over(Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = Window.partitionBy(*keys, "stretch").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.join(totals.select(*keys, "stretch", before.alias("before")), [*keys, "stretch"])
-    rank = F.col("before") + F.sum("n").over(within) - (F.col("n") - 1) / 2
-    ranks = placed.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col(column).alias("of_value"), rank.alias(name))
-    same = F.col(column).eqNullSafe(F.col("of_value"))
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"of_{k}"))
-    return rows.join(ranks, same).drop(*[f"of_{k}" for k in keys], "of_value")
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(column, steps).alias("cuts"))
+    each = counts.groupBy(*keys, column).agg(F.sum("n").alias("n")).join(F.broadcast(cuts), keys)  # a row a key
+    each = each.withColumn("stretch", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c < F.col(column)))).drop("cuts")
+    totals = each.groupBy(*keys, "stretch").agg(F.sum("n").alias("total"))
+    key = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("total").over(key.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = each.join(totals.select(*keys, "stretch", before.alias("before"), F.sum("total").over(key).alias("all")), [*keys, "stretch"])
+    within = F.sum("n").over(Window.partitionBy(*keys, "stretch").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.col("before") + within - (F.col("n") - 1) / 2 - (F.col("all") + 1) / 2
+    return placed.select(*keys, column, rank.alias(name))
+
+
+def _ranked(counts: DataFrame, ranks: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    of = ranks.select(*[F.col(c).alias(f"of_{c}") for c in (*keys, column)], ranks.columns[-1])
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*keys, column)]
+    return counts.join(of, same).drop(*[f"of_{c}" for c in (*keys, column)])
 
 
 def spearman(binned_: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, n_pairs, rho. Pairs of values are counted first; ranks are those of the distinct values, joined to the counts."""
     keys = keys or ["bin"]
-    rows = cut(binned_.select(*keys, "s", "d"))  # it is read for the quantiles, the counts and the ranks
-    both = ranked(ranked(rows, "s", keys, "rs"), "d", keys, "rd")
-    return both.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.corr("rs", "rd").alias("rho"))
+    counts = cut(binned_.groupBy(*keys, "s", "d").agg(F.count("*").alias("n")))
+    both = _ranked(_ranked(counts, value_ranks(counts, "s", keys, "rs"), "s", keys), value_ranks(counts, "d", keys, "rd"), "d", keys)
+    return _rho(both, keys).select(*keys, "n_pairs", "rho")
+
+
+def _rho(ranked: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, n_pairs, xx, rho from counted pairs (n) with their ranks (rs, rd)."""
+    n, x, y = F.col("n"), F.col("rs"), F.col("rd")
+    sums = ranked.groupBy(*(keys or ["bin"])).agg(F.sum(n).alias("n_pairs"), F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"))
+    return sums.withColumn("rho", F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))).drop("xy", "yy")
+
+
+def quantile(rows: DataFrame, key: str, column: str, q: float, times: str) -> DataFrame:
+    """key, value: the q-quantile of `column` by key, each row counted `times` times, between two values in proportion.
+
+    The two are found by histograms: a pass counts the values of a key in BUCKETS of the range that holds the wanted one,
+    and goes on with that bucket's least and greatest value until they are the same. So a pass holds a few hundred counts
+    a key, and the passes depend on how close the values lie, not on their number. Nulls and NaN don't count. The driver holds two ranges a key.
+    """
+    rows = cut(rows.filter(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(F.col(key).alias("key"), F.col(column).cast("double").alias("x"), F.col(times).alias("n")))
+    spark, kind = rows.sparkSession, "key int, low boolean, rank long, lo double, hi double"
+    kind = kind.replace("key int", f"key {dict(rows.dtypes)['key']}")
+    ends = rows.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("n")).collect()
+    at = {r["key"]: (r["n"] - 1) * q for r in ends}
+    open_ = [(r["key"], low, int(at[r["key"]]) + 1 if low else min(r["n"], int(at[r["key"]]) + 2), r["lo"], r["hi"]) for r in ends for low in (True, False)]
+    found: dict = {}
+    while open_:
+        found |= {(k, low): lo for k, low, _, lo, hi in open_ if lo == hi}
+        open_ = [r for r in open_ if r[3] != r[4]]
+        if not open_:
+            break
+        wanted = spark.createDataFrame(open_, kind).withColumnRenamed("key", "of")
+        # halves first: the difference of two doubles can be too large for one
+        place = F.floor(F.try_divide(F.col("x") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2) * BUCKETS)
+        # the ends are apart in any case, so every pass gets further
+        bucket = F.when(F.col("x") == F.col("hi"), BUCKETS - 1).when(F.col("x") == F.col("lo"), 0).otherwise(F.coalesce(F.greatest(F.lit(0), F.least(place, F.lit(BUCKETS - 1))), F.lit(0)))
+        inside = rows.join(F.broadcast(wanted), (F.col("key") == F.col("of")) & F.col("x").between(F.col("lo"), F.col("hi")))
+        counts = inside.groupBy("key", "low", "rank", bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy("key", "low").orderBy("bucket"))
+        chosen = counts.withColumn("upto", upto).filter("upto >= rank and upto - n < rank")
+        open_ = [(r["key"], r["low"], r["rank"] - (r["upto"] - r["n"]), r["lo"], r["hi"]) for r in chosen.collect()]
+    values = [(k, found[k, True] + (found[k, False] - found[k, True]) * (p - int(p))) for k, p in at.items()]
+    return spark.createDataFrame(values, f"{key} {dict(rows.dtypes)['key']}, value double")
 
 
 def weighted_slope(binned_: DataFrame) -> DataFrame:
     """Slope of d on s, weighted by the game's greatest unclaimed money, capped at its 90th percentile."""
     games = binned_.groupBy("bin", "u_max").agg(F.count("*").alias("n"))
-    cap = games.groupBy("bin").agg(F.percentile("u_max", F.lit(0.9), F.col("n")).alias("cap"))
-    out = binned_.join(cap, "bin").withColumn("w", F.least("u_max", "cap"))
+    cap = quantile(games, "bin", "u_max", 0.9, "n").withColumnRenamed("value", "cap")
+    out = binned_.join(F.broadcast(cap), "bin").withColumn("w", F.least("u_max", "cap"))  # a row a bin
     w, s, d = F.col("w"), F.col("s"), F.col("d")
     sums = out.groupBy("bin").agg(F.sum(w).alias("sw"), F.sum(w * s).alias("ws"), F.sum(w * d).alias("wd"), F.sum(w * s * d).alias("wsd"), F.sum(w * s * s).alias("wss"))
     return sums.withColumn("slope", F.try_divide(F.col("wsd") - F.try_divide(F.col("ws") * F.col("wd"), F.col("sw")), F.col("wss") - F.try_divide(F.col("ws") * F.col("ws"), F.col("sw"))))
 
 
-def permutation(windows: DataFrame, reps: int = 1000, least: int = 30, bins=BINS, seed: int = 11) -> DataFrame:
+def seeds(game_key):
+    """A whole number under MODULUS for each game."""
+    return F.conv(F.substring(F.md5(game_key.cast("string")), 1, 8), 16, 10).cast("long") % MODULUS
+
+
+def offsets(seed: np.ndarray, n: np.ndarray, rep: int) -> np.ndarray:
+    """By how many windows a game's responses are shifted in a repetition: 1 to n - 1, or 0 if there is one window."""
+    x = (seed + 7919 * (rep + 1)) % MODULUS
+    x = (x * x + rep) % MODULUS
+    x = (x * x + seed) % MODULUS
+    return np.where(n > 1, 1 + x % np.maximum(n - 1, 1), 0)
+
+
+def permutation(windows: DataFrame, reps: int = 1000, least: int = 30, bins=BINS) -> DataFrame:
     """Family-wise p of each bin: the share of repetitions whose greatest |rho| reaches the bin's.
 
-    In each repetition every game's responses are shifted in a circle by an offset that a hash of the
-    game and the repetition gives. A game's pairs are one row, of which a copy is made for each SHARE
-    repetitions; these are counted in numpy, by codes of the responses in place of a sort. A task holds
-    all pairs (about 20 bytes each), so the test is meant for panels of some thousand games.
+    In each repetition every game's responses are shifted in a circle by offsets(). A pair's first rank never moves, so
+    pairs are summed up by bin and response window once. A window's response then takes over, in each repetition, what
+    the window has that its value comes from: responses are dealt in ranges of their values, a first pass over the ranges
+    gives how many pairs lie before each in each repetition, and a second one the ranks and their products. A task
+    holds the windows of a range and their games' sums, not the pairs; windows of one and the same response lie in one range.
     """
-    ship(windows.sparkSession)
+    spark = windows.sparkSession
+    ship(spark)
     w = Window.partitionBy("game_key")
     own = windows.withColumns({"k": F.row_number().over(w.orderBy("w_start")) - 1, "n": F.count("*").over(w)})
+    real = cut(binned(pairs(windows, bins[-1][1]), bins).groupBy("bin", "game_key", "b_start", "s", "d").agg(F.count("*").alias("n")))
+    counts = real.groupBy("bin", "s", "d").agg(F.sum("n").alias("n"))
+    ranks = value_ranks(counts, "s", ["bin"], "rs")
+    rho = cut(_rho(_ranked(_ranked(counts, ranks, "s", ["bin"]), value_ranks(counts, "d", ["bin"], "rd"), "d", ["bin"])).filter(F.col("n_pairs") >= least))
+    kept = {r["bin"]: (r["n_pairs"], r["xx"]) for r in rho.collect()}  # a row a bin
+    names = sorted(kept)
     place = own.select("game_key", F.col("w_start").alias("b_start"), "k")
-    real = binned(pairs(windows, bins[-1][1]), bins).join(place, ["game_key", "b_start"])
-    rho = spearman(real).filter(F.col("n_pairs") >= least)
-    low = lambda c: F.coalesce(c, F.lit(float("-inf")))  # noqa: E731  nulls rank first
-    values = own.groupBy("game_key").agg(F.first("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("k", low(F.col("d")).alias("d")))), lambda x: x.d).alias("d"))
-    pair = F.struct("bin", F.col("k").cast("int").alias("k"), low(F.col("s")).alias("s"))
-    held = real.join(F.broadcast(rho.select("bin")), "bin", "left_semi").groupBy("game_key").agg(F.collect_list(pair).alias("pairs")).join(values, "game_key")
-    first = F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(SHARE)))
-    shift = lambda r: F.when(F.col("n") > 1, 1 + F.pmod(F.xxhash64("game_key", r.cast("bigint"), F.lit(seed)), F.col("n") - 1)).otherwise(0).cast("int")
-    shifts = F.transform(F.sequence("first", F.least(F.col("first") + SHARE, F.lit(reps)) - 1), shift)
-    dealt = held.withColumn("first", first).repartition(-(-reps // SHARE), "first").select("first", "pairs.bin", "pairs.k", "pairs.s", "d", shifts.alias("shifts"))
-
-    def run(table: pa.Table) -> pa.Table:
-        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        sizes = lambda c: pc.list_value_length(table.column(c)).to_numpy()
-        game = np.repeat(np.arange(table.num_rows), sizes("bin"))
-        n = sizes("d").astype(np.int64)
-        start, length, k = (np.cumsum(n) - n)[game], n[game], flat("k").astype(np.int64)
-        code, s, bin_ = np.unique(flat("d"), return_inverse=True)[1], flat("s"), flat("bin")
-        shifts = flat("shifts").reshape(table.num_rows, -1)
-        parts = []
-        for b in np.unique(bin_):
-            at = np.flatnonzero(bin_ == b)
-            if len(at) > 1:
-                parts.append((at, centred_ranks(np.unique(s[at], return_inverse=True)[1])))
-        tops = []
-        for r in range(shifts.shape[1]):
-            moved = code[start + (k + shifts[game, r]) % length]
-            with np.errstate(invalid="ignore"):
-                rhos = [x @ y / np.sqrt((x @ x) * (y @ y)) for at, x in parts for y in [centred_ranks(moved[at])]]
-            tops.append(np.max(np.abs(rhos)) if rhos else None)
-        return pa.table({"top": pa.array(tops, pa.float64())})
-
-    tops = dealt.groupBy("first").applyInArrow(run, "top double")
+    sums = _ranked(real, ranks, "s", ["bin"]).filter(F.col("bin").isin(names)).join(place, ["game_key", "b_start"])
+    sums = sums.groupBy("game_key", "bin", "k").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("rs")).alias("x"))
+    held = sums.groupBy("game_key").agg(F.collect_list(F.struct(F.col("bin"), F.col("k").cast("int").alias("k"), F.col("m").cast("double").alias("m"), "x")).alias("sums"))
+    low = F.coalesce(F.col("d"), F.lit(float("-inf"))) + 0.0  # nulls rank first; no negative zero
+    moved = own.join(held.select("game_key"), "game_key", "left_semi").select("game_key", seeds(F.col("game_key")).alias("seed"), "n", F.col("k").cast("int").alias("k"), low.alias("d"))
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut(moved.repartitionByRange(ranges, "d").withColumn("z", F.spark_partition_id()))
+    games = cut(dealt.select("z", F.col("game_key").alias("game")).distinct().join(held, F.col("game") == F.col("game_key")).select("z", "game", "sums", F.lit(None).cast("array<double>").alias("base")))
+    nothing = F.lit(None).cast("string").alias("game"), F.lit(None).cast(games.schema["sums"].dataType).alias("sums")
+
+    def run(second: bool):
+        def passed(left: pa.Table, right: pa.Table) -> pa.Table:
+            d = left.column("d").to_numpy()
+            order = np.argsort(d, kind="stable")
+            game, k, n, seed = (left.column(c).to_numpy()[order] for c in ("game_key", "k", "n", "seed"))
+            first = np.flatnonzero(np.r_[True, np.diff(d[order]) > 0])
+            base = np.zeros((reps, len(names)))
+            size, starts = {}, {}
+            for g, count in zip(game.tolist(), n.tolist(), strict=True):
+                size[g] = count
+            at = 0
+            for g, count in size.items():
+                starts[g], at = at, at + count
+            m, x = np.zeros((len(names), at)), np.zeros((len(names), at))
+            for row in right.select(["game", "sums", "base"]).to_pylist():
+                if row["base"] is not None:
+                    base = np.array(row["base"]).reshape(reps, len(names))
+                    continue
+                for one in row["sums"]:
+                    m[names.index(one["bin"]), starts[row["game"]] + one["k"]] += one["m"]
+                    x[names.index(one["bin"]), starts[row["game"]] + one["k"]] += one["x"]
+            start = np.array([starts[g] for g in game.tolist()])
+            out = np.zeros((2 if second else 1, reps, len(names)))
+            for r in range(reps):
+                source = start + (k - offsets(seed, n, r)) % n
+                for b, name in enumerate(names):
+                    many = np.add.reduceat(m[b, source], first)
+                    if second:
+                        rank = base[r, b] + np.cumsum(many) - (many - 1) / 2 - (kept[name][0] + 1) / 2
+                        out[0, r, b] = np.add.reduceat(x[b, source], first) @ rank
+                        out[1, r, b] = many @ (rank * rank)
+                    else:
+                        out[0, r, b] = many.sum()
+            z = left.column("z")[0].as_py()
+            place = np.arange(reps * len(names), dtype=np.int32)
+            return pa.table({"z": np.full(len(place), z, np.int32), "place": place, "a": out[0].ravel(), "b": out[-1].ravel()})
+
+        return passed
+
+    schema = "z int, place int, a double, b double"
+    by = dealt.groupBy("z")
+    totals = by.cogroup(games.groupBy("z")).applyInArrow(run(False), schema)
+    before = F.coalesce(F.sum("a").over(Window.partitionBy("place").orderBy("z").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    bases = totals.select("z", "place", before.alias("v")).groupBy("z").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda e: e.v).alias("base"))
+    more = games.unionByName(bases.select("z", *nothing, "base"))
+    parts = by.cogroup(more.groupBy("z")).applyInArrow(run(True), schema).groupBy("place").agg(F.sum("a").alias("xy"), F.sum("b").alias("yy"))
+    width = max(1, len(names))
+    xx = spark.createDataFrame([(b, float(kept[name][1])) for b, name in enumerate(names)], "of int, xx double")
+    each = parts.withColumn("of", F.col("place") % width).join(F.broadcast(xx), "of").select(F.floor(F.col("place") / width).alias("r"), F.abs(F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))).alias("v"))
+    tops = each.groupBy("r").agg(F.max("v").alias("top"))
     # the slack is for sums in another order; it can only raise p
-    return rho.crossJoin(F.broadcast(tops)).groupBy("bin", "n_pairs", "rho").agg(F.avg((F.col("top") >= F.abs("rho") - 1e-9).cast("double")).alias("p"))
-
-
-def centred_ranks(codes: np.ndarray) -> np.ndarray:
-    """Ranks of codes 0, 1, ... less their mean; ties at theirs."""
-    counts = np.bincount(codes)
-    return (np.cumsum(counts) - (counts - 1) / 2 - (len(codes) + 1) / 2)[codes]
+    return rho.select("bin", "n_pairs", "rho").crossJoin(F.broadcast(tops)).groupBy("bin", "n_pairs", "rho").agg(F.avg((F.col("top") >= F.abs("rho") - 1e-9).cast("double")).alias("p"))
 
 
 def interval_coverage(rows: DataFrame) -> DataFrame:

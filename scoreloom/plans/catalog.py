@@ -456,7 +456,7 @@ def slug_key(spark, sf_dir):
 # Lag study -------------------------------------------------------------------------------------
 
 
-#: The study's bins at a tenth: the events cover a month.
+#: The study's bins at a tenth: the events cover a month, which lies in the first of the named bins as a whole.
 _BINS = tuple((low / 10, high / 10) for low, high in kernel.BINS)
 
 
@@ -498,10 +498,24 @@ def weighted_slope(spark, sf_dir):
     return kernel.weighted_slope(_binned(spark, sf_dir)).select("bin", num.rounded(F.col("slope")).alias("slope"))
 
 
-@_query()
+_SHIFTED = f"""{_PANEL}, own AS (SELECT game_key, w_start, round(d, 9) + 0 d, row_number() OVER g - 1 k, count(*) OVER (PARTITION BY game_key) n, ('0x' || substr(md5(game_key), 1, 8))::BIGINT % {kernel.MODULUS} g0 FROM dm WINDOW g AS (PARTITION BY game_key ORDER BY w_start)),
+q AS (SELECT bn.game_key, bn.bin, round(bn.s, 9) + 0 s, own.d, own.k FROM bn JOIN own ON own.game_key = bn.game_key AND own.w_start = bn.b_start WHERE bin IS NOT NULL),
+k AS (SELECT *, rank() OVER (PARTITION BY bin ORDER BY s) + (count(*) OVER (PARTITION BY bin, s) - 1) / 2 rs, rank() OVER (PARTITION BY bin ORDER BY d) + (count(*) OVER (PARTITION BY bin, d) - 1) / 2 rd, count(*) OVER (PARTITION BY bin) n_pairs FROM q),
+real AS (SELECT bin, count(*) n_pairs, corr(rs, rd) rho, sum((rs - (n_pairs + 1) / 2) ** 2) xx FROM k GROUP BY 1 HAVING count(*) >= 30),
+m AS (SELECT game_key, bin, k, count(*)::DOUBLE m, sum(rs - (n_pairs + 1) / 2) x FROM k WHERE bin IN (SELECT bin FROM real) GROUP BY ALL),
+s0 AS (SELECT game_key, n, g0, r, (g0 + 7919 * (r + 1)) % {kernel.MODULUS} x0 FROM (SELECT DISTINCT game_key, n, g0 FROM own), range(1000) t(r)),
+s1 AS (SELECT *, (x0 * x0 + r) % {kernel.MODULUS} x1 FROM s0),
+sh AS (SELECT game_key, r, n, CASE WHEN n > 1 THEN 1 + (x1 * x1 + g0) % {kernel.MODULUS} % (n - 1) ELSE 0 END shift FROM s1),
+mv AS (SELECT r, bin, own.d, sum(m) c, sum(x) x FROM m JOIN sh USING (game_key) JOIN own ON own.game_key = m.game_key AND own.k = (m.k + shift) % sh.n GROUP BY ALL),
+rk AS (SELECT r, bin, x, c, sum(c) OVER (PARTITION BY r, bin ORDER BY d) - (c - 1) / 2 - (n_pairs + 1) / 2 rank FROM mv JOIN real USING (bin)),
+tp AS (SELECT r, max(abs(rho)) top FROM (SELECT r, bin, sum(x * rank) / nullif(sqrt(any_value(xx)) * sqrt(sum(c * rank * rank)), 0) rho FROM rk JOIN (SELECT bin, xx FROM real) USING (bin) GROUP BY ALL) GROUP BY 1)"""
+
+
+@_query(f"{_SHIFTED} SELECT bin, n_pairs, {_r6('any_value(rho)', 4)} AS rho, avg((top >= abs(rho) - 1e-9)::INT::DOUBLE) AS p FROM real, tp GROUP BY bin, n_pairs")
 def permutation_test(spark, sf_dir):
-    """Seeded by a hash that SQL doesn't share; the operator's 1000 repetitions."""
-    return kernel.permutation(kernel.demeaned(panel.windows(M.panel_rows(spark, sf_dir))), bins=_BINS)
+    """The operator's 1000 repetitions, whose offsets SQL can work out as well."""
+    rows = kernel.demeaned(panel.windows(M.panel_rows(spark, sf_dir))).withColumns({"s": F.round("s", 9) + 0, "d": F.round("d", 9) + 0})
+    return kernel.permutation(rows, bins=_BINS).select("bin", "n_pairs", num.rounded(F.col("rho"), 4).alias("rho"), "p")
 
 
 @_query("SELECT avg((l_extendedprice BETWEEN 10000 AND 90000)::INT::DOUBLE) * 100 AS within80, avg((l_extendedprice BETWEEN 2000 AND 104000)::INT::DOUBLE) * 100 AS within95, avg((l_extendedprice BETWEEN 10000 AND 90000)::INT::DOUBLE) * 100 BETWEEN 70 AND 90 AND avg((l_extendedprice BETWEEN 2000 AND 104000)::INT::DOUBLE) * 100 BETWEEN 90 AND 100 AS calibrated FROM lineitem")

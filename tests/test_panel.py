@@ -1,5 +1,6 @@
 """The panel: supersession, lifecycles, windows, and the lag study."""
 
+import hashlib
 import inspect
 import random
 
@@ -82,6 +83,7 @@ def test_permutation_query_repeats_a_thousand_times(spark, monkeypatch):
         bound = rule.bind(*args, **given)
         bound.apply_defaults()
         seen.append(bound.arguments["reps"])
+        return spark.createDataFrame([], "bin int, n_pairs long, rho double, p double")
 
     monkeypatch.setattr(kernel, "permutation", told)
     catalog.QUERIES["permutation_test"](spark, "/root/testdata/sf0.001")
@@ -117,10 +119,15 @@ def test_permutation_against_brute_force(spark, reps):
             for k, b in enumerate(ws):
                 lag = (b.w_start - a.w_start).days + (b.dt - a.dt) / 2
                 pairs += [(n, a.s, game, k) for n, (lo, hi) in enumerate(bins) if b.w_start >= a.w_end and lo < lag <= hi]
-    hashes = {(r.g, r.rep): r.h for r in spark.createDataFrame([(x,) for x in own], "g string").crossJoin(spark.range(reps).withColumnRenamed("id", "rep")).withColumn("h", F.xxhash64("g", "rep", F.lit(11))).collect()}
+
+    def shift(game, rep):
+        prime = 2**31 - 1
+        seed = int(hashlib.md5(game.encode()).hexdigest()[:8], 16) % prime
+        x = ((seed + 7919 * (rep + 1)) % prime) ** 2 + rep
+        return 1 + ((x % prime) ** 2 + seed) % prime % (len(own[game]) - 1)
 
     def rhos(rep):
-        move = {x: 1 + hashes[x, rep] % (len(ws) - 1) if rep is not None and len(ws) > 1 else 0 for x, ws in own.items()}
+        move = {x: shift(x, rep) if rep is not None and len(ws) > 1 else 0 for x, ws in own.items()}
         return [_rho([(s, own[x][(k + move[x]) % len(own[x])].d) for n, s, x, k in pairs if n == b]) for b in range(len(bins))]
 
     real, tops = rhos(None), [max(map(abs, rhos(rep))) for rep in range(reps)]
@@ -131,6 +138,22 @@ def test_permutation_against_brute_force(spark, reps):
     assert any(0 < r.p < 1 for r in got.values())
 
 
+def test_quantile_by_histograms(spark):
+    """Between two values in proportion, for ties, weights, single values, and values far apart and next to each other."""
+    g = random.Random(6)
+    cases = {0: [5.0], 1: [g.choice([1.0, 2.0]) for _ in range(99)], 2: [g.uniform(-1, 1) ** 9 for _ in range(300)], 3: [1e308, -1e308, 0.0, 1.0, 5e-324], 4: [1 + k * 2**-52 for k in range(700)], 5: [0.0, -0.0, 7.0]}
+    rows = [(k, x, g.randint(1, 3)) for k, v in cases.items() for x in v]
+    frame = spark.createDataFrame([*rows, (0, None, 9)], "bin int, x double, n long").repartition(3)
+    for q in (0.0, 0.5, 0.9, 1.0):
+        got = {r["bin"]: r["value"] for r in kernel.quantile(frame, "bin", "x", q, "n").collect()}
+        for k in cases:
+            whole = sorted(x for b, x, n in rows if b == k for _ in range(n))
+            at = (len(whole) - 1) * q
+            low, high = whole[int(at)], whole[min(len(whole) - 1, int(at) + 1)]
+            assert got[k] == low + (high - low) * (at - int(at))
+    assert kernel.quantile(frame.filter("false"), "bin", "x", 0.5, "n").count() == 0
+
+
 def test_panel_inventory_by_source(spark):
     tiers = "array<struct<level:bigint,level_label:string,remaining:bigint>>"
     rows = [("a", "t1", "wayback", "active", [(None, "car", 1), (5, None, 2)]), ("b", "t1", "wayback", "active", [(5, None, 2)]), ("a", "t2", "daily", "exited_observed", [(None, "trip", 0)]), ("c", "t3", None, "active", None)]
