@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gates, json_schema, panel
 from ..shared import shared_dir
+from ..sources import changes, files, recordings
 from ..streaming import lifecycle
 from . import mappings as M
 from .catalog import _EV, _PANEL, _query
@@ -146,3 +147,52 @@ def lifecycle_confirmed(spark, sf_dir):
     """Lifecycles where an end date that was known in time counts as an observed exit."""
     rows = panel.as_of(M.panel_rows(spark, sf_dir), _ends(spark, sf_dir), ["game_key"], "capture_ts", "known_at")
     return panel.with_lifecycle(rows, confirmed="end_date").select("game_key", "obs_date", "lifecycle_status")
+
+
+# Recordings ------------------------------------------------------------------------------------
+
+
+@_query("SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') AS timestamp, event_id % 97 AS page, 10 + event_id % 97 AS chars FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND event_id % 3 <> 0")
+def recorded_captures(spark, sf_dir):
+    """Events as recorded captures: index files and pages are written, and read through filters that the source takes over."""
+    folder, e = _folder(spark, "recordings"), M.table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    index = e.select(
+        F.format_string("part-%08d", F.expr("event_id div 500")).alias("file"), k.alias("place"), F.date_format("ts", "yyyyMMddHHmmss").alias("timestamp"), F.concat(F.lit("https://x/"), k.cast("string")).alias("original"),
+        F.concat(F.lit("d"), (k % 97).cast("string")).alias("digest"), F.when(k % 3 == 0, "404").otherwise("200").alias("status"),
+    )
+    pages = e.select((k % 97).alias("n")).distinct().select(F.concat(F.lit("d"), F.col("n").cast("string")).alias("digest"), F.repeat(F.lit("x"), (F.col("n") + 10).cast("int")).alias("html"))
+    recordings.record(index, pages, folder)
+    found = recordings.captured(spark, folder).filter("timestamp >= '20240110000000' and status = '200'")
+    return found.select(F.regexp_extract("original", r"(\d+)$", 1).cast("bigint").alias("event_id"), "timestamp", F.substring("digest", 2, 9).cast("bigint").alias("page"), F.length("html").cast("bigint").alias("chars"))
+
+
+# Documents and their changes -------------------------------------------------------------------
+
+_DOCS = """WITH g AS (SELECT ts::DATE AS as_of, user_id % 40 AS game_no, count(*) AS n, arg_max(event_type, event_id) AS name FROM events GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY game_no) - 1 AS i FROM g)"""
+
+
+def _documents(spark, sf_dir):
+    e = M.table(spark, sf_dir, "events")
+    games = e.groupBy(F.col("ts").cast("date").cast("string").alias("as_of"), (F.col("user_id") % 40).alias("game_no")).agg(F.count("*").alias("n"), F.max_by("event_type", "event_id").alias("name"))
+    return files.document_text(games)
+
+
+@_query(f"""{_DOCS}, v AS (SELECT as_of, 'games.' || i || '.' || f AS path, v FROM (SELECT as_of, i, unnest(['game_no', 'n', 'name']) f, unnest([game_no::VARCHAR, n::VARCHAR, '"' || name || '"']) v FROM r) UNION ALL SELECT DISTINCT as_of, 'as_of', '"' || as_of::VARCHAR || '"' FROM g),
+d AS (SELECT as_of, lead(as_of) OVER (ORDER BY as_of) AS next FROM (SELECT DISTINCT as_of FROM g)),
+c AS (SELECT coalesce(a.as_of, b.next) AS as_of, coalesce(a.path, b.path) AS path, b.v AS before, a.v AS value, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' ELSE 'changed' END AS op
+  FROM v a FULL JOIN (SELECT v.*, next FROM v JOIN d USING (as_of) WHERE next IS NOT NULL) b ON a.as_of = b.next AND a.path = b.path WHERE a.v IS DISTINCT FROM b.v)
+SELECT as_of, path, before, value, op FROM c""")
+def history_changes(spark, sf_dir):
+    """What each day's document adds to, changes in and takes from the one before it, field by field."""
+    out = changes.changes(changes.leaves(_documents(spark, sf_dir)))
+    return out.select("as_of", F.array_join(F.from_json("path", "array<string>"), ".").alias("path"), "before", "value", "op")
+
+
+@_query(f"""{_DOCS} SELECT as_of, sha256('{{' || chr(10) || '  "as_of": "' || as_of || '",' || chr(10) || '  "games": [' || chr(10) || string_agg('    {{' || chr(10) || '      "game_no": ' || game_no || ',' || chr(10) || '      "n": ' || n || ',' || chr(10) || '      "name": "' || name || '"' || chr(10) || '    }}', ',' || chr(10) ORDER BY i) || chr(10) || '  ]' || chr(10) || '}}') AS sha256 FROM r GROUP BY 1""")
+def history_rebuilt(spark, sf_dir):
+    """Each day's document, byte by byte, from the first one and the changes."""
+    documents = _documents(spark, sf_dir)
+    out = changes.rebuilt(changes.changes(changes.leaves(documents)), documents.select(F.col("as_of").cast("date").alias("as_of")))
+    return out.select("as_of", F.sha2("value", 256).alias("sha256"))
