@@ -970,4 +970,4 @@ def stream_dedup(spark, sf_dir):
     return spark.read.schema("user_id bigint, event_type string, day date").parquet(f"{base}/out").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-from . import recorded  # noqa: E402, F401  (registers its queries; it needs what is above)
+from . import recorded, written  # noqa: E402, F401  (register their queries; they need what is above)
