@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+import sys
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +41,9 @@ UNREADABLE = ""
 
 
 def finite(text: str) -> float | None:
-    """A number, null if it is too large for one."""
+    """A number, the greatest there is in place of one beyond all bounds, null for NaN."""
     value = float(text)
-    return value if math.isfinite(value) else None
+    return None if math.isnan(value) else max(-sys.float_info.max, min(sys.float_info.max, value))
 
 
 #: Whole numbers of more digits are rounded.
@@ -50,8 +51,8 @@ DIGITS = 38
 
 
 def decoder() -> json.JSONDecoder:
-    """NaN and infinities are no JSON, numbers beyond a double's reach no numbers: all are null."""
-    return json.JSONDecoder(parse_constant=lambda _: None, parse_float=finite, parse_int=lambda t: int(t) if len(t) <= DIGITS else finite(t))
+    """Reads what models write: NaN, infinities and numbers beyond a double's reach become what JSON can hold."""
+    return json.JSONDecoder(parse_constant=finite, parse_float=finite, parse_int=lambda t: int(t) if len(t) <= DIGITS else finite(t))
 
 
 @F.pandas_udf(T.StructType([T.StructField("object", T.StringType()), T.StructField("place", T.IntegerType())]))
@@ -120,6 +121,7 @@ def read(answers: DataFrame, content: str = "content") -> DataFrame:
     advice = told(value, ADVICE_KEYS)
     out = out.withColumns({"said": F.coalesce(told(value, SUMMARY_KEYS), _headline(listed), advice), "advice": advice, "prose": prose})
     usable = value.isNotNull() & (F.col("said").isNotNull() | (F.coalesce(F.size(listed), F.lit(0)) > 0))
+    numeric = _kind(value, "$.confidence").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")  # a number told as text is none
     lost = F.col("read.object").isNotNull() & value.isNull()  # there is an object that can't be read
     long = (F.length("prose") >= LEAST_PROSE) & ~lost
     note = F.when(usable, F.col("read.how")).when(lost, "empty").when(long, "prose").when(F.length("prose") > 0, "noise").otherwise("empty")
@@ -130,7 +132,7 @@ def read(answers: DataFrame, content: str = "content") -> DataFrame:
             "summary": F.when(usable, F.coalesce("said", F.lit(ONLY_FINDINGS))).when(long, F.substring("prose", 1, MOST_SUMMARY)),
             "recommendation": F.when(usable, F.coalesce("advice", F.lit(""))).when(long, ""),
             "plan": F.when(usable & (_kind(value, "$.plan") == "STRING"), F.try_variant_get(value, "$.plan", "string")).when(usable | long, ""),
-            "confidence": F.when(usable | long, clamp(F.coalesce(F.try_variant_get(value, "$.confidence", "double"), F.lit(0.0)), 0.0, 1.0)),
+            "confidence": F.when(usable | long, clamp(F.coalesce(F.when(numeric, F.try_variant_get(value, "$.confidence", "double")), F.lit(0.0)), 0.0, 1.0)),
         }
     )
     return out.drop("read", "value", "said", "advice", "prose")

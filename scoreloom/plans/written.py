@@ -122,11 +122,11 @@ def page_dates(spark, sf_dir):
     return M.table(spark, sf_dir, "orders").select("o_orderkey", T.page_date(written).alias("day"), T.page_date(T.after_as_of(page)).alias("said"))
 
 
-@_query("""SELECT conv_id::VARCHAR AS task_id, turn AS idx, CASE (conv_id + turn) % 7 WHEN 0 THEN 0.25 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN 1 WHEN 5 THEN 0 ELSE 0.75 END::DOUBLE AS confidence FROM conversations""")
+@_query("""SELECT conv_id::VARCHAR AS task_id, turn AS idx, CASE (conv_id + turn) % 10 WHEN 0 THEN 0.25 WHEN 1 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 1 WHEN 6 THEN 0.75 ELSE 0 END::DOUBLE AS confidence FROM conversations""")
 def opinion_confidence(spark, sf_dir):
     """Confidences within and beyond 0 and 1, as text, missing, and beyond all bounds."""
-    k = (F.col("conv_id") + F.col("turn")) % 7
-    said = F.element_at(F.array(*[F.lit(x) for x in (',"confidence":0.25', ',"confidence":7', ',"confidence":-0.5', "", ',"confidence":1.0', ',"confidence":1e999', ',"confidence":0.75')]), (k + 1).cast("int"))
+    k = (F.col("conv_id") + F.col("turn")) % 10
+    said = F.element_at(F.array(*[F.lit(x) for x in (',"confidence":0.25', ',"confidence":7', ',"confidence":-0.5', "", ',"confidence":1.0', ',"confidence":1e999', ',"confidence":0.75', ',"confidence":"0.5"', ',"confidence":true', ',"confidence":-Infinity')]), (k + 1).cast("int"))
     rows = M.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("task_id"), F.col("turn").alias("idx"), F.concat(F.lit('{"summary":"x"'), said, F.lit("}")).alias("content"))
     return opinions.read(rows).select("task_id", "idx", "confidence")
 

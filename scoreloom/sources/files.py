@@ -63,8 +63,8 @@ def indented(lines):
 def write_document(games: DataFrame, path: str, order: str = "game_no", history: str | None = None) -> None:
     """A day's rows as one JSON file at `path`, and the same bytes at `history`/<as_of>.json; either replaces itself.
 
-    The text is written once, whole, in a folder beside the path, and copied from there, so a reader never
-    sees a part of it.
+    The text is written once, whole, in a folder beside the path, and copied from there under another name, which then
+    takes the place of the old file in one step: a reader sees the old document or the new one, at any time.
     """
     spark = games.sparkSession
     held = document_text(games, order)
@@ -81,8 +81,9 @@ def write_document(games: DataFrame, path: str, order: str = "game_no", history:
     for to in (path, *([f"{history}/{day}.json"] if history else [])):
         fresh = at(f"{to}-{uuid.uuid4().hex}")
         jvm.org.apache.hadoop.fs.FileUtil.copy(system, days[0].getPath(), system, fresh, False, True, conf)
-        system.delete(at(to), True)
-        system.rename(fresh, at(to))
+        renames = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        renames[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), conf).rename(fresh, at(to), renames)
     system.delete(at(beside), True)
 
 
