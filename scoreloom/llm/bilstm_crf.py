@@ -140,6 +140,20 @@ class Tagger:
             losses.append(loss)
         return losses
 
+    def sure(self, x: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """How likely each of these tags is (rows, time), over all sequences of tags of symbols x."""
+        s = self.scores(x)
+        steps, rows, _ = s.shape
+        moves = self._moves()
+        a, z = np.empty_like(s), np.zeros_like(s)
+        a[0] = s[0]
+        for t in range(1, steps):
+            a[t] = s[t] + _lse(a[t - 1][:, :, None] + moves, 1)
+        for t in range(steps - 2, -1, -1):
+            z[t] = _lse(moves + (s[t + 1] + z[t + 1])[:, None, :], 2)
+        own = np.take_along_axis(a + z, tags.T[:, :, None].astype(np.int64), 2)[:, :, 0]
+        return np.exp(np.minimum(own - _lse(a[-1], 1), 0)).T
+
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The best tags (rows, time) of symbols x."""
         s = self.scores(x)

@@ -3,8 +3,9 @@
 The base spans follow fixed patterns. The tagger is trained on windows whose spans are labelled: base
 spans in a bounded sample of the corpus and filled-in templates. Overlapping windows cover the whole of
 every text; each character takes its tag from the window in whose middle it stands nearest, and spans are
-read off the text as a whole. A span that is kept holds a digit or an at sign (_fits), so windows that
-can't reach one are not decoded; the result is the same. Spans that meet a base span are left out.
+read off the text as a whole. A span is kept if the CRF is sure of its tags and it has what its kind can't be
+without (_possible): a digit or an at sign in any case, so windows that can't reach one are not decoded; the
+result is the same. Spans that meet a base span are left out.
 Spans count code points, ends exclusive.
 """
 
@@ -25,7 +26,9 @@ from .common import picked, rows_in, ship
 KINDS = ("email", "ip", "card", "phone")
 #: Texts that windows are learned from at most, windows of each, and templates.
 TRAIN_TEXTS, TRAIN_WINDOWS, TEMPLATES = 400, 6, 1200
-WINDOW, STEP, MARGIN, ROUNDS = 96, 48, 24, 220
+WINDOW, STEP, MARGIN, ROUNDS = 96, 48, 24, 400
+#: A span is kept if its tags are so likely on average.
+SURE = 0.85
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -117,6 +120,17 @@ def windows_at(text: str) -> list[int]:
     return sorted(set(starts))
 
 
+#: Forms of phone numbers, and of numbers that are none (9: any digit, 8: none but 0).
+PHONES = (
+    "+8 (999) 999-9999", "+89 999 999 9999", "+89-999-999-9999", "(999) 999-9999", "(999)999-9999", "899-999-9999", "899.999.9999", "899 999 9999", "0999 9999999", "099 9999 9999", "0999-999999", "0099 99 9999999",
+    "8-899-999-9999", "099/9999999", "0899 999 999", "+89 9 99 99 99 99",
+)
+OTHERS = (
+    "2024-09-89", "89.09.2019", "89/09/1999", "89:59", "09:59:59", "$8,999.99", "8,999,999", "89.99", "8.9.9", "v8.9.99", "8999-8999", "978-8-99-999999-9", "89 999", "8 999 999", "59.9999, -0.8999", "#89999", "899.999.999", "89%", "8999 8999 8999", "999-99", "A89-999",
+    "89-99-89 99", "8.999.999", "899 899", "89 89 89 89 89 89 89 89 89",
+)
+
+
 def template_rows(count: int = TEMPLATES, seed: int = 3) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """Invented sentences with labelled spans, and as many look-alikes without any."""
     g = random.Random(seed)
@@ -128,16 +142,17 @@ def template_rows(count: int = TEMPLATES, seed: int = 3) -> list[tuple[str, list
     def card():
         body = g.choice("3456") + digit(g.choice([13, 14, 14, 14]))
         body += next(d for d in "0123456789" if luhn(body + d))
-        cut = g.choice(["", "", "-", " "])
+        cut = g.choice(["", "-", " ", "."])
         return cut.join(body[k : k + 4] for k in range(0, len(body), 4)) if cut else body
 
     made = {
         0: lambda: f"{plain()}{g.choice(['', '.', '_', '+'])}{g.choice([plain(), digit(2)])}@{plain()}{g.choice(['', digit(1)])}.{g.choice(['com', 'org', 'example.com', 'co.uk', 'de', 'net'])}",
         1: lambda: ".".join(str(g.randint(0, 255)) for _ in range(4)),
         2: card,
-        3: lambda: f"+{g.choice(['1', '44', '49', '33'])} {g.choice(['({}) {}-{}', '{} {} {}', '{}-{}-{}']).format(digit(3), digit(3), digit(4))}" if g.random() < 0.6 else f"({digit(3)}) {digit(3)}-{digit(4)}" if g.random() < 0.5 else g.choice("-.").join([digit(3), digit(3), digit(4)]),
+        3: lambda: filled(g.choice(PHONES)),
     }
-    other = (lambda: digit(g.randint(1, 6)), lambda: join([digit(2), digit(2), digit(4)]), lambda: f"{digit(1)}.{digit(2)}", lambda: f"v{digit(1)}.{digit(1)}.{digit(2)}", lambda: "@" + plain(), lambda: f"${digit(2)},{digit(3)}", lambda: f"{plain()}={digit(18)}{plain()}", lambda: "".join(g.choice("0123456789abcdef") for _ in range(g.choice([18, 32, 40]))), lambda: digit(g.randint(10, 16)))
+    filled = lambda form: "".join(digit(1) if c == "9" else g.choice("123456789") if c == "8" else c for c in form)
+    other = (lambda: filled(g.choice(OTHERS)), lambda: filled(g.choice(OTHERS)), lambda: filled(g.choice(OTHERS)), lambda: digit(g.randint(1, 6)), lambda: join([digit(2), digit(2), digit(4)]), lambda: f"{digit(1)}.{digit(2)}", lambda: f"v{digit(1)}.{digit(1)}.{digit(2)}", lambda: "@" + plain(), lambda: f"${digit(2)},{digit(3)}", lambda: f"{plain()}={digit(18)}{plain()}", lambda: "".join(g.choice("0123456789abcdef") for _ in range(g.choice([18, 32, 40]))), lambda: digit(g.randint(10, 16)))
     out = []
     for _ in range(count):
         text, spans = "", []
@@ -182,14 +197,14 @@ def train(docs: DataFrame, texts: int = TRAIN_TEXTS, rounds: int = ROUNDS) -> Ta
     return tagger
 
 
-def _fits(kind: int, own: str) -> bool:
-    """What a tagged span must have at least to be kept; phones of other forms (555 123 4567) are lost."""
+def _possible(kind: int, own: str) -> bool:
+    """What a span of its kind can't be without."""
     digits = len(_DIGIT.findall(own))
     if kind == 0:
-        return "@" in own[1:-1] and " " not in own
+        return "@" in own[1:-1]
     if kind == 1:
         return own.count(".") == 3 and digits >= 4
-    return 13 <= digits <= 19 and luhn(re.sub("[^0-9]", "", own)) if kind == 2 else 9 <= digits <= 15 and (own[0] in "+(" or re.fullmatch(r"[0-9]{3}([-.])[0-9]{3}\1[0-9]{4}", own) is not None)
+    return 13 <= digits <= 19 and luhn(re.sub("[^0-9]", "", own)) if kind == 2 else 7 <= digits <= 15
 
 
 def owners(places: np.ndarray, size: int) -> np.ndarray:
@@ -206,6 +221,7 @@ class _Tags:
     def __init__(self, tagger: Tagger, texts: list[str], at_once: int = 512):
         self.tagger, self.texts, self.at_once = tagger, texts, at_once
         self.rows: dict[tuple[int, int], np.ndarray] = {}
+        self.sure: dict[tuple[int, int], np.ndarray] = {}
 
     def decode(self, jobs: list[tuple[int, int]]) -> None:
         codes: dict[int, np.ndarray] = {}
@@ -215,7 +231,11 @@ class _Tags:
             for k, (d, at) in enumerate(part):
                 own = symbols(self.texts[d][at : at + WINDOW])
                 x[k, : len(own)] = own
-            self.rows.update(zip(part, self.tagger.decode(x).astype(np.int8), strict=True))
+            found = self.tagger.decode(x).astype(np.int8)
+            self.rows.update(zip(part, found, strict=True))
+            some = np.flatnonzero(found.any(axis=1))
+            if len(some):
+                self.sure.update(zip([part[k] for k in some.tolist()], self.tagger.sure(x[some], found[some]), strict=True))
 
     def of(self, d: int, place: int) -> int | None:
         """The tag, or nothing if its window isn't decoded yet."""
@@ -223,6 +243,12 @@ class _Tags:
         row = self.rows.get((d, at))
         return None if row is None else int(row[place - at])
 
+    def likely(self, d: int, lo: int, hi: int) -> float:
+        """How likely the tags of these places are, on average."""
+        places = np.arange(lo, hi)
+        at = owners(places, len(self.texts[d]))
+        return float(np.mean([self.sure[d, s][p - s] for p, s in zip(places.tolist(), at.tolist(), strict=True)]))
+
     def within(self, d: int, lo: int, hi: int) -> np.ndarray:
         places = np.arange(lo, hi)
         at = owners(places, len(self.texts[d]))
@@ -233,7 +259,7 @@ class _Tags:
         return out
 
 
-def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+def tagged_spans(tagger: Tagger, texts: list[str], sure: float = SURE) -> list[list[tuple[int, int, int]]]:
     """The tagger's spans of whole texts, (kind, start, end) by start.
 
     They are the spans that windows over the whole text give: every place is tagged by its own window
@@ -284,7 +310,7 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int,
         starts = np.flatnonzero((kinds >= 0) & np.r_[True, (kinds[1:] != kinds[:-1]) | (own[1:] % 2 == 1)])
         ends = np.flatnonzero((kinds >= 0) & np.r_[(kinds[1:] != kinds[:-1]) | (own[1:] % 2 == 1), True]) + 1
         out[d] += [(int(kinds[a]), lo + a, lo + b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    return [[s for s in spans if _fits(s[0], texts[d][s[1] : s[2]])] for d, spans in enumerate(out)]
+    return [[s for s in spans if _possible(s[0], texts[d][s[1] : s[2]]) and tags.likely(d, s[1], s[2]) >= sure] for d, spans in enumerate(out)]
 
 
 def written(spans) -> str:

@@ -221,11 +221,53 @@ def test_tagged_spans_are_those_of_full_coverage(tagger):
                 spans.append((kind, a, p))
             else:
                 p += 1
-        want.append([s for s in spans if pii._fits(s[0], t[s[1] : s[2]])])
+        sure = tagger.sure(x, tags)
+        likely = [np.mean([sure[best[p][2]][p - best[p][1]] for p in range(a, b)]) for _, a, b in spans]
+        want.append([s for s, q in zip(spans, likely, strict=True) if pii._possible(s[0], t[s[1] : s[2]]) and q >= pii.SURE])
         placed += len(want[-1])
     assert placed > 50 and pii.tagged_spans(tagger, texts) == want
 
 
+def test_posteriors_are_those_of_all_sequences():
+    """The likelihood of each tag against the sum over every sequence of tags."""
+    import itertools
+
+    t = Tagger(5, 1, 4, 3, seed=2)
+    x = np.array([[1, 2, 3, 4], [4, 4, 0, 1]])
+    tags = np.array([[0, 1, 2, 0], [1, 2, 2, 0]])
+    s, moves = t.scores(x), t._moves()
+    for row in range(2):
+        weight = {}
+        for ways in itertools.product(range(3), repeat=4):
+            weight[ways] = np.exp(sum(float(s[k, row, y]) for k, y in enumerate(ways)) + sum(float(moves[a, b]) for a, b in itertools.pairwise(ways)))
+        total = sum(weight.values())
+        want = [sum(w for ways, w in weight.items() if ways[k] == tags[row, k]) / total for k in range(4)]
+        assert np.allclose(t.sure(x, tags)[row], want, atol=1e-4)
+
+
+def _planted(g, forms, n):
+    word = lambda: "".join(g.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(g.randint(2, 9)))
+    filled = lambda f: "".join(str(g.randint(0, 9)) if c == "9" else str(g.randint(1, 9)) if c == "8" else c for c in f)
+    out = []
+    for _ in range(n):
+        before, own = " ".join(word() for _ in range(g.randint(3, 14))), filled(g.choice(forms))
+        out.append((f"{before} {own}{g.choice([' ', '. ', ', '])}{word()} {word()}", len(before) + 1, len(before) + 1 + len(own)))
+    return out
+
+
+def test_numbers_that_no_pattern_has(spark):
+    """Planted phones: of the templates' forms with other digits, and of forms that training never saw; and numbers that are none."""
+    tagger = pii.train(spark.createDataFrame([(1, "nothing here 12")], "doc_id long, text string"))
+    g = random.Random(12)
+    hits = lambda rows: sum(any(k == 3 and a < hi and lo < b for k, a, b in s) for s, (_, lo, hi) in zip(pii.tagged_spans(tagger, [t for t, *_ in rows]), rows, strict=True)) / len(rows)
+    assert hits(_planted(g, [f for f in pii.PHONES if f[0] != "+"], 200)) > 0.7
+    assert hits(_planted(g, ("00 99 999 9999999", "899 - 999 - 9999", "(099) 9999 9999", "8 (899) 999 9999"), 200)) > 0.4
+    assert hits(_planted(g, ("1999-2004", "No. 89999", "8,999,999 km", "88:59:59", "$99.95", "899.999", "899999", "2024/09/89"), 200)) < 0.25
+    text = "please call 555-867-5309 now"
+    got = pii.personal_data(spark.createDataFrame([(1, text, "s", 1)], SCHEMA), tagger).collect()[0]
+    assert got.n_phone == 0 and got.spans == "phone:12:24"
+
+
 def test_windows_cover_every_trigger():
     g = random.Random(8)
     for _ in range(500):
