@@ -144,7 +144,8 @@ def rewritten(table: Laid, victims: DataFrame, folder: str, beside: str) -> Data
 
     A file's keys (of FILES parts of the table) are in a task at once; its rows are read in batches.
     """
-    held = table.keys.filter("key is not null").select("file_no", "key").distinct().join(victims.distinct(), "key", "left_semi")
+    # not a semi join, which would be moved before the distinct and meet a hot key's rows in place of its files
+    held = table.keys.filter("key is not null").select("file_no", "key").distinct().join(victims.distinct(), "key")
     left = table.keys.select("file_no", "rank", F.coalesce("key", F.lit(0)).alias("key"), F.col("key").isNotNull().alias("keyed"), "id", "cents")
     name, size, columns = table.name, table.size, ",".join(table.columns)
 
