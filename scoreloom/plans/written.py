@@ -167,3 +167,12 @@ def contradiction_rows(spark, sf_dir):
     out = M.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(config.contradictions(payload)).alias("c"))
     said = F.array_join(F.transform("c.positions", lambda p: F.concat(p.label, F.lit("="), p.stance)), ";")
     return out.select("conv_id", "turn", F.concat("c.topic", F.lit(":"), said).alias("found"))
+
+
+@_query("""WITH en AS (SELECT conv_id::VARCHAR task_id, turn idx, repeat(text, 8) AS content FROM conversations), t AS (SELECT *, trim(content, ' ' || chr(9) || chr(10)) t FROM en)
+SELECT task_id, idx, length(t) >= 40 AS survived, CASE WHEN length(t) >= 40 THEN 'prose' WHEN length(t) > 0 THEN 'noise' ELSE 'empty' END AS recovered_via, md5(left(content, 4000)) AS preview, length(content) > 4000 AS truncated FROM t""")
+def diagnostic_whole(spark, sf_dir):
+    """What became of long answers, with the previews that the log keeps of them."""
+    c = M.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("task_id"), F.col("turn").alias("idx"), F.repeat("text", F.lit(8)).alias("content"))
+    out = findings.diagnostics(opinions.read(c))
+    return out.select("task_id", "idx", "survived", "recovered_via", F.md5("preview").alias("preview"), "truncated")
