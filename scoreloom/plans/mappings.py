@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cost, ev, panel, score
+from ..shared import shared_dir
 from ..shipping import ship
 
 TODAY, YESTERDAY = "2001-01-01", "2000-12-01"
@@ -16,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def inventory(spark, sf_dir, since: str = TODAY) -> tuple[DataFrame, DataFrame]:
     """(snapshot, metadata): parts are games, their line items tickets and prize tiers."""
     line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", (F.col("l_shipdate") >= F.lit(since).cast("timestamp_ntz")).alias("live"))

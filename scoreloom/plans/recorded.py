@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import gates, json_schema, panel
-from ..shared import shared_dir
 from ..sources import changes, files, recordings
 from ..streaming import lifecycle
 from . import mappings as M
 from .catalog import _EV, _PANEL, _query
 
 
-def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _observed(spark, sf_dir):
     return M.observations(spark, sf_dir).withColumnRenamed("event_id", "place").select("game_key", "obs_date", "capture_ts", "place", "capture_url", "percent_unsold")
 
@@ -28,7 +21,7 @@ def _observed(spark, sf_dir):
 @_query(f"{_PANEL} SELECT game_key, obs_date, status AS lifecycle_status FROM l")
 def stream_lifecycle(spark, sf_dir):
     """Observations as a stream with a state for each game, in two runs from one checkpoint: the labels of the whole panel."""
-    base, rows = _folder(spark, "lifecycle"), _observed(spark, sf_dir)
+    base, rows = M.folder(spark, "lifecycle"), _observed(spark, sf_dir)
     half = rows.agg((F.min(F.unix_timestamp(F.col("capture_ts").cast("timestamp"))) + F.max(F.unix_timestamp(F.col("capture_ts").cast("timestamp")))) / 2)
     first = F.unix_timestamp(F.col("capture_ts").cast("timestamp")) < half.first()[0]
     for part in (first, ~first):
@@ -42,7 +35,7 @@ def stream_lifecycle(spark, sf_dir):
 UNION ALL SELECT 'superseded', game_key, obs_date, capture_url, kept_url, NULL FROM r WHERE rn > 1""")
 def stream_superseded(spark, sf_dir):
     """Captures that come in any order, in three runs from one checkpoint: the panel and the superseded log of all of them."""
-    base, rows = _folder(spark, "superseded"), _observed(spark, sf_dir)
+    base, rows = M.folder(spark, "superseded"), _observed(spark, sf_dir)
     for k in range(3):
         rows.filter(F.pmod(F.xxhash64("place"), F.lit(3)) == k).write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
@@ -155,7 +148,7 @@ def lifecycle_confirmed(spark, sf_dir):
 @_query("SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') AS timestamp, event_id % 97 AS page, 10 + event_id % 97 AS chars FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND event_id % 3 <> 0")
 def recorded_captures(spark, sf_dir):
     """Events as recorded captures: index files and pages are written, and read through filters that the source takes over."""
-    folder, e = _folder(spark, "recordings"), M.table(spark, sf_dir, "events")
+    folder, e = M.folder(spark, "recordings"), M.table(spark, sf_dir, "events")
     k = F.col("event_id")
     index = e.select(
         F.format_string("part-%08d", F.expr("event_id div 500")).alias("file"), k.alias("place"), F.date_format("ts", "yyyyMMddHHmmss").alias("timestamp"), F.concat(F.lit("https://x/"), k.cast("string")).alias("original"),

@@ -11,7 +11,6 @@ from ..schemas import PANEL_RULES, TIERS
 from ..sources import files
 from . import mappings as M
 from .catalog import _EV, _PANEL, _query
-from .recorded import _folder
 
 # Files -----------------------------------------------------------------------------------------
 
@@ -46,7 +45,7 @@ def panel_written(spark, sf_dir):
     o = M.observations(spark, sf_dir).withColumn("content_hash", F.lit(""))
     daily = F.col("event_id") % 3 == 0
     merged, _ = files.panel_from(o.filter(~daily).withColumn("source", F.lit("wayback")), o.filter(daily).withColumn("source", F.lit("daily")))
-    at = _folder(spark, "panel")
+    at = M.folder(spark, "panel")
     files.write_jsonl(merged.select("obs_date", "game_key", "lifecycle_status", "source", "capture_url", F.lit(None).cast("string").alias("note")), at, ["obs_date", "game_key"])
     lines = spark.read.text(at).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"))
     key = F.concat_ws(" ", F.get_json_object("value", "$.obs_date"), F.get_json_object("value", "$.game_key"))
@@ -57,7 +56,7 @@ def panel_written(spark, sf_dir):
 @_query(f"{_EV} SELECT game_no, name, price, pu AS percent_unsold, tu AS total_unclaimed, '{M.TODAY}' AS as_of, 2::BIGINT AS copies, true AS same FROM latest")
 def document_written(spark, sf_dir):
     """A day as one document: written, kept under its date as well with the same bytes, and read back strictly."""
-    at = _folder(spark, "document")
+    at = M.folder(spark, "document")
     files.write_document(M.inventory(spark, sf_dir)[0].select("as_of", "game_no", "name", "price", "percent_unsold", "total_unclaimed"), f"{at}/latest.json", history=f"{at}/history")
     day = files.document(spark, f"{at}/latest.json", "as_of string, games array<struct<game_no:bigint,name:string,price:double,percent_unsold:double,total_unclaimed:double>>")
     texts = files.whole_text(spark, f"{at}/latest.json").unionByName(files.whole_text(spark, f"{at}/history/*.json"))
@@ -70,7 +69,7 @@ def document_written(spark, sf_dir):
 @_query(f"{_EV} SELECT game_no, price, '{M.TODAY}'::DATE AS as_of FROM latest UNION ALL SELECT game_no, price, '{M.YESTERDAY}'::DATE FROM latest")
 def published_days(spark, sf_dir):
     """Two days published behind a gate, one of them twice: a day replaces itself and leaves the other alone."""
-    at = _folder(spark, "published")
+    at = M.folder(spark, "published")
     for since, off in ((M.TODAY, 1.0), (M.YESTERDAY, 0.0), (M.TODAY, 0.0)):
         games = M.inventory(spark, sf_dir, since)[0]
         gates.publish(games.select("as_of", "game_no", (F.col("price") + off).alias("price")), at, parser=gates.parser_gate(games, 1, 1.0))
@@ -80,7 +79,7 @@ def published_days(spark, sf_dir):
 @_query("SELECT event_id, event_type AS kind, CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events")
 def lines_strict(spark, sf_dir):
     """Events as JSON lines, nulls written, read back by the strict reader."""
-    at = _folder(spark, "lines")
+    at = M.folder(spark, "lines")
     rows = M.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
     files.write_jsonl(rows, at, ["event_id"])
     return files.jsonl(spark, at, "event_id bigint, kind string, value double")
