@@ -630,7 +630,8 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
         pairs = found.filter("a <> b").select("a", "b")
         if pairs.isEmpty():
             continue
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(vertices.select("node", "d", "e"), "node")
+        named_pairs = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(vertices.select("node", "d", "e"), "node")
+        wanted = staged(named_pairs, "wanted")  # read for the filter and for the texts
         sets = staged(_sets(known, wanted, rule), "sets")
         new = staged(_verified(pairs, sets, rule, parts), "links")
         links = new if links is None else links.unionByName(new)
