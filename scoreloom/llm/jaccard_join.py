@@ -35,8 +35,10 @@ BLOCK = 4096
 #: A task takes its signatures in parts of about CHUNK, one after the other, and larger ones in runs of it;
 #: a signature that fills more than HOT of a run is written out as it comes.
 CHUNK, HOT = 1 << 21, 4096
-#: Bits of the filter that keeps texts out of an exchange; its false positives cost time only.
-FILTER_BITS = 1 << 23
+#: Bits an id, least and most bits of the filter that keeps texts out of an exchange; its false positives cost time only.
+ID_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 23, 1 << 28
+#: Classes that a task remembers, to pass over texts that it has seen.
+SEEN = 1 << 19
 #: A bucket writes out all its surviving pairs if they are at most so many a member.
 DENSE = 4
 #: One of so many buckets is joined in the first round, which links most copies.
@@ -357,6 +359,8 @@ def _buckets(docs: DataFrame, rule: Rule, parts: int, tokens: int) -> DataFrame:
                 words = space_words(t)
                 if not words or (key := class_of(words)) in seen:
                     continue
+                if len(seen) == SEEN:
+                    seen.clear()  # one that comes again is one class all the same
                 seen.add(key)
                 held.append((rule.signatures(tokens_of(words, rule.words)), key[0] & _KEY))
                 count += len(held[-1][0])
@@ -424,8 +428,8 @@ def _buckets(docs: DataFrame, rule: Rule, parts: int, tokens: int) -> DataFrame:
     return found.select("bucket", "m", "key")
 
 
-def _place(key: str = "doc_id"):
-    return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS))
+def _place(size: int, key: str = "doc_id"):
+    return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(size))
 
 
 def _held(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -434,10 +438,11 @@ def _held(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A bit for each hashed doc_id: FILTER_BITS bits, however many ids there are."""
-    place = ids.select(_place().alias("p"))
+    """A bit for each hashed doc_id, ID_BITS bits an id: at most 32 MB, which beyond 17 million ids keep out fewer texts."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (ID_BITS * ids.count()).bit_length()))
+    place = ids.select(_place(size).alias("p"))
     words = place.groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out = np.zeros(size // 64, dtype=np.int64)
     out[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
     return out
 
@@ -451,7 +456,7 @@ def _maybe(bits: np.ndarray, key: str = "doc_id"):
 
         return pd.Series(_held(bits, place.to_numpy()))
 
-    return maybe(_place(key))
+    return maybe(_place(64 * len(bits), key))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
