@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import cut, shared_dir
-from ..shipping import ship
+from ..shipping import ship as _shipped
 
 
 
@@ -29,10 +30,42 @@ def _thrifty() -> None:
 
 _thrifty()
 
+_KEPT: list[dict] = []
+
+
+def kept() -> dict:
+    """What a worker keeps between its tasks, until a function begins that has no use for it."""
+    out: dict = {}
+    _KEPT.append(out)
+    return out
+
+
+def begin() -> None:
+    """At the start of a worker function that keeps nothing: what other operators have left in this worker goes."""
+    if any(_KEPT):
+        for held in _KEPT:
+            held.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Bytes of text that Arrow functions take at a time.
 BATCH_BYTES = 2 << 20
 
 
+#: Bytes of an Arrow batch on its way to and from a worker, which both sides hold.
+ARROW_BYTES = 4 << 20
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, and have batches stay small where the session doesn't say how large they may be."""
+    _shipped(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(name) is None:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_parts, alnum_words, picked, positional, rows_in, ship, staged
+from .common import alnum_parts, alnum_words, begin, picked, positional, rows_in, ship, staged
 
 WINDOW, SAMPLE = 13, 4
 #: Bytes of benchmark text that are sent to the executors at once; a larger benchmark is searched in blocks.
@@ -225,6 +225,7 @@ def _searched(plain: DataFrame, text: str, benchmark: DataFrame, size: int, limi
 
     def step(sent, first: bool, last: bool):
         def run(batches):
+            begin()
             windows = sent.value.opened()
             known = windows.symbol.get
             held: list = []  # row batch, symbols by text

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, picked, positional, rows_in, ship, shingle_hashes, space_words, staged, width
+from .common import begin, mix, picked, positional, rows_in, ship, shingle_hashes, space_words, staged, width
 from .components import components
 
 LEAST_CELLS, MOST_CELLS, LEAF = 8, 8192, 32
@@ -299,6 +299,7 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
     words_in = rule.words
 
     def run(batches):
+        begin()
         for part, texts in rows_in(batches):
             own = [space_words(t) for t in texts]
             sets = [tokens_of(w, words_in) for w in own]
@@ -334,6 +335,7 @@ def _buckets(docs: DataFrame, rule: Rule, parts: int, tokens: int) -> DataFrame:
     cells = parts * split
 
     def emit(batches):
+        begin()
         seen: set[int] = set()
         held: list = []
         count = 0
@@ -394,6 +396,7 @@ def _buckets(docs: DataFrame, rule: Rule, parts: int, tokens: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names[cutout]), pa.array(sizes[cutout], pa.int64()), pa.array(key[rows[cutout]].view(np.int64))], ["bucket", "m", "key"])
 
     def meet(batches):
+        begin()
         cell, held, count = None, [], 0
         hot = np.empty(0, np.uint64)
 
@@ -470,6 +473,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     found = found.dropDuplicates(["node", "d", "e", "h"])  # a row that is repeated is one set
 
     def run(batches):
+        begin()
         for part, texts in rows_in(batches):
             own = [space_words(t) for t in texts]
             same = [class_of(w) == c for w, c in zip(own, zip(part.column("d").to_pylist(), part.column("e").to_pylist(), strict=True), strict=True)]
@@ -487,6 +491,7 @@ def _pairs(members: DataFrame, rule: Rule, parts: int, every: bool, dense: int =
     """
 
     def run(batches):
+        begin()
         rest: pa.RecordBatch | None = None
         out: list[np.ndarray] = []
         left: set[int] = set()
@@ -548,6 +553,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule, parts: int) -> Data
     """The pairs (a, b) that link. A task holds the sets of one a and streams those of its b; many of these are dealt in blocks."""
 
     def run(batches):
+        begin()
         name, own = None, []
         for batch in batches:
             keep = []

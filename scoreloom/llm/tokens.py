@@ -15,13 +15,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
 #: Words and bytes of words that a worker keeps; the vocabulary starts anew when either is reached.
 CACHE_WORDS, CACHE_BYTES = 600_000, 12 << 20
 #: Longer words are cut at safe places inside, where there are any, into calls of about this many characters.
 LONG = 1 << 14
 
 _LINES = 256
-_OPEN: dict[tuple[str, str], object] = {}
+_OPEN = kept()  # (kind, path) -> encoder
 
 
 class _Pool:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, cut, picked, positional, rows_in, ship
+from .common import _powers, begin, cut, picked, positional, rows_in, ship
 
 #: Labelled rows that are learned from at most, and features kept at most.
 TRAIN_ROWS, FEATURES = 24_000, 4096
@@ -137,6 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features:
     size = 1 << BUCKET_BITS
 
     def count(batches):
+        begin()
         n = np.zeros((2, size), dtype=np.int32)
         total = np.zeros(2, dtype=np.int64)
         for part, own in rows_in(batches):
@@ -181,6 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features:
     held[buckets[np.argsort(-np.abs(z), kind="stable")[:features]]] = True
 
     def lists(batches):
+        begin()
         for part, own in rows_in(batches):
             d, g = hits(own, held)
             cuts = np.searchsorted(d, np.arange(len(own) + 1))
@@ -231,6 +233,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     held = model.prefilter()
 
     def run(batches):
+        begin()
         for part, texts in rows_in(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score(model, texts, held))], ["doc_id", "score"])
 
@@ -250,6 +253,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: i
     plain, at = positional(docs)
 
     def run(batches):
+        begin()
         for part, texts in rows_in(batches, at["text"]):
             yield part.filter(pa.array(score(model, texts, held) < threshold))
 
