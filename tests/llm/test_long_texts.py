@@ -36,7 +36,7 @@ def test_all_rules_against_plain_search(spark):
 
 def test_secrets_of_a_long_text(spark):
     g = random.Random(1)
-    filler = " ".join(_words(g, 250_000))
+    filler = " ".join(_words(g, 200_000))
     text = f"password: abcdefghijkl {filler} AKIA{'Q' * 20} {filler} ghp_{'a' * 36}"
     assert len(text) > 2 << 20
     got = secrets_scan.secrets(spark.createDataFrame([(1, text, "s", 1), (2, "k" * (1 << 20), "s", 1)], SCHEMA)).collect()
@@ -58,7 +58,7 @@ def test_decontamination_of_a_long_text(spark):
     """Passages at both ends and across the places where a long text is taken apart."""
     g = random.Random(3)
     passage = " ".join(_words(g, 20))
-    words = _words(g, 420_000)
+    words = _words(g, 240_000)
     text = " ".join(words)
     parts = list(common.alnum_parts(text))
     assert len(parts) > 1 and [w for p in parts for w in p] == common.alnum_words(text)
@@ -68,14 +68,14 @@ def test_decontamination_of_a_long_text(spark):
     items = [(5, passage), (6, "quite another passage of words that no document has in it at all here")]
     got = {r["doc_id"]: r for r in decontaminate.contamination(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
     digest = hashlib.sha256(b"5").hexdigest()
-    assert [(got[k]["n_words"], got[k]["n_hit"], got[k]["n_items"], got[k]["items_sha256"], got[k]["contaminated"]) for k in (1, 2)] == [(420_060, 60, 1, digest, False), (20, 20, 1, digest, True)]
+    assert [(got[k]["n_words"], got[k]["n_hit"], got[k]["n_items"], got[k]["items_sha256"], got[k]["contaminated"]) for k in (1, 2)] == [(240_060, 60, 1, digest, False), (20, 20, 1, digest, True)]
     assert got[3]["n_hit"] == 0
 
 
 def test_fingerprints_of_a_long_text(spark):
     g = random.Random(4)
-    text = " ".join(_words(g, 300_000))
-    docs = [(1, text, "s", 1), (2, text, "s", 1), (3, "short text", "s", 1), (4, " ".join(_words(g, 300_000)), "s", 1)]
+    text = " ".join(_words(g, 120_000))
+    docs = [(1, text, "s", 1), (2, text, "s", 1), (3, "short text", "s", 1), (4, " ".join(_words(g, 120_000)), "s", 1)]
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(docs, SCHEMA).repartition(2)).collect()}
     assert got[1]["n_chars"] == len(text) and got[1]["fingerprint"] == got[2]["fingerprint"] != got[4]["fingerprint"]
     assert got[1]["near_next"] == 1 and got[3]["near_next"] < 0.1
@@ -86,7 +86,7 @@ def test_fingerprints_of_a_long_text(spark):
 def test_a_long_text_goes_through_the_pipeline(spark, tmp_path):
     """It is kept whole: its pieces hold all of its tokens, in order, each once."""
     g = random.Random(5)
-    long = ". ".join(" ".join(_words(g, 12)) for _ in range(25_000))
+    long = ". ".join(" ".join(_words(g, 12)) for _ in range(8_000))
     docs = [(k, " ".join(_words(g, 40)), "en", "s", 1) for k in range(20)] + [(99, long, "en", "s", len(long)), (100, long + " and one more", "en", "s", len(long))]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -98,7 +98,7 @@ def test_a_long_text_goes_through_the_pipeline(spark, tmp_path):
     for start, length, total in own:
         assert start == at
         at += length
-    assert at == own[0][2] > 300_000
+    assert at == own[0][2] > 96_000
 
 
 def test_a_long_text_among_coded_ids(spark, tmp_path):
