@@ -9,11 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch on its way to and from a worker, which both sides hold.
+ARROW_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once a Spark application."""
+    """Send this package to the executors' Python, once a Spark application; batches stay small where the session doesn't say how large they may be."""
     sc = spark.sparkContext
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if sc.getConf().get(name) is None:
+        spark.conf.set(name, str(ARROW_BYTES))
     if sc.applicationId not in _SHIPPED:
         _SHIPPED.add(sc.applicationId)
         package = Path(__file__).resolve().parent

@@ -2,29 +2,52 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..functions import text as T
+from ..shipping import ship
 
 _ITEMS = "array<struct<kind:string,ordinal:int,cells:array<string>>>"
+KINDS = ("table", "row", "p", "h1", "link", "text")
+#: Characters of pages whose items are given on at a time.
+BYTES = 1 << 20
+#: Tags without attributes, which most are: the same as HTMLParser makes of them, without its search for attributes.
+_PLAIN, _PLAIN_END = re.compile("<(td|tr|th|p|b|i|li|ul|span|div)>"), re.compile("</(td|tr|th|p|b|i|li|ul|a|span|div)>")
 _VOID = {"br", "img", "hr", "input", "meta", "link", "col", "area", "base", "wbr"}
 
 
 class _Scan(HTMLParser):
     """Rows of the first table of a class, paragraphs, first h1, links, and all text pieces."""
 
-    def __init__(self, wanted: str):
+    def __init__(self, wanted: str, written: bool = False):
         super().__init__(convert_charrefs=True)
-        self.wanted, self.items = wanted, []
+        self.wanted, self.written, self.items = wanted, written, []
         self.table = 0  # depth inside the wanted table
         self.done = False
         self.row = self.cell = self.para = self.head = None
         self.pieces: list[str] = []
         self.skip = 0
 
+    def parse_starttag(self, i):
+        m = _PLAIN.match(self.rawdata, i)
+        if m is None or self.cdata_elem is not None:
+            return super().parse_starttag(i)
+        self.handle_starttag(m[1], ())
+        return m.end()
+
+    def parse_endtag(self, i):
+        m = _PLAIN_END.match(self.rawdata, i)
+        if m is None or self.cdata_elem is not None:
+            return super().parse_endtag(i)
+        self.handle_endtag(m[1])
+        return m.end()
+
     def add(self, kind: str, *cells: str) -> None:
         self.items.append((kind, len(self.items), list(cells)))
 
@@ -85,7 +108,7 @@ class _Scan(HTMLParser):
         elif tag == "p":
             self.close_para()
         elif tag == "h1" and isinstance(self.head, list):
-            self.add("h1", "".join(self.head).strip())
+            self.add("h1", "".join(self.head) if self.written else "".join(self.head).strip())
             self.head = False
 
     def handle_data(self, data):
@@ -97,9 +120,10 @@ class _Scan(HTMLParser):
                 held.append(data)
 
 
-def scan(page: str | None, wanted: str = "tbstriped") -> list[tuple[str, int, list[str]]]:
-    s = _Scan(wanted)
-    s.feed(page or "")
+def scan(page: str | None, wanted: str = "tbstriped", written: bool = False) -> list[tuple[str, int, list[str]]]:
+    """The items of a page; `written`: with character references as they stand in the source."""
+    s = _Scan(wanted, written)
+    s.feed((page or "").replace("&", "&amp;") if written else page or "")
     s.close()
     s.close_row()
     s.close_para()
@@ -107,55 +131,84 @@ def scan(page: str | None, wanted: str = "tbstriped") -> list[tuple[str, int, li
     return s.items
 
 
-def items(pages: DataFrame, keep: list[str], column: str = "html", wanted: str = "tbstriped") -> DataFrame:
+def scanned(pages: DataFrame, keep: list[str], column: str = "html", wanted: str = "tbstriped", kinds: tuple[str, ...] = KINDS, written: bool = False) -> DataFrame:
+    """keep and the page's items of some kinds, `found`: pages are taken and given in batches of a few MB, and each is scanned once."""
+    ship(pages.sparkSession)
+    rows = pages.select(*keep, F.col(column).cast("string").alias("__page"))
+    rows = rows.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keep, "__page")  # scanning is the work: small inputs too use all cores
+
+    def run(batches):
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("ordinal", pa.int32()), ("cells", pa.list_(pa.string()))]))
+        for batch in batches:
+            first, held, size = 0, [], 0
+            texts = batch.column(batch.num_columns - 1)
+            for k in range(len(texts)):
+                page = texts[k].as_py()
+                held.append([item for item in scan(page, wanted, written) if item[0] in kinds])
+                size += len(page or "")
+                if size >= BYTES or k == len(texts) - 1:
+                    found = pa.array([[{"kind": a, "ordinal": b, "cells": c} for a, b, c in items] for items in held], kind)
+                    part = batch.slice(first, k + 1 - first)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], names=[*part.schema.names[:-1], "found"])
+                    first, held, size = k + 1, [], 0
+
+    schema = StructType([*rows.schema.fields[:-1], StructField("found", DataType.fromDDL(_ITEMS))])
+    return rows.mapInArrow(run, schema)
+
+
+def items(pages: DataFrame, keep: list[str], column: str = "html", wanted: str = "tbstriped", kinds: tuple[str, ...] = KINDS, written: bool = False) -> DataFrame:
     """keep, kind (table, row, p, h1, link, text), ordinal, cells: one row for each item of a page."""
-
-    @F.pandas_udf(_ITEMS)
-    def scanned(html):
-        return html.map(lambda page: [{"kind": k, "ordinal": n, "cells": c} for k, n, c in scan(page, wanted)])
-
-    return pages.select(*keep, F.explode(scanned(column)).alias("i")).select(*keep, "i.kind", "i.ordinal", "i.cells")
+    return scanned(pages, keep, column, wanted, kinds, written).select(*keep, F.explode("found").alias("i")).select(*keep, "i.kind", "i.ordinal", "i.cells")
 
 
 def snapshots(pages: DataFrame, key: str = "page", column: str = "html", tolerant: bool = False) -> tuple[DataFrame, DataFrame]:
     """(games, errors) of unclaimed-prize pages: the games with their tiers in page order, and what is wrong by page.
 
     Rows whose first five cells are blank continue the game above them. A page with any error gives no game.
+    A page is read where it is: its rows stay together, so no page is exchanged, and each result scans it once.
     """
-    found = items(pages, [key], column)
-    rows = found.filter("kind = 'row' and size(cells) > 0")
-    cell = lambda k: F.get("cells", F.lit(k))
-    level = T.integer(F.regexp_replace(T.plain(cell(5)), r"[$]", ""))
-    parsed = rows.filter("size(cells) = 7").select(
-        key, "ordinal", (~F.forall(F.slice("cells", 1, 5), T.blank)).alias("head"), T.money(cell(0)).alias("price"), T.integer(cell(1)).alias("game_no"), T.plain(cell(2)).alias("name"),
-        T.percent(cell(3)).alias("percent_unsold"), T.money(cell(4)).alias("total_unclaimed"), level.alias("level"),
-        F.when(level.isNull(), F.regexp_replace(T.plain(cell(5)), r"(?U)\s+", " ")).alias("level_label"), T.integer(cell(6)).alias("remaining"),
-    )
-    numbered = parsed.withColumn("game", F.sum(F.col("head").cast("int")).over(Window.partitionBy(key).orderBy("ordinal")))
-    bad_head = F.col("head") & (F.col("price").isNull() | F.col("game_no").isNull() | F.col("percent_unsold").isNull() | F.col("total_unclaimed").isNull())
-    bad_tier = F.col("remaining").isNull() | (F.lit(not tolerant) & F.col("level").isNull())
-    faults = F.when(F.col("game") == 0, "orphan continuation row").when(bad_head | bad_tier, "malformed cell")
-    stamps = found.filter("kind = 'p'").withColumn("stamp", T.after_as_of(F.col("cells")[0])).filter("stamp is not null").groupBy(key).agg(F.min_by("stamp", "ordinal").alias("source_timestamp"))
-    about = found.groupBy(key).agg(F.count_if(F.col("kind") == "table").alias("tables")).join(stamps, key, "left")
-    errors = (
-        about.filter("tables = 0").select(key, F.lit("missing data table").alias("error"))
-        .unionByName(about.filter("source_timestamp is null").select(key, F.lit("no 'as of' paragraph").alias("error")))
-        .unionByName(rows.filter("size(cells) <> 7").select(key, F.lit("not 7 cells").alias("error")))
-        .unionByName(numbered.select(key, faults.alias("error")).filter("error is not null"))
-        .distinct()
-    )
-    tier = F.struct("ordinal", "level", "level_label", "remaining")
-    games = numbered.groupBy(key, "game").agg(
-        F.min("ordinal").alias("ordinal"), *[F.min_by(c, "ordinal").alias(c) for c in ("game_no", "name", "price", "percent_unsold", "total_unclaimed")], F.array_sort(F.collect_list(tier)).alias("t")
-    )
-    tiers = F.transform("t", lambda x: F.struct(x.level.alias("level"), x.level_label.alias("level_label"), x.remaining.alias("remaining")))
-    out = games.withColumn("top_prizes", tiers).drop("t", "game").join(stamps, key).join(errors.select(key).distinct(), key, "left_anti")
-    return out, errors
+    found = scanned(pages, [key], column, kinds=("table", "row", "p"))
+    cell = lambda x, k: F.get(x.cells, F.lit(k))
+
+    def seen(x):
+        level = T.integer(F.regexp_replace(T.plain(cell(x, 5)), r"[$]", ""))
+        return F.struct(x.ordinal.alias("ordinal"), x.cells.alias("cells"), (~F.forall(F.slice(x.cells, 1, 5), T.blank)).alias("head"), level.alias("level"))
+
+    def row(x):
+        first = {"price": T.money(cell(x, 0)), "game_no": T.integer(cell(x, 1)), "name": T.plain(cell(x, 2)), "percent_unsold": T.percent(cell(x, 3)), "total_unclaimed": T.money(cell(x, 4))}
+        label = F.when(x.level.isNull(), F.regexp_replace(T.plain(cell(x, 5)), r"(?U)\s+", " "))
+        return F.struct(x.ordinal.alias("ordinal"), x.head.alias("head"), *[F.when(x.head, c).alias(n) for n, c in first.items()], x.level.alias("level"), label.alias("level_label"), T.integer(cell(x, 6)).alias("remaining"))
+
+    of = lambda kind: F.filter("found", lambda x: x.kind == kind)
+    rows = F.filter(of("row"), lambda x: F.size(x.cells) > 0)
+    stamps = F.array_compact(F.transform(of("p"), lambda x: T.after_as_of(x.cells[0])))
+    page = found.select(key, (F.size(of("table")) > 0).alias("table"), F.get(stamps, F.lit(0)).alias("source_timestamp"), rows.alias("rows"))
+    page = page.select(key, "table", "source_timestamp", F.exists("rows", lambda x: F.size(x.cells) != 7).alias("narrow"), F.transform(F.transform(F.filter("rows", lambda x: F.size(x.cells) == 7), seen), row).alias("rows"))
+    # a game is the rows from one head up to the next
+    page = page.withColumn("heads", F.array_compact(F.transform("rows", lambda x, k: F.when(x.head, k + 1))))
+    headed = F.slice("rows", F.coalesce(F.get("heads", F.lit(0)), F.size("rows") + 1), F.size("rows"))
+    bad_head = lambda x: x.head & (x.price.isNull() | x.game_no.isNull() | x.percent_unsold.isNull() | x.total_unclaimed.isNull())
+    bad_tier = lambda x: x.remaining.isNull() | (F.lit(not tolerant) & x.level.isNull())
+    faults = {
+        "missing data table": ~F.col("table"), "no 'as of' paragraph": F.col("source_timestamp").isNull(), "not 7 cells": F.col("narrow"),
+        "orphan continuation row": (F.size("rows") > 0) & ~F.coalesce(F.get("rows", F.lit(0)).head, F.lit(False)), "malformed cell": F.exists(headed, lambda x: bad_head(x) | bad_tier(x)),
+    }
+    page = page.withColumn("errors", F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in faults.items()])))
+    errors = page.select(key, F.explode("errors").alias("error")).distinct()
+
+    def game(at, k):
+        first, past = F.get("rows", at - 1), F.coalesce(F.get("heads", k + 1), F.size("rows") + 1)
+        tiers = F.transform(F.slice("rows", at, past - at), lambda x: F.struct(x.level.alias("level"), x.level_label.alias("level_label"), x.remaining.alias("remaining")))
+        return F.struct(*[first[c].alias(c) for c in ("ordinal", "game_no", "name", "price", "percent_unsold", "total_unclaimed")], tiers.alias("top_prizes"))
+
+    games = F.when(F.size("errors") == 0, F.transform("heads", game))
+    out = page.select(key, "source_timestamp", F.explode(games).alias("g"))
+    return out.select(key, "g.*", "source_timestamp"), errors
 
 
 def articles(pages: DataFrame, key: str = "article_id", column: str = "html") -> DataFrame:
     """Metadata of article pages: every field but the id may be null."""
-    found = items(pages, [key], column).filter("kind in ('text', 'h1')")
+    found = items(pages, [key], column, kinds=("text", "h1"))
     text = F.max(F.when(F.col("kind") == "text", F.col("cells")[0]))
     name = F.min_by(F.col("cells")[0], F.when(F.col("kind") == "h1", F.col("ordinal")))
     out = found.groupBy(key).agg(text.alias("text"), name.alias("name"))
@@ -168,7 +221,7 @@ def articles(pages: DataFrame, key: str = "article_id", column: str = "html") ->
 
 def scratch_dates(pages: DataFrame, key: str = "page", column: str = "html") -> DataFrame:
     """game_no, name, end_date, last_cash_date; other rows are skipped, the last row of a game wins."""
-    rows = items(pages, [key], column).filter("kind = 'row' and size(cells) = 4")
+    rows = items(pages, [key], column, kinds=("row",)).filter("size(cells) = 4")
     cell = lambda k: T.plain(F.col("cells")[k])
     out = rows.select(key, "ordinal", cell(0).try_cast("bigint").alias("game_no"), cell(1).alias("name"), T.month_day(cell(2)).alias("end_date"), T.month_day(cell(3)).alias("last_cash_date")).filter("game_no is not null")
     w = Window.partitionBy("game_no").orderBy(F.desc(key), F.desc("ordinal"))
@@ -177,7 +230,7 @@ def scratch_dates(pages: DataFrame, key: str = "page", column: str = "html") ->
 
 def tile_prices(pages: DataFrame, file: str = "file", column: str = "html") -> DataFrame:
     """article_id, price: the article links of price pages, the price from the file's name."""
-    links = items(pages, [file], column).filter("kind = 'link'").select(file, F.col("cells")[0].alias("href")).filter("contains(href, 'whatsnew/index.php') and contains(href, 'v=article')")
+    links = items(pages, [file], column, kinds=("link",)).select(file, F.col("cells")[0].alias("href")).filter("contains(href, 'whatsnew/index.php') and contains(href, 'v=article')")
     price = F.nullif(F.regexp_extract(file, r"scratch(\d+)dollar", 1), F.lit("")).try_cast("double")
     found = F.nullif(F.regexp_extract("href", r"[?&]id=(\d+)", 1), F.lit(""))
     return links.select(found.alias("article_id"), price.alias("price")).filter("article_id is not null").distinct()
