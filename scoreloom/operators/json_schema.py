@@ -23,10 +23,9 @@ def violations(documents: DataFrame, document: str, schema: dict | str) -> DataF
     count as integers. References lead into the schema itself; one that leads back to itself is an error.
     """
     rules = json.loads(schema) if isinstance(schema, str) else schema
-    value = F.try_parse_json(document)
-    out = documents.withColumn("__value", value)
+    out = documents.withColumn("__value", F.try_parse_json(document))
     bad = _one(F.col("__value").isNull(), F.lit("$"), "json")
-    found = F.when(F.col("__value").isNull(), bad).otherwise(_check(rules, F.col("__value"), F.lit("$"), rules, ()))
+    found = F.when(F.col("__value").isNull(), bad).otherwise(_let(F.col("__value"), lambda x: _check(rules, x, F.lit("$"), rules, ())))
     return out.withColumn("__found", F.explode(found)).select(*[F.col(f"`{c}`") for c in documents.columns], "__found.path", "__found.keyword")
 
 
@@ -50,59 +49,63 @@ def _all(parts: list[Column]) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else _none()
 
 
-def _fine(schema, value: Column, root: dict, seen: tuple) -> Column:
+def _fine(schema, value: Node, root: dict, seen: tuple) -> Column:
     return F.size(_check(schema, value, F.lit(""), root, seen)) == 0
 
 
-def _kind(value: Column) -> Column:
-    """object, array, string, boolean, null or number of a variant."""
-    said = F.schema_of_variant(value)
-    first = F.regexp_extract(said, "^[A-Z]+", 0)
+class Node:
+    """A variant that is there, and its kind, both bound by a lambda: a kind takes a pass over the value, so it is worked out once."""
+
+    def __init__(self, bound: Column):
+        self.value, self.kind = bound["v"], bound["k"]
+
+
+def _node(value: Column) -> Column:
+    """A variant with object, array, string, boolean, null or number."""
+    first = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
     kinds = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
-    out = F.lit("number")
-    for name, kind in kinds.items():
-        out = F.when(first == name, kind).otherwise(out)
-    return out
+    of = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    return F.struct(value.alias("v"), F.coalesce(F.try_element_at(of, first), F.lit("number")).alias("k"))
 
 
-def _member(value: Column, name: str) -> Column:
+def _member(node: Node, name: str) -> Column:
     """A member of an object: SQL null if it isn't there, a null variant if it is null."""
     quote = '"' if "'" in name else "'"
     if quote in name:
-        return F.try_variant_get(value, "$", "map<string,variant>")[name]
-    return F.try_variant_get(value, f"$[{quote}{name}{quote}]", "variant")
+        return F.try_variant_get(node.value, "$", "map<string,variant>")[name]
+    return F.try_variant_get(node.value, f"$[{quote}{name}{quote}]", "variant")
 
 
-def _items(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>")
+def _items(node: Node) -> Column:
+    return F.try_variant_get(node.value, "$", "array<variant>")
 
 
-def _members(value: Column) -> Column:
-    return F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+def _members(node: Node) -> Column:
+    return F.map_entries(F.try_variant_get(node.value, "$", "map<string,variant>"))
 
 
-def _number(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "double")
+def _number(node: Node) -> Column:
+    return F.try_variant_get(node.value, "$", "double")
 
 
-def _equal(value: Column, wanted) -> Column:
+def _equal(node: Node, wanted) -> Column:
     """Whether a variant is this value; numbers by their value, objects and arrays by their text."""
     if wanted is None:
-        return _kind(value) == "null"
+        return node.kind == "null"
     if isinstance(wanted, bool):
-        return (_kind(value) == "boolean") & (F.try_variant_get(value, "$", "boolean") == F.lit(wanted))
+        return (node.kind == "boolean") & (F.try_variant_get(node.value, "$", "boolean") == F.lit(wanted))
     if isinstance(wanted, int | float):
-        return (_kind(value) == "number") & (_number(value) == F.lit(float(wanted)))
+        return (node.kind == "number") & (_number(node) == F.lit(float(wanted)))
     if isinstance(wanted, str):
-        return (_kind(value) == "string") & (F.try_variant_get(value, "$", "string") == F.lit(wanted))
-    return F.to_json(value) == F.to_json(F.parse_json(F.lit(json.dumps(wanted))))
+        return (node.kind == "string") & (F.try_variant_get(node.value, "$", "string") == F.lit(wanted))
+    return F.to_json(node.value) == F.to_json(F.parse_json(F.lit(json.dumps(wanted))))
 
 
-def _typed(value: Column, kind: str) -> Column:
+def _typed(node: Node, kind: str) -> Column:
     if kind == "integer":
-        n = _number(value)
-        return (_kind(value) == "number") & (n == F.floor(n).cast("double"))
-    return _kind(value) == kind
+        n = _number(node)
+        return (node.kind == "number") & (n == F.floor(n).cast("double"))
+    return node.kind == kind
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -120,15 +123,17 @@ def _count(conditions: list[Column]) -> Column:
 
 
 def _within(items: Column, rule) -> Column:
-    return F.flatten(F.transform(F.coalesce(items, F.array().cast("array<variant>")), rule))
+    nodes = F.transform(F.coalesce(items, F.array().cast("array<variant>")), _node)
+    return F.flatten(F.transform(nodes, lambda x, k: rule(Node(x), k)))
 
 
 def _let(value: Column, rule) -> Column:
     """rule(x) for a value that is there, computed once; nothing for one that isn't."""
-    return F.when(value.isNotNull(), F.flatten(F.transform(F.array(value), rule))).otherwise(_none())
+    there = F.filter(F.array(value), lambda x: x.isNotNull())
+    return F.flatten(F.transform(F.transform(there, _node), lambda x: rule(Node(x))))
 
 
-def _check(schema, v: Column, path: Column, root: dict, seen: tuple) -> Column:
+def _check(schema, v: Node, path: Column, root: dict, seen: tuple) -> Column:
     if isinstance(schema, bool):
         return _none() if schema else _one(F.lit(True), path, "false")
     known = {k: x for k, x in schema.items() if k not in ANNOTATIONS}
@@ -159,7 +164,7 @@ def _additional(rule, v, path, root, seen, schema):
     rest = F.filter(F.coalesce(_members(v), F.array().cast("array<struct<key:string,value:variant>>")), lambda e: ~e.key.isin(named) if named else F.lit(True))
     if rule is False:
         return F.transform(rest, lambda e: F.struct(F.concat(path, F.lit("."), e.key).alias("path"), F.lit("additionalProperties").alias("keyword"))).cast(FOUND)
-    return F.flatten(F.transform(rest, lambda e: _check(rule, e.value, F.concat(path, F.lit("."), e.key), root, seen)))
+    return F.flatten(F.transform(rest, lambda e: _let(e.value, lambda x: _check(rule, x, F.concat(path, F.lit("."), e.key), root, seen))))
 
 
 def _each(rule, v, path, root, seen, _):
@@ -173,7 +178,7 @@ def _if(rule, v, path, root, seen, schema):
 
 def _when(kind: str, keyword: str, broken):
     """A rule that says something about values of one kind alone."""
-    return lambda x, v, path, root, seen, _: _one(F.coalesce((_kind(v) == kind) & broken(v, x), F.lit(False)), path, keyword)
+    return lambda x, v, path, root, seen, _: _one(F.coalesce((v.kind == kind) & broken(v, x), F.lit(False)), path, keyword)
 
 
 def _repeated(v, x):
@@ -182,7 +187,7 @@ def _repeated(v, x):
 
 
 def _text(v):
-    return F.try_variant_get(v, "$", "string")
+    return F.try_variant_get(v.value, "$", "string")
 
 
 def _step(v, x):
@@ -195,7 +200,7 @@ _RULES = {
     "type": lambda x, v, path, *_: _one(~_any([_typed(v, k) for k in ([x] if isinstance(x, str) else x)]), path, "type"),
     "enum": lambda x, v, path, *_: _one(~_any([_equal(v, w) for w in x]), path, "enum"),
     "const": lambda x, v, path, *_: _one(~_any([_equal(v, x)]), path, "const"),
-    "required": lambda x, v, path, *_: _all([_one((_kind(v) == "object") & _member(v, n).isNull(), F.concat(path, F.lit(f".{n}")), "required") for n in x]),
+    "required": lambda x, v, path, *_: _all([_one((v.kind == "object") & _member(v, n).isNull(), F.concat(path, F.lit(f".{n}")), "required") for n in x]),
     "properties": _properties,
     "additionalProperties": _additional,
     "items": _each,

@@ -102,6 +102,14 @@ def test_schema_keywords(spark):
     assert [tuple(r) for r in gate] == [(3, 2, 3, False)]
 
 
+def test_schema_kinds_are_worked_out_once(spark):
+    rows = spark.createDataFrame([('{"a":[1,"x"]}',), ('{"b":null}',), ("[]",)], "d string")
+    schema = {"type": ["object", "null"], "minProperties": 1, "required": ["a"], "properties": {"a": {"type": ["array", "string"], "minItems": 3, "minLength": 1}}}
+    found = json_schema.violations(rows, "d", schema)
+    assert sorted((r.path, r.keyword) for r in found.collect()) == [("$", "type"), ("$.a", "minItems"), ("$.a", "required")]
+    assert found._jdf.queryExecution().analyzed().toString().count("schema_of_variant(") == 2  # the root and its member
+
+
 def test_history_gate(spark):
     """Random days against a fold by day; runs of days that fail, days without games in common."""
     g = random.Random(2)
