@@ -24,6 +24,8 @@ _TESTS = {
 }
 #: Rows, and bytes of pages, in a batch.
 ROWS, BYTES = 1000, 8 << 20
+#: Index files of a partition at most, and partitions that there are before one takes a second file.
+FILES, TASKS = 64, 64
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -31,13 +33,13 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri("file:///" + uri[5:].lstrip("/") if uri.startswith("file:") else uri)
 
 
-class IndexFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class IndexFiles(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class CaptureReader(DataSourceReader):
-    """A partition for each index file; a page is opened for each row that the pushed filters let through."""
+    """A partition for some index files; a page is opened where a row that the pushed filters let through names it, once while it is held."""
 
     def __init__(self, folder: str):
         self.folder, self.tests = folder, []
@@ -55,34 +57,42 @@ class CaptureReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         system, path = opened(f"{self.folder}/index")
         found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
-        return [IndexFile(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.path.endswith(".json")]
+        paths = sorted(f.path for f in found if f.is_file and f.path.endswith(".json"))
+        many = max(1, min(FILES, len(paths) // TASKS))
+        return [IndexFiles(paths[k : k + many]) for k in range(0, len(paths), many)]
 
     def _fits(self, row: dict) -> bool:
         return all(row[name] is not None and (kind is IsNotNull or _TESTS[kind](row[name], value)) for name, kind, value in self.tests)
 
-    def read(self, partition: IndexFile | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: IndexFiles | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # there is no index
             return
         system, path = opened(self.folder)
         names = [*INDEXED, "html"]
         schema = pa.schema([(n, pa.string()) for n in names])
-        with system.open_input_file(partition.path) as f:
-            header, *rows = json.loads(f.read().decode("utf-8")) or [[]]
         held: dict[str, list] = {n: [] for n in names}
-        size = 0
-        for values in rows:
-            row = dict.fromkeys(INDEXED) | {"status": None} | dict(zip(header, values, strict=False))
-            if not self._fits(row):
-                continue
-            with system.open_input_file(f"{path}/pages/{row['digest']}.html") as page:
-                html = page.read().decode("utf-8", "replace")
-            for n in INDEXED:
-                held[n].append(row[n])
-            held["html"].append(html)
-            size += len(html)
-            if len(held["html"]) == ROWS or size > BYTES:
-                yield pa.RecordBatch.from_pydict(held, schema)
-                held, size = {n: [] for n in names}, 0
+        size, pages, kept = 0, {}, 0
+        for file in partition.paths:
+            with system.open_input_file(file) as f:
+                header, *rows = json.loads(f.read().decode("utf-8")) or [[]]
+            for values in rows:
+                row = dict.fromkeys(INDEXED) | {"status": None} | dict(zip(header, values, strict=False))
+                if not self._fits(row):
+                    continue
+                html = pages.get(row["digest"])
+                if html is None:
+                    with system.open_input_file(f"{path}/pages/{row['digest']}.html") as page:
+                        html = page.read().decode("utf-8", "replace")
+                    if kept + len(html) > BYTES:
+                        pages, kept = {}, 0
+                    pages[row["digest"]], kept = html, kept + len(html)
+                for n in INDEXED:
+                    held[n].append(row[n])
+                held["html"].append(html)
+                size += len(html)
+                if len(held["html"]) == ROWS or size > BYTES:
+                    yield pa.RecordBatch.from_pydict(held, schema)
+                    held, size = {n: [] for n in names}, 0
         yield pa.RecordBatch.from_pydict(held, schema)
 
 

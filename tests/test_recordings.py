@@ -87,3 +87,27 @@ def test_changes_of_one_field(spark):
     assert [(r["path"], r["before"], r["value"]) for r in got.filter("op = 'changed' and path like '%price%'").collect()] == [('["games", 0, "price"]', "2", "5")]
     assert got.filter("op = 'added'").count() == 3
     assert changes.changes(changes.leaves(spark.createDataFrame([], "as_of date, value string"))).count() == 0
+
+
+def test_many_index_files_share_partitions_and_pages(tmp_path, monkeypatch):
+    """A page that many rows name is opened once a partition, and a partition holds several index files."""
+    for part in ("index", "pages"):
+        os.makedirs(f"{tmp_path}/{part}")
+    for k in range(200):
+        with open(f"{tmp_path}/index/part-{k:03d}.json", "w") as f:
+            f.write(json.dumps([list(recordings.INDEXED), [f"t{k}", f"https://x/{k}", "d0", "200"], [f"u{k}", f"https://y/{k}", "d0", "200"]]))
+    with open(f"{tmp_path}/pages/d0.html", "w") as f:
+        f.write("page")
+    seen, real = [], recordings.opened
+
+    class Counted:
+        def __init__(self, system):
+            self.get_file_info, self.open_input_file = system.get_file_info, lambda path: seen.append(path) or system.open_input_file(path)
+
+    monkeypatch.setattr(recordings, "opened", lambda uri: (Counted(real(uri)[0]), real(uri)[1]))
+    reader = recordings.CaptureReader(f"{tmp_path}")
+    parts = reader.partitions()
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert len(parts) == 67 and len(rows) == 400 and {r["html"] for r in rows} == {"page"}
+    assert sorted(r["original"] for r in rows) == sorted(f"https://{c}/{k}" for c in "xy" for k in range(200))
+    assert sum(path.endswith(".html") for path in seen) == len(parts)
