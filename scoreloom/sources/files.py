@@ -48,16 +48,19 @@ def document_text(games: DataFrame, order: str = "game_no") -> DataFrame:
     A day's games are one row by their nature (some dozens); days are rendered apart from each other.
     """
     row = F.struct(order, *[c for c in games.columns if c not in (order, "as_of")])
-    by_order = lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)
-    whole = games.groupBy("as_of").agg(F.array_sort(F.collect_list(row), by_order).alias("games"))
-    return whole.select("as_of", indented(F.to_json(F.struct("as_of", "games"), {"ignoreNullFields": "false"})).alias("value"))
+    texts = games.select("as_of", F.struct(F.col(order).alias("place"), indented(F.to_json(row, {"ignoreNullFields": "false"})).alias("text")).alias("g"))
+    whole = texts.groupBy("as_of").agg(F.array_sort(F.collect_list("g")).alias("games"))
+    day = F.to_json(F.array("as_of"), {"ignoreNullFields": "false"})  # a list of one, which loses its brackets
+    head = F.concat(F.lit('{\n  "as_of": '), F.substring(day, F.lit(2), F.length(day) - 2), F.lit(',\n  "games": [\n    '))
+    return whole.select("as_of", F.concat(head, F.array_join(F.transform("games", lambda g: g.text), ",\n    "), F.lit("\n  ]\n}")).alias("value"))
 
 
 @F.pandas_udf(T.StringType())
 def indented(lines):
+    """Each game's JSON with two spaces a level, as a member of a document's list."""
     import json
 
-    return lines.map(lambda line: json.dumps(json.loads(line), indent=2))
+    return lines.map(lambda line: json.dumps(json.loads(line), indent=2).replace("\n", "\n    "))
 
 
 def write_document(games: DataFrame, path: str, order: str = "game_no", history: str | None = None) -> None:

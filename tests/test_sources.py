@@ -191,3 +191,15 @@ def test_pages_are_scanned_once_in_small_batches(spark):
         assert plan.count("MapInArrow scan") + plan.count("MapInArrow run") == 1 and "EvalPython" not in plan
     if spark.sparkContext.getConf().get("spark.sql.execution.arrow.maxBytesPerBatch") is None:
         assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
+
+
+def test_documents_are_rendered_game_by_game(spark, monkeypatch):
+    """The text is json.dumps' own, and no call of the rendering function sees more than a game."""
+    rows = [("2026-07-10", 7, "é \"x\"\nz", 1e7, [{"level": 1, "label": None}]), ("2026-07-10", 2, "b", 0.1, []), ("2026-07-11", 1, None, None, None)]
+    df = spark.createDataFrame(rows, "as_of string, game_no long, name string, price double, top array<struct<level:long,label:string>>")
+    got = {r.as_of: r.value for r in files.document_text(df.withColumn("as_of", F.to_date("as_of"))).selectExpr("string(as_of) as as_of", "value").collect()}
+    for day in got:
+        games = [{"game_no": g, "name": n, "price": p, "top": t} for d, g, n, p, t in sorted(rows, key=lambda r: r[1]) if d == day]
+        assert got[day] == json.dumps({"as_of": day, "games": games}, indent=2)
+    plan = files.document_text(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("indented(") > plan.index("Aggregate")  # below the aggregation, where a row is a game
