@@ -1,4 +1,4 @@
-"""Lifecycles and superseded captures as state: keyed processors that emit change rows, and a sink that folds them."""
+"""Lifecycles and superseded captures as state: a keyed processor and an aggregation that emit change rows, and a sink that folds them."""
 
 from __future__ import annotations
 
@@ -64,39 +64,6 @@ class Lifecycle(StatefulProcessor):
             yield Row(game_key=key[0], obs_date=last[0], lifecycle_status="exited_unobserved", version=last[4] + 1)
 
 
-class Supersession(StatefulProcessor):
-    """The capture that holds for a game's day, and those that lost to it. A new one that wins takes back what was said before."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "at long, place long, capture_url string, percent_unsold double")
-        self.lost = handle.getListState("lost", "at long, capture_url string")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        def panel(sign, c):
-            return Row(kind="panel", sign=sign, game_key=key[0], obs_date=key[1], at=c[0], capture_url=c[2], percent_unsold=c[3], kept_at=None, kept_capture_url=None)
-
-        def superseded(sign, loser, c):
-            return Row(kind="superseded", sign=sign, game_key=key[0], obs_date=key[1], at=loser[0], capture_url=loser[1], percent_unsold=None, kept_at=c[0], kept_capture_url=c[2])
-
-        old = tuple(self.kept.get()) if self.kept.exists() else None
-        fresh = sorted(((r.at, r.place, r.capture_url, r.percent_unsold) for r in rows), key=lambda c: c[:2])
-        best = fresh[-1] if old is None or fresh[-1][:2] > old[:2] else old
-        losers = [(c[0], c[2]) for c in (fresh if best is old else fresh[:-1])]
-        if best is not old:
-            if old is not None:
-                yield panel(-1, old)
-                for loser in self.lost.get():
-                    yield superseded(-1, loser, old)
-                    yield superseded(1, loser, best)
-                losers.append((old[0], old[2]))
-            yield panel(1, best)
-            self.kept.update(best)
-        for loser in losers:
-            yield superseded(1, loser, best)
-        if losers:
-            self.lost.appendList(losers)
-
-
 def _started(rows: DataFrame, processor, keys: list[str], schema: str, mode: str) -> DataFrame:
     ship(rows.sparkSession)
     rows.sparkSession.conf.set(*_STORE)
@@ -123,10 +90,34 @@ def capture_changes(rows: DataFrame) -> DataFrame:
     """A stream of captures, in any order, as rows that are added (sign 1) and taken back (-1): of the panel and of the superseded log.
 
     The state of a game's day is its captures, so it grows with these; nothing is dropped for being late. Times (`at`,
-    `kept_at`) are microseconds since 1970.
+    `kept_at`) are microseconds since 1970. The captures are collected by Spark's own aggregation, and each bears the time of
+    its batch, which is one and the same in a batch and in its repetitions: what bears another time was there before.
     """
-    columns = ["game_key", "obs_date", F.unix_micros(F.col("capture_ts").cast("timestamp")).alias("at"), "place", "capture_url", "percent_unsold"]
-    return _started(rows.select(*columns), Supersession(), ["game_key", "obs_date"], CAPTURES, "None")
+    rows.sparkSession.conf.set(*_STORE)
+    now = F.unix_micros(F.current_timestamp())
+    at = F.unix_micros(F.col("capture_ts").cast("timestamp")).alias("at")
+    fresh = rows.select("game_key", "obs_date", at, "place", "capture_url", "percent_unsold", now.alias("seen"))
+    held = fresh.groupBy("game_key", "obs_date").agg(F.collect_list(F.struct("at", "place", "capture_url", "percent_unsold", "seen")).alias("held"))
+    held = held.select("game_key", "obs_date", F.sort_array("held").alias("held"), now.alias("now"))
+    held = held.withColumn("old", F.filter("held", lambda c: c.seen != F.col("now")))
+    held = held.withColumns({"best": F.element_at("held", -1).dropFields("seen"), "before": F.try_element_at("old", F.lit(-1)).dropFields("seen")})
+
+    def panel(sign: int, c):
+        nothing = F.lit(None).cast("long").alias("kept_at"), F.lit(None).cast("string").alias("kept_capture_url")
+        return F.struct(F.lit("panel").alias("kind"), F.lit(sign).alias("sign"), c.at.alias("at"), c.capture_url.alias("capture_url"), c.percent_unsold.alias("percent_unsold"), *nothing)
+
+    def superseded(sign: int, losers, c):
+        unsold = F.lit(None).cast("double").alias("percent_unsold")
+        kept = c.at.alias("kept_at"), c.capture_url.alias("kept_capture_url")
+        return F.transform(losers, lambda x: F.struct(F.lit("superseded").alias("kind"), F.lit(sign).alias("sign"), x.at.alias("at"), x.capture_url.alias("capture_url"), unsold, *kept))
+
+    best, before = F.col("best"), F.col("before")
+    but_last = lambda c: F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0)))
+    first = F.concat(F.array(panel(1, best)), superseded(1, but_last("held"), best))
+    moved = F.concat(F.array(panel(-1, before)), superseded(-1, but_last("old"), before), first)
+    same = superseded(1, F.filter("held", lambda c: c.seen == F.col("now")), best)
+    changes = F.when(F.size("old") == 0, first).when(best.eqNullSafe(before), same).otherwise(moved)
+    return held.select("game_key", "obs_date", F.explode(changes).alias("c")).select("c.kind", "c.sign", "game_key", "obs_date", *[f"c.{c}" for c in ("at", "capture_url", "percent_unsold", "kept_at", "kept_capture_url")])
 
 
 def fold_into(changes: DataFrame, folder: str, checkpoint: str) -> None:

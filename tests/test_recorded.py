@@ -64,6 +64,16 @@ def test_superseded_in_any_order(spark, tmp_path):
     assert raw.filter("sign = -1").count() > 0
 
 
+def test_superseded_without_python(spark, tmp_path):
+    """A capture without a time loses to any other, now or later; no key's state goes through Python."""
+    late = lambda place, hour: (*_row("a", 0, hour or 0, place, 1.0)[:2], T0 + dt.timedelta(hours=hour) if hour else None, *_row("a", 0, 0, place, 1.0)[3:])
+    _fed(spark, tmp_path, [[late(1, None), late(2, None)], [late(3, 5)], [late(4, None)]], lifecycle.capture_changes)
+    out = lifecycle.folded(spark, f"{tmp_path}/out")
+    assert sorted((r.kind, r.capture_url, r.kept_capture_url) for r in out.collect()) == [("panel", "u3", None), *(("superseded", f"u{k}", "u3") for k in (1, 2, 4))]
+    changes = lifecycle.capture_changes(spark.readStream.schema(OBSERVED).parquet(f"{tmp_path}/in"))
+    assert "TransformWithState" not in changes._jdf.queryExecution().analyzed().toString()
+
+
 def _found(spark, schema, *documents):
     rows = spark.createDataFrame([(k, d if isinstance(d, str | None) else json.dumps(d)) for k, d in enumerate(documents)], "k int, d string")
     return sorted((r["k"], r["path"], r["keyword"]) for r in json_schema.violations(rows, "d", schema).collect())
