@@ -150,9 +150,10 @@ def permutation(windows: DataFrame, reps: int = 1000, least: int = 30, bins=BINS
 
     In each repetition every game's responses are shifted in a circle by offsets(). A pair's first rank never moves, so
     pairs are summed up by bin and response window once. A window's response then takes over, in each repetition, what
-    the window has that its value comes from: responses are dealt in ranges of their values, a first pass over the ranges
-    gives how many pairs lie before each in each repetition, and a second one the ranks and their products. A task
-    holds the windows of a range and their games' sums, not the pairs; windows of one and the same response lie in one range.
+    the window has that its value comes from, so a window's row has the sums of all its game's windows. The rows are
+    dealt in ranges of their responses and sorted; a task goes through its range once, a batch at a time, and gives for each
+    repetition its number of pairs and the products with ranks counted from the range's start, to which what lies before is
+    added later. It holds one batch and a few numbers for each repetition, and equal responses lie in one range.
     """
     spark = windows.sparkSession
     ship(spark)
@@ -167,63 +168,72 @@ def permutation(windows: DataFrame, reps: int = 1000, least: int = 30, bins=BINS
     place = own.select("game_key", F.col("w_start").alias("b_start"), "k")
     sums = _ranked(real, ranks, "s", ["bin"]).filter(F.col("bin").isin(names)).join(place, ["game_key", "b_start"])
     sums = sums.groupBy("game_key", "bin", "k").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("rs")).alias("x"))
-    held = sums.groupBy("game_key").agg(F.collect_list(F.struct(F.col("bin"), F.col("k").cast("int").alias("k"), F.col("m").cast("double").alias("m"), "x")).alias("sums"))
+    at_bin = lambda c, name: F.coalesce(F.max(F.when(F.col("bin") == name, F.col(c))), F.lit(0))
+    wide = sums.groupBy("game_key", "k").agg(F.count("*").alias("rows"), *[at_bin("m", name).cast("int").alias(f"m{b}") for b, name in enumerate(names)], *[at_bin("x", name).cast("double").alias(f"x{b}") for b, name in enumerate(names)])
     low = F.coalesce(F.col("d"), F.lit(float("-inf"))) + 0.0  # nulls rank first; no negative zero
-    moved = own.join(held.select("game_key"), "game_key", "left_semi").select("game_key", seeds(F.col("game_key")).alias("seed"), "n", F.col("k").cast("int").alias("k"), low.alias("d"))
+    fields = [f"{c}{b}" for c in "mx" for b in range(len(names))]
+    filled = own.select("game_key", F.col("k").cast("int").alias("k"), low.alias("d")).join(wide, ["game_key", "k"], "left").fillna(0, [*fields, "rows"])
+    games = cut(filled.groupBy("game_key").agg(F.sort_array(F.collect_list(F.struct("k", "d", *fields))).alias("w"), F.sum("rows").alias("rows")).filter("rows > 0"))
+    flat = lambda c, kind: F.concat(*[F.col(f"w.{c}{b}") for b in range(len(names))]) if names else F.array().cast(f"array<{kind}>")
+    whole = games.select(seeds(F.col("game_key")).alias("seed"), F.size("w").cast("long").alias("n"), flat("m", "int").alias("m"), flat("x", "double").alias("x"), F.posexplode("w.d").alias("k", "d"))
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = cut(moved.repartitionByRange(ranges, "d").withColumn("z", F.spark_partition_id()))
-    games = cut(dealt.select("z", F.col("game_key").alias("game")).distinct().join(held, F.col("game") == F.col("game_key")).select("z", "game", "sums", F.lit(None).cast("array<double>").alias("base")))
-    nothing = F.lit(None).cast("string").alias("game"), F.lit(None).cast(games.schema["sums"].dataType).alias("sums")
-
-    def run(second: bool):
-        def passed(left: pa.Table, right: pa.Table) -> pa.Table:
-            d = left.column("d").to_numpy()
-            order = np.argsort(d, kind="stable")
-            game, k, n, seed = (left.column(c).to_numpy()[order] for c in ("game_key", "k", "n", "seed"))
-            first = np.flatnonzero(np.r_[True, np.diff(d[order]) > 0])
-            base = np.zeros((reps, len(names)))
-            size, starts = {}, {}
-            for g, count in zip(game.tolist(), n.tolist(), strict=True):
-                size[g] = count
-            at = 0
-            for g, count in size.items():
-                starts[g], at = at, at + count
-            m, x = np.zeros((len(names), at)), np.zeros((len(names), at))
-            for row in right.select(["game", "sums", "base"]).to_pylist():
-                if row["base"] is not None:
-                    base = np.array(row["base"]).reshape(reps, len(names))
-                    continue
-                for one in row["sums"]:
-                    m[names.index(one["bin"]), starts[row["game"]] + one["k"]] += one["m"]
-                    x[names.index(one["bin"]), starts[row["game"]] + one["k"]] += one["x"]
-            start = np.array([starts[g] for g in game.tolist()])
-            out = np.zeros((2 if second else 1, reps, len(names)))
-            for r in range(reps):
-                source = start + (k - offsets(seed, n, r)) % n
-                for b, name in enumerate(names):
-                    many = np.add.reduceat(m[b, source], first)
-                    if second:
-                        rank = base[r, b] + np.cumsum(many) - (many - 1) / 2 - (kept[name][0] + 1) / 2
-                        out[0, r, b] = np.add.reduceat(x[b, source], first) @ rank
-                        out[1, r, b] = many @ (rank * rank)
-                    else:
-                        out[0, r, b] = many.sum()
-            z = left.column("z")[0].as_py()
-            place = np.arange(reps * len(names), dtype=np.int32)
-            return pa.table({"z": np.full(len(place), z, np.int32), "place": place, "a": out[0].ravel(), "b": out[-1].ravel()})
-
-        return passed
-
-    schema = "z int, place int, a double, b double"
-    by = dealt.groupBy("z")
-    totals = by.cogroup(games.groupBy("z")).applyInArrow(run(False), schema)
-    before = F.coalesce(F.sum("a").over(Window.partitionBy("place").orderBy("z").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    bases = totals.select("z", "place", before.alias("v")).groupBy("z").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda e: e.v).alias("base"))
-    more = games.unionByName(bases.select("z", *nothing, "base"))
-    parts = by.cogroup(more.groupBy("z")).applyInArrow(run(True), schema).groupBy("place").agg(F.sum("a").alias("xy"), F.sum("b").alias("yy"))
     width = max(1, len(names))
-    xx = spark.createDataFrame([(b, float(kept[name][1])) for b, name in enumerate(names)], "of int, xx double")
-    each = parts.withColumn("of", F.col("place") % width).join(F.broadcast(xx), "of").select(F.floor(F.col("place") / width).alias("r"), F.abs(F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))).alias("v"))
+    pairs_of = np.array([float(kept[name][0]) for name in names])
+
+    def passed(batches):
+        before, open_, start = np.zeros((reps, len(names))), None, None  # pairs before the open value, which may go on in the next batch
+        own_x, products, squares = (np.zeros((reps, len(names))) for _ in range(3))
+        held = np.zeros((reps, 2 * len(names)))
+
+        def close(r, of):
+            """Take up values, each with all its pairs, in ascending order."""
+            c, x = of[..., : len(names)], of[..., len(names) :]
+            upto = np.cumsum(c, axis=-2)
+            own_x[r] += x.sum(axis=-2)
+            products[r] += (x * (before[r][..., None, :] + upto - (c - 1) / 2)).sum(axis=-2)
+            squares[r] += (c * (pairs_of - c) * (pairs_of + c)).sum(axis=-2)
+            before[r] += upto[..., -1, :]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seed, n, k, d = (batch.column(c).to_numpy() for c in ("seed", "n", "k", "d"))
+            k, at = k.astype(np.int64), np.cumsum(n) - n
+            # a row for each window and each window of its game: pairs and sums by bin
+            each, of = np.arange(n.sum()), np.repeat(np.arange(len(n)), n)
+            place = (each + (width - 1) * at[of])[:, None] + n[of][:, None] * np.arange(len(names))
+            sources = np.concatenate([batch.column(c).flatten().to_numpy()[place].astype(np.float64) for c in ("m", "x")], axis=1)
+            new = (d[1:] != d[:-1]) & ~(np.isnan(d[1:]) & np.isnan(d[:-1]))
+            first = np.flatnonzero(np.r_[True, new])
+            start = d[0] if start is None else start
+            if open_ is not None and not (d[0] == open_ or np.isnan(d[0]) and np.isnan(open_)):
+                close(slice(None), held[:, None, :])
+                held[:] = 0
+            open_ = d[-1]
+            for r in range(reps):
+                back = k - offsets(seed, n, r)
+                back += np.where(back < 0, n, 0)
+                found = np.take(sources, at + back, axis=0)
+                if len(first) < len(d):
+                    found = np.add.reduceat(found, first, axis=0)
+                found[0] += held[r]
+                held[r] = found[-1]
+                if len(found) > 1:
+                    close(r, found[:-1])
+        if open_ is not None:
+            close(slice(None), held[:, None, :])
+            columns = [np.full(reps * len(names), start), np.arange(reps * len(names), dtype=np.int32), *(a.ravel() for a in (before, own_x, products, squares))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["start", "place", "c", "x", "xy", "yy"])
+
+    dealt = whole.repartitionByRange(ranges, "d").sortWithinPartitions("d")
+    totals = dealt.mapInArrow(passed, "start double, place int, c double, x double, xy double, yy double")
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("place").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    known = spark.createDataFrame([(b, float(kept[name][0]), float(kept[name][1])) for b, name in enumerate(names)], "of int, pairs double, xx double")
+    parts = totals.withColumns({"before": before, "of": F.col("place") % width}).join(F.broadcast(known), "of")
+    # ranks less their mean; the squares of N ranks of which c are tied come to a twelfth of the sum of c (N - c) (N + c)
+    product = F.col("xy") + (F.col("before") - (F.col("pairs") + 1) / 2) * F.col("x")
+    parts = parts.groupBy("place", "xx").agg(F.sum(product).alias("xy"), (F.sum("yy") / 12).alias("yy"))
+    each = parts.select(F.floor(F.col("place") / width).alias("r"), F.abs(F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))).alias("v"))
     tops = each.groupBy("r").agg(F.max("v").alias("top"))
     # the slack is for sums in another order; it can only raise p
     return rho.select("bin", "n_pairs", "rho").crossJoin(F.broadcast(tops)).groupBy("bin", "n_pairs", "rho").agg(F.avg((F.col("top") >= F.abs("rho") - 1e-9).cast("double")).alias("p"))

@@ -138,6 +138,26 @@ def test_permutation_against_brute_force(spark, reps):
     assert any(0 < r.p < 1 for r in got.values())
 
 
+def test_permutation_goes_through_the_responses_once(spark):
+    """Batches of three windows, with responses that are tied across them and unknown, come to the same as one batch; there is one pass, and no group is held."""
+    g = random.Random(4)
+    rows = [(f"g{game}", f"2026-01-{day:02d}", "t", "u", float(g.randint(0, 9)), float(g.randint(0, 2)) if game else 0.0) for game in range(20) for day in range(1, 20, 2)]
+    w = kernel.demeaned(panel.windows(spark.createDataFrame(rows, ROWS).withColumn("obs_date", F.to_date("obs_date"))))
+    w = spark.createDataFrame(w.withColumn("d", F.when(F.col("game_key") != "g3", F.round("d", 1))).collect(), w.schema)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    whole = kernel.permutation(w, reps=9, least=5, bins=((0, 8), (8, 20)))
+    plan = whole._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") == 1 and "CoGroup" not in plan
+    want, had = sorted(map(tuple, whole.collect())), spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        got = sorted(map(tuple, kernel.permutation(w, reps=9, least=5, bins=((0, 8), (8, 20))).collect()))
+    finally:
+        spark.conf.set(name, had)
+    assert len(want) == 2 and got == want
+    assert kernel.permutation(w, reps=9, least=10**6, bins=((0, 8),)).count() == 0
+
+
 def test_quantile_by_histograms(spark):
     """Between two values in proportion, for ties, weights, single values, and values far apart and next to each other."""
     g = random.Random(6)
