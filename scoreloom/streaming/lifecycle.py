@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,59 +16,72 @@ from ..shipping import ship
 _STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 LABELS = "game_key string, obs_date date, lifecycle_status string, version long"
 CAPTURES = "kind string, sign int, game_key string, obs_date date, at long, capture_url string, percent_unsold double, kept_at long, kept_capture_url string"
-_DAY = dt.timedelta(days=1)
-
-
-def _ms(day: dt.date) -> int:
-    return int(dt.datetime(day.year, day.month, day.day, tzinfo=dt.UTC).timestamp() * 1000)
+#: Fixed value, which a checkpoint depends on: games are dealt by their hash to this many keys, so Python is called a key and not a game.
+BUCKETS = 512
+_DAY = 86_400_000
+_HELD = {"game_key": "string", "day": "int", "at": "long", "place": "long", "percent_unsold": "double", "version": "long", "over": "boolean"}
 
 
 class Lifecycle(StatefulProcessor):
-    """A game's last observation, and a timer for the end of its day: when the watermark passes that, the panel goes on without it."""
+    """The last observation of each of a bucket's games, and a timer for the first end of such a day: when the watermark passes that, the panel goes on without these games.
+
+    A batch's rows are reduced to game and day as they come in, so a task holds these and the bucket's games, not the rows.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "obs_date date, at long, place long, percent_unsold double, version long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        last = self.last.get() if self.last.exists() else None
-        version = last[4] if last else 0
-        held = last[:4] if last else None
-        before = held
-        for r in sorted(rows, key=lambda r: (r.at, r.place)):
-            new = (r.obs_date, r.at, r.place, r.percent_unsold)
-            if held is None or new[0] > held[0]:
-                if held is not None:
-                    version += 1
-                    yield Row(game_key=key[0], obs_date=held[0], lifecycle_status="active", version=version)
-                held = new
-            elif new[0] < held[0]:  # an earlier day that came late: the game goes on after it
-                version += 1
-                yield Row(game_key=key[0], obs_date=new[0], lifecycle_status="active", version=version)
-            elif new[1:3] > held[1:3]:
-                held = new
-        version += 1
-        over = _ms(held[0] + _DAY)
-        gone = timerValues.getCurrentWatermarkInMs() >= over
-        status = "exited_observed" if held[3] == 0 else "exited_unobserved" if gone else "active"
-        yield Row(game_key=key[0], obs_date=held[0], lifecycle_status=status, version=version)
-        self.last.update((*held, version))
-        if before is not None:
-            self.handle.deleteTimer(_ms(before[0] + _DAY) - 1)
-        if status == "active":
-            self.handle.registerTimer(over - 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        last = self.last.get()
-        if last is not None and last[3] != 0 and expiredTimerInfo.getExpiryTimeInMs() == _ms(last[0] + _DAY) - 1:
-            self.last.update((*last[:4], last[4] + 1))
-            yield Row(game_key=key[0], obs_date=last[0], lifecycle_status="exited_unobserved", version=last[4] + 1)
-
-
-def _started(rows: DataFrame, processor, keys: list[str], schema: str, mode: str) -> DataFrame:
-    ship(rows.sparkSession)
-    rows.sparkSession.conf.set(*_STORE)
-    return rows.groupBy(*keys).transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="Update", timeMode=mode)
+        self.games = handle.getValueState("games", ", ".join([f"{c} array<{kind}>" for c, kind in _HELD.items()] + ["timer long"]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = None
+        for part in rows:
+            part = part[["game_key", "day", "at", "place", "percent_unsold"]]
+            fresh = _latest(part if fresh is None else pd.concat([fresh, part], ignore_index=True))
+        old, timer = self._held()
+        fresh = fresh.assign(version=0, over=False, fresh=True)
+        days = _latest(pd.concat([fresh, old.assign(fresh=False)], ignore_index=True) if len(old) else fresh)
+        # a day gets one label from a batch at most, so the labels of a game's batch share a version
+        given = days.assign(version=days.groupby("game_key", dropna=False)["version"].transform("max"), said=days.groupby("game_key", dropna=False)["fresh"].transform("any"))
+        last = ~given.duplicated("game_key", keep="last")
+        gone = given["day"] < timerValues.getCurrentWatermarkInMs() // _DAY
+        status = pd.Series(np.where(~last, "active", np.where(given["percent_unsold"] == 0, "exited_observed", np.where(gone, "exited_unobserved", "active"))), given.index)
+        said = given["said"]
+        given = given.assign(version=given["version"] + said, over=np.where(said, status != "active", given["over"]), lifecycle_status=status)
+        yield _labelled(given[said])
+        self._hold(given[last], timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        games, _ = self._held()
+        gone = ~games["over"] & (games["day"] < timerValues.getCurrentWatermarkInMs() // _DAY)
+        games = games.assign(version=games["version"] + gone, over=games["over"] | gone)
+        if gone.any():
+            yield _labelled(games[gone].assign(lifecycle_status="exited_unobserved"))
+        self._hold(games, None)  # Spark drops a timer that has passed
+
+    def _held(self) -> tuple[pd.DataFrame, int | None]:
+        if not self.games.exists():
+            return pd.DataFrame(columns=list(_HELD)), None
+        *columns, timer = self.games.get()
+        return pd.DataFrame(dict(zip(_HELD, columns, strict=True))), timer
+
+    def _hold(self, games: pd.DataFrame, timer: int | None) -> None:
+        open_ = games.loc[~games["over"].astype(bool), "day"]
+        wanted = (int(open_.min()) + 1) * _DAY - 1 if len(open_) else None
+        self.games.update((*(games[c].tolist() for c in _HELD), wanted))
+        if wanted != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+
+
+def _latest(rows: pd.DataFrame) -> pd.DataFrame:
+    """A game's days in order, each with its latest row."""
+    return rows.sort_values(["game_key", "day", "at", "place"], kind="stable").drop_duplicates(["game_key", "day"], keep="last")
+
+
+def _labelled(days: pd.DataFrame) -> pd.DataFrame:
+    return days[["game_key", "day", "lifecycle_status", "version"]]
 
 
 def lifecycle_changes(rows: DataFrame, late: str = "0 seconds") -> DataFrame:
@@ -77,8 +91,13 @@ def lifecycle_changes(rows: DataFrame, late: str = "0 seconds") -> DataFrame:
     then a game's last day is active. Spark drops captures that are older than the watermark. `place` breaks ties of capture times.
     """
     time = F.col("capture_ts").cast("timestamp")
-    columns = ["game_key", "obs_date", time.alias("capture_ts"), F.unix_micros(time).alias("at"), "place", "percent_unsold"]
-    return _started(rows.select(*columns).withWatermark("capture_ts", late), Lifecycle(), ["game_key"], LABELS, "EventTime")
+    bucket = F.pmod(F.xxhash64("game_key"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    rows = rows.select(bucket, "game_key", F.unix_date("obs_date").alias("day"), time.alias("capture_ts"), F.unix_micros(time).alias("at"), "place", "percent_unsold")
+    ship(rows.sparkSession)
+    rows.sparkSession.conf.set(*_STORE)
+    schema = LABELS.replace("obs_date date", "day int")
+    out = rows.withWatermark("capture_ts", late).groupBy("bucket").transformWithStateInPandas(statefulProcessor=Lifecycle(), outputStructType=schema, outputMode="Update", timeMode="EventTime")
+    return out.select("game_key", F.date_from_unix_date("day").alias("obs_date"), "lifecycle_status", "version")
 
 
 def labels(changes: DataFrame) -> DataFrame:

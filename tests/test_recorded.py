@@ -43,6 +43,21 @@ def test_lifecycle_state(spark, tmp_path):
     assert {r["lifecycle_status"] for r in want.collect()} == {"active", "exited_observed", "exited_unobserved"}
 
 
+def test_lifecycle_games_share_a_key(spark, tmp_path, monkeypatch):
+    """Games of one bucket, over three runs, with days that repeat, exits at zero, games that end and come back: the batch labels, and one version a batch."""
+    monkeypatch.setattr(lifecycle, "BUCKETS", 2)
+    g = random.Random(7)
+    rows = sorted((_row(f"g{g.randrange(12)}", g.randrange(30), g.randrange(20), k, float(g.randrange(3))) for k in range(150)), key=lambda r: r[2])
+    rows.append(_row(None, 29, 23, 150, 1.0))
+    _fed(spark, tmp_path, [rows[:60], rows[60:61], rows[61:]], lifecycle.lifecycle_changes)
+    raw = spark.read.schema(lifecycle.LABELS).parquet(f"{tmp_path}/out")
+    want = panel.with_lifecycle(panel.deduped(spark.createDataFrame(rows, OBSERVED), ["place"])).select("game_key", "obs_date", "lifecycle_status")
+    assert sorted(map(tuple, lifecycle.labels(raw).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert raw.groupBy("game_key", "obs_date", "version").count().filter("count > 1").count() == 0
+    changes = lifecycle.lifecycle_changes(spark.readStream.schema(OBSERVED).parquet(f"{tmp_path}/in"))
+    assert "bucket" in changes._jdf.queryExecution().analyzed().toString()
+
+
 def test_superseded_in_any_order(spark, tmp_path):
     """Captures shuffled over four runs, with ties and repeated ones, come to the batch result; compaction keeps it."""
     g = random.Random(5)
