@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Keywords of the standard that state nothing about a document.
 ANNOTATIONS = ("$schema", "$id", "$defs", "definitions", "$comment", "title", "description", "default", "examples", "format", "deprecated")
 FOUND = "array<struct<path:string,keyword:string>>"
+#: Keywords that look at no member and no item.
+SINGLE = {*ANNOTATIONS, "type", "enum", "minLength", "maxLength", "pattern", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf"}
 
 
 def violations(documents: DataFrame, document: str, schema: dict | str) -> DataFrame:
@@ -22,19 +24,23 @@ def violations(documents: DataFrame, document: str, schema: dict | str) -> DataF
     A text that is null or no JSON violates `json` at the root. Paths are like $.games[3].price. Reals that are whole
     count as integers. References lead into the schema itself; one that leads back to itself is an error.
     """
-    rules = json.loads(schema) if isinstance(schema, str) else schema
     out = documents.withColumn("__value", F.try_parse_json(document))
-    bad = _one(F.col("__value").isNull(), F.lit("$"), "json")
-    found = F.when(F.col("__value").isNull(), bad).otherwise(_let(F.col("__value"), lambda x: _check(rules, x, F.lit("$"), rules, ())))
-    return out.withColumn("__found", F.explode(found)).select(*[F.col(f"`{c}`") for c in documents.columns], "__found.path", "__found.keyword")
+    return out.withColumn("__found", F.explode(_found(schema))).select(*[F.col(f"`{c}`") for c in documents.columns], "__found.path", "__found.keyword")
 
 
 def gate(documents: DataFrame, document: str, schema: dict | str) -> DataFrame:
-    """One row: documents, those with violations, violations, and whether there is none."""
-    every = documents.select(document)
-    bad = violations(every.withColumn("__row", F.monotonically_increasing_id()), document, schema)
-    counts = bad.groupBy("__row").agg(F.count("*").alias("n")).agg(F.count("*").alias("broken"), F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
-    return every.agg(F.count("*").alias("documents")).crossJoin(F.broadcast(counts)).withColumn("passed", F.col("violations") == 0)  # one row each
+    """One row: documents, those with violations, violations, and whether there is none; one pass over the documents."""
+    n = documents.select(F.try_parse_json(document).alias("__value")).select(F.size(_found(schema)).alias("n"))
+    broken = F.col("n") > 0
+    counts = n.agg(F.count("*").alias("documents"), F.count_if(broken).alias("broken"), F.coalesce(F.sum(F.when(broken, F.col("n"))), F.lit(0)).alias("violations"))
+    return counts.withColumn("passed", F.col("violations") == 0)
+
+
+def _found(schema: dict | str) -> Column:
+    """The violations of the document in `__value`."""
+    rules = json.loads(schema) if isinstance(schema, str) else schema
+    bad = _one(F.col("__value").isNull(), F.lit("$"), "json")
+    return F.when(F.col("__value").isNull(), bad).otherwise(_let(rules, F.col("__value"), lambda x: _check(rules, x, F.lit("$"), rules, ())))
 
 
 def _none() -> Column:
@@ -54,34 +60,35 @@ def _fine(schema, value: Node, root: dict, seen: tuple) -> Column:
 
 
 class Node:
-    """A variant that is there, and its kind, both bound by a lambda: a kind takes a pass over the value, so it is worked out once."""
+    """A variant that is there, its kind, and its members or items where a rule asks for them, all bound by a lambda, so that a value is taken apart once."""
 
-    def __init__(self, bound: Column):
+    def __init__(self, bound: Column, single: bool):
         self.value, self.kind = bound["v"], bound["k"]
+        self.members, self.items = (None, None) if single else (bound["m"], bound["a"])
+
 
+def _is_single(schema) -> bool:
+    return isinstance(schema, bool) or set(schema) <= SINGLE
 
-def _node(value: Column) -> Column:
-    """A variant with object, array, string, boolean, null or number."""
-    first = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+def _nodes(values: Column, single: bool) -> Column:
+    """Variants with object, array, string, boolean, null or number; objects and arrays that are taken apart are known by that, as a variant's schema goes through all below it."""
     kinds = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
     of = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-    return F.struct(value.alias("v"), F.coalesce(F.try_element_at(of, first), F.lit("number")).alias("k"))
+    kind = lambda v: F.coalesce(F.try_element_at(of, F.substring_index(F.schema_of_variant(v), "<", 1)), F.lit("number"))
+    if single:
+        return F.transform(values, lambda v: F.struct(v.alias("v"), kind(v).alias("k")))
+    apart = F.transform(values, lambda v: F.struct(v.alias("v"), F.try_variant_get(v, "$", "map<string,variant>").alias("m"), F.try_variant_get(v, "$", "array<variant>").alias("a")))
+    return F.transform(apart, lambda x: x.withField("k", F.when(x["m"].isNotNull(), "object").when(x["a"].isNotNull(), "array").otherwise(kind(x["v"]))))
 
 
 def _member(node: Node, name: str) -> Column:
     """A member of an object: SQL null if it isn't there, a null variant if it is null."""
-    quote = '"' if "'" in name else "'"
-    if quote in name:
-        return F.try_variant_get(node.value, "$", "map<string,variant>")[name]
-    return F.try_variant_get(node.value, f"$[{quote}{name}{quote}]", "variant")
-
-
-def _items(node: Node) -> Column:
-    return F.try_variant_get(node.value, "$", "array<variant>")
+    return F.try_element_at(node.members, F.lit(name))
 
 
 def _members(node: Node) -> Column:
-    return F.map_entries(F.try_variant_get(node.value, "$", "map<string,variant>"))
+    return F.map_entries(node.members)
 
 
 def _number(node: Node) -> Column:
@@ -101,6 +108,12 @@ def _equal(node: Node, wanted) -> Column:
     return F.to_json(node.value) == F.to_json(F.parse_json(F.lit(json.dumps(wanted))))
 
 
+def _among(node: Node, wanted: list) -> Column:
+    texts = [w for w in wanted if isinstance(w, str)]
+    text = [(node.kind == "string") & F.try_variant_get(node.value, "$", "string").isin(texts)] if texts else []
+    return _any([*text, *[_equal(node, w) for w in wanted if not isinstance(w, str)]])
+
+
 def _typed(node: Node, kind: str) -> Column:
     if kind == "integer":
         n = _number(node)
@@ -122,15 +135,17 @@ def _count(conditions: list[Column]) -> Column:
     return out
 
 
-def _within(items: Column, rule) -> Column:
-    nodes = F.transform(F.coalesce(items, F.array().cast("array<variant>")), _node)
-    return F.flatten(F.transform(nodes, lambda x, k: rule(Node(x), k)))
+def _within(schema, items: Column, rule) -> Column:
+    single = _is_single(schema)
+    nodes = _nodes(F.coalesce(items, F.array().cast("array<variant>")), single)
+    return F.flatten(F.transform(nodes, lambda x, k: rule(Node(x, single), k)))
 
 
-def _let(value: Column, rule) -> Column:
+def _let(schema, value: Column, rule) -> Column:
     """rule(x) for a value that is there, computed once; nothing for one that isn't."""
-    there = F.filter(F.array(value), lambda x: x.isNotNull())
-    return F.flatten(F.transform(F.transform(there, _node), lambda x: rule(Node(x))))
+    single = _is_single(schema)
+    # an aggregate over the one node: taking it out of an array would work out the rules' types anew for each value
+    return F.aggregate(_nodes(F.array(value), single), _none(), lambda none, x: F.when(x["v"].isNotNull(), rule(Node(x, single))).otherwise(none))
 
 
 def _check(schema, v: Node, path: Column, root: dict, seen: tuple) -> Column:
@@ -154,8 +169,14 @@ def _reference(to: str, v, path, root, seen, _):
     return _check(part, v, path, root, (*seen, to))
 
 
+def _required(names: list, v, path, *_):
+    absent = F.filter(F.array(*[F.lit(n) for n in names]).cast("array<string>"), lambda n: F.try_element_at(v.members, n).isNull())
+    told = F.transform(absent, lambda n: F.struct(F.concat(path, F.lit("."), n).alias("path"), F.lit("required").alias("keyword")))
+    return F.when(v.kind == "object", told.cast(FOUND)).otherwise(_none())
+
+
 def _properties(rules: dict, v, path, root, seen, _):
-    below = lambda name, rule: _let(_member(v, name), lambda x: _check(rule, x, F.concat(path, F.lit(f".{name}")), root, seen))
+    below = lambda name, rule: _let(rule, _member(v, name), lambda x: _check(rule, x, F.concat(path, F.lit(f".{name}")), root, seen))
     return _all([below(name, rule) for name, rule in rules.items()])
 
 
@@ -164,11 +185,11 @@ def _additional(rule, v, path, root, seen, schema):
     rest = F.filter(F.coalesce(_members(v), F.array().cast("array<struct<key:string,value:variant>>")), lambda e: ~e.key.isin(named) if named else F.lit(True))
     if rule is False:
         return F.transform(rest, lambda e: F.struct(F.concat(path, F.lit("."), e.key).alias("path"), F.lit("additionalProperties").alias("keyword"))).cast(FOUND)
-    return F.flatten(F.transform(rest, lambda e: _let(e.value, lambda x: _check(rule, x, F.concat(path, F.lit("."), e.key), root, seen))))
+    return F.flatten(F.transform(rest, lambda e: _let(rule, e.value, lambda x: _check(rule, x, F.concat(path, F.lit("."), e.key), root, seen))))
 
 
 def _each(rule, v, path, root, seen, _):
-    return _within(_items(v), lambda x, k: _check(rule, x, F.concat(path, F.lit("["), k.cast("string"), F.lit("]")), root, seen))
+    return _within(rule, v.items, lambda x, k: _check(rule, x, F.concat(path, F.lit("["), k.cast("string"), F.lit("]")), root, seen))
 
 
 def _if(rule, v, path, root, seen, schema):
@@ -182,7 +203,7 @@ def _when(kind: str, keyword: str, broken):
 
 
 def _repeated(v, x):
-    texts = F.transform(_items(v), lambda i: F.to_json(i))
+    texts = F.transform(v.items, lambda i: F.to_json(i))
     return F.lit(bool(x)) & (F.size(F.array_distinct(texts)) < F.size(texts))
 
 
@@ -198,15 +219,15 @@ def _step(v, x):
 _RULES = {
     "$ref": _reference,
     "type": lambda x, v, path, *_: _one(~_any([_typed(v, k) for k in ([x] if isinstance(x, str) else x)]), path, "type"),
-    "enum": lambda x, v, path, *_: _one(~_any([_equal(v, w) for w in x]), path, "enum"),
+    "enum": lambda x, v, path, *_: _one(~_among(v, x), path, "enum"),
     "const": lambda x, v, path, *_: _one(~_any([_equal(v, x)]), path, "const"),
-    "required": lambda x, v, path, *_: _all([_one((v.kind == "object") & _member(v, n).isNull(), F.concat(path, F.lit(f".{n}")), "required") for n in x]),
+    "required": _required,
     "properties": _properties,
     "additionalProperties": _additional,
     "items": _each,
     "if": _if,
-    "minItems": _when("array", "minItems", lambda v, x: F.size(_items(v)) < x),
-    "maxItems": _when("array", "maxItems", lambda v, x: F.size(_items(v)) > x),
+    "minItems": _when("array", "minItems", lambda v, x: F.size(v.items) < x),
+    "maxItems": _when("array", "maxItems", lambda v, x: F.size(v.items) > x),
     "uniqueItems": _when("array", "uniqueItems", _repeated),
     "minProperties": _when("object", "minProperties", lambda v, x: F.size(_members(v)) < x),
     "maxProperties": _when("object", "maxProperties", lambda v, x: F.size(_members(v)) > x),

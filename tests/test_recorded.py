@@ -135,6 +135,28 @@ def test_schema_kinds_are_worked_out_once(spark):
     assert found._jdf.queryExecution().analyzed().toString().count("schema_of_variant(") == 2  # the root and its member
 
 
+def test_schema_gate_is_one_pass(spark):
+    """The gate goes through the documents once; violations of one document are one broken document."""
+    rows = spark.createDataFrame([('{"a":1,"b":[]}',), ('{"a":"x","b":[1,"y",null]}',), ("{",), (None,), ("[]",)], "d string")
+    schema = {"type": "object", "required": ["a", "b"], "properties": {"a": {"type": ["number", "null"]}, "b": {"type": "array", "items": {"enum": ["y", "z", 1]}}}}
+    out = json_schema.gate(rows, "d", schema)
+    assert [tuple(r) for r in out.collect()] == [(5, 4, 5, False)]
+    assert out.columns == ["documents", "broken", "violations", "passed"] and [t for _, t in out.dtypes] == ["bigint", "bigint", "bigint", "boolean"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and "Join" not in plan
+    assert [tuple(r) for r in json_schema.gate(rows.limit(0), "d", schema).collect()] == [(0, 0, 0, True)]
+
+
+def test_schema_of_kinds_below(spark):
+    """Kinds of objects and arrays that are taken apart, empty ones too, and of members that hold single values alone."""
+    schema = {"properties": {k: {"type": t, **more} for k, t, more in (("o", "object", {"minProperties": 0}), ("l", "array", {"maxItems": 9}), ("s", "string", {}), ("b", "boolean", {}), ("n", "null", {}), ("i", "integer", {}), ("x", "object", {}), ("y", "array", {}))}}
+    values = {"o": {}, "l": [], "s": "", "b": False, "n": None, "i": 10, "x": {"q": {}}, "y": [[]]}
+    assert _found(spark, schema, values, *[{k: values[k]} for k in values]) == []
+    for k in values:
+        wrong = [v for other, v in values.items() if other != k and {other, k} not in ({"o", "x"}, {"l", "y"})]
+        assert _found(spark, schema, *[{k: v} for v in wrong]) == [(n, f"$.{k}", "type") for n in range(len(wrong))]
+
+
 def test_history_gate(spark):
     """Random days against a fold by day; runs of days that fail, days without games in common."""
     g = random.Random(2)
