@@ -83,8 +83,9 @@ def readable(entries: DataFrame) -> DataFrame:
     """
     own = F.col("payload")
     strict = parsed(own).isNotNull()
-    anew = first_object(F.when(own.isNotNull() & ~strict, F.array(own))).object
-    return entries.withColumn("payload", F.when(strict, own).otherwise(F.when(parsed(anew).isNotNull(), anew)))
+    anew = F.col("__anew.object")
+    read = entries.withColumn("__anew", first_object(F.when(own.isNotNull() & ~strict, F.array(own))))
+    return read.withColumn("payload", F.when(strict, own).otherwise(F.when(parsed(anew).isNotNull(), anew))).drop("__anew")
 
 
 def exploded(entries: DataFrame) -> DataFrame:

@@ -82,10 +82,12 @@ def first_object(lists):
     return pd.DataFrame(out, columns=["object", "place"]).astype({"place": "Int32"})
 
 
-def loose(text: Column) -> Column:
-    """object (JSON text) and how it was found: json, fenced-json, embedded-json; both null if there is none."""
-    tried = candidates(text)
-    found = first_object(tried)
+#: A filter on what follows from it isn't pushed below it, which would ask Python again, in more workers a task.
+first_object = first_object.asNondeterministic()
+
+
+def loose(found: Column, tried: Column) -> Column:
+    """object (JSON text) and how it was found: json, fenced-json, embedded-json; both null if there is none. found is a column, as it is asked for often."""
     how = F.when(found.place == 0, "json").when(found.place == F.size(tried) - 1, "embedded-json").when(found.place.isNotNull(), "fenced-json")
     return F.struct(found.object.alias("object"), how.alias("how"))
 
@@ -115,7 +117,7 @@ def read(answers: DataFrame, content: str = "content") -> DataFrame:
     findings; an object with neither a summary nor findings is none. Confidence is within 0 and 1.
     """
     text = F.col(content)
-    out = answers.withColumn("read", loose(text)).withColumn("value", F.try_parse_json("read.object"))
+    out = answers.withColumn("read", first_object(candidates(text))).withColumn("read", loose(F.col("read"), candidates(text))).withColumn("value", F.try_parse_json("read.object"))
     value, prose = F.col("value"), plain(F.coalesce(text, F.lit("")))
     listed = F.try_variant_get(value, "$.findings", "array<variant>")
     advice = told(value, ADVICE_KEYS)
