@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,20 @@ def test_pages_are_scanned_once_in_small_batches(spark):
         assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
 
 
+def test_items_are_given_on_by_the_megabyte(spark, monkeypatch):
+    """The items of a batch never stand in Python all at once: they go on with each MB of pages, whole and in order."""
+    df, calls = pages(spark, a="x"), []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: calls.append(run) or self)
+    html.scanned(df, ["page"], kinds=("p", "text"))
+    keys = [f"{k}" for k in range(60)]
+    texts = [None if k % 7 == 0 else f"<p>{k}</p>" + "x" * 100_000 for k in range(60)]
+    given = list(calls[0](iter([pa.record_batch({"page": keys, "html": texts})])))
+    assert [key for part in given for key in part.column("page").to_pylist()] == keys
+    found = [items for part in given for items in part.column("found").to_pylist()]
+    assert [[tuple(i.values()) for i in items] for items in found] == [html.scan(text) for text in texts]
+    assert len(given) >= 5 and max(part.num_rows for part in given) <= 13  # 11 pages and the nulls among them
+
+
 def test_documents_are_rendered_game_by_game(spark, monkeypatch):
     """The text is json.dumps' own, and no call of the rendering function sees more than a game."""
     rows = [("2026-07-10", 7, "é \"x\"\nz", 1e7, [{"level": 1, "label": None}]), ("2026-07-10", 2, "b", 0.1, []), ("2026-07-11", 1, None, None, None)]
