@@ -80,6 +80,11 @@ class Rule:
             self.edges.append(high)
         return int(np.searchsorted(self.edges, n, side="right")) - 1
 
+    def farthest(self, n: int, band: int) -> int:
+        """The greatest symmetric difference of a set of n and one that it links with, of this band's sizes."""
+        both = n + min(n * self.den // self.num, self.edges[band + 1] - 1)
+        return max(self.apart(both), self.apart(both - 1))  # two more tokens never make it smaller
+
     def signatures(self, tokens: np.ndarray) -> np.ndarray:
         """Signatures of a sorted set: of its groups in its own band, and in the next if its partners reach there."""
         n = len(tokens)
@@ -94,11 +99,12 @@ class Rule:
         with np.errstate(over="ignore"):
             for band in bands:
                 most, count = self.groups[band]
+                most = min(most, self.farthest(n, band))
                 group = (high * np.uint64(count)) >> np.uint64(32)
                 first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
                 content = np.add.reduceat(mix(tokens + np.uint64(band * 2 + 1) * np.uint64(0x9E3779B97F4A7C15)), first)
                 names = group[first]
-                if count - len(first) >= count - most:  # so many are empty that they may be all that agrees
+                if len(first) <= most:  # so many are empty that they may be all that agrees
                     rest = np.setdiff1d(np.arange(count, dtype=np.uint64), names)
                     names, content = np.r_[names, rest], np.r_[content, np.zeros(len(rest), dtype=np.uint64)]
                 out.append(mix(content ^ mix(names * np.uint64(4096) + np.uint64(band))))
@@ -200,17 +206,21 @@ class RTree:
 
     def pairs(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """(x, y) of places x in [lo, hi) and places y whose overlap with x is not ruled out (x itself included)."""
+        return self.pairs_of(np.arange(lo, hi))
+
+    def pairs_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(x, y) of these places x (a few) and places y whose overlap with x is not ruled out (x itself included)."""
         top, _, _, extra = self.levels[0]
-        own, size = top[lo:hi], self.sizes[lo:hi]
-        at = self._under(own.max(axis=0), int(size.min()), int(size.max()), int(extra[lo:hi].max()))
+        own, size, rest = top[places], self.sizes[places], extra[places]
+        at = self._under(own.max(axis=0), int(size.min()), int(size.max()), int(rest.max()))
         found = []
         for k in range(0, len(at), 512):
             some = at[k : k + 512]
-            bound = _overlap(own[:, None], top[some][None]) + np.minimum(extra[lo:hi, None], extra[some][None])
+            bound = _overlap(own[:, None], top[some][None]) + np.minimum(rest[:, None], extra[some][None])
             x, y = np.nonzero(bound >= self.rule.needed(size[:, None] + self.sizes[some][None]))
-            y = some[y]
+            x, y = places[x], some[y]
             for j in range(0, len(x), 8192):
-                p, q = x[j : j + 8192] + lo, y[j : j + 8192]
+                p, q = x[j : j + 8192], y[j : j + 8192]
                 fine = _overlap(self.points[p], self.points[q]) + np.minimum(self.extra[p], self.extra[q])
                 fits = fine >= self.rule.needed(self.sizes[p] + self.sizes[q])
                 found.append((p[fits], q[fits]))
@@ -271,12 +281,10 @@ def between(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray, blocks: n
     total = 0
     kept: list[np.ndarray] = []
     if len(names) > 1:
-        for lo in range(0, n, tree.leaf):
-            hi = min(n, lo + tree.leaf)
-            if (group[lo:hi] == largest).all():
-                continue
-            x, y = tree.pairs(lo, hi)
-            use = (group[x] != largest) & (group[x] != group[y]) & ((group[y] == largest) | (y > x))
+        outside = np.flatnonzero(group != largest)
+        for lo in range(0, len(outside), tree.leaf):
+            x, y = tree.pairs_of(outside[lo : lo + tree.leaf])
+            use = (group[x] != group[y]) & ((group[y] == largest) | (y > x))
             if two:
                 use &= block[x] != block[y]
             use &= (earlier[x] & earlier[y]) == 0

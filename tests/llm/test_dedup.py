@@ -117,6 +117,31 @@ def test_signatures_lose_no_link():
                 assert len(np.intersect1d(rule.signatures(a), rule.signatures(b))), (num, len(a), len(b))
 
 
+def test_unrelated_texts_share_no_signature():
+    """Sets with nothing in common meet nowhere: empty groups are named only where they may be all that agrees."""
+    g = np.random.default_rng(8)
+    rule = jaccard_join.Rule(5, 80)
+    seen = set()
+    for n in range(60, 900):
+        own = set(rule.signatures(np.unique(g.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))).tolist())
+        assert not own & seen, n
+        seen |= own
+
+
+def test_empty_groups_lose_no_link():
+    """Sets in few groups, and sets that differ as much as linked ones can."""
+    g = np.random.default_rng(5)
+    for num in (80, 85, 95, 50):
+        rule = jaccard_join.Rule(5, num)
+        for trial in range(600):
+            n, narrow = int(g.integers(1, 60 if trial % 2 else 900)), np.uint64(g.integers(0, 12) if trial % 3 else 0)
+            draw = lambda k: g.integers(0, 1 << 63, k).astype(np.uint64) * np.uint64(2) >> narrow  # noqa: B023, E731
+            a = np.unique(draw(n))
+            kept = len(a) - int(g.integers(0, len(a) - -(-len(a) * num // 100) + 1))
+            b = np.unique(np.r_[g.permutation(a)[:kept], draw(max(0, 100 * kept // num - len(a)))])
+            assert rule.linked(a, b) and len(np.intersect1d(rule.signatures(a), rule.signatures(b))), (num, len(a), len(b))
+
+
 def test_rtree_rules_out_no_link():
     g = np.random.default_rng(3)
     rule = jaccard_join.Rule(4, 85)
@@ -153,6 +178,19 @@ def test_what_a_block_gives(monkeypatch, canopy):
     assert canopy < 8 or whole and {p for p in links if p[0] < 8} <= {(max(p), min(p)) for p in few.tolist()}
 
 
+def test_a_block_searches_for_what_lies_outside_its_largest_component(monkeypatch):
+    asked, search = [], jaccard_join.RTree.pairs_of
+    monkeypatch.setattr(jaccard_join.RTree, "pairs_of", lambda tree, places: asked.extend(places) or search(tree, places))
+    g = np.random.default_rng(5)
+    base = g.integers(0, 1 << 63, 120).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(g.choice(base, 118, replace=False)) for _ in range(200)]
+    points, sizes = jaccard_join.spread([jaccard_join.point(s) for s in sets]), np.array([len(s) for s in sets])
+    groups = np.array([k if k % 20 == 0 else 1 for k in range(200)])
+    found, whole = jaccard_join.between(points, sizes, groups, np.zeros(200, dtype=int), jaccard_join.Rule(4, 85), True)
+    assert whole and len(asked) == 10
+    assert {frozenset(p) for p in found.tolist()} == {frozenset((x, y)) for x in range(0, 200, 20) for y in range(200) if x != y}
+
+
 def test_jaccard_join_of_long_texts(spark):
     """Texts of 30,000 to 600,000 words, whose sets are compared whole."""
     g = random.Random(12)
