@@ -25,6 +25,10 @@ BANDS, BITS = 3, 20
 #: Distinct words that a worker counts before it passes them on, and their characters; text taken at a time.
 HELD, HELD_CHARS, PART = 400_000, 8 << 20, 1 << 20
 
+#: How tables that grow with the vocabulary are joined. Spark would broadcast one by the size of its compressed file, which says
+#: little of its rows, and nothing of those that an explode makes of them.
+SORTED = "merge"
+
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: crc32 goes on over a zero byte: table of the standard polynomial.
@@ -185,7 +189,7 @@ def near_words(words: DataFrame) -> DataFrame:
     lengths = (F.length("wa") + 1 == F.length("wb")) | ((F.length("wa") == F.length("wb")) & (F.col("wa") < F.col("wb")))
     flipped = F.bit_count(F.col("ma").bitwiseXOR(F.col("mb"))) <= 2
     one = F.levenshtein("wa", "wb", 1) == 1
-    pairs = a.join(b, "key").filter(lengths & flipped & one).groupBy("wa", "wb").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = a.hint(SORTED).join(b, "key").filter(lengths & flipped & one).groupBy("wa", "wb").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
     there = F.struct(F.col("wa").alias("a"), F.col("na"), F.col("wb").alias("b"), F.col("nb"))
     back = F.struct(F.col("wb").alias("a"), F.col("nb").alias("na"), F.col("wa").alias("b"), F.col("na").alias("nb"))
     return pairs.select(F.explode(F.array(there, back)).alias("p")).select("p.*")
@@ -199,7 +203,7 @@ def rooted(forms: DataFrame) -> DataFrame:
     now = staged(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = now.select(F.col("word").alias("at"), F.col("root").alias("further"))
-        step = staged(now.join(onward, now["root"] == onward["at"], "left").select("word", F.coalesce("further", "root").alias("root"), F.col("at").isNotNull().alias("moved")), "roots")
+        step = staged(now.join(onward.hint(SORTED), now["root"] == onward["at"], "left").select("word", F.coalesce("further", "root").alias("root"), F.col("at").isNotNull().alias("moved")), "roots")
         now = step.select("word", "root")
         if not step.filter("moved").limit(1).count():
             return now
@@ -219,5 +223,5 @@ def variants(docs: DataFrame, drop: int = DROP, letters: int = LETTERS, times: i
     near = near.select(F.col("a").alias("word"), "n_near", F.when(F.col("best.nb") >= F.col("na") * ratio, F.col("best")).alias("best"))
     linked = staged(near.select("word", "n_near", F.col("best.b").alias("form"), F.col("best.nb").alias("form_n")), "forms")
     roots = rooted(linked.filter("form is not null").select("word", "form"))
-    out = words.join(linked, "word", "left").join(roots, "word", "left")
+    out = words.join(linked.hint(SORTED), "word", "left").join(roots.hint(SORTED), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")

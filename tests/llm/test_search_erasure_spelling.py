@@ -259,6 +259,16 @@ def test_variants(spark, prose, drop):
     assert any(r[1] != r[2] for r in want if r[1]) and any(r[4] > 1 for r in want)
 
 
+def test_nothing_that_grows_with_the_vocabulary_is_broadcast(spark, prose, monkeypatch):
+    """However small Spark takes the tables to be."""
+    plans, real = [], spelling.staged
+    plan = lambda frame: plans.append(frame._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(spelling, "staged", lambda frame, name: plan(frame) or real(frame, name))
+    plan(spelling.variants(spark.createDataFrame(prose, "doc_id long, text string")))
+    assert sum("SortMergeJoin" in p for p in plans) >= 3
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_no_variants(spark):
     assert spelling.variants(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     one = spelling.variants(spark.createDataFrame([(1, "lonely lonely lonely lonely")], "doc_id long, text string"), 1 << 40).collect()
